@@ -1,0 +1 @@
+"""The operators run on the given tables, and the SQL they are compared with."""

@@ -1,0 +1,194 @@
+"""One query per operator, each over whole tables."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks import standins
+from tracelake.operators import handshakes as hs
+from tracelake.operators import metrics as mt
+from tracelake.operators import traffic
+from tracelake.operators.ordering import in_scope
+from tracelake.operators.routing import assign_messages, message_events
+from tracelake.operators.segments import close_early, segments, status_text
+from tracelake.plans.socket_performance import SocketPerformance, handshake_table, socket_performance
+from tracelake.sinks.tables import read_by_key, read_report, write_by_key, write_report
+from tracelake.functions.columns import pair_text, pair_values
+from tracelake.functions.staging import new_path
+
+
+def frame_count(spark: SparkSession, folder: str) -> DataFrame:
+    return traffic.frame_count(standins.event_packets(spark, folder))
+
+
+def payload_totals(spark, folder):
+    return traffic.payload_totals(standins.lineitem_packets(spark, folder))
+
+
+def port_traffic(spark, folder):
+    return traffic.port_traffic(standins.lineitem_packets(spark, folder))
+
+
+def port_traffic_text(spark, folder):
+    by_port = traffic.port_traffic_text(standins.lineitem_packets(spark, folder))
+    return by_port.select("port", pair_text(F.col("bytes"), F.col("packets")).alias("value"))
+
+
+def port_report(spark, folder):
+    """The space-separated report, written and read back."""
+    path = new_path(spark, "port-report")
+    write_report(traffic.port_traffic(standins.lineitem_packets(spark, folder)), path)
+    lines = read_report(spark, path)
+    size, packets = pair_values(F.substring_index("value", " ", -2))
+    port = F.substring_index("value", " ", 1).cast("bigint")
+    return lines.select(port.alias("dst_port"), size.alias("bytes"), packets.alias("packets"))
+
+
+def word_count(spark, folder):
+    return traffic.word_count(standins.table(spark, folder, "documents"), "text")
+
+
+def ipv4_totals(spark, folder):
+    return traffic.ipv4_totals(standins.lineitem_packets(spark, folder))
+
+
+def ipv4_cardinalities(spark, folder):
+    return traffic.ipv4_cardinalities(standins.lineitem_packets(spark, folder))
+
+
+def running_totals(spark, folder):
+    return traffic.running_totals(standins.event_packets(spark, folder))
+
+
+def handshakes(spark, folder):
+    matched = hs.match_handshakes(in_scope(standins.event_messages(spark, folder)))
+    return matched.select("scope", "data_pipe", "ack_pipe", "req_pos", "rem_pos", "req_ms", "rem_ms")
+
+
+def orphan_requests(spark, folder):
+    messages = in_scope(standins.event_messages(spark, folder))
+    return hs.orphan_requests(messages, hs.match_handshakes(messages))
+
+
+def orphan_counts(spark, folder):
+    messages = in_scope(standins.event_messages(spark, folder))
+    return hs.orphan_counts(messages, handshake_table(standins.event_messages(spark, folder)))
+
+
+def assigned_messages(spark, folder):
+    messages = standins.event_messages(spark, folder)
+    assigned = assign_messages(in_scope(messages), handshake_table(messages))
+    return assigned.select("scope", "pos", "kind", "pipe", "side", "flow", "flow_rem", "kept", "replay")
+
+
+def _flows(spark, folder):
+    return hs.last_handshakes(hs.match_handshakes(in_scope(standins.event_messages(spark, folder))))
+
+
+def requests_per_second(spark, folder):
+    return mt.requests_per_second(_flows(spark, folder))
+
+
+def responses_per_second(spark, folder):
+    return mt.responses_per_second(_flows(spark, folder))
+
+
+def user_segments(spark, folder):
+    events = message_events(standins.user_flow_messages(spark, folder))
+    events, progress, _ = close_early(events, "off")
+    return segments(events, progress)
+
+
+def segments_by_user(spark, folder):
+    return user_segments(spark, folder).select("flow", "seq", "sent_ms", "ack_ms")
+
+
+def arrivals_per_second(spark, folder):
+    return mt.arrivals_per_second(user_segments(spark, folder))
+
+
+def rtt_samples(spark, folder):
+    return mt.rtt_samples(user_segments(spark, folder))
+
+
+def rtt_lists(spark, folder):
+    return mt.rtt_lists(rtt_samples(spark, folder))
+
+
+def _performance(spark, folder) -> SocketPerformance:
+    return socket_performance(standins.event_messages(spark, folder))
+
+
+def flow_segments(spark, folder):
+    return _performance(spark, folder).segments
+
+
+def flow_stats(spark, folder):
+    return _performance(spark, folder).stats
+
+
+def flow_status(spark, folder):
+    stats = _performance(spark, folder).stats
+    parts = [F.col(c) for c in ("blocks", "acks", "expected", "data_complete", "ack_complete")]
+    return stats.select("scope", "flow", status_text(*parts).alias("status"))
+
+
+def flow_health(spark, folder):
+    return _performance(spark, folder).health()
+
+
+def metrics_merged(spark, folder):
+    return _performance(spark, folder).metrics()
+
+
+def metric_sizes(spark, folder):
+    return mt.metric_sizes(metrics_merged(spark, folder))
+
+
+def metrics_rebased(spark, folder):
+    return mt.rebase_time(metrics_merged(spark, folder))
+
+
+def metrics_rebased_each(spark, folder):
+    return mt.rebase_time(metrics_merged(spark, folder), "metric")
+
+
+def metrics_partitioned(spark, folder):
+    """One folder per metric, written and read back."""
+    path = new_path(spark, "metrics")
+    write_by_key(metrics_merged(spark, folder), path, F.col("metric"), "metric")
+    return read_by_key(spark, path, "sec bigint, value bigint, metric string")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        frame_count,
+        payload_totals,
+        port_traffic,
+        port_traffic_text,
+        port_report,
+        word_count,
+        ipv4_totals,
+        ipv4_cardinalities,
+        running_totals,
+        handshakes,
+        orphan_requests,
+        orphan_counts,
+        assigned_messages,
+        requests_per_second,
+        responses_per_second,
+        segments_by_user,
+        arrivals_per_second,
+        rtt_samples,
+        rtt_lists,
+        flow_segments,
+        flow_stats,
+        flow_status,
+        flow_health,
+        metrics_merged,
+        metric_sizes,
+        metrics_rebased,
+        metrics_rebased_each,
+        metrics_partitioned,
+    )
+}

@@ -1,0 +1,118 @@
+"""Flow operators against a message-by-message replay."""
+
+import random
+
+import pytest
+
+from tests.replay import replay
+from tracelake.operators.handshakes import match_handshakes, orphan_counts, orphan_requests
+from tracelake.operators.ordering import in_scope
+from tracelake.plans.socket_performance import socket_performance
+from tracelake.schemas import MESSAGES
+
+
+def message(no, kind, pipe, adv=None, first=0, last=None, seqs=(), acks=(), trace="t", size=0):
+    return {
+        "trace_file": trace,
+        "msg_no": no,
+        "kind": kind,
+        "pipe_id": pipe,
+        "adv_pipe_id": adv,
+        "first_ms": first,
+        "last_ms": first if last is None else last,
+        "payload_bytes": size,
+        "seqs": list(seqs),
+        "acks": list(acks),
+    }
+
+
+def random_trace(rng, trace, pairs, wrong=0.15, calls=0.2, shared=0.0, numbers=5, length=70):
+    pipes = [(f"d{i}", f"a{0 if rng.random() < shared else i}") for i in range(pairs)]
+    rows = []
+    for no in range(rng.randint(5, length)):
+        data_pipe, ack_pipe = rng.choice(pipes)
+        if rng.random() < wrong:
+            data_pipe, ack_pipe = ack_pipe, data_pipe
+        first = rng.randint(0, 5000)
+        last = first + rng.choice([0, 0, rng.randint(0, 800)])
+        some = [rng.randint(0, numbers) for _ in range(rng.choice([0, 1, 1, 2, 4]))]
+        p = rng.random()
+        if p < calls / 2:
+            rows.append(message(no, "req", f"s{no}", ack_pipe, first, last, trace=trace))
+        elif p < calls:
+            rows.append(message(no, "rem", ack_pipe, data_pipe, first, last, trace=trace))
+        elif p < calls + 0.4:
+            rows.append(message(no, "data", data_pipe, None, first, last, some, trace=trace, size=10 * len(some)))
+        elif p < 0.95:
+            rows.append(message(no, "ack", ack_pipe, None, first, last, (), some, trace=trace))
+        else:
+            rows.append(message(no, "close", rng.choice([data_pipe, ack_pipe]), None, first, last, trace=trace))
+    if rng.random() < 0.7:  # open the first flow early so that some complete
+        rows = [
+            message(-2, "req", "s", pipes[0][1], 1, trace=trace),
+            message(-1, "rem", pipes[0][1], pipes[0][0], 2, trace=trace),
+        ] + rows
+    for place, row in enumerate(rows):
+        row["msg_no"] = place
+    return rows
+
+
+def expected_tables(traces):
+    flows, segs, handshakes, unanswered = set(), set(), set(), set()
+    for trace, rows in traces.items():
+        by_data, matched, open_requests = replay(rows)
+        handshakes |= {(trace, *m) for m in matched}
+        unanswered |= {(trace, n) for n in open_requests}
+        for pipe, f in by_data.items():
+            flows.add(
+                (trace, pipe, f.ack_pipe, f.req_ms, f.rem_ms, f.sent, f.acked, f.expected, f.start, f.end)
+                + (f.payload, f.data_done, f.ack_done)
+            )
+            segs |= {(trace, pipe, number, sent, acked) for number, (sent, acked) in f.table.items()}
+    return flows, segs, handshakes, unanswered
+
+
+def actual_tables(perf):
+    stats = perf.stats.select(
+        "scope", "flow", "ack_pipe", "req_ms", "rem_ms", "blocks", "acks", "expected", "start_ms", "end_ms",
+        "payload_bytes", "data_complete", "ack_complete",
+    )
+    segs = perf.segments.select("scope", "flow", "seq", "sent_ms", "ack_ms")
+    flow_rows, seg_rows = stats.collect(), segs.collect()
+    flows, segments = {tuple(r) for r in flow_rows}, {tuple(r) for r in seg_rows}
+    assert len(flows) == len(flow_rows) and len(segments) == len(seg_rows)
+    return flows, segments
+
+
+def check(spark, traces, chunk_rows):
+    rows = [r for rows in traces.values() for r in rows]
+    messages = spark.createDataFrame([tuple(r[c] for c in MESSAGES.names) for r in rows], MESSAGES)
+    want_flows, want_segs, want_handshakes, want_open = expected_tables(traces)
+    ordered = in_scope(messages, "trace", chunk_rows)
+    matched = match_handshakes(ordered)
+    got = {tuple(r) for r in matched.select("scope", "data_pipe", "ack_pipe", "req_pos", "rem_pos").collect()}
+    assert got == want_handshakes
+    open_requests = {tuple(r) for r in orphan_requests(ordered, matched).select("scope", "req_pos").collect()}
+    assert open_requests == want_open
+    flows, segs = actual_tables(socket_performance(messages, chunk_rows=chunk_rows))
+    assert flows == want_flows
+    assert segs == want_segs
+    return want_flows
+
+
+@pytest.mark.parametrize(
+    "name, options, chunk_rows",
+    [
+        ("one flow", {"pairs": 1, "wrong": 0.0, "calls": 0.03, "numbers": 2}, 7),
+        ("wrong pipes", {"pairs": 3}, 5),
+        ("shared ack pipes", {"pairs": 4, "shared": 0.5, "calls": 0.25, "length": 90}, 9),
+        ("one chunk", {"pairs": 2, "numbers": 1, "calls": 0.05}, 1 << 20),
+    ],
+)
+def test_random_traces(spark, name, options, chunk_rows):
+    rng = random.Random(name)
+    traces = {f"t{i}": random_trace(rng, f"t{i}", **options) for i in range(400)}
+    flows = check(spark, traces, chunk_rows)
+    complete = sum(f[-1] and f[-2] for f in flows)
+    assert len(flows) > 100
+    assert complete > 0 or name not in ("one flow", "one chunk")

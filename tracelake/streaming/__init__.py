@@ -1,0 +1 @@
+"""Empty on purpose: captures are finished files, so every job here is a batch job."""

@@ -89,7 +89,7 @@ def check(spark, traces, chunk_rows):
     messages = spark.createDataFrame([tuple(r[c] for c in MESSAGES.names) for r in rows], MESSAGES)
     want_flows, want_segs, want_handshakes, want_open = expected_tables(traces)
     ordered = in_scope(messages, "trace", chunk_rows)
-    matched = match_handshakes(ordered)
+    matched = match_handshakes(ordered, chunk_rows)
     got = {tuple(r) for r in matched.select("scope", "data_pipe", "ack_pipe", "req_pos", "rem_pos").collect()}
     assert got == want_handshakes
     open_requests = {tuple(r) for r in orphan_requests(ordered, matched).select("scope", "req_pos").collect()}

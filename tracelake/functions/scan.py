@@ -1,8 +1,8 @@
-"""Running values over an ordered key, split so that no task holds a whole key.
+"""Running values over an ordered key, without ever giving one task more than a bounded part of it.
 
-A plain window brings all rows of a key into one task. Here a key is cut into chunks of its order
-column. Each (key, chunk) is scanned on its own, one summary row per (key, chunk) is scanned by key,
-and the value carried into each chunk is joined back on (key, chunk).
+Keys with few rows use a plain window. A key with more than ``chunk_rows`` rows is cut into chunks of
+its order column: each (key, chunk) is scanned on its own, one summary row per (key, chunk) is scanned
+by key, and what it carries into each chunk is joined back on (key, chunk).
 """
 
 from dataclasses import dataclass
@@ -10,7 +10,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.staging import staged
+
 CHUNK_ROWS = 1 << 20
+# Most keys that are sent to every task; each is a few dozen bytes.
+BROADCAST_KEYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -26,69 +30,98 @@ class Running:
     how: str
     rows: str = "through"
 
+    def total(self, place: Column) -> Column:
+        if self.how == "last":
+            return F.max_by(self.value, F.when(self.value.isNotNull(), place))
+        return F.sum(self.value) if self.how == "sum" else F.max(self.value)
+
+    def over(self, value: Column, window, last_row: int) -> Column:
+        window = window.rowsBetween(Window.unboundedPreceding, last_row)
+        if self.how == "last":
+            return F.last(value, ignorenulls=True).over(window)
+        if self.how == "sum":
+            return F.coalesce(F.sum(value).over(window), F.lit(0))
+        return F.max(value).over(window)
+
+    def join(self, carry: Column, here: Column) -> Column:
+        if self.how == "sum":
+            return carry + here
+        return F.greatest(carry, here) if self.how == "max" else F.coalesce(here, carry)
+
+    @property
+    def last_row(self) -> int:
+        return {"through": 0, "before": -1, "whole": Window.unboundedFollowing}[self.rows]
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """The keys too large for one task. ``table`` is null when there are none."""
+
+    names: list[str]
+    table: DataFrame | None
+    broadcast: bool
+
 
 def chunk_of(order: str, chunk_rows: int = CHUNK_ROWS) -> Column:
     """Chunk number of an integer order column; at most ``chunk_rows`` distinct orders share one."""
     return F.call_function("div", F.col(order), F.lit(chunk_rows).cast("bigint"))
 
 
-def running_by_chunk(
-    df: DataFrame, keys: list[str], order: list[str], chunk: list[str], columns: list[Running]
+def hot_keys(df: DataFrame, names: list[str], chunk_rows: int = CHUNK_ROWS) -> HotKeys:
+    """Count the rows of each key (a partial aggregate) and keep the keys above ``chunk_rows``.
+
+    Runs a job; the driver learns only how many hot keys there are.
+    """
+    counts = df.groupBy(*names).agg(F.count("*").alias("_rows"))
+    hot = counts.where(F.col("_rows") > chunk_rows).select(*names)
+    number = hot.count()
+    if number == 0:
+        return HotKeys(names, None, False)
+    return HotKeys(names, staged(hot, "hot-keys"), number <= BROADCAST_KEYS)
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list[str], chunk: list[str], columns: list[Running], hot: HotKeys
 ) -> DataFrame:
     """Add the running ``columns`` to ``df``.
 
     ``order`` must be unique within a key, ``chunk`` must not decrease along it, and neither ``keys``
-    nor ``chunk`` may be null.
+    nor ``chunk`` may be null. ``hot`` names ``keys`` or some of them.
     """
-    part = [*keys, *chunk]
-    place = F.struct(*order)
+    if hot.table is None:
+        return _by_key(df, keys, order, columns)
+    if not hot.broadcast:
+        return _by_chunk(df, keys, order, chunk, columns)
+    few = F.broadcast(hot.table)
+    cold = _by_key(df.join(few, hot.names, "left_anti"), keys, order, columns)
+    return cold.unionByName(_by_chunk(df.join(few, hot.names, "left_semi"), keys, order, chunk, columns))
 
-    def total(c: Running) -> Column:
-        if c.how == "last":
-            return F.max_by(c.value, F.when(c.value.isNotNull(), place))
-        return F.sum(c.value) if c.how == "sum" else F.max(c.value)
 
-    def over(c: Running, value: Column, window) -> Column:
-        if c.how == "last":
-            return F.last(value, ignorenulls=True).over(window)
-        return (F.sum(value) if c.how == "sum" else F.max(value)).over(window)
+def _by_key(df: DataFrame, keys: list[str], order: list[str], columns: list[Running]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.select("*", *[c.over(c.value, window, c.last_row).alias(c.name) for c in columns])
 
-    def joined(c: Running, carry: Column, here: Column) -> Column:
-        if c.rows == "whole":
-            return carry
-        if c.how == "sum":
-            return F.coalesce(carry, F.lit(0)) + F.coalesce(here, F.lit(0))
-        return F.greatest(carry, here) if c.how == "max" else F.coalesce(here, carry)
 
+def _by_chunk(
+    df: DataFrame, keys: list[str], order: list[str], chunk: list[str], columns: list[Running]
+) -> DataFrame:
+    part = [*keys, *chunk]
+    totals = df.groupBy(*part).agg(*[c.total(F.struct(*order)).alias(f"_{c.name}") for c in columns])
     chunks = Window.partitionBy(*keys).orderBy(*chunk)
-    reach = {"whole": Window.unboundedFollowing}
-    carries = df.groupBy(*part).agg(*[total(c).alias(f"_{c.name}") for c in columns])
-    carries = carries.select(
+    carries = totals.select(
         *part,
         *[
-            over(
-                c,
-                F.col(f"_{c.name}"),
-                chunks.rowsBetween(Window.unboundedPreceding, reach.get(c.rows, -1)),
-            ).alias(f"_{c.name}")
+            c.over(F.col(f"_{c.name}"), chunks, c.last_row if c.rows == "whole" else -1).alias(f"_{c.name}")
             for c in columns
         ],
     )
-
     rows = Window.partitionBy(*part).orderBy(*order)
-    last_row = {"through": 0, "before": -1}
     local = df.select(
-        "*",
-        *[
-            over(c, c.value, rows.rowsBetween(Window.unboundedPreceding, last_row[c.rows])).alias(c.name)
-            for c in columns
-            if c.rows != "whole"
-        ],
-    )
-    return local.join(carries, part).select(
-        *df.columns,
-        *[
-            joined(c, F.col(f"_{c.name}"), F.lit(None) if c.rows == "whole" else F.col(c.name)).alias(c.name)
-            for c in columns
-        ],
+        "*", *[c.over(c.value, rows, c.last_row).alias(c.name) for c in columns if c.rows != "whole"]
     )
+
+    def final(c: Running) -> Column:
+        carry = F.col(f"_{c.name}")
+        return carry if c.rows == "whole" else c.join(carry, F.col(c.name))
+
+    return local.join(carries, part).select(*df.columns, *[final(c).alias(c.name) for c in columns])

@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scan import Running, running_by_chunk
+from tracelake.functions.scan import CHUNK_ROWS, Running, hot_keys, running
 
 
-def match_handshakes(messages: DataFrame) -> DataFrame:
+def match_handshakes(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """JN-1, W-8: one row per ``rem`` whose predecessor on its ack pipe is a ``req``.
 
     A later ``req`` replaces a waiting one, a ``rem`` uses the waiting one up, and a ``rem`` that finds
@@ -25,9 +25,9 @@ def match_handshakes(messages: DataFrame) -> DataFrame:
     )
     calls = calls.where("ack_pipe is not null")
     before = F.struct("kind", "pos", "chunk", "first_ms", "last_ms")
-    paired = running_by_chunk(
-        calls, ["scope", "ack_pipe"], ["pos"], ["chunk"], [Running("req", before, "last", "before")]
-    )
+    keys = ["scope", "ack_pipe"]
+    hot = hot_keys(calls, keys, chunk_rows)
+    paired = running(calls, keys, ["pos"], ["chunk"], [Running("req", before, "last", "before")], hot)
     return paired.where("kind = 'rem' and req.kind = 'req' and data_pipe is not null").select(
         "scope",
         "data_pipe",

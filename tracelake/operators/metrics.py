@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import array_text, second_bucket
-from tracelake.functions.scan import Running, running_by_chunk
+from tracelake.functions.scan import CHUNK_ROWS, Running, hot_keys, running
 
 # Metric labels.
 REQUESTS, RESPONSES, ARRIVALS, RTT = "req", "rem", "arv", "rtt"
@@ -36,7 +36,7 @@ def rtt_samples(segs: DataFrame) -> DataFrame:
     )
 
 
-def rtt_lists(samples: DataFrame, part_size: int = 1000, chunk_rtts: int = 1000) -> DataFrame:
+def rtt_lists(samples: DataFrame, part_size: int = 1000, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """A-10, F-10, F-11: the sorted round-trip times of each second as text, ``part_size`` to a row.
 
     Equal times are counted first and a second's list is cut into parts, so a busy second is spread
@@ -44,8 +44,9 @@ def rtt_lists(samples: DataFrame, part_size: int = 1000, chunk_rtts: int = 1000)
     """
     size = F.lit(part_size).cast("bigint")
     counted = samples.groupBy("sec", "rtt_ms").agg(F.count("*").alias("copies"))
-    counted = counted.withColumn("chunk", F.floor(F.col("rtt_ms") / chunk_rtts))
-    placed = running_by_chunk(counted, ["sec"], ["rtt_ms"], ["chunk"], [Running("end", F.col("copies"), "sum")])
+    counted = counted.withColumn("chunk", F.floor(F.col("rtt_ms") / chunk_rows))
+    hot = hot_keys(counted, ["sec"], chunk_rows)
+    placed = running(counted, ["sec"], ["rtt_ms"], ["chunk"], [Running("end", F.col("copies"), "sum")], hot)
     start = F.col("end") - F.col("copies")
     first_part, last_part = (F.call_function("div", p, size) for p in (start, F.col("end") - 1))
     pieces = placed.withColumn("part", F.explode(F.sequence(first_part, last_part)))

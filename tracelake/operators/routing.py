@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scan import Running, running_by_chunk
+from tracelake.functions.scan import CHUNK_ROWS, Running, hot_keys, running
 
 _MESSAGE = ["kind", "first_ms", "last_ms", "payload_bytes", "seqs", "acks"]
 
 
-def assign_messages(messages: DataFrame, handshakes: DataFrame) -> DataFrame:
+def assign_messages(messages: DataFrame, handshakes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """JN-2, JN-3, JN-4: route every data, ack and close message as of its position.
 
     Data goes to the latest handshake before it whose data pipe it names, acks to the latest whose ack
@@ -42,7 +42,7 @@ def assign_messages(messages: DataFrame, handshakes: DataFrame) -> DataFrame:
         "scope", F.col("pipe_id").alias("pipe"), "pos", "chunk", *_MESSAGE
     )
     line = moved.unionByName(data_marks, True).unionByName(ack_marks, True)
-    seen = running_by_chunk(
+    seen = running(
         line,
         ["scope", "pipe"],
         ["pos"],
@@ -52,6 +52,7 @@ def assign_messages(messages: DataFrame, handshakes: DataFrame) -> DataFrame:
             Running("on_ack", F.col("ack_mark"), "last", "before"),
             Running("final", F.col("data_mark"), "last", "whole"),
         ],
+        hot_keys(line, ["scope", "pipe"], chunk_rows),
     ).where("kind is not null")
 
     has_data, has_ack = F.col("on_data").isNotNull(), F.col("on_ack").isNotNull()

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scan import Running, running_by_chunk
+from tracelake.functions.scan import CHUNK_ROWS, HotKeys, Running, hot_keys, running
 from tracelake.functions.staging import staged
 
 # A flow expects at least 3 blocks, and its highest block number plus 2.
@@ -14,19 +14,20 @@ _FLOW = ["scope", "flow"]
 _MESSAGE = [*_FLOW, "phase", "pos"]
 
 
-def flow_progress(events: DataFrame) -> DataFrame:
+def flow_progress(events: DataFrame, hot: HotKeys) -> DataFrame:
     """W-1, W-5: one row per applied message with the flow's running values after it.
 
     ``n`` messages, ``sent_so_far`` blocks with retransmissions, ``acked_so_far`` first acks (an ack is
     a first ack if a transmission of its number comes right before it), ``expected`` blocks, and
     ``latest_ms``, the running maximum of the data-side times.
     """
-    ordered = running_by_chunk(
+    ordered = running(
         events,
         [*_FLOW, "seq"],
         ["phase", "pos", "item"],
         ["phase", "chunk"],
         [Running("before", F.col("what"), "last", "before")],
+        hot,
     )
     first_ack = (F.col("what") == "ack") & F.coalesce(F.col("before") == "tx", F.lit(False))
     on_data = F.col("side") == "data"
@@ -38,7 +39,7 @@ def flow_progress(events: DataFrame) -> DataFrame:
         F.min(F.when(on_data, F.col("first_ms"))).alias("first_ms"),
         F.max(F.when(on_data, F.col("last_ms"))).alias("last_ms"),
     )
-    progress = running_by_chunk(
+    progress = running(
         messages,
         _FLOW,
         ["phase", "pos"],
@@ -50,6 +51,7 @@ def flow_progress(events: DataFrame) -> DataFrame:
             Running("expected", F.col("needs"), "max"),
             Running("latest_ms", F.col("last_ms"), "max"),
         ],
+        hot,
     )
     return progress.withColumn("expected", F.greatest(F.lit(LEAST_EXPECTED), "expected"))
 
@@ -69,7 +71,9 @@ def completion(progress: DataFrame) -> DataFrame:
     )
 
 
-def close_early(events: DataFrame, early_close: str = "toggle") -> tuple[DataFrame, DataFrame, DataFrame]:
+def close_early(
+    events: DataFrame, early_close: str = "toggle", chunk_rows: int = CHUNK_ROWS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """W-6: drop what a completed flow ignores; returns ``(events, progress, completion)``.
 
     After its completing message a flow ignores every other message. Only flows that do ignore
@@ -77,7 +81,8 @@ def close_early(events: DataFrame, early_close: str = "toggle") -> tuple[DataFra
     """
     if early_close not in ("toggle", "off"):
         raise ValueError(f"early_close must be 'toggle' or 'off', not {early_close!r}")
-    progress = staged(flow_progress(events), "progress")
+    hot = hot_keys(events, _FLOW, chunk_rows)
+    progress = staged(flow_progress(events, hot), "progress")
     points = completion(progress)
     if early_close == "off":
         return events, progress, points
@@ -88,7 +93,7 @@ def close_early(events: DataFrame, early_close: str = "toggle") -> tuple[DataFra
     applied = events.join(ignored, _MESSAGE, "left_anti")
     shortened = ignored.select(*_FLOW).distinct()
     progress = progress.join(shortened, _FLOW, "left_anti").unionByName(
-        flow_progress(applied.join(shortened, _FLOW, "left_semi"))
+        flow_progress(applied.join(shortened, _FLOW, "left_semi"), hot)
     )
     return applied, staged(progress, "progress"), points
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import packet_bytes, words
-from tracelake.functions.scan import CHUNK_ROWS, Running, chunk_of, running_by_chunk
+from tracelake.functions.scan import CHUNK_ROWS, Running, chunk_of, hot_keys, running
 
 
 def frame_count(packets: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def running_totals(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
     ipv4 = packets.where("ip_version = 4").select(
         "trace_file", "frame_no", "ip_total_len", chunk_of("frame_no", chunk_rows).alias("chunk")
     )
-    return running_by_chunk(
+    return running(
         ipv4,
         ["trace_file"],
         ["frame_no"],
@@ -103,4 +103,5 @@ def running_totals(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
             Running("bytes", F.col("ip_total_len").cast("bigint"), "sum"),
             Running("packets", F.lit(1).cast("bigint"), "sum"),
         ],
+        hot_keys(ipv4, ["trace_file"], chunk_rows),
     ).drop("chunk", "ip_total_len")

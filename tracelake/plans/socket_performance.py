@@ -28,7 +28,7 @@ class SocketPerformance:
 
 def handshake_table(messages: DataFrame, scope: str = "trace", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """All matched handshakes, staged: later steps read them several times."""
-    return staged(hs.match_handshakes(in_scope(messages, scope, chunk_rows)), "handshakes")
+    return staged(hs.match_handshakes(in_scope(messages, scope, chunk_rows), chunk_rows), "handshakes")
 
 
 def socket_performance(
@@ -37,6 +37,6 @@ def socket_performance(
     """Flows, segments and statistics of a ``messages`` table."""
     matched = handshake_table(messages, scope, chunk_rows)
     flows = hs.last_handshakes(matched)
-    assigned = staged(assign_messages(in_scope(messages, scope, chunk_rows), matched), "assigned")
-    events, progress, points = close_early(flow_events(assigned, flows), early_close)
+    assigned = staged(assign_messages(in_scope(messages, scope, chunk_rows), matched, chunk_rows), "assigned")
+    events, progress, points = close_early(flow_events(assigned, flows), early_close, chunk_rows)
     return SocketPerformance(flows, segments(events, progress), flow_stats(flows, progress, points))

@@ -1,0 +1,262 @@
+"""The given tables as capture files and TCP segments, so that ingest and reassembly run on whole tables.
+
+The bytes are put together by column expressions; each task writes the packets of its partition as one
+capture file into the shared folder.
+"""
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks.standins import table
+from tracelake.functions.staging import new_path
+from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals, port_traffic
+from tracelake.plans.socket_performance import socket_performance
+from tracelake.sources.captures import read_pcap
+from tracelake.sources.reassembly import MESSAGE_SHIFT, length_prefixed, reassemble_messages
+from tracelake.sources.wire import ElementNames, classify_messages, package_length, parse_messages
+from tracelake.functions.scan import CHUNK_ROWS
+
+SEGMENT = 100
+
+
+def number(value, size: int) -> Column:
+    """Big-endian bytes of a number that is 0 or more."""
+    value = value if isinstance(value, Column) else F.lit(value)
+    return F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * size, "0"))
+
+
+def raw(text: str) -> Column:
+    return F.unhex(F.lit(text))
+
+
+def utf8(text) -> Column:
+    return F.encode(text if isinstance(text, Column) else F.lit(text), "UTF-8")
+
+
+def sized(body: Column, size: int) -> Column:
+    return F.concat(number(F.length(body), size), body)
+
+
+def ethernet(ip_version: Column, proto: Column, src: Column, dst: Column, inner: Column) -> Column:
+    v4 = F.concat(
+        raw("0800" "4500"), number(F.length(inner) + 20, 2), raw("0001" "0000" "40"), number(proto, 1), raw("0000"),
+        number(src, 4), number(dst, 4), inner,
+    )
+    v6 = F.concat(
+        raw("86dd" "60000000"), number(F.length(inner), 2), number(proto, 1), raw("40"),
+        number(src, 16), number(dst, 16), inner,
+    )
+    return F.concat(raw("02" * 12), F.when(ip_version == 6, v6).otherwise(v4))
+
+
+def tcp(src: Column, dst: Column, seq: Column, payload: Column) -> Column:
+    return F.concat(number(src, 2), number(dst, 2), number(seq, 4), raw("00000000" "5010" "0000" "0000" "0000"), payload)
+
+
+def udp(src: Column, dst: Column, payload: Column) -> Column:
+    return F.concat(number(src, 2), number(dst, 2), number(F.length(payload) + 8, 2), raw("0000"), payload)
+
+
+def _writer(folder: str):
+    local = folder if folder.startswith("/") else folder.removeprefix("file:")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if local.startswith("/"):
+            system, base = fs.LocalFileSystem(), local
+        else:
+            system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        name = f"{base}/part-{TaskContext.get().partitionId():06d}.pcap"
+        packets = 0
+        with system.open_output_stream(name) as out:
+            out.write(bytes.fromhex("a1b2c3d4 0002 0004 00000000 00000000 0000ffff 00000001"))
+            for batch in batches:
+                packets += batch.num_rows
+                out.write(b"".join(batch.column(0).to_pylist()))
+        yield pa.RecordBatch.from_pydict({"packets": [packets]}, pa.schema([("packets", pa.int64())]))
+
+    return write
+
+
+def write_captures(packets: DataFrame, key: str, order: list[str]) -> str:
+    """Write ``(us, frame)`` rows as capture files, one per partition of ``key``; returns the folder."""
+    folder = new_path(packets.sparkSession, "captures")
+    million = F.lit(1_000_000).cast("bigint")
+    record = F.concat(
+        number(F.call_function("div", F.col("us"), million), 4),
+        number(F.col("us") % million, 4),
+        number(F.length("frame"), 4),
+        sized(F.col("frame"), 4),
+    )
+    lines = packets.repartition(key).sortWithinPartitions(*order).select(record.alias("record"))
+    lines.mapInArrow(_writer(folder), "packets bigint").agg(F.sum("packets")).collect()
+    return folder
+
+
+def lineitem_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items written as captures and read back; ports are 16 bits wide."""
+    items = table(spark, folder, "lineitem")
+    flag, src = F.col("l_returnflag"), F.col("l_linenumber")
+    payload = utf8(F.repeat(F.lit("x"), F.col("l_quantity").cast("int")))
+    inner = (
+        F.when(flag == "A", tcp(src, F.col("l_suppkey") % 65536, F.col("l_orderkey") % 65536, payload))
+        .when(flag == "N", udp(src, F.col("l_partkey") % 65536, payload))
+        .otherwise(F.concat(raw("0800000000000000"), payload))
+    )
+    proto = F.when(flag == "A", 6).when(flag == "N", 17).otherwise(1)
+    version = F.when(F.col("l_linestatus") == "F", 6).otherwise(4)
+    frame = ethernet(version, proto, F.col("l_orderkey") % (1 << 31), F.col("l_suppkey") % (1 << 31), inner)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    packets = items.select(*order, F.lit(1_000_000).cast("bigint").alias("us"), frame.alias("frame"))
+    return read_pcap(spark, write_captures(packets, "l_orderkey", order))
+
+
+def capture_frame_count(spark, folder):
+    return frame_count(lineitem_captures(spark, folder))
+
+
+def capture_payload_totals(spark, folder):
+    return payload_totals(lineitem_captures(spark, folder))
+
+
+def capture_port_traffic(spark, folder):
+    return port_traffic(lineitem_captures(spark, folder))
+
+
+def capture_ipv4_totals(spark, folder):
+    """Totals of the traces put together; how rows fall into traces depends on the partitions."""
+    traces = ipv4_totals(lineitem_captures(spark, folder))
+    return traces.agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"))
+
+
+def segments_of(messages: DataFrame, keep: list[str]) -> DataFrame:
+    """Cut each ``stream`` into TCP segments of up to ``SEGMENT`` bytes."""
+    last = F.call_function("div", F.length("stream") - 1, F.lit(SEGMENT)).cast("int")
+    cut = messages.select(*keep, "stream", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    body = F.substring(F.col("stream"), F.col("piece") * SEGMENT + 1, F.lit(SEGMENT))
+    return cut.select(*keep, "piece", body.alias("payload"))
+
+
+def reassembled_messages(spark, folder):
+    """Conversation turns sent as length-prefixed messages, two turns to a stream, and put together again."""
+    turns = table(spark, folder, "conversations")
+    body = utf8(F.concat_ws("\t", F.col("turn").cast("string"), "role", "text"))
+    pair = F.call_function("div", F.col("turn"), F.lit(2).cast("bigint")).alias("pair")
+    framed = turns.select("conv_id", pair, F.struct("turn", sized(body, 4).alias("frame")).alias("message"))
+    # Two turns at most to a group.
+    pairs = framed.groupBy("conv_id", "pair").agg(F.array_sort(F.collect_list("message")).alias("both"))
+    stream = F.aggregate("both", raw(""), lambda done, m: F.concat(done, m["frame"]))
+    cut = segments_of(pairs.select("conv_id", "pair", stream.alias("stream")), ["conv_id", "pair"])
+    place = (F.col("conv_id") * 4096 + F.col("pair")) * (1 << 20) + F.col("piece") + 1
+    packets = cut.select(
+        F.lit("conversations").alias("trace_file"),
+        place.alias("frame_no"),
+        place.alias("ts_ms"),
+        F.col("conv_id").cast("string").alias("ip_src"),
+        F.lit("server").alias("ip_dst"),
+        F.lit(1000).alias("src_port"),
+        F.lit(9701).alias("dst_port"),
+        F.lit("tcp").alias("l4"),
+        place.alias("tcp_seq"),
+        F.length("payload").alias("tcp_payload_len"),
+        "payload",
+    )
+    whole = reassemble_messages(packets, length_prefixed)
+    parts = F.split(F.decode(F.expr("substring(message, 5)"), "UTF-8"), "\t", 3)
+    return whole.select(
+        F.col("ip_src").cast("bigint").alias("conv_id"),
+        parts[0].cast("bigint").alias("turn"),
+        parts[1].alias("role"),
+        parts[2].alias("text"),
+    )
+
+
+NAMES = ElementNames()
+
+
+def _element(namespace: int, name: Column, content: Column, kind: str | None = None) -> Column:
+    flags = raw(f"{namespace:02x}{'01' if kind else '00'}")
+    typed = sized(utf8(kind), 2) if kind else raw("")
+    return F.concat(utf8("jxel"), flags, sized(utf8(name), 2), typed, sized(content, 4))
+
+
+def _package(elements: list[Column]) -> Column:
+    namespaces = F.concat(raw("0001"), sized(utf8(NAMES.socket_namespace), 2))
+    body = F.concat(utf8("jxmg"), raw("00"), namespaces, number(len(elements), 2), *elements)
+    headers = F.concat(
+        sized(utf8("content-type"), 1), sized(utf8("application/x-jxta-msg"), 2),
+        sized(utf8("content-length"), 1), raw("0008"), number(F.length(body), 8), raw("00"),
+    )
+    return F.concat(headers, body)
+
+
+def _router(pipe: Column) -> Column:
+    address = F.concat(F.lit("<Router><Dest>jxta://uuid-1/PipeService/"), pipe, F.lit("</Dest></Router>"))
+    return _element(1, F.lit(NAMES.router_name), utf8(address))
+
+
+def _advertisement(tag: str, pipe: Column) -> Column:
+    text = F.concat(F.lit("<jxta:PipeAdvertisement><Id>"), pipe, F.lit("</Id></jxta:PipeAdvertisement>"))
+    return _element(2, F.lit(tag), utf8(text))
+
+
+def event_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Events sent as socket messages over TCP, written as captures and read back with their payload."""
+    user = F.col("user_id").cast("string")
+    data_pipe, ack_pipe = F.concat(F.lit("d"), user), F.concat(F.lit("a"), user)
+    count = F.get_json_object("props", "$.k")
+    event = F.col("event_type")
+    stream = (
+        F.when(event == "view", _package([_router(data_pipe), _element(1, count, utf8(F.col("props")), NAMES.block_type)]))
+        .when(event == "click", _package([_router(ack_pipe), _element(1, F.lit(NAMES.ack_name), number(count, 4))]))
+        .when(event == "error", _package([_router(data_pipe), _element(2, F.lit(NAMES.close_tag), raw(""))]))
+        .when(event == "signup", _package([_router(F.lit("listener")), _advertisement(NAMES.request_tag, ack_pipe)]))
+        .otherwise(_package([_router(ack_pipe), _advertisement(NAMES.response_tag, data_pipe)]))
+    )
+    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    us = F.timestamp_diff("MICROSECOND", origin, F.col("ts"))
+    sent = table(spark, folder, "events").select("event_id", "user_id", us.alias("us"), stream.alias("stream"))
+    cut = segments_of(sent, ["event_id", "user_id", "us"])
+    frame = ethernet(
+        F.lit(4), F.lit(6), F.col("user_id") % (1 << 31), F.lit(1), tcp(F.lit(1000), F.lit(9701), F.col("piece"), F.col("payload"))
+    )
+    packets = cut.select("event_id", "user_id", "piece", "us", frame.alias("frame"))
+    return read_pcap(spark, write_captures(packets, "user_id", ["event_id", "piece"]), payload=True)
+
+
+def captured_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_messages(parse_messages(reassemble_messages(event_captures(spark, folder), package_length)))
+
+
+def capture_messages(spark, folder):
+    """The messages found in the captures, without their place in them."""
+    listed = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("seqs", "acks")]
+    return captured_messages(spark, folder).select(
+        "kind", F.when(F.col("kind") != "req", F.col("pipe_id")).alias("pipe_id"), "adv_pipe_id",
+        "first_ms", "last_ms", "payload_bytes", *listed,
+    )
+
+
+def capture_metrics(spark, folder):
+    """From capture files to the metric series."""
+    messages = captured_messages(spark, folder)
+    return socket_performance(messages, chunk_rows=CHUNK_ROWS << MESSAGE_SHIFT).metrics()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        capture_frame_count,
+        capture_payload_totals,
+        capture_port_traffic,
+        capture_ipv4_totals,
+        reassembled_messages,
+        capture_messages,
+        capture_metrics,
+    )
+}

@@ -151,7 +151,36 @@ samples AS (SELECT ack_ms // 1000 AS sec, ack_ms - sent_ms AS rtt_ms FROM user_s
 """
 )
 
+_CAPTURED = """
+WITH packets AS (
+  SELECT l_returnflag AS flag, l_linestatus <> 'F' AS v4, CAST(l_quantity AS BIGINT) AS qty,
+         CASE l_returnflag WHEN 'A' THEN l_suppkey % 65536 WHEN 'N' THEN l_partkey % 65536 END AS dst_port,
+         CASE l_returnflag WHEN 'A' THEN 20 ELSE 8 END AS l4_header
+  FROM lineitem)
+"""
+
 ORACLE = {
+    "capture_frame_count": "SELECT 'frameNum' AS label, count(*) AS frames FROM lineitem",
+    "capture_payload_totals": _CAPTURED
+    + """
+SELECT 'wireLen' AS label, CAST(sum(14 + CASE WHEN v4 THEN 20 ELSE 40 END + 20 + qty) AS BIGINT) AS total
+FROM packets WHERE flag = 'A'
+UNION ALL SELECT 'payloadLen', CAST(sum(qty) AS BIGINT) FROM packets WHERE flag = 'A'""",
+    "capture_port_traffic": _CAPTURED
+    + """
+SELECT dst_port, CAST(sum(20 + l4_header + qty) AS BIGINT) AS bytes, count(*) AS packets
+FROM packets WHERE v4 AND dst_port IS NOT NULL GROUP BY dst_port ORDER BY dst_port""",
+    "capture_ipv4_totals": _CAPTURED
+    + "SELECT CAST(sum(20 + l4_header + qty) AS BIGINT) AS bytes, count(*) AS packets FROM packets WHERE v4",
+    "reassembled_messages": "SELECT conv_id, turn, role, text FROM conversations",
+    "capture_messages": _MESSAGES
+    + """
+SELECT kind, pipe AS pipe_id, CASE kind WHEN 'req' THEN a WHEN 'rem' THEN d END AS adv_pipe_id,
+       ms AS first_ms, ms AS last_ms, CAST(CASE kind WHEN 'data' THEN props_len ELSE 0 END AS BIGINT) AS payload_bytes,
+       CASE kind WHEN 'data' THEN CAST(seq AS VARCHAR) ELSE '' END AS seqs,
+       CASE kind WHEN 'ack' THEN CAST(seq AS VARCHAR) ELSE '' END AS acks
+FROM m""",
+    "capture_metrics": _PERFORMANCE + "SELECT metric, sec, value FROM metrics",
     "frame_count": "SELECT 'frameNum' AS label, count(*) AS frames FROM events",
     "payload_totals": _PACKETS
     + """

@@ -116,3 +116,105 @@ def test_random_traces(spark, name, options, chunk_rows):
     complete = sum(f[-1] and f[-2] for f in flows)
     assert len(flows) > 100
     assert complete > 0 or name not in ("one flow", "one chunk")
+
+
+def test_flows_across_traces(spark):
+    """With ``scope="global"`` flows run on through the traces in file-name order."""
+    rng = random.Random(11)
+    traces = {f"t{i}": random_trace(rng, f"t{i}", pairs=3, calls=0.25) for i in range(12)}
+    rows = [r for trace in sorted(traces) for r in traces[trace]]
+    messages = spark.createDataFrame([tuple(r[c] for c in MESSAGES.names) for r in rows], MESSAGES)
+    numbered = [{**r, "msg_no": place} for place, r in enumerate(rows)]
+    want_flows, want_segs, _, _ = expected_tables({"": numbered})
+    for chunk_rows in (1 << 20, 8):
+        flows, segs = actual_tables(socket_performance(messages, scope="global", chunk_rows=chunk_rows))
+        assert flows == want_flows
+        assert segs == want_segs
+
+
+REQ = message(0, "req", "x", "a", 100)
+REM = message(0, "rem", "a", "d", 110)
+
+
+def data(ms, *numbers, last=None):
+    return message(0, "data", "d", None, ms, last, numbers, size=len(numbers))
+
+
+def ack(ms, *numbers, pipe="a"):
+    return message(0, "ack", pipe, None, ms, acks=numbers)
+
+
+CLOSE = message(0, "close", "d", None, 900)
+
+# name: (messages, segments {number: (sent, acked)} or None without a flow, (blocks, acks, expected, start, end))
+CASES = {
+    "clean": ([REQ, REM, data(120, 1), ack(130, 1)], {1: (120, 130)}, (1, 1, 3, 100, 120)),
+    "response without request": ([REM, data(120, 1)], None, None),
+    "second request is used": (
+        [REQ, {**REQ, "first_ms": 105, "last_ms": 105}, REM], {}, (0, 0, 3, 105, 105)),
+    "second response opens nothing": ([REQ, REM, {**REM, "adv_pipe_id": "e"}, data(120, 1)], {1: (120, None)},
+                                      (1, 0, 3, 100, 120)),
+    "early messages are replayed, data first": ([REQ, ack(95, 1), data(90, 1), REM], {1: (100, 95)}, (1, 1, 3, 90, 100)),
+    "retransmission clears the ack": (
+        [REQ, REM, data(120, 1), ack(130, 1), data(140, 1)], {1: (140, None)}, (2, 1, 3, 100, 140)),
+    "last ack wins": ([REQ, REM, data(120, 1), ack(130, 1), ack(150, 1)], {1: (120, 150)}, (1, 1, 3, 100, 120)),
+    "acks are not cumulative": (
+        [REQ, REM, data(120, 5, 6, 7), ack(130, 5, 7)],
+        {5: (120, 130), 6: (120, None), 7: (120, 130)}, (3, 2, 9, 100, 120)),
+    "unknown number": ([REQ, REM, data(120, 1), ack(130, 8)], {1: (120, None)}, (1, 0, 3, 100, 120)),
+    "send time is the running maximum": (
+        [REQ, REM, data(200, 1), data(150, 2), ack(160, 2)], {1: (200, None), 2: (200, 160)}, (2, 1, 4, 100, 200)),
+    "close moves the end": ([REQ, REM, data(120, 1), CLOSE], {1: (120, None)}, (1, 0, 3, 100, 900)),
+    "only the last handshake counts": (
+        [REQ, REM, data(120, 1), REQ, REM, data(130, 2)], {2: (130, None)}, (1, 0, 4, 100, 130)),
+    "waiting data goes to every handshake": (
+        [data(90, 1), REQ, REM, REQ, REM], {1: (100, None)}, (1, 0, 3, 90, 100)),
+    "ack on the data pipe is not applied": (
+        [REQ, REM, data(120, 1), ack(130, 1, pipe="d")], {1: (120, None)}, (1, 0, 3, 100, 120)),
+    "complete flow ignores every other message": (
+        [REQ, REM, data(120, 0), ack(121, 0), data(122, 0), ack(123, 0), data(124, 0), ack(125, 0)]
+        + [data(200, 1), data(210, 2), data(220, 3), data(230, 4)],
+        {0: (124, 125), 2: (210, None), 4: (230, None)}, (5, 3, 6, 100, 230)),
+    "complete flow with an unacked number": (
+        [REQ, REM, data(120, 0), ack(121, 0), data(122, 0), ack(123, 0), data(124, 0, 1), ack(125, 0)],
+        {0: (124, 125), 1: (124, None)}, (4, 3, 3, 100, 124)),
+}
+
+
+def test_rules_one_by_one(spark):
+    rows = [
+        tuple({**m, "trace_file": name, "msg_no": place}[c] for c in MESSAGES.names)
+        for name, (messages, _, _) in CASES.items()
+        for place, m in enumerate(messages)
+    ]
+    perf = socket_performance(spark.createDataFrame(rows, MESSAGES))
+    stats = {
+        r.scope: (r.blocks, r.acks, r.expected, r.start_ms, r.end_ms) for r in perf.stats.where("flow = 'd'").collect()
+    }
+    segs = {name: {} for name in stats}
+    for r in perf.segments.where("flow = 'd'").collect():
+        segs[r.scope][r.seq] = (r.sent_ms, r.ack_ms)
+    for name, (_, want_segs, want_stats) in CASES.items():
+        assert stats.get(name) == want_stats, name
+        assert segs.get(name) == want_segs, name
+    health = perf.health().first()
+    complete = {r.scope for r in perf.stats.where("data_complete and ack_complete").collect()}
+    assert complete == {"complete flow ignores every other message", "complete flow with an unacked number"}
+    assert health.uncompleted_flows == len(stats) - len(complete)
+    unacked = sum(a is None for name, s in segs.items() if name not in complete for _, a in s.values())
+    assert health.acks_expected == unacked
+
+
+def test_everything_is_applied_without_early_close(spark):
+    messages = CASES["complete flow ignores every other message"][0]
+    rows = [tuple({**m, "msg_no": n}[c] for c in MESSAGES.names) for n, m in enumerate(messages)]
+    perf = socket_performance(spark.createDataFrame(rows, MESSAGES), early_close="off")
+    assert sorted(r.seq for r in perf.segments.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_orphans(spark):
+    rows = [REQ, REM, {**REQ, "adv_pipe_id": "b"}, data(1, 1), ack(1, 1, pipe="z"), ack(2, 1, pipe="z"), REQ, REQ]
+    rows = [tuple({**m, "msg_no": n}[c] for c in MESSAGES.names) for n, m in enumerate(rows)]
+    ordered = in_scope(spark.createDataFrame(rows, MESSAGES))
+    counts = {r.what: r.n for r in orphan_counts(ordered, match_handshakes(ordered)).collect()}
+    assert counts == {"requests": 3, "messages": 2, "pipes": 1}

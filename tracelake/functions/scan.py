@@ -86,7 +86,8 @@ def running(
     """Add the running ``columns`` to ``df``.
 
     ``order`` must be unique within a key, ``chunk`` must not decrease along it, and neither ``keys``
-    nor ``chunk`` may be null. ``hot`` names ``keys`` or some of them.
+    nor ``chunk`` may be null. ``hot`` names ``keys`` or some of them. ``df`` should not come out of a
+    shuffle by some of ``keys``: Spark would keep that partitioning, and a hot key in one task.
     """
     if hot.table is None:
         return _by_key(df, keys, order, columns)

@@ -92,9 +92,9 @@ def close_early(
     ignored = staged(ignored.select(*_MESSAGE), "ignored")
     applied = events.join(ignored, _MESSAGE, "left_anti")
     shortened = ignored.select(*_FLOW).distinct()
-    progress = progress.join(shortened, _FLOW, "left_anti").unionByName(
-        flow_progress(applied.join(shortened, _FLOW, "left_semi"), hot)
-    )
+    # Staged so that the next windows do not inherit the join's partitioning by flow.
+    again = staged(applied.join(shortened, _FLOW, "left_semi"), "again")
+    progress = progress.join(shortened, _FLOW, "left_anti").unionByName(flow_progress(again, hot))
     return applied, staged(progress, "progress"), points
 
 

@@ -16,7 +16,7 @@ from checks.standins import table
 from tracelake.functions.staging import new_path
 from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals, port_traffic
 from tracelake.plans.socket_performance import socket_performance
-from tracelake.sources.captures import read_pcap
+from tracelake.sources.captures import ingest_packets, read_pcap
 from tracelake.sources.reassembly import MESSAGE_SHIFT, length_prefixed, reassemble_messages
 from tracelake.sources.wire import ElementNames, classify_messages, package_length, parse_messages
 from tracelake.functions.scan import CHUNK_ROWS
@@ -98,8 +98,8 @@ def write_captures(packets: DataFrame, key: str, order: list[str]) -> str:
     return folder
 
 
-def lineitem_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items written as captures and read back; ports are 16 bits wide."""
+def write_lineitem_captures(spark: SparkSession, folder: str) -> str:
+    """Line items written as captures; ports are 16 bits wide."""
     items = table(spark, folder, "lineitem")
     flag, src = F.col("l_returnflag"), F.col("l_linenumber")
     payload = utf8(F.repeat(F.lit("x"), F.col("l_quantity").cast("int")))
@@ -113,7 +113,22 @@ def lineitem_captures(spark: SparkSession, folder: str) -> DataFrame:
     frame = ethernet(version, proto, F.col("l_orderkey") % (1 << 31), F.col("l_suppkey") % (1 << 31), inner)
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     packets = items.select(*order, F.lit(1_000_000).cast("bigint").alias("us"), frame.alias("frame"))
-    return read_pcap(spark, write_captures(packets, "l_orderkey", order))
+    return write_captures(packets, "l_orderkey", order)
+
+
+def lineitem_captures(spark: SparkSession, folder: str) -> DataFrame:
+    return read_pcap(spark, write_lineitem_captures(spark, folder))
+
+
+def pcap_ingest(spark, folder):
+    """Captures decoded once into a table; the columns that do not depend on the partitions."""
+    target = new_path(spark, "packets")
+    ingest_packets(spark, write_lineitem_captures(spark, folder), target)
+    packets = spark.read.parquet(target)
+    return packets.select(
+        "ip_version", F.when(F.col("ip_version") == 4, F.col("ip_src")).alias("ip_src"), "ip_header_len",
+        "ip_payload_len", "ip_total_len", "wire_len", "l4", "src_port", "dst_port", "tcp_seq", "tcp_payload_len", "ts_ms",
+    )
 
 
 def capture_frame_count(spark, folder):
@@ -251,6 +266,7 @@ def capture_metrics(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
+        pcap_ingest,
         capture_frame_count,
         capture_payload_totals,
         capture_port_traffic,

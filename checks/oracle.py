@@ -160,6 +160,24 @@ WITH packets AS (
 """
 
 ORACLE = {
+    "pcap_ingest": """
+WITH p AS (
+  SELECT l_returnflag AS flag, l_linestatus <> 'F' AS v4, CAST(l_quantity AS BIGINT) AS qty,
+         CASE l_returnflag WHEN 'A' THEN 20 ELSE 8 END AS l4_header, l_orderkey, l_partkey, l_suppkey, l_linenumber
+  FROM lineitem)
+SELECT CASE WHEN v4 THEN 4 ELSE 6 END AS ip_version,
+       CASE WHEN v4 THEN ((l_orderkey >> 24) & 255) || '.' || ((l_orderkey >> 16) & 255) || '.'
+                         || ((l_orderkey >> 8) & 255) || '.' || (l_orderkey & 255) END AS ip_src,
+       CASE WHEN v4 THEN 20 ELSE 40 END AS ip_header_len, l4_header + qty AS ip_payload_len,
+       CASE WHEN v4 THEN 20 ELSE 40 END + l4_header + qty AS ip_total_len,
+       14 + CASE WHEN v4 THEN 20 ELSE 40 END + l4_header + qty AS wire_len,
+       CASE flag WHEN 'A' THEN 'tcp' WHEN 'N' THEN 'udp' END AS l4,
+       CASE WHEN flag IN ('A', 'N') THEN l_linenumber END AS src_port,
+       CASE flag WHEN 'A' THEN l_suppkey % 65536 WHEN 'N' THEN l_partkey % 65536 END AS dst_port,
+       CASE flag WHEN 'A' THEN l_orderkey % 65536 END AS tcp_seq,
+       CASE flag WHEN 'A' THEN qty END AS tcp_payload_len,
+       1000 AS ts_ms
+FROM p""",
     "capture_frame_count": "SELECT 'frameNum' AS label, count(*) AS frames FROM lineitem",
     "capture_payload_totals": _CAPTURED
     + """
@@ -228,7 +246,7 @@ UNION ALL SELECT 'pipes', count(*) FROM (SELECT DISTINCT scope, pipe FROM lost)"
     + "SELECT scope, pos, kind, pipe, side, flow, flow_rem, kept, replay FROM assigned",
     "requests_per_second": _MESSAGES + "SELECT req_ms // 1000 AS sec, count(*) AS n FROM flows GROUP BY 1",
     "responses_per_second": _MESSAGES + "SELECT rem_ms // 1000 AS sec, count(*) AS n FROM flows GROUP BY 1",
-    "segments_by_user": _USER_SEGMENTS + "SELECT substr(flow, 2) AS flow, seq, sent_ms, ack_ms FROM user_segs",
+    "segments": _USER_SEGMENTS + "SELECT substr(flow, 2) AS flow, seq, sent_ms, ack_ms FROM user_segs",
     "arrivals_per_second": _USER_SEGMENTS + "SELECT sent_ms // 1000 AS sec, count(*) AS n FROM user_segs GROUP BY 1",
     "rtt_samples": _USER_SEGMENTS + "SELECT sec, rtt_ms FROM samples",
     "rtt_lists": _USER_SEGMENTS

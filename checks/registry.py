@@ -9,11 +9,11 @@ from tracelake.operators import metrics as mt
 from tracelake.operators import traffic
 from tracelake.operators.ordering import in_scope
 from tracelake.operators.routing import assign_messages, message_events
-from tracelake.operators.segments import close_early, segments, status_text
+from tracelake.operators import segments as sg
 from tracelake.plans.socket_performance import SocketPerformance, handshake_table, socket_performance
 from tracelake.sinks.tables import read_by_key, read_report, write_by_key, write_report
 from tracelake.functions.columns import pair_text, pair_values
-from tracelake.functions.staging import new_path
+from tracelake.functions.staging import new_path, staged
 
 
 def frame_count(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,11 +94,11 @@ def responses_per_second(spark, folder):
 
 def user_segments(spark, folder):
     events = message_events(standins.user_flow_messages(spark, folder))
-    events, progress, _ = close_early(events, "off")
-    return segments(events, progress)
+    events, progress, _ = sg.close_early(staged(events, "events"), "off")
+    return sg.segments(events, progress)
 
 
-def segments_by_user(spark, folder):
+def segments(spark, folder):
     return user_segments(spark, folder).select("flow", "seq", "sent_ms", "ack_ms")
 
 
@@ -129,7 +129,7 @@ def flow_stats(spark, folder):
 def flow_status(spark, folder):
     stats = _performance(spark, folder).stats
     parts = [F.col(c) for c in ("blocks", "acks", "expected", "data_complete", "ack_complete")]
-    return stats.select("scope", "flow", status_text(*parts).alias("status"))
+    return stats.select("scope", "flow", sg.status_text(*parts).alias("status"))
 
 
 def flow_health(spark, folder):
@@ -177,7 +177,7 @@ QUERIES = {
         assigned_messages,
         requests_per_second,
         responses_per_second,
-        segments_by_user,
+        segments,
         arrivals_per_second,
         rtt_samples,
         rtt_lists,

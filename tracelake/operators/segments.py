@@ -77,7 +77,8 @@ def close_early(
     """W-6: drop what a completed flow ignores; returns ``(events, progress, completion)``.
 
     After its completing message a flow ignores every other message. Only flows that do ignore
-    something are measured again. ``early_close="off"`` applies everything.
+    something are measured again. ``early_close="off"`` applies everything. ``events`` should be a
+    staged table: it is read several times.
     """
     if early_close not in ("toggle", "off"):
         raise ValueError(f"early_close must be 'toggle' or 'off', not {early_close!r}")
@@ -90,6 +91,8 @@ def close_early(
     closed = points.where("closed_at is not null").select(*_FLOW, "closed_at")
     ignored = progress.join(closed, _FLOW).where("n > closed_at and (n - closed_at) % 2 = 1")
     ignored = staged(ignored.select(*_MESSAGE), "ignored")
+    if ignored.isEmpty():
+        return events, progress, points
     applied = events.join(ignored, _MESSAGE, "left_anti")
     shortened = ignored.select(*_FLOW).distinct()
     # Staged so that the next windows do not inherit the join's partitioning by flow.

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.columns import packet_bytes, words
+from tracelake.functions.columns import WORD_DELIMITERS, packet_bytes
 from tracelake.functions.scan import CHUNK_ROWS, Running, chunk_of, hot_keys, running
 
 
@@ -49,7 +49,8 @@ def port_traffic_text(packets: DataFrame) -> DataFrame:
 
 def word_count(lines: DataFrame, text: str = "value") -> DataFrame:
     """A-6: occurrences of every whitespace token, case kept."""
-    return lines.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    pieces = lines.select(F.explode(F.split(F.col(text), WORD_DELIMITERS)).alias("word"))
+    return pieces.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def ipv4_totals(packets: DataFrame) -> DataFrame:

@@ -38,5 +38,6 @@ def socket_performance(
     matched = handshake_table(messages, scope, chunk_rows)
     flows = hs.last_handshakes(matched)
     assigned = staged(assign_messages(in_scope(messages, scope, chunk_rows), matched, chunk_rows), "assigned")
-    events, progress, points = close_early(flow_events(assigned, flows), early_close, chunk_rows)
+    events = staged(flow_events(assigned, flows), "events")
+    events, progress, points = close_early(events, early_close, chunk_rows)
     return SocketPerformance(flows, segments(events, progress), flow_stats(flows, progress, points))

@@ -16,9 +16,10 @@ from checks.standins import table
 from tracelake.functions.staging import new_path
 from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals, port_traffic
 from tracelake.plans.socket_performance import socket_performance
-from tracelake.sources.captures import ingest_packets, read_pcap
+from tracelake.plans.ingest import ingest_messages, ingest_packets
+from tracelake.sources.captures import read_pcap
 from tracelake.sources.reassembly import MESSAGE_SHIFT, length_prefixed, reassemble_messages
-from tracelake.sources.wire import ElementNames, classify_messages, package_length, parse_messages
+from tracelake.sources.wire import ElementNames
 from tracelake.functions.scan import CHUNK_ROWS
 
 SEGMENT = 100
@@ -122,9 +123,7 @@ def lineitem_captures(spark: SparkSession, folder: str) -> DataFrame:
 
 def pcap_ingest(spark, folder):
     """Captures decoded once into a table; the columns that do not depend on the partitions."""
-    target = new_path(spark, "packets")
-    ingest_packets(spark, write_lineitem_captures(spark, folder), target)
-    packets = spark.read.parquet(target)
+    packets = ingest_packets(spark, write_lineitem_captures(spark, folder), new_path(spark, "packets"))
     return packets.select(
         "ip_version", F.when(F.col("ip_version") == 4, F.col("ip_src")).alias("ip_src"), "ip_header_len",
         "ip_payload_len", "ip_total_len", "wire_len", "l4", "src_port", "dst_port", "tcp_seq", "tcp_payload_len", "ts_ms",
@@ -221,7 +220,7 @@ def _advertisement(tag: str, pipe: Column) -> Column:
 
 
 def event_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """Events sent as socket messages over TCP, written as captures and read back with their payload."""
+    """Events sent as socket messages over TCP, written as captures and ingested with their payload."""
     user = F.col("user_id").cast("string")
     data_pipe, ack_pipe = F.concat(F.lit("d"), user), F.concat(F.lit("a"), user)
     count = F.get_json_object("props", "$.k")
@@ -241,11 +240,12 @@ def event_captures(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(4), F.lit(6), F.col("user_id") % (1 << 31), F.lit(1), tcp(F.lit(1000), F.lit(9701), F.col("piece"), F.col("payload"))
     )
     packets = cut.select("event_id", "user_id", "piece", "us", frame.alias("frame"))
-    return read_pcap(spark, write_captures(packets, "user_id", ["event_id", "piece"]), payload=True)
+    captures = write_captures(packets, "user_id", ["event_id", "piece"])
+    return ingest_packets(spark, captures, new_path(spark, "packets"), payload=True)
 
 
 def captured_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return classify_messages(parse_messages(reassemble_messages(event_captures(spark, folder), package_length)))
+    return ingest_messages(event_captures(spark, folder), new_path(spark, "messages"))
 
 
 def capture_messages(spark, folder):

@@ -168,15 +168,15 @@ WITH p AS (
 SELECT CASE WHEN v4 THEN 4 ELSE 6 END AS ip_version,
        CASE WHEN v4 THEN ((l_orderkey >> 24) & 255) || '.' || ((l_orderkey >> 16) & 255) || '.'
                          || ((l_orderkey >> 8) & 255) || '.' || (l_orderkey & 255) END AS ip_src,
-       CASE WHEN v4 THEN 20 ELSE 40 END AS ip_header_len, l4_header + qty AS ip_payload_len,
-       CASE WHEN v4 THEN 20 ELSE 40 END + l4_header + qty AS ip_total_len,
-       14 + CASE WHEN v4 THEN 20 ELSE 40 END + l4_header + qty AS wire_len,
+       CASE WHEN v4 THEN 20 ELSE 40 END AS ip_header_len, CAST(l4_header + qty AS INTEGER) AS ip_payload_len,
+       CAST(CASE WHEN v4 THEN 20 ELSE 40 END + l4_header + qty AS INTEGER) AS ip_total_len,
+       CAST(14 + CASE WHEN v4 THEN 20 ELSE 40 END + l4_header + qty AS INTEGER) AS wire_len,
        CASE flag WHEN 'A' THEN 'tcp' WHEN 'N' THEN 'udp' END AS l4,
        CASE WHEN flag IN ('A', 'N') THEN l_linenumber END AS src_port,
-       CASE flag WHEN 'A' THEN l_suppkey % 65536 WHEN 'N' THEN l_partkey % 65536 END AS dst_port,
+       CAST(CASE flag WHEN 'A' THEN l_suppkey % 65536 WHEN 'N' THEN l_partkey % 65536 END AS INTEGER) AS dst_port,
        CASE flag WHEN 'A' THEN l_orderkey % 65536 END AS tcp_seq,
-       CASE flag WHEN 'A' THEN qty END AS tcp_payload_len,
-       1000 AS ts_ms
+       CAST(CASE flag WHEN 'A' THEN qty END AS INTEGER) AS tcp_payload_len,
+       CAST(1000 AS BIGINT) AS ts_ms
 FROM p""",
     "capture_frame_count": "SELECT 'frameNum' AS label, count(*) AS frames FROM lineitem",
     "capture_payload_totals": _CAPTURED
@@ -186,7 +186,7 @@ FROM packets WHERE flag = 'A'
 UNION ALL SELECT 'payloadLen', CAST(sum(qty) AS BIGINT) FROM packets WHERE flag = 'A'""",
     "capture_port_traffic": _CAPTURED
     + """
-SELECT dst_port, CAST(sum(20 + l4_header + qty) AS BIGINT) AS bytes, count(*) AS packets
+SELECT CAST(dst_port AS INTEGER) AS dst_port, CAST(sum(20 + l4_header + qty) AS BIGINT) AS bytes, count(*) AS packets
 FROM packets WHERE v4 AND dst_port IS NOT NULL GROUP BY dst_port ORDER BY dst_port""",
     "capture_ipv4_totals": _CAPTURED
     + "SELECT CAST(sum(20 + l4_header + qty) AS BIGINT) AS bytes, count(*) AS packets FROM packets WHERE v4",

@@ -7,7 +7,8 @@ import pytest
 
 from tests.captures import capture, cooked, ethernet, ipv4, ipv6, tcp, udp
 from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals, port_traffic, port_traffic_text
-from tracelake.sources.captures import index_captures, ingest_packets, read_pcap
+from tracelake.plans.ingest import ingest_packets
+from tracelake.sources.captures import index_captures, read_pcap
 
 ICMP = b"\x08\0\0\0\0\0\0\0"
 
@@ -55,8 +56,7 @@ def test_flat_aggregates(spark, two_traces, tmp_path):
     assert [r.port for r in port_traffic_text(packets).collect()] == ["443", "67"]
     totals = {r.trace_file[-2:]: (r.bytes, r.packets) for r in ipv4_totals(packets).collect()}
     assert totals == {"/a": (440, 3), "/b": (1500, 1)}
-    ingest_packets(spark, two_traces, str(tmp_path / "packets"))
-    stored = spark.read.parquet(str(tmp_path / "packets"))
+    stored = ingest_packets(spark, two_traces, str(tmp_path / "packets"))
     assert [tuple(r) for r in port_traffic(stored).collect()] == [(67, 328, 1), (443, 1584, 2)]
 
 

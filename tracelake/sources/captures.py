@@ -171,8 +171,3 @@ def read_pcap(
     tasks = max(1, min(busy.count(), MOST_TASKS))
     packets = busy.repartition(tasks).mapInArrow(_decode(payload), PACKETS)
     return packets.withColumn("ts", F.timestamp_micros("ts_us"))
-
-
-def ingest_packets(spark: SparkSession, source: str, target: str, **options) -> None:
-    """SRC-2: decode captures once into a Parquet table; later queries prune its columns and rows."""
-    read_pcap(spark, source, **options).write.mode("errorifexists").parquet(target)

@@ -124,7 +124,7 @@ segs AS (
 stats AS (
   SELECT scope, flow, any_value(f.ack_pipe) AS ack_pipe, any_value(f.req_ms) AS req_ms, any_value(f.rem_ms) AS rem_ms,
          CAST(sum(CAST(what = 'tx' AS INTEGER)) AS BIGINT) AS blocks, CAST(sum(fresh) AS BIGINT) AS acks,
-         CAST(max(expected) AS INTEGER) AS expected,
+         CAST(max(expected) AS BIGINT) AS expected,
          min(CASE WHEN side = 'data' THEN ms END) AS start_ms, max(CASE WHEN side = 'data' THEN ms END) AS end_ms,
          CAST(sum(size) AS BIGINT) AS payload_bytes,
          any_value(p.data_at) IS NOT NULL AS data_complete, any_value(p.ack_at) IS NOT NULL AS ack_complete

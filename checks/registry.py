@@ -11,7 +11,8 @@ from tracelake.operators.ordering import in_scope
 from tracelake.operators.routing import assign_messages, message_events
 from tracelake.operators import segments as sg
 from tracelake.plans.socket_performance import SocketPerformance, handshake_table, socket_performance
-from tracelake.sinks.tables import read_by_key, read_report, write_by_key, write_report
+from tracelake.sinks.tables import read_by_key, write_by_key, write_report
+from tracelake.sources.text import read_lines
 from tracelake.functions.columns import pair_text, pair_values
 from tracelake.functions.staging import new_path, staged
 
@@ -37,7 +38,7 @@ def port_report(spark, folder):
     """The space-separated report, written and read back."""
     path = new_path(spark, "port-report")
     write_report(traffic.port_traffic(standins.lineitem_packets(spark, folder)), path)
-    lines = read_report(spark, path)
+    lines = read_lines(spark, path)
     size, packets = pair_values(F.substring_index("value", " ", -2))
     port = F.substring_index("value", " ", 1).cast("bigint")
     return lines.select(port.alias("dst_port"), size.alias("bytes"), packets.alias("packets"))

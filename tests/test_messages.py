@@ -8,7 +8,7 @@ import pytest
 from tests.captures import capture, ethernet, ipv4, tcp
 from tracelake.schemas import PACKETS
 from tracelake.sources.captures import read_pcap
-from tracelake.sources.reassembly import length_prefixed, reassemble_messages
+from tracelake.sources.reassembly import length_prefixed, reassemble, reassemble_messages
 from tracelake.sources.wire import classify_messages, message_elements, package_length, parse_messages
 
 FIELDS = ("trace_file", "frame_no", "ts_ms", "ip_src", "ip_dst", "l4", "src_port", "dst_port", "tcp_seq", "payload")
@@ -31,7 +31,7 @@ def packet_table(spark, packets):
 
 
 def by_hand(packets, most=None):
-    """Messages of each flow, walking the packets one at a time."""
+    """Messages of each flow and bytes left over, walking the packets one at a time."""
     waiting, found = {}, []
     for trace, no, ms, src, dst, _, sport, dport, seq, payload in packets:
         flow = (trace, src, sport, dst, dport)
@@ -48,7 +48,7 @@ def by_hand(packets, most=None):
                 size = 3 + int.from_bytes(data[1:3], "big")
                 found.append((*flow, (no << 16) + place, parts[min(parts)], parts[max(parts)], data[:size]))
                 data, parts, place = data[size:], {seq: ms}, place + 1
-    return sorted(found)
+    return sorted(found), {flow: len(held) for flow, (held, _) in waiting.items()}
 
 
 def random_packets(rng, count, flows):
@@ -70,8 +70,10 @@ def random_packets(rng, count, flows):
 @pytest.mark.parametrize("chunk_rows, most", [(1 << 20, None), (1 << 20, 3), (60, None), (25, 3)])
 def test_reassembly_matches_a_plain_walk(spark, chunk_rows, most):
     packets = random_packets(random.Random(chunk_rows), 200, 4)
-    found = reassemble_messages(packet_table(spark, packets), marked, most, chunk_rows)
-    assert sorted(tuple(r[:-1]) + (bytes(r[-1]),) for r in found.collect()) == by_hand(packets, most)
+    found = reassemble(packet_table(spark, packets), marked, most, chunk_rows)
+    whole, left = by_hand(packets, most)
+    assert sorted(tuple(r[:-1]) + (bytes(r[-1]),) for r in found.messages.collect()) == whole
+    assert {tuple(r[:-1]): r.bytes for r in found.unfinished.collect()} == left
 
 
 def test_length_prefix():
@@ -127,7 +129,7 @@ def test_capture_to_messages(spark, tmp_path):
     sent = [
         package(router("a1"), advertisement("reqPipe", "urn:a1")),
         package(router("urn:a1"), advertisement("remPipe", "urn:d1")),
-        package(router("urn:d1"), element(1, "1", b"x" * 300, BLOCK), element(1, "2", b"yy", BLOCK)),
+        package(router("urn:d1"), element(1, "1", b"x" * 300, BLOCK), element(1, "2", b"yy", BLOCK), element(1, "oops", b"", BLOCK)),
         package(router("urn:a1"), element(1, "jxta-reliable-ack", struct.pack(">iii", 1, 2, -7) + b"\0")),
         package(router("urn:d1"), element(2, "close", b"")),
         package(router("urn:d1"), element(1, "chat", b"something else")),

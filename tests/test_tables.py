@@ -11,7 +11,8 @@ from tracelake.functions.staging import shared_folder
 from tracelake.operators.metrics import metric_sizes, rebase_time
 from tracelake.operators.traffic import ipv4_cardinalities, word_count
 from tracelake.schemas import METRICS
-from tracelake.sinks.tables import read_by_key, read_report, write_by_key, write_report, write_tab
+from tracelake.sinks.tables import read_by_key, write_by_key, write_report, write_tab
+from tracelake.sources.text import read_lines
 
 
 def lines(path):
@@ -26,7 +27,7 @@ def test_reports(spark, tmp_path):
     ports = spark.createDataFrame([(443, 482225092, 361424), (67, 1312, 4)], "port int, bytes bigint, packets bigint")
     write_report(ports, str(tmp_path / "report"))
     assert lines(tmp_path / "report") == ["443 482225092 361424", "67 1312 4"]
-    assert read_report(spark, str(tmp_path / "report")).count() == 2
+    assert read_lines(spark, str(tmp_path / "report")).count() == 2
     write_tab(ports.select("port", pair_text(F.col("bytes"), F.col("packets"))), str(tmp_path / "tab"))
     assert lines(tmp_path / "tab") == ["443\t482225092 361424", "67\t1312 4"]
     with pytest.raises(AnalysisException):
@@ -64,8 +65,10 @@ def test_text_columns(spark):
     assert (one(spark, first), one(spark, second)) == (12, None)
 
 
-def test_word_count(spark):
-    text = spark.createDataFrame([("to be or\tnot",), ("To be",), ("",)], "value string")
+def test_word_count(spark, tmp_path):
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a").write_text("to be or\tnot\nTo be\n\n")
+    text = read_lines(spark, str(tmp_path / "lines"))
     assert {tuple(r) for r in word_count(text).collect()} == {("to", 1), ("be", 2), ("or", 1), ("not", 1), ("To", 1)}
 
 

@@ -34,14 +34,14 @@ def assign_messages(messages: DataFrame, handshakes: DataFrame, chunk_rows: int
             F.col("data_pipe").alias("pipe"), F.col("rem_pos").alias("rem"), F.col("kept").isNotNull().alias("kept")
         ).alias("flow"),
     )
-    data_marks = opened.select(
-        "scope", F.col("flow.pipe").alias("pipe"), "pos", "chunk", F.col("flow").alias("data_mark")
-    )
-    ack_marks = opened.select("scope", F.col("ack_pipe").alias("pipe"), "pos", "chunk", F.col("flow").alias("ack_mark"))
+    none = F.when(F.lit(False), F.col("flow"))
+    on_data = F.struct(F.col("flow.pipe").alias("pipe"), F.col("flow").alias("data_mark"), none.alias("ack_mark"))
+    on_ack = F.struct(F.col("ack_pipe").alias("pipe"), none.alias("data_mark"), F.col("flow").alias("ack_mark"))
+    marks = opened.select("scope", "pos", "chunk", F.inline(F.array(on_data, on_ack)))
     moved = messages.where("kind in ('data', 'ack', 'close') and pipe_id is not null").select(
         "scope", F.col("pipe_id").alias("pipe"), "pos", "chunk", *_MESSAGE
     )
-    line = moved.unionByName(data_marks, True).unionByName(ack_marks, True)
+    line = moved.unionByName(marks, True)
     seen = running(
         line,
         ["scope", "pipe"],
@@ -159,6 +159,8 @@ def message_events(applied: DataFrame) -> DataFrame:
         F.posexplode_outer(numbers).alias("item", "seq"),
     )
     what = F.when(F.col("seq").isNull(), "none").when(F.col("side") == "data", "tx").otherwise("ack")
+    below = (F.col("side") == "data") & (F.col("seq") < 0)
+    number = F.when(below, F.raise_error("block numbers are 0 or more").cast("int")).otherwise(F.col("seq"))
     return listed.withColumn("what", what).withColumns(
-        {"item": F.coalesce("item", F.lit(0)), "seq": F.coalesce("seq", F.lit(-1))}
+        {"item": F.coalesce("item", F.lit(0)), "seq": F.coalesce(number, F.lit(-1))}
     )

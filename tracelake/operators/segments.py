@@ -34,7 +34,7 @@ def flow_progress(events: DataFrame, hot: HotKeys) -> DataFrame:
     messages = ordered.groupBy(*_MESSAGE, "chunk").agg(
         F.count_if(F.col("what") == "tx").alias("sent"),
         F.count_if(first_ack).alias("acked"),
-        F.max(F.when(F.col("what") == "tx", F.col("seq") + EXPECTED_MARGIN)).alias("needs"),
+        F.max(F.when(F.col("what") == "tx", F.col("seq").cast("bigint") + EXPECTED_MARGIN)).alias("needs"),
         F.max("payload_bytes").alias("payload_bytes"),
         F.min(F.when(on_data, F.col("first_ms"))).alias("first_ms"),
         F.max(F.when(on_data, F.col("last_ms"))).alias("last_ms"),

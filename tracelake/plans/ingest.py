@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.functions.scan import CHUNK_ROWS
 from tracelake.sources.captures import SPLIT_BYTES, read_pcap
-from tracelake.sources.reassembly import Measure, reassemble_messages
+from tracelake.sources.reassembly import Measure, reassemble
 from tracelake.sources.wire import ElementNames, classify_messages, package_length, parse_messages
 
 
@@ -31,7 +31,7 @@ def ingest_messages(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """SRC-6, SRC-7: write the socket messages of a ``packets`` table with payload, and read them."""
-    whole = reassemble_messages(packets, measure, max_messages_per_packet, chunk_rows)
+    whole = reassemble(packets, measure, max_messages_per_packet, chunk_rows).messages
     messages = classify_messages(parse_messages(whole), names)
     messages.write.mode("errorifexists").parquet(target)
     return packets.sparkSession.read.schema(messages.schema).parquet(target)

@@ -15,11 +15,6 @@ def write_report(df: DataFrame, path: str) -> None:
     df.select(line.alias("value")).write.mode("errorifexists").text(path)
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-5: the lines of a text file or folder."""
-    return spark.read.text(path)
-
-
 def write_by_key(df: DataFrame, path: str, key: Column, name: str = "folder", sep: str = " ") -> None:
     """SNK-3, SNK-4, SNK-5: one folder per value of ``key``, any column expression.
 

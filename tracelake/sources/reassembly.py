@@ -8,6 +8,7 @@ left, until every chunk was given just that; as a rule one more walk does it.
 """
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -160,12 +161,25 @@ def _pieces(packets: DataFrame, hot: HotKeys, chunk_rows: int) -> DataFrame:
     )
 
 
-def reassemble_messages(
+@dataclass(frozen=True)
+class Reassembled:
+    """``messages``: one row per whole message. ``unfinished``: flows that end inside a message."""
+
+    messages: DataFrame
+    unfinished: DataFrame
+
+
+def reassemble_messages(packets: DataFrame, measure: Measure, **options) -> DataFrame:
+    """The ``messages`` of ``reassemble``."""
+    return reassemble(packets, measure, **options).messages
+
+
+def reassemble(
     packets: DataFrame,
     measure: Measure,
     max_messages_per_packet: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
+) -> Reassembled:
     """SRC-6, PRJ-12, PRJ-13, SO-4: the whole messages in the TCP payload, one row each.
 
     ``packets`` need their ``payload``. Payload is appended in capture order, without reordering and
@@ -183,19 +197,22 @@ def reassemble_messages(
         return staged(lines.mapInArrow(_walker(measure, max_messages_per_packet, guess), _OUT), "messages")
 
     found = walked(pieces, True)
-    messages = found.where("what = 'message'")
+    messages, ends = found.where("what = 'message'"), found.where("what = 'tail' and chunk is null")
     if hot.table is not None:
-        messages = _mend(found, pieces, walked)
-    return messages.select(
+        messages, last = _mend(found, pieces, walked)
+        ends = ends.select(*FLOW, "body").unionByName(last)
+    messages = messages.select(
         *FLOW,
         (F.shiftleft("frame_no", MESSAGE_SHIFT) + F.col("place")).alias("msg_no"),
         "first_ms",
         "last_ms",
         F.col("body").alias("message"),
     )
+    waiting = ends.where("body is not null").select(*FLOW, F.length("body").alias("bytes"))
+    return Reassembled(messages, waiting)
 
 
-def _mend(found: DataFrame, pieces: DataFrame, walked: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+def _mend(found: DataFrame, pieces: DataFrame, walked: Callable[[DataFrame, bool], DataFrame]):
     """Walk chunks again until each was given the unfinished message that its predecessor left."""
     nothing = F.struct(*[F.col(c) for c in _TAIL])
     left = nothing.alias("left")
@@ -237,7 +254,8 @@ def _mend(found: DataFrame, pieces: DataFrame, walked: Callable[[DataFrame, bool
         messages = messages.unionByName(more)
     for old in replaced:
         messages = messages.join(old, [*_PIECE, "round"], "left_anti")
-    return messages.where("what = 'message'")
+    last = ends.groupBy(*FLOW).agg(F.max_by("left", "chunk")["body"].alias("body"))
+    return messages.where("what = 'message'"), last
 
 
 def length_prefixed(start: bytes) -> int | None:

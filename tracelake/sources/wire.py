@@ -148,14 +148,15 @@ def int32_list(content: Column) -> Column:
 
 
 def _tag_text(content: Column, tag: str) -> Column:
-    return F.regexp_extract(F.decode(content, "UTF-8"), rf"<(?:\w+:)?{tag}\b[^>]*>\s*([^<\s]+)\s*</", 1)
+    return F.regexp_extract(content.cast("string"), rf"<(?:\w+:)?{tag}\b[^>]*>\s*([^<\s]+)\s*</", 1)
 
 
 def classify_messages(parsed: DataFrame, names: ElementNames = ElementNames()) -> DataFrame:
     """SRC-7: the ``messages`` rows; the first kind that matches wins, other messages are left out.
 
     ``pipe_id`` is the service parameter of the destination address, ``adv_pipe_id`` the identifier in
-    the pipe advertisement of a request or response.
+    the pipe advertisement of a request or response. Block names that are no number of 0 or more are
+    left out.
     """
 
     def element(match) -> Column:
@@ -185,6 +186,7 @@ def classify_messages(parsed: DataFrame, names: ElementNames = ElementNames()) -
     )
     advertisement = F.when(F.col("kind").isin("req", "rem"), F.coalesce("req", "rem"))
     nothing = F.array().cast("array<int>")
+    numbers = F.filter(F.transform("blocks", lambda e: e["name"].try_cast("int")), lambda n: n >= 0)
     sizes = F.transform("blocks", lambda e: F.length(e["content"]).cast("bigint"))
     return (
         with_elements.withColumn("kind", kind)
@@ -202,7 +204,7 @@ def classify_messages(parsed: DataFrame, names: ElementNames = ElementNames()) -
             F.aggregate(F.coalesce(sizes, F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, b: a + b).alias(
                 "payload_bytes"
             ),
-            F.when(F.col("kind") == "data", F.transform("blocks", lambda e: e["name"].cast("int")))
+            F.when(F.col("kind") == "data", numbers)
             .otherwise(nothing)
             .alias("seqs"),
             F.when(F.col("kind") == "ack", int32_list(F.col("ack"))).otherwise(nothing).alias("acks"),

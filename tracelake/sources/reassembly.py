@@ -10,7 +10,9 @@ left, until every chunk was given just that; as a rule one more walk does it.
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,23 @@ def _guess(seen: bytes, measure: Measure) -> tuple[int | None, int]:
     return None, len(seen)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The packets of each run of equal keys, without the key columns, and the key."""
+    width = len(_PIECE)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changes = np.zeros(batch.num_rows - 1, bool)
+        for column in batch.columns[:width]:
+            one, other = column[1:], column[:-1]
+            differ = pc.or_(pc.fill_null(pc.not_equal(one, other), False), pc.xor(one.is_null(), other.is_null()))
+            changes |= differ.to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        values = batch.select(range(width, batch.num_columns))
+        for start, stop in zip(starts, starts[1:]):
+            yield values.slice(start, stop - start), [c[start].as_py() for c in batch.columns[:width]]
+
+
 def _walker(measure: Measure, most: int | None, guess: bool):
     """Walk sorted partitions; one output row per message and per chunk's end.
 
@@ -105,13 +124,13 @@ def _walker(measure: Measure, most: int | None, guess: bool):
             left = tail or _Unfinished(b"", None, None, None, None)
             rows.append((*key, *left.row("tail", None, skipped, bytes(left.body) if tail else None)))
 
-        for batch in batches:
-            for *flow, frame_no, seq, ms, payload, low, first in zip(*[c.to_pylist() for c in batch.columns]):
-                if flow != key:
-                    if key is not None:
-                        ended()
-                    key, tail, skipped = flow, None, 0
-                    seen = b"" if guess and flow[-1] is not None else None
+        for batch, flow in _runs(batches):
+            if flow != key:
+                if key is not None:
+                    ended()
+                key, tail, skipped = flow, None, 0
+                seen = b"" if guess and flow[-1] is not None else None
+            for frame_no, seq, ms, payload, low, first in zip(*[c.to_pylist() for c in batch.columns]):
                 if low is not None:  # what the chunk before left unfinished
                     tail = _Unfinished(payload, low, first, seq, ms)
                     continue

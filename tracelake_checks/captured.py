@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.standins import table
+from tracelake_checks.standins import table
 from tracelake.functions.staging import new_path
 from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals, port_traffic
 from tracelake.plans.socket_performance import socket_performance

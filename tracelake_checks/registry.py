@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import standins
+from tracelake_checks import standins
 from tracelake.operators import handshakes as hs
 from tracelake.operators import metrics as mt
 from tracelake.operators import traffic

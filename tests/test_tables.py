@@ -1,6 +1,7 @@
 """Sinks and scalar expressions."""
 
 import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -91,3 +92,13 @@ def test_cardinalities(spark):
 
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_only_a_local_session_may_leave_the_shared_folder_unset():
+    def session(master):
+        context = SimpleNamespace(master=master, applicationId="app")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("yarn"))

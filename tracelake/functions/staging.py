@@ -4,6 +4,7 @@ They go to the shared folder that ``spark.checkpoint.dir`` names, below one fold
 and outlive lost executors. The folder can be dropped when the application has ended.
 """
 
+import functools
 import tempfile
 import uuid
 
@@ -12,14 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tracelake-{application}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables."""
     root = spark.conf.get(_SETTING, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set(_SETTING, root)
+        root = _local_folder(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/tracelake/{spark.sparkContext.applicationId}"
 
 

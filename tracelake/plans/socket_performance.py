@@ -26,18 +26,26 @@ class SocketPerformance:
         return socket_metrics(self.flows, self.segments)
 
 
-def handshake_table(messages: DataFrame, scope: str = "trace", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """All matched handshakes, staged: later steps read them several times."""
-    return staged(hs.match_handshakes(in_scope(messages, scope, chunk_rows), chunk_rows), "handshakes")
+def handshake_table(ordered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """All matched handshakes of messages from ``in_scope``, staged: later steps read them several times."""
+    return staged(hs.match_handshakes(ordered, chunk_rows), "handshakes")
 
 
 def socket_performance(
-    messages: DataFrame, scope: str = "trace", early_close: str = "toggle", chunk_rows: int = CHUNK_ROWS
+    messages: DataFrame,
+    scope: str = "trace",
+    early_close: str = "toggle",
+    chunk_rows: int = CHUNK_ROWS,
+    number_step: int = 1,
 ) -> SocketPerformance:
-    """Flows, segments and statistics of a ``messages`` table."""
-    matched = handshake_table(messages, scope, chunk_rows)
+    """Flows, segments and statistics of a ``messages`` table, which is read several times.
+
+    ``number_step``: the usual distance of two ``msg_no``, ``MESSAGE_STEP`` for reassembled messages.
+    """
+    ordered = in_scope(messages, scope, chunk_rows, number_step)
+    matched = handshake_table(ordered, chunk_rows)
     flows = hs.last_handshakes(matched)
-    assigned = staged(assign_messages(in_scope(messages, scope, chunk_rows), matched, chunk_rows), "assigned")
+    assigned = staged(assign_messages(ordered, matched, chunk_rows), "assigned")
     events = staged(flow_events(assigned, flows), "events")
     events, progress, points = close_early(events, early_close, chunk_rows)
     return SocketPerformance(flows, segments(events, progress), flow_stats(flows, progress, points))

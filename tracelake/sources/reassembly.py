@@ -20,8 +20,8 @@ from tracelake.functions.scan import BROADCAST_KEYS, CHUNK_ROWS, HotKeys, chunk_
 from tracelake.functions.staging import staged
 
 FLOW = ["trace_file", "ip_src", "src_port", "ip_dst", "dst_port"]
-# Messages that end in one packet are numbered below its frame number.
-MESSAGE_SHIFT = 16
+# Messages are numbered by the frame they end in times this, plus their place in it.
+MESSAGE_STEP = 1 << 16
 
 _PIECE = [*FLOW, "chunk"]
 _OUT = (
@@ -222,7 +222,7 @@ def reassemble(
         ends = ends.select(*FLOW, "body").unionByName(last)
     messages = messages.select(
         *FLOW,
-        (F.shiftleft("frame_no", MESSAGE_SHIFT) + F.col("place")).alias("msg_no"),
+        (F.col("frame_no") * MESSAGE_STEP + F.col("place")).alias("msg_no"),
         "first_ms",
         "last_ms",
         F.col("body").alias("message"),

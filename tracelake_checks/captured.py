@@ -18,9 +18,8 @@ from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals
 from tracelake.plans.socket_performance import socket_performance
 from tracelake.plans.ingest import ingest_messages, ingest_packets
 from tracelake.sources.captures import read_pcap
-from tracelake.sources.reassembly import MESSAGE_SHIFT, length_prefixed, reassemble_messages
+from tracelake.sources.reassembly import MESSAGE_STEP, length_prefixed, reassemble_messages
 from tracelake.sources.wire import ElementNames
-from tracelake.functions.scan import CHUNK_ROWS
 
 SEGMENT = 100
 
@@ -260,7 +259,7 @@ def capture_messages(spark, folder):
 def capture_metrics(spark, folder):
     """From capture files to the metric series."""
     messages = captured_messages(spark, folder)
-    return socket_performance(messages, chunk_rows=CHUNK_ROWS << MESSAGE_SHIFT).metrics()
+    return socket_performance(messages, number_step=MESSAGE_STEP).metrics()
 
 
 QUERIES = {

@@ -72,12 +72,12 @@ def orphan_requests(spark, folder):
 
 def orphan_counts(spark, folder):
     messages = in_scope(standins.event_messages(spark, folder))
-    return hs.orphan_counts(messages, handshake_table(standins.event_messages(spark, folder)))
+    return hs.orphan_counts(messages, handshake_table(messages))
 
 
 def assigned_messages(spark, folder):
-    messages = standins.event_messages(spark, folder)
-    assigned = assign_messages(in_scope(messages), handshake_table(messages))
+    messages = in_scope(standins.event_messages(spark, folder))
+    assigned = assign_messages(messages, handshake_table(messages))
     return assigned.select("scope", "pos", "kind", "pipe", "side", "flow", "flow_rem", "kept", "replay")
 
 

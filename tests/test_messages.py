@@ -6,7 +6,9 @@ import struct
 import pytest
 
 from tests.captures import capture, ethernet, ipv4, tcp
+from tracelake.functions import scan
 from tracelake.schemas import PACKETS
+from tracelake.sources import reassembly
 from tracelake.sources.captures import read_pcap
 from tracelake.sources.reassembly import length_prefixed, reassemble, reassemble_messages
 from tracelake.sources.wire import classify_messages, message_elements, package_length, parse_messages
@@ -67,8 +69,12 @@ def random_packets(rng, count, flows):
     return packets
 
 
-@pytest.mark.parametrize("chunk_rows, most", [(1 << 20, None), (1 << 20, 3), (60, None), (25, 3)])
-def test_reassembly_matches_a_plain_walk(spark, chunk_rows, most):
+@pytest.mark.parametrize(
+    "chunk_rows, most, broadcast_keys", [(1 << 20, None, 9), (1 << 20, 3, 9), (60, None, 9), (25, 3, 9), (60, None, 0)]
+)
+def test_reassembly_matches_a_plain_walk(spark, monkeypatch, chunk_rows, most, broadcast_keys):
+    monkeypatch.setattr(scan, "BROADCAST_KEYS", broadcast_keys)
+    monkeypatch.setattr(reassembly, "BROADCAST_KEYS", broadcast_keys)
     packets = random_packets(random.Random(chunk_rows), 200, 4)
     found = reassemble(packet_table(spark, packets), marked, most, chunk_rows)
     whole, left = by_hand(packets, most)

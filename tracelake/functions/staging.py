@@ -1,30 +1,17 @@
 """Intermediate tables written once and read back, so that later steps do not redo earlier ones.
 
-They go to the shared folder that ``spark.checkpoint.dir`` names, below one folder per application,
-and outlive lost executors. The folder can be dropped when the application has ended.
+They go to the shared folder that ``spark.checkpoint.dir`` names, or below the warehouse where that is unset, into one
+folder per application, and outlive lost executors. ``drop_staged`` removes that folder.
 """
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SETTING = "spark.checkpoint.dir"
-
-
-@functools.cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"tracelake-{application}-")
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for this application's intermediate tables."""
-    root = spark.conf.get(_SETTING, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-        root = _local_folder(spark.sparkContext.applicationId)
+    """Folder for this application's intermediate tables, on a file system that every executor reaches."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tracelake/{spark.sparkContext.applicationId}"
 
 
@@ -38,3 +25,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove every table this application has staged. DataFrames that still read one fail afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

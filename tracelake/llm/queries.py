@@ -1,15 +1,42 @@
 """The operators with their production parameters over whole tables: one query for each."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import sharding
+from tracelake.llm import mixing, packing, sharding
+
+# Fixed value: words are runs of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def word_count(text: str = "text") -> Column:
+    """Number of words; null for a null text."""
+    return F.regexp_count(F.col(text), F.lit(WORD))
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary of the installed public tokenizers; executors find it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources weighing 3, 1, 2, repeating, in blocks of 64 words over 16 shards."""
+    mixed = mixing.mix_sources(table(spark, folder, "documents"), word_count())
+    columns = ["doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"), "source"]
+    return mixing.taken(mixed).select(*columns)
+
+
+def op9_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as token ids in sequences of 1,024."""
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file())
+
+
 def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen shards by document key."""
     placed = sharding.shard_rows(table(spark, folder, "documents"), 16)
@@ -17,5 +44,7 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_mix_sources": op6_mix_sources,
+    "op9_pack_documents": op9_pack_documents,
     "op8_jump_shards": op8_jump_shards,
 }

@@ -7,6 +7,8 @@ arithmetic refuses, so a step is taken in decimals. All of it is one column expr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.numbering import running_before, runs_for
+
 # Fixed values of the published algorithm: the multiplier of the generator, and 2^31 and 2^33 that take its high bits.
 MULTIPLIER = 2862933555777941757
 HIGH = 1 << 31
@@ -75,21 +77,7 @@ def shard_rows(
         jump_hash(F.col(key), shards).alias("shard"),
         jump_hash(F.col(key), shards + 1).alias("grown_shard"),
     )
-    runs = max(1, -(-rows.count() // (rows_per_run * shards)))
-    numbered = placed.withColumn("run", F.pmod(F.coalesce("key", F.lit(0)), F.lit(runs)))
-    counts = numbered.groupBy("shard", "run").agg(F.count("*").alias("n"))
-    before = F.expr("coalesce(sum(n) over (partition by shard order by run rows between unbounded preceding and 1 preceding), 0)")
-    offsets = counts.select("shard", "run", before.alias("first"))
-    place = F.expr("row_number() over (partition by shard, run order by key)")
-    return (
-        numbered.withColumn("place", place)
-        .join(offsets, ["shard", "run"])
-        .select(
-            F.col("key").alias(key),
-            "size",
-            "text_crc32",
-            "shard",
-            (F.col("first") + F.col("place") - 1).cast("bigint").alias("slot"),
-            "grown_shard",
-        )
-    )
+    runs = runs_for(rows.count(), rows_per_run * shards)
+    run = F.pmod(F.coalesce("key", F.lit(0)), F.lit(runs))
+    numbered = running_before(placed, ["shard"], run, [F.col("key")], F.lit(1).cast("bigint"), "slot")
+    return numbered.select(F.col("key").alias(key), "size", "text_crc32", "shard", "slot", "grown_shard")

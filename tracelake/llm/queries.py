@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import mixing, packing, sharding
+from tracelake.llm import language, mixing, packing, sharding, toxicity
+from tracelake.llm.samples import remainder
 
 # Fixed value: words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +38,36 @@ def op9_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file())
 
 
+def language_model(documents: DataFrame) -> language.LanguageModel:
+    """Learned from the documents that are not held out."""
+    return language.fit_language_model(documents.where(remainder(F.col("doc_id"), 4) != 2))
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    documents = table(spark, folder, "documents")
+    found = language.language(language_model(documents), F.col("text"))
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    rows = documents.select("doc_id", held_out.alias("held_out"), found.alias("found"))
+    return rows.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.accepted")
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from the labels of documents that are not held out."""
+    return toxicity.fit_toxicity_model(labels.where(remainder(F.col("doc_id"), 3) != 1), documents)
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every document, learned from two thirds of the labels."""
+    documents = table(spark, folder, "documents")
+    model = toxicity_model(documents, table(spark, folder, "labels"))
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    scored = documents.select(
+        "doc_id", held_out.alias("held_out"), toxicity.toxicity(model, F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= model.threshold).cast("int"))
+
+
 def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen shards by document key."""
     placed = sharding.shard_rows(table(spark, folder, "documents"), 16)
@@ -45,6 +76,8 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op6_mix_sources": op6_mix_sources,
-    "op9_pack_documents": op9_pack_documents,
+    "op7_language": op7_language,
     "op8_jump_shards": op8_jump_shards,
+    "op9_pack_documents": op9_pack_documents,
+    "op10_toxicity": op10_toxicity,
 }

@@ -121,7 +121,6 @@ def mix_sources(
     shards: int = 16,
     seed: int = 20,
     max_sources: int = 100_000,
-    rows_per_run: int = 100_000,
     key: str = "doc_id",
     source: str = "source",
 ) -> DataFrame:
@@ -161,7 +160,7 @@ def mix_sources(
     numbered = sized.join(
         F.broadcast(known), sized["source"].eqNullSafe(known["source"]) if sources else F.lit(False)
     ).select("key", "size", sized["source"], "source_no", "source_size", "target")  # at most max_sources small rows
-    run = F.pmod(F.xxhash64("key"), F.lit(runs_for(sized.count(), rows_per_run)))
+    run = F.pmod(F.xxhash64("key"), F.lit(runs_for(sized.count())))
     laid = running_before(numbered, ["source_no"], run, [F.col("key"), F.col("size")], F.col("size"), "row")
 
     ends = F.col("row") + F.col("size")

@@ -1,5 +1,7 @@
 """Running sums inside large groups, without a task that holds a whole group."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,6 @@ def running_before(
     )
 
 
-def runs_for(rows: int, rows_per_run: int) -> int:
-    """Into how many runs a table of so many rows is cut."""
-    return max(1, -(-rows // rows_per_run))
+def runs_for(rows: int) -> int:
+    """Into how many runs a table is cut: as many as a run of one group then has rows at most."""
+    return max(1, math.isqrt(rows))

@@ -32,7 +32,7 @@ WITH
         lambda c, x: xor(c >> 8, ({_CRC_TABLE}::bigint[])[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
       {_jump(16)} AS shard, {_jump(17)} AS grown_shard
     FROM content),
-  runs AS (SELECT greatest(1, (count(*) + 1599999) // 1600000) AS n FROM documents)
+  runs AS (SELECT greatest(1, floor(sqrt(count(*)))::bigint) AS n FROM documents)
 SELECT doc_id, size::bigint AS size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY (doc_id % n + n) % n, doc_id) - 1 AS slot, grown_shard
 FROM placed, runs

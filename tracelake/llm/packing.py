@@ -205,7 +205,7 @@ def pack_lengths(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, rows_per_run: int = 100_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` with sequence_id and offset. They hold length (1 to ``capacity``), doc_id, copy and piece, and are staged.
 
     What goes through the driver is one count for each length, and what comes back is a plan of a few rows for each.
@@ -213,7 +213,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, rows_per_run: int = 100_000) -
     spark = pieces.sparkSession
     counts = {row["length"]: row["n"] for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = pack_lengths(counts, capacity)
-    run = F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(runs_for(sum(counts.values()), rows_per_run)))
+    run = F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(runs_for(sum(counts.values()))))
     order = [F.col("doc_id"), F.col("copy"), F.col("piece")]
     ranked = running_before(pieces, ["length"], run, order, F.lit(1).cast("bigint"), "rank")
 
@@ -242,7 +242,6 @@ def pack_documents(
     capacity: int = 1024,
     key: str = "doc_id",
     text: str = "text",
-    rows_per_run: int = 100_000,
 ) -> DataFrame:
     """Every piece with its sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -254,7 +253,7 @@ def pack_documents(
       gives an empty result.
     """
     pieces = staged(cut_documents(documents, tokenizer, end_id, capacity, key, text), "pack-pieces")
-    return pack_pieces(pieces, capacity, rows_per_run).select(
+    return pack_pieces(pieces, capacity).select(
         F.col("doc_id").alias(key),
         "piece",
         "start",

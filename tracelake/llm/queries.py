@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import language, mixing, packing, sharding, toxicity
+from tracelake.llm import language, mixing, packing, quality, sharding, toxicity
 from tracelake.llm.samples import remainder
 
 # Fixed value: words are runs of characters other than ASCII white space.
@@ -26,6 +26,18 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and the likelihood ratio of every document; documents labelled as good are the trusted text."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    good = table(spark, folder, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    marked = documents.join(good.withColumn("good", F.lit(True)), "doc_id", "left")
+    model = quality.fit_ratio_model(marked, F.col("good"))
+    assessed = documents.select("doc_id", quality.assess(model, F.col("text")).alias("found"))
+    found = F.col("found")
+    failed, stays = quality.base_failed(found).alias("base_failed"), quality.kept(model, found).alias("kept")
+    return assessed.select("doc_id", *(found[x].alias(x) for x in quality.MEASURES), failed, stays, found["ratio"].alias("ratio"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Sources weighing 3, 1, 2, repeating, in blocks of 64 words over 16 shards."""
     mixed = mixing.mix_sources(table(spark, folder, "documents"), word_count())
@@ -75,6 +87,7 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op6_mix_sources": op6_mix_sources,
     "op7_language": op7_language,
     "op8_jump_shards": op8_jump_shards,

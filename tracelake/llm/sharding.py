@@ -57,13 +57,12 @@ def shard_rows(
     shards: int,
     key: str = "doc_id",
     text: str = "text",
-    rows_per_run: int = 100_000,
 ) -> DataFrame:
     """Shard and place of every row: key, size, text_crc32, shard, slot, grown_shard.
 
     - size: UTF-8 bytes of the text plus 1 (null text: 1); text_crc32: unsigned, 0 for an empty or null text.
-    - slot: the row's place in its shard, gapless from 0. A shard is numbered in runs of about ``rows_per_run`` rows
-      (run: key modulo their number), in the order of run and key, so no task ever holds a shard. Rows with the same
+    - slot: the row's place in its shard, gapless from 0. A shard is numbered in as many runs as the square
+      root of the table's rows (run: key modulo their number), in the order of run and key, so no task holds a shard. Rows with the same
       key share a shard and take neighbouring slots in any order.
     - grown_shard: the shard if there were one more.
     - A null key counts as 0 and comes first in its run. Other columns of ``rows`` play no part, whatever their names.
@@ -77,7 +76,7 @@ def shard_rows(
         jump_hash(F.col(key), shards).alias("shard"),
         jump_hash(F.col(key), shards + 1).alias("grown_shard"),
     )
-    runs = runs_for(rows.count(), rows_per_run * shards)
+    runs = runs_for(rows.count())
     run = F.pmod(F.coalesce("key", F.lit(0)), F.lit(runs))
     numbered = running_before(placed, ["shard"], run, [F.col("key")], F.lit(1).cast("bigint"), "slot")
     return numbered.select(F.col("key").alias(key), "size", "text_crc32", "shard", "slot", "grown_shard")

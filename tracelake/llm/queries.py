@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import language, mixing, packing, quality, sharding, toxicity
+from tracelake.llm import jaccard, language, mixing, packing, quality, sharding, toxicity
 from tracelake.llm.samples import remainder
 
 # Fixed value: words are runs of characters other than ASCII white space.
@@ -38,6 +38,11 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return assessed.select("doc_id", *(found[x].alias(x) for x in quality.MEASURES), failed, stays, found["ratio"].alias("ratio"))
 
 
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents connected by 85 percent of their four-word shingles."""
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Sources weighing 3, 1, 2, repeating, in blocks of 64 words over 16 shards."""
     mixed = mixing.mix_sources(table(spark, folder, "documents"), word_count())
@@ -88,6 +93,7 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op4_jaccard": op4_jaccard,
     "op6_mix_sources": op6_mix_sources,
     "op7_language": op7_language,
     "op8_jump_shards": op8_jump_shards,

@@ -255,24 +255,9 @@ def _strays(large: DataFrame, joined: DataFrame, columns: list, size: int, perce
     return _joined(passive.select(*columns).union(active.select(*columns)), size, percent)
 
 
-def jaccard_components(
-    documents: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
-
-    Two documents link when 100 x |intersection| >= ``percent`` x |union| of their sets of ``size``-word n-grams;
-    component_id is the least key that links connect a document with, itself included. Every link counts: documents with
-    equal sets are one node of the graph, any two similar sets share a key and so a group, and a group is joined in full
-    except for pairs that other links already connect.
-
-    - A null or empty text, or one without words, has n_shingles 0 and links with nothing.
-    - A row with a null key takes part in links; its component_id is the least key of the others, or null.
-    - Rows with equal keys are documents of their own. Other columns play no part. An empty table gives an empty result.
-    - Words, n-grams and sets are compared by 64-bit hashes.
-    """
-    source = documents.select(
-        F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text")
-    )
+def _placed(source: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, print, n, node and root for every row of ``source`` (doc_id, print, text): rows whose sets links connect
+    share a root; it is null for an empty set."""
     sets = staged(_sets(source, size, percent), "ngram-sets")
     no_key = F.lit(-(1 << 63)).cast("bigint")
     row = F.struct("print", F.coalesce("doc_id", no_key).alias("id"))  # names a row that has the set
@@ -310,16 +295,52 @@ def jaccard_components(
     if not large.isEmpty():
         links = first.union(_strays(large, components(first), columns, size, percent))
 
-    labels = components(links)
-    named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "root").select("node", "component_id")
-    return (
-        sets.select("doc_id", "n", "node")
-        .join(found, "node", "left")
-        .select(
-            F.col("doc_id").alias(key),
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
+    roots = nodes.select("node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return sets.select("doc_id", "print", "n", "node").join(roots, "node", "left")
+
+
+def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, print (a hash of the text) and text."""
+    return documents.select(
+        F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text")
     )
+
+
+def jaccard_components(
+    documents: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
+
+    Two documents link when 100 x |intersection| >= ``percent`` x |union| of their sets of ``size``-word n-grams;
+    component_id is the least key that links connect a document with, itself included. Every link counts: documents with
+    equal sets are one node of the graph, any two similar sets share a key and so a group, and a group is joined in full
+    except for pairs that other links already connect.
+
+    - A null or empty text, or one without words, has n_shingles 0 and links with nothing.
+    - A row with a null key takes part in links; its component_id is the least key of the others, or null.
+    - Rows with equal keys are documents of their own. Other columns play no part. An empty table gives an empty result.
+    - Words, n-grams and sets are compared by 64-bit hashes.
+    """
+    placed = staged(_placed(_source(documents, key, text), size, percent), "ngram-roots")
+    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "root", "left").select(
+        F.col("doc_id").alias(key),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def one_of_each(
+    documents: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``documents`` of which one is left in every group that links connect: the least key, null last, then the
+    least hash of the text. Rows without words are groups of their own. All columns stay as they are."""
+    last = F.lit((1 << 63) - 1).cast("bigint")
+    placed = _placed(_source(documents, key, text), size, percent).where("root is not null")
+    best = placed.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "print")).alias("best"))
+    best = best.select(F.col("best.id").alias("__id"), F.col("best.print").alias("__print")).distinct()
+    marked = documents.withColumn("__id", F.coalesce(F.col(key).cast("bigint"), last))
+    marked = marked.withColumn("__print", F.xxhash64(F.col(text)))
+    words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    stays = marked.where(words).join(best, ["__id", "__print"], "left_semi").dropDuplicates(["__id", "__print"])
+    return stays.unionByName(marked.where(words.isNull() | ~words)).select(*documents.columns)

@@ -6,6 +6,7 @@ over all shards and mapped to blocks by a pseudorandom permutation of the block
 and the blocks are joined by their numbers.
 """
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from tracelake.llm.numbering import running_before, runs_for
 
 MIXED = 0x9E3779B97F4A7C15  # fixed value: the 64-bit golden ratio that is usual for spreading bits
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 
 @dataclass(frozen=True)
 class Source:
@@ -218,3 +221,54 @@ def taken(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     sums = mixed.groupBy(*columns).agg(F.sum(used).alias("taken"), F.count("*").alias("__n"))
     copies = F.when(F.col("size") == 0, F.col("__n")).otherwise(1).cast("int")
     return sums.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__n", "__copy", "row")
+
+
+@F.pandas_udf(T.StringType())
+def _words(text: pd.Series, start: pd.Series, end: pd.Series, size: pd.Series) -> pd.Series:
+    """The text from word ``start`` up to word ``end``, with what stands between; the text itself, if that is all of it."""
+    found = []
+    for content, first, last, count in zip(text, start, end, size, strict=True):
+        if first > 0 or last < count:
+            spans = [match.span() for match in WORD.finditer(content)]
+            content = content[spans[first][0] : spans[last - 1][1]]
+        found.append(content)
+    return pd.Series(found, dtype=object)
+
+
+def mix_documents(
+    documents: DataFrame, block: int = 256, text: str = "text", length: str = "n_chars", **settings
+) -> DataFrame:
+    """The mix as documents, in the columns of ``documents``: a row for each pass over a document and each stretch of
+    neighbouring blocks that the pass takes, with the words of that stretch.
+
+    A document that is taken whole keeps its text as it is. ``length``, if there is such a column, is the new text's. Sizes
+    are words; ``settings`` go to ``mix_sources``. Documents without words are not part of a mix.
+    """
+    hashed = documents.withColumn("__row", F.xxhash64(*[F.col(f"`{name}`") for name in documents.columns]))
+    size = F.regexp_count(F.col(text), F.lit(WORD.pattern))
+    mixed = mix_sources(hashed, size, block=block, key="__row", **settings).where("shard is not null")
+    spans = F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("end"))))
+    one = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"))).cast(
+        "array<struct<start:bigint,end:bigint>>"
+    )
+    taken_spans = (
+        mixed.groupBy("__row", "row", "copy", F.col("size").alias("__size"))
+        .agg(spans.alias("spans"))
+        .withColumn("spans", F.aggregate("spans", F.slice(one, 1, 0), _joined_spans))
+        .select("__row", "__size", F.explode("spans").alias("__span"))
+    )
+    content = _words(F.col(text), F.col("__span.start"), F.col("__span.end"), F.col("__size"))
+    whole = hashed.where(size > 0).dropDuplicates(["__row"])
+    out = taken_spans.join(whole, "__row").withColumn(text, content)
+    if length in documents.columns:
+        out = out.withColumn(length, F.length(text).cast(documents.schema[length].dataType))
+    return out.select(*documents.columns)
+
+
+def _joined_spans(done: Column, span: Column) -> Column:
+    """Spans so far, with one more: it draws out the last one if it begins where that ends."""
+    last = F.element_at(done, -1)
+    longer = F.struct(last["start"].alias("start"), span["end"].alias("end"))
+    touches = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] == span["start"])
+    front = F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))
+    return F.when(touches, F.concat(front, F.array(longer))).otherwise(F.concat(done, F.array(span)))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import jaccard, language, mixing, packing, quality, sharding, toxicity
+from tracelake.llm import jaccard, language, licenses, mixing, packing, quality, sharding, toxicity
 from tracelake.llm.samples import remainder
 
 # Fixed value: words are runs of characters other than ASCII white space.
@@ -43,6 +43,14 @@ def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
 
 
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence that every document states."""
+    documents = table(spark, folder, "documents")
+    model = licenses.fit_license_model(documents)
+    scanned = documents.select("doc_id", licenses.scan_paragraphs(model, F.col("text")).alias("found"))
+    return scanned.select("doc_id", *licenses.summary(scanned))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Sources weighing 3, 1, 2, repeating, in blocks of 64 words over 16 shards."""
     mixed = mixing.mix_sources(table(spark, folder, "documents"), word_count())
@@ -94,6 +102,7 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_jaccard": op4_jaccard,
+    "op5_licenses": op5_licenses,
     "op6_mix_sources": op6_mix_sources,
     "op7_language": op7_language,
     "op8_jump_shards": op8_jump_shards,

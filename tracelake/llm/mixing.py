@@ -20,6 +20,7 @@ from tracelake.llm.numbering import running_before, runs_for
 
 MIXED = 0x9E3779B97F4A7C15  # fixed value: the 64-bit golden ratio that is usual for spreading bits
 
+SLOTS_PER_RUN = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -183,8 +184,12 @@ def mix_sources(
         if counts[shard, i]
     ]
     drawn = spark.createDataFrame(plan, "source_no int, blocks bigint, shard int, first bigint, n bigint")
-    slots = drawn.repartition(F.col("source_no"), F.col("shard")).select(
-        "source_no", "blocks", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot")
+    ends_at = F.col("first") + F.col("n")
+    runs = drawn.withColumn("at", F.explode(F.sequence(F.col("first"), ends_at - 1, F.lit(SLOTS_PER_RUN)))).withColumn(
+        "until", F.least(ends_at, F.col("at") + SLOTS_PER_RUN) - 1
+    )
+    slots = runs.repartition(1 + int(owed.sum()) // (8 * SLOTS_PER_RUN), "source_no", "at").select(
+        "source_no", "blocks", "shard", F.explode(F.sequence("at", "until")).alias("slot")
     )
     copy = F.floor(F.col("slot") / F.col("blocks"))
     picked = slots.select(
@@ -196,7 +201,8 @@ def mix_sources(
         ).alias("block"),
         F.xxhash64("source_no", "slot", F.lit(seed)).alias("place"),
     )
-    return pieces.join(picked, ["source_no", "block"], "left").select(
+    # Before they are counted out, slots look few enough to broadcast; they are as many as the mix has blocks.
+    return pieces.join(picked.hint("merge"), ["source_no", "block"], "left").select(
         F.col("key").alias(key),
         "size",
         "source",

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import jaccard, language, licenses, mixing, packing, quality, sharding, toxicity
+from tracelake.llm import html, jaccard, language, licenses, mixing, packing, quality, sharding, toxicity
 from tracelake.llm.samples import remainder
 
 # Fixed value: words are runs of characters other than ASCII white space.
@@ -38,6 +38,11 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return assessed.select("doc_id", *(found[x].alias(x) for x in quality.MEASURES), failed, stays, found["ratio"].alias("ratio"))
 
 
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract_main_text(table(spark, folder, "pages"), html.train())
+
+
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Documents connected by 85 percent of their four-word shingles."""
     return jaccard.jaccard_components(table(spark, folder, "documents"))
@@ -101,6 +106,7 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_main_text": op2_main_text,
     "op4_jaccard": op4_jaccard,
     "op5_licenses": op5_licenses,
     "op6_mix_sources": op6_mix_sources,

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import html, jaccard, language, licenses, mixing, packing, quality, sharding, toxicity
+from tracelake.llm import ann, html, jaccard, language, licenses, mixing, packing, quality, sharding, toxicity
 from tracelake.llm.samples import remainder
 
 # Fixed value: words are runs of characters other than ASCII white space.
@@ -43,6 +43,11 @@ def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_main_text(table(spark, folder, "pages"), html.train())
 
 
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return ann.nearest(table(spark, folder, "embeddings"))
+
+
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Documents connected by 85 percent of their four-word shingles."""
     return jaccard.jaccard_components(table(spark, folder, "documents"))
@@ -107,6 +112,7 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_main_text": op2_main_text,
+    "op3_nearest": op3_nearest,
     "op4_jaccard": op4_jaccard,
     "op5_licenses": op5_licenses,
     "op6_mix_sources": op6_mix_sources,

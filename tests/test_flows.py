@@ -155,6 +155,8 @@ CASES = {
     "second response opens nothing": ([REQ, REM, {**REM, "adv_pipe_id": "e"}, data(120, 1)], {1: (120, None)},
                                       (1, 0, 3, 100, 120)),
     "early messages are replayed, data first": ([REQ, ack(95, 1), data(90, 1), REM], {1: (100, 95)}, (1, 1, 3, 90, 100)),
+    "response without an advertised pipe uses nothing up": (
+        [REQ, {**REM, "adv_pipe_id": None}, REM, data(120, 1)], {1: (120, None)}, (1, 0, 3, 100, 120)),
     "retransmission clears the ack": (
         [REQ, REM, data(120, 1), ack(130, 1), data(140, 1)], {1: (140, None)}, (2, 1, 3, 100, 140)),
     "last ack wins": ([REQ, REM, data(120, 1), ack(130, 1), ack(150, 1)], {1: (120, 150)}, (1, 1, 3, 100, 120)),

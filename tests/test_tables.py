@@ -1,6 +1,7 @@
 """Sinks and scalar expressions."""
 
 import datetime
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -12,7 +13,8 @@ from tracelake.functions.staging import shared_folder
 from tracelake.operators.metrics import metric_sizes, rebase_time
 from tracelake.operators.traffic import ipv4_cardinalities, word_count
 from tracelake.schemas import METRICS
-from tracelake.sinks.tables import read_by_key, write_by_key, write_report, write_tab
+from tests.captures import capture, ethernet, ipv4, tcp
+from tracelake.sinks.tables import read_by_key, read_lines_as, write_by_key, write_report, write_tab
 from tracelake.sources.text import read_lines
 
 
@@ -94,11 +96,37 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
-def test_only_a_local_session_may_leave_the_shared_folder_unset():
-    def session(master):
+def test_shared_folder_lies_below_the_warehouse_where_the_session_names_none():
+    settings = {"spark.sql.warehouse.dir": "hdfs://n/warehouse"}
+    for master in ("local[2]", "yarn"):
         context = SimpleNamespace(master=master, applicationId="app")
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
-
-    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session("yarn"))
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, *default: settings.get(key, *default)), sparkContext=context)
+        assert shared_folder(session) == "hdfs://n/warehouse/tracelake/app"
+
+
+def test_text_is_written_as_it_is(spark, tmp_path):
+    rows = [('"hello"', 1, "a"), ("#x", None, ""), (" d ", 2, None), (None, 3, "a b"), ("", 4, '"')]
+    df = spark.createDataFrame(rows, "word string, n int, key string")
+    write_tab(df.select("n", "word"), str(tmp_path / "tab"))
+    assert lines(tmp_path / "tab") == sorted(["1\t\"hello\"", "\\N\t#x", "2\t d ", "3\t\\N", "4\t"])
+    back = read_lines_as(spark, str(tmp_path / "tab"), "n int, word string")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.select("n", "word").collect()))
+    write_report(spark.createDataFrame([(443, None, 7)], "a int, b int, c int"), str(tmp_path / "report"))
+    assert lines(tmp_path / "report") == ["443 \\N 7"]
+    write_by_key(df.select("n", "word", "key"), str(tmp_path / "keys"), F.col("key"), "key")
+    back = read_by_key(spark, str(tmp_path / "keys"), "n int, word string, key string")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.select("n", "word", "key").collect()))
+
+
+def test_a_small_key_is_one_file(spark, tmp_path):
+    write_by_key(spark.range(1000).repartition(20), str(tmp_path / "k"), F.col("id") % 7)
+    for folder in (tmp_path / "k").glob("folder=*"):
+        assert len(list(folder.glob("part-*"))) == 1
+
+
+def test_readme_code_runs(spark, tmp_path):
+    code = Path(__file__).resolve().parent.parent.joinpath("README.md").read_text().split("```python\n")[1].split("```")[0]
+    (tmp_path / "captures").mkdir()
+    (tmp_path / "captures" / "a").write_bytes(capture([(1, 0, ethernet(ipv4(tcp(b"x" * 9), 6)))]))
+    exec(code.replace("hdfs:///", f"{tmp_path}/"), {"spark": spark})
+    assert lines(tmp_path / "reports" / "ports")

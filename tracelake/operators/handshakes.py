@@ -10,7 +10,8 @@ def match_handshakes(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataF
     """JN-1, W-8: one row per ``rem`` whose predecessor on its ack pipe is a ``req``.
 
     A later ``req`` replaces a waiting one, a ``rem`` uses the waiting one up, and a ``rem`` that finds
-    none opens no flow; so the row before decides. ``messages`` come from ``in_scope``.
+    none opens no flow; so the row before decides. A ``rem`` that advertises no pipe counts for nothing and leaves the
+    waiting ``req`` as it is. ``messages`` come from ``in_scope``.
     """
     is_req = F.col("kind") == "req"
     calls = messages.where("kind in ('req', 'rem')").select(
@@ -23,12 +24,12 @@ def match_handshakes(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataF
         F.when(is_req, F.col("adv_pipe_id")).otherwise(F.col("pipe_id")).alias("ack_pipe"),
         F.when(~is_req, F.col("adv_pipe_id")).alias("data_pipe"),
     )
-    calls = calls.where("ack_pipe is not null")
+    calls = calls.where("ack_pipe is not null and (kind = 'req' or data_pipe is not null)")
     before = F.struct("kind", "pos", "chunk", "first_ms", "last_ms")
     keys = ["scope", "ack_pipe"]
     hot = hot_keys(calls, keys, chunk_rows)
     paired = running(calls, keys, ["pos"], ["chunk"], [Running("req", before, "last", "before")], hot)
-    return paired.where("kind = 'rem' and req.kind = 'req' and data_pipe is not null").select(
+    return paired.where("kind = 'rem' and req.kind = 'req'").select(
         "scope",
         "data_pipe",
         "ack_pipe",

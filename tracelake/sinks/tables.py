@@ -1,30 +1,67 @@
-"""Text and folder-per-key outputs. Every writer refuses a path that already exists (SNK-6)."""
+"""Text and folder-per-key outputs. Every writer refuses a path that already exists (SNK-6).
+
+Values are written as they are, without quotes or escapes, so a value must not hold the separator (but for the last one) or
+a line break. A null is written as ``NULL``'s marker.
+"""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+NULL = "\\N"
+EMPTY_FOLDER = "__EMPTY__"
+
+
+def _line(columns: list[str], sep: str) -> Column:
+    return F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL)) for c in columns]).alias("value")
+
+
+def _fields(fields: list[T.StructField], sep: str) -> list[Column]:
+    """The columns of a line; the last one takes what is left of it."""
+    parts = F.split(F.col("value"), f"\\Q{sep}\\E", len(fields))
+    texts = [F.get(parts, F.lit(i)) for i in range(len(fields))]
+    return [F.when(t != NULL, t).cast(f.dataType).alias(f.name) for t, f in zip(texts, fields, strict=True)]
 
 
 def write_tab(df: DataFrame, path: str) -> None:
     """SNK-1: tab-separated text."""
-    df.write.mode("errorifexists").option("sep", "\t").csv(path)
+    df.select(_line(df.columns, "\t")).write.mode("errorifexists").text(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """SNK-2: all columns as text, separated by a space."""
-    line = F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])
-    df.select(line.alias("value")).write.mode("errorifexists").text(path)
+    df.select(_line(df.columns, " ")).write.mode("errorifexists").text(path)
+
+
+def read_lines_as(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
+    """Read what ``write_tab`` (or, with a space, ``write_report``) wrote."""
+    return spark.read.text(path).select(*_fields(_parsed(schema), sep))
+
+
+def _parsed(schema: str) -> list[T.StructField]:
+    return T.StructType.fromDDL(schema).fields
 
 
 def write_by_key(df: DataFrame, path: str, key: Column, name: str = "folder", sep: str = " ") -> None:
     """SNK-3, SNK-4, SNK-5: one folder per value of ``key``, any column expression.
 
-    With the name of an existing column, that column moves from the lines to the folder name.
-    Rows are not gathered by key first: each task adds its own file to the folders it has rows for, so
-    a key with most of the rows is still written by many tasks.
+    With the name of an existing column, that column moves from the lines to the folder name. Rows are gathered by key, so
+    that a small key is one file, and a key with many rows is split again: folders get files by their size, not by the
+    number of tasks. Null and the empty text have folders of their own.
     """
-    df.withColumn(name, key).write.mode("errorifexists").partitionBy(name).option("sep", sep).csv(path)
+    keyed = df.withColumn(name, key)
+    if dict(keyed.dtypes)[name] == "string":
+        keyed = keyed.withColumn(name, F.when(F.col(name) == "", EMPTY_FOLDER).otherwise(F.col(name)))
+    line = _line([c for c in df.columns if c != name], sep)
+    gathered = keyed.select(line, name).hint("rebalance", name)
+    gathered.write.mode("errorifexists").partitionBy(name).text(path)
 
 
 def read_by_key(spark: SparkSession, path: str, schema: str, sep: str = " ") -> DataFrame:
     """Read what ``write_by_key`` wrote; ``schema`` names the line columns, then the folder column."""
-    return spark.read.schema(schema).option("sep", sep).csv(path)
+    *fields, folder = _parsed(schema)
+    lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType()), folder])).text(path)
+    found = F.col(folder.name)
+    if isinstance(folder.dataType, T.StringType):
+        found = F.when(found == EMPTY_FOLDER, "").otherwise(found).alias(folder.name)
+    return lines.select(*_fields(fields, sep), found)

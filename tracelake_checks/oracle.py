@@ -279,3 +279,39 @@ FROM stats s WHERE NOT (data_complete AND ack_complete)""",
     + "SELECT metric, sec - min(sec) OVER (PARTITION BY metric) AS sec, value FROM metrics",
     "metrics_partitioned": _PERFORMANCE + "SELECT metric, sec, value FROM metrics",
 }
+
+# The events with few openings and three block numbers, see ``event_messages(busy=True)``.
+_BUSY_MESSAGES = (
+    _MESSAGES.replace("FROM events)", "FROM busy)")
+    .replace("CAST(json_extract_string(props, '$.k') AS INTEGER) AS seq", "k % 3 AS seq")
+    .replace(
+        "WITH m AS (",
+        """WITH busy AS (
+  SELECT * REPLACE (CASE WHEN event_type = 'signup' AND k >= 10 THEN 'view'
+                         WHEN event_type = 'purchase' AND k >= 10 THEN 'click' ELSE event_type END AS event_type)
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
+m AS (""",
+    )
+)
+
+
+def _busy(name: str) -> str:
+    return ORACLE[name].replace(_MESSAGES, _BUSY_MESSAGES)
+
+
+ORACLE |= {
+    "word_count_tab": ORACLE["word_count"],
+    "words_by_key": f"SELECT n, word, substr(word, 1, 1) AS first FROM ({ORACLE['word_count']})",
+    "flow_stats_completed": _busy("flow_stats"),
+    "flow_segments_completed": _busy("flow_segments"),
+    "flow_health_completed": _busy("flow_health"),
+    "flow_status_completed": _busy("flow_status"),
+    "metrics_completed": _busy("metrics_merged"),
+    "running_totals_chunked": ORACLE["running_totals"],
+    "handshakes_chunked": ORACLE["handshakes"],
+    "assigned_messages_chunked": ORACLE["assigned_messages"],
+    "flow_stats_chunked": _busy("flow_stats"),
+    "flow_segments_chunked": _busy("flow_segments"),
+    # A user's messages lie in one trace, so a flow over all traces is the same but for its scope.
+    "flow_stats_global": ORACLE["flow_stats"].replace("SELECT *, end_ms", "SELECT * REPLACE ('' AS scope), end_ms"),
+}

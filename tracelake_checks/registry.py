@@ -11,9 +11,10 @@ from tracelake.operators.ordering import in_scope
 from tracelake.operators.routing import assign_messages, message_events
 from tracelake.operators import segments as sg
 from tracelake.plans.socket_performance import SocketPerformance, handshake_table, socket_performance
-from tracelake.sinks.tables import read_by_key, write_by_key, write_report
+from tracelake.sinks.tables import read_by_key, read_lines_as, write_by_key, write_report, write_tab
 from tracelake.sources.text import read_lines
 from tracelake.functions.columns import pair_text, pair_values
+from tracelake.functions.scan import CHUNK_ROWS
 from tracelake.functions.staging import new_path, staged
 
 
@@ -160,9 +161,94 @@ def metrics_partitioned(spark, folder):
     return read_by_key(spark, path, "sec bigint, value bigint, metric string")
 
 
+def word_count_tab(spark, folder):
+    """Words and counts as tab-separated text, written and read back."""
+    path = new_path(spark, "words")
+    write_tab(word_count(spark, folder), path)
+    return read_lines_as(spark, path, "word string, n bigint")
+
+
+def words_by_key(spark, folder):
+    """Words in a folder for each of their first characters, written and read back."""
+    path = new_path(spark, "words-by-key")
+    counted = word_count(spark, folder).select("n", "word", F.substring("word", 1, 1).alias("first"))
+    write_by_key(counted, path, F.col("first"), "first")
+    return read_by_key(spark, path, "n bigint, word string, first string")
+
+
+#: Rows in a chunk for the queries that run the plans for large inputs: most keys of the given tables are above it.
+SMALL_CHUNK = 50
+
+
+def _busy(spark, folder, chunk_rows=CHUNK_ROWS) -> SocketPerformance:
+    return socket_performance(standins.event_messages(spark, folder, busy=True), chunk_rows=chunk_rows)
+
+
+def flow_stats_completed(spark, folder):
+    return _busy(spark, folder).stats
+
+
+def flow_segments_completed(spark, folder):
+    return _busy(spark, folder).segments
+
+
+def flow_health_completed(spark, folder):
+    return _busy(spark, folder).health()
+
+
+def flow_status_completed(spark, folder):
+    parts = [F.col(c) for c in ("blocks", "acks", "expected", "data_complete", "ack_complete")]
+    return _busy(spark, folder).stats.select("scope", "flow", sg.status_text(*parts).alias("status"))
+
+
+def metrics_completed(spark, folder):
+    return _busy(spark, folder).metrics()
+
+
+def flow_stats_global(spark, folder):
+    """Flows that may run on through the traces."""
+    return socket_performance(standins.event_messages(spark, folder), scope="global").stats
+
+
+def running_totals_chunked(spark, folder):
+    return traffic.running_totals(standins.event_packets(spark, folder), chunk_rows=SMALL_CHUNK)
+
+
+def handshakes_chunked(spark, folder):
+    matched = hs.match_handshakes(in_scope(standins.event_messages(spark, folder), chunk_rows=SMALL_CHUNK), 2)
+    return matched.select("scope", "data_pipe", "ack_pipe", "req_pos", "rem_pos", "req_ms", "rem_ms")
+
+
+def assigned_messages_chunked(spark, folder):
+    messages = in_scope(standins.event_messages(spark, folder), chunk_rows=SMALL_CHUNK)
+    assigned = assign_messages(messages, handshake_table(messages, 2), 2)
+    return assigned.select("scope", "pos", "kind", "pipe", "side", "flow", "flow_rem", "kept", "replay")
+
+
+def flow_stats_chunked(spark, folder):
+    return _busy(spark, folder, chunk_rows=4).stats
+
+
+def flow_segments_chunked(spark, folder):
+    return _busy(spark, folder, chunk_rows=4).segments
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        word_count_tab,
+        words_by_key,
+        flow_stats_completed,
+        flow_segments_completed,
+        flow_health_completed,
+        flow_status_completed,
+        metrics_completed,
+        flow_stats_global,
+        running_totals_chunked,
+        handshakes_chunked,
+        assigned_messages_chunked,
+        flow_stats_chunked,
+        flow_segments_chunked,
         frame_count,
         payload_totals,
         port_traffic,

@@ -45,16 +45,23 @@ def _event_number():
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def event_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as socket messages: each user has a data pipe and an ack pipe, in one of four traces."""
+def event_messages(spark: SparkSession, folder: str, busy: bool = False) -> DataFrame:
+    """Events as socket messages: each user has a data pipe and an ack pipe, in one of four traces.
+
+    ``busy``: only one in ten sign-ups and purchases opens a flow, the others are data and acks, and blocks are numbered
+    0 to 2, so that most flows complete and then ignore messages.
+    """
     kinds = {"signup": "req", "purchase": "rem", "view": "data", "click": "ack", "error": "close"}
-    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    event = F.col("event_type")
+    if busy:
+        opens = _event_number() < 10
+        event = F.when((event == "signup") & ~opens, "view").when((event == "purchase") & ~opens, "click").otherwise(event)
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[event]
     user = F.col("user_id").cast("string")
     data_pipe, ack_pipe = F.concat(F.lit("d"), user), F.concat(F.lit("a"), user)
     ms = epoch_ms(F.col("ts"))
-    number = F.array(_event_number())
+    number = F.array((_event_number() % 3).cast("int") if busy else _event_number())
     nothing = F.array().cast("array<int>")
-    event = F.col("event_type")
     return table(spark, folder, "events").select(
         F.concat(F.lit("t"), F.pmod("user_id", F.lit(4)).cast("string")).alias("trace_file"),
         F.col("event_id").alias("msg_no"),

@@ -137,7 +137,7 @@ def mix_sources(
 
     - ``size`` is a whole number of 0 or more; null counts as 0. ``weights`` repeat over the sources in the order of
       their names by code point, null last; together they share ``share`` times all sizes, each at most ``most`` times
-      its source's size. A source gives its target to within a block.
+      its source's size. A source gives its target to within one and a half blocks.
     - At most ceil(``most``) passes go over a source, so no document is taken more often.
     - A rerun over the same rows gives the same mix, in whatever order they are read. Rows that are equal in key and size
       are told apart only by place. Other columns play no part. An empty table gives an empty mix.

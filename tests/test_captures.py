@@ -8,7 +8,9 @@ import pytest
 from tests.captures import capture, cooked, ethernet, ipv4, ipv6, tcp, udp
 from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals, port_traffic, port_traffic_text
 from tracelake.plans.ingest import ingest_packets
-from tracelake.sources.captures import index_captures, read_pcap
+from tracelake.functions.staging import staged
+from tracelake.sources import captures
+from tracelake.sources.captures import capture_losses, index_captures, read_pcap
 
 ICMP = b"\x08\0\0\0\0\0\0\0"
 
@@ -147,9 +149,58 @@ def test_ranges_inside_a_file(spark, tmp_path):
         assert as_rows(read_pcap(spark, folder, payload=True, split_bytes=size), *columns) == whole
 
 
-def test_damage_ends_the_file(spark, tmp_path):
-    good = [(i, 0, ethernet(ipv4(udp(b"u" * 20), 17))) for i in range(40)]
+def damaged(good):
+    """40 records with a header that cannot be one after the 20th; returns the bytes and what is lost."""
     head, tail = capture(good[:20]), capture(good[20:])[24:]
-    path = put(tmp_path / "c", "x", head + struct.pack("<IIII", 1, 1, 0x7FFFFFFF, 1) + tail)
-    for size in (300, 1 << 20):
-        assert read_pcap(spark, path, split_bytes=size).count() == 20
+    bad = struct.pack("<IIII", 1, 1, 0x7FFFFFFF, 1) + b"some bytes that are no record"
+    return head + bad + tail, (len(head), len(bad))
+
+
+def test_damage_costs_its_own_bytes(spark, tmp_path):
+    good = [(i, 0, ethernet(ipv4(udp(b"u" * 20), 17))) for i in range(40)]
+    data, (at, size) = damaged(good)
+    path = put(tmp_path / "c", "x", data)
+    put(tmp_path / "c", "torn", capture(good)[:-5])
+    put(tmp_path / "c", "no capture", b"this is not a capture at all")
+    for split in (300, 1 << 20):
+        with pytest.raises(ValueError, match=f"/x: {size} bytes at {at}|no%20capture|no capture"):
+            read_pcap(spark, path, split_bytes=split)
+        packets = read_pcap(spark, path, mode="DROPMALFORMED", split_bytes=split)
+        rows = as_rows(packets, "trace_file", "frame_no", "ts_us")
+        assert [r[1:] for r in rows if r[0].endswith("/x")] == [(i + 1, i * 1_000_000) for i in range(40)]
+        assert [r[1:] for r in rows if r[0].endswith("/torn")] == [(i + 1, i * 1_000_000) for i in range(39)]
+        lost = {}
+        for r in capture_losses(spark, path, split_bytes=split).collect():
+            lost.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["at"], r["bytes"], r["why"]))
+        torn = len(capture(good[:39]))
+        assert lost["torn"] == [(torn, len(capture(good)) - 5 - torn, "cut off")]
+        assert sorted(lost["x"])[0][0] == at and sum(n for _, n, _ in lost["x"]) == size
+        assert {why for _, _, why in lost["x"]} == {"damaged"}
+        assert [(a, n) for name, v in lost.items() if name.startswith("no") for a, n, _ in v] == [(0, 28)]
+    with pytest.raises(ValueError):
+        read_pcap(spark, path + "/x")
+    assert read_pcap(spark, path + "/torn").count() == 39
+
+
+def test_damage_adds_no_rounds(spark, tmp_path, monkeypatch):
+    """However many ranges follow the damage, the index is written at most three times."""
+    rng = random.Random(6)
+    some = [(i, 0, ethernet(ipv4(udp(rng.randbytes(50)), 17))) for i in range(440)]
+    data, more = damaged(some[:40])[0], capture(some[40:])[24:]
+    path = put(tmp_path / "c", "x", data + more)
+    written = []
+    monkeypatch.setattr(captures, "staged", lambda df, name: written.append(name) or staged(df, name))
+    for split in (400, 3000):
+        written.clear()
+        assert read_pcap(spark, path, mode="DROPMALFORMED", split_bytes=split).count() == 440
+        assert written.count("capture-index") <= 3
+
+
+def test_large_gaps_are_crossed(spark, tmp_path, monkeypatch):
+    good = [(i, 0, ethernet(ipv4(udp(b"u" * 20), 17))) for i in range(60)]
+    gap = struct.pack("<IIII", 1, 1, 0x7FFFFFFF, 1) + b"\xff" * 9000
+    path = put(tmp_path / "c", "x", capture(good[:30]) + gap + capture(good[30:])[24:])
+    monkeypatch.setattr(captures, "SYNC_BYTES", 4096)
+    for split in (2500, 1 << 20):
+        assert read_pcap(spark, path, mode="DROPMALFORMED", split_bytes=split).count() == 60
+        assert sum(r["bytes"] for r in capture_losses(spark, path, split_bytes=split).collect()) == len(gap)

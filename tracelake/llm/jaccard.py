@@ -1,8 +1,8 @@
 """N-gram Jaccard join with prefix trees.
 
 Word n-grams are hashed to 64 bits and put into one global order, rare ones first as far as counts in a fixed number of
-buckets tell. Two sets that are similar enough share one of their first few n-grams; sets are brought together by these,
-without pairs. Each group so connected is joined by a prefix tree: its sets, common n-grams first, become a trie, all
+buckets tell. Two sets that are similar enough share one of their first few n-grams, and their bit signatures differ in few
+places; groups of sets are tied together by these. Each group is joined by a prefix tree: its sets, common n-grams first, become a trie, all
 probes walk it together, share the overlap of a common path, and leave a subtree that cannot reach the overlap they need.
 """
 
@@ -12,8 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.functions.staging import staged
 from tracelake.llm.components import components
@@ -23,6 +24,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 BUCKET_BITS = 18
 BLOCK_SETS, BLOCK_NGRAMS = 1024, 1 << 21
 PIVOTS = 16
+COMPARED = 256
+FILTER_BITS = 22
 
 
 class Words:
@@ -68,6 +71,36 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def signature(found: np.ndarray) -> bytes:
+    """Parities of the n-grams by their low bits: about a bit for each n-gram, a power of two from 64 to 8,192."""
+    bits = 64
+    while bits < min(len(found), 8192):
+        bits *= 2
+    places = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(places.astype(np.uint8), bitorder="little").tobytes()
+
+
+def able_labels(sizes: list[int], signatures: list[bytes], percent: int) -> list[int]:
+    """For every set the least place of a set that pairs which may be similar connect it with.
+
+    Sets differ at least in as many n-grams as their signatures differ in bits; a longer signature is folded to the length
+    of the shorter one. So no similar pair is left out.
+    """
+    known = [np.frombuffer(one, dtype=np.uint8) for one in signatures]
+    label = list(range(len(known)))
+    for i, one in enumerate(known):
+        for j in range(i):
+            if label[i] == label[j] or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
+                continue
+            a, b = (one, known[j]) if len(one) >= len(known[j]) else (known[j], one)
+            while len(a) > len(b):
+                a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+            if (100 + percent) * int(np.bitwise_count(a ^ b).sum()) <= (100 - percent) * (sizes[i] + sizes[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
 @dataclass
 class Trie:
     """A compressed trie over sorted id lists: a node is a run of ids below its parent."""
@@ -194,7 +227,8 @@ def _bucket_counts(documents: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, print, n, node (digest of the set; null for an empty one) and the first n-grams in the global order."""
+    """doc_id, print, n, node (digest of the set; null for an empty one), signature and the first n-grams in the global
+    order."""
     spark = documents.sparkSession
     counts = spark.sparkContext.broadcast(_bucket_counts(documents, size))  # 2 MB
 
@@ -204,17 +238,18 @@ def _sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
             out = []
             for doc, print_, text in zip(*(batch[c].tolist() for c in ("doc_id", "print", "text")), strict=True):
                 found = ngram_set(text if isinstance(text, str) else None, size, hashes)
-                node, keys = None, []
+                node, keys, bits = None, [], None
                 if len(found):
                     node = int(np.array([xxhash.xxh64_intdigest(found.tobytes())], dtype=np.uint64).view(np.int64)[0])
                     often = common[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                     keys = found[np.lexsort((found, often))][: prefix_length(len(found), percent)].view(np.int64)
-                out.append((None if pd.isna(doc) else int(doc), print_, len(found), node, keys))
-            frame = pd.DataFrame(out, columns=["doc_id", "print", "n", "node", "keys"])
+                    bits = signature(found)
+                out.append((None if pd.isna(doc) else int(doc), print_, len(found), node, bits, keys))
+            frame = pd.DataFrame(out, columns=["doc_id", "print", "n", "node", "bits", "keys"])
             frame["doc_id"], frame["node"] = frame["doc_id"].astype("Int64"), frame["node"].astype("Int64")
             yield frame
 
-    schema = "doc_id bigint, print bigint, n bigint, node bigint, keys array<bigint>"
+    schema = "doc_id bigint, print bigint, n bigint, node bigint, bits binary, keys array<bigint>"
     return documents.select("doc_id", "print", "text").mapInPandas(sets, schema)
 
 
@@ -255,6 +290,54 @@ def _strays(large: DataFrame, joined: DataFrame, columns: list, size: int, perce
     return _joined(passive.select(*columns).union(active.select(*columns)), size, percent)
 
 
+def _near(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that connect all nodes with similar sets, and few others.
+
+    Keys that one node alone has are dropped after a partial aggregate. The nodes of any other key are compared by their
+    signatures, or, where the key has more than ``COMPARED`` rows, all tied to the least of them.
+    """
+    known = sets.where("node is not null")
+    rows = known.select(F.explode("keys").alias("key"), "node")
+    met = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows"))
+    near = rows.join(met.where("least != most").select("key", "least", "rows"), "key").distinct()
+    near = staged(near, "ngram-keys")
+    star = near.where(F.col("rows") > COMPARED).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    few = near.where(F.col("rows") <= COMPARED).select("key", "node")
+    signed = known.select("node", "n", "bits").dropDuplicates(["node"])
+    told = few.join(signed, "node").groupBy("key").agg(F.collect_list(F.struct("node", "n", "bits")).alias("sets"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            edges = set()
+            for group in batch["sets"]:
+                label = able_labels([x["n"] for x in group], [x["bits"] for x in group], percent)
+                edges.update((group[i]["node"], group[k]["node"]) for i, k in enumerate(label) if i != k)
+            yield pd.DataFrame(sorted(edges), columns=["u", "v"], dtype="int64")
+
+    return star.union(told.select("sets").mapInPandas(compare, "u bigint, v bigint"))
+
+
+def _marks(prints: DataFrame) -> np.ndarray:
+    """Which of 2^22 buckets the ``print`` values fall into; the driver gets no more than these."""
+    bucket = F.pmod("print", F.lit(1 << FILTER_BITS)).cast("int").alias("bucket")
+    marks = np.zeros(1 << FILTER_BITS, dtype=bool)
+    marks[prints.select(bucket).distinct().toPandas()["bucket"].to_numpy(np.int64)] = True
+    return marks
+
+
+def _may_be(marks: np.ndarray, spark, print_: Column) -> Column:
+    """False only where a print is in no marked bucket. It spares texts a shuffle in which they would meet nothing; with many
+    more than a million marked prints it lets nearly all through."""
+    shared = spark.sparkContext.broadcast(np.packbits(marks))  # 512 kB
+
+    @F.pandas_udf(T.BooleanType())
+    def marked(values: pd.Series) -> pd.Series:
+        bucket = values.to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
+        return pd.Series((shared.value[bucket >> 3] >> (7 - (bucket & 7))) & 1 == 1)
+
+    return marked(print_)
+
+
 def _placed(source: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, print, n, node and root for every row of ``source`` (doc_id, print, text): rows whose sets links connect
     share a root; it is null for an empty set."""
@@ -269,10 +352,7 @@ def _placed(source: DataFrame, size: int, percent: int) -> DataFrame:
         "ngram-nodes",
     )
 
-    rows = sets.where("node is not null").select(F.explode("keys").alias("key"), "node")
-    met = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most")
-    near = rows.join(met.select("key", "least"), "key").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    groups = staged(components(near), "ngram-groups")
+    groups = staged(components(_near(sets, percent)), "ngram-groups")
 
     # A group above the limits is cut into blocks. Each is joined by itself, together with a few sets that all blocks get.
     weight = groups.join(nodes, "node").groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("ngrams"))
@@ -281,6 +361,7 @@ def _placed(source: DataFrame, size: int, percent: int) -> DataFrame:
     member = member.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks"))
     texts = source.where("text is not null").select("print", F.coalesce("doc_id", no_key).alias("id"), "text")
     chosen = member.select("root", "node", "n", "sets", "blocks", "block", "print", "id")
+    texts = texts.where(_may_be(_marks(chosen), source.sparkSession, F.col("print")))
     content = staged(chosen.join(texts, ["print", "id"]).drop("print", "id").dropDuplicates(["node"]), "ngram-texts")
     part = F.xxhash64("root", "block", "stray")
 
@@ -337,10 +418,18 @@ def one_of_each(
     least hash of the text. Rows without words are groups of their own. All columns stay as they are."""
     last = F.lit((1 << 63) - 1).cast("bigint")
     placed = _placed(_source(documents, key, text), size, percent).where("root is not null")
-    best = placed.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "print")).alias("best"))
-    best = best.select(F.col("best.id").alias("__id"), F.col("best.print").alias("__print")).distinct()
+    placed = staged(placed.select("root", F.coalesce("doc_id", last).alias("id"), "print"), "ngram-roots")
+    groups = placed.groupBy("root").agg(F.min(F.struct("id", "print")).alias("best"), F.count("*").alias("rows"))
+    groups = groups.where("rows > 1")
+    best = groups.select(F.col("best.id").alias("__id"), F.col("best.print").alias("__print")).distinct()
+    member = staged(placed.join(groups.select("root"), "root").select("id", "print"), "ngram-members")
+    lone = ~_may_be(_marks(member), documents.sparkSession, F.col("__print"))
     marked = documents.withColumn("__id", F.coalesce(F.col(key).cast("bigint"), last))
-    marked = marked.withColumn("__print", F.xxhash64(F.col(text)))
-    words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
-    stays = marked.where(words).join(best, ["__id", "__print"], "left_semi").dropDuplicates(["__id", "__print"])
-    return stays.unionByName(marked.where(words.isNull() | ~words)).select(*documents.columns)
+    marked = marked.withColumn("__print", F.xxhash64(F.col(text))).withColumn("__lone", lone)
+    grouped = member.select(F.col("id").alias("__id"), F.col("print").alias("__print")).distinct()
+    # Of the rows whose text may be in a group, those that are not in one stay, and the best of each group.
+    doubtful = marked.where("not __lone")
+    outside = doubtful.join(grouped, ["__id", "__print"], "left_anti")
+    kept = doubtful.join(best, ["__id", "__print"], "left_semi").dropDuplicates(["__id", "__print"])
+    left = marked.where("__lone").unionByName(outside).unionByName(kept)
+    return left.select(*documents.columns)

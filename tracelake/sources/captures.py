@@ -3,9 +3,14 @@
 A file is cut into byte ranges. Records chain from one to the next, so the start of the first record of
 a range is guessed from its bytes and then verified: it has to be where the range before ends. Ranges
 that guessed wrong are walked again from the right place, until all fit together.
+
+A record header that cannot be one breaks the chain. Reading goes on at the next place where a chain begins, in the same
+range or, by its own guess, in the next one; so damage costs its own bytes and no more rounds. What is left out is
+listed with file, offset and bytes.
 """
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,9 @@ SYNC_BYTES = 4 << 20
 BATCH_RECORDS = 16384
 MOST_TASKS = 50_000
 
+_LOSS = T.StructType(
+    [T.StructField("at", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("why", T.StringType())]
+)
 _RANGES = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -34,44 +42,76 @@ _RANGES = T.StructType(
         T.StructField("next", T.LongType()),
         T.StructField("records", T.LongType()),
         T.StructField("error", T.StringType()),
+        T.StructField("lost", T.ArrayType(_LOSS)),
     ]
 )
-_RANGE_COLUMNS = pa.schema([(f.name, pa.string() if f.dataType == T.StringType() else pa.int64()) for f in _RANGES])
+_ARROW_LOSS = pa.struct([("at", pa.int64()), ("bytes", pa.int64()), ("why", pa.string())])
+_ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.ArrayType(_LOSS): pa.list_(_ARROW_LOSS)}
+_RANGE_COLUMNS = pa.schema([(f.name, _ARROW[f.dataType]) for f in _RANGES])
+DAMAGED, CUT_OFF = "damaged", "cut off"
 
 
 def _open(path: str):
     """A random-access file on any storage that Arrow reaches; local paths come as ``file:/...``."""
     if path.startswith("file:"):
         return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
-    system, name = fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition("://")
+    system, name = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{quote(rest, safe='/:@')}")
     return system.open_input_file(name)
 
 
-def _walk(header: FileHeader, source, first: int, end: int, length: int) -> Iterator[tuple[bytes, int, list[int]]]:
+def _resume(header: FileHeader, source, at: int, end: int, length: int) -> int | None:
+    """The first place from ``at`` on, and before ``end``, where a chain of records begins."""
+    while at < end:
+        block = source.read_at(min(SYNC_BYTES, length - at), at)
+        sure = len(block) if at + len(block) >= length else len(block) // 2  # a chain needs room to show
+        found = header.synchronise(block, length - at, strict=True)
+        if found is not None and found < sure:
+            return at + found if at + found < end else None
+        at += sure
+    return None
+
+
+def _walk(
+    header: FileHeader, source, first: int, end: int, length: int, lost: list[dict]
+) -> Iterator[tuple[bytes, int | None, list[int]]]:
     """Blocks of whole records from ``first`` on: ``(block, file offset, record starts in the block)``.
 
-    Covers the records that begin before ``end``. A cut-off last record ends the file.
+    Covers the records that begin before ``end``; a last, empty block says where the next record is, or None where that is
+    not known. What is no record goes to ``lost``: a header with an impossible length and what follows it up to the next
+    chain of records, and a last record that the end of the file cuts off.
     """
     at = first
     want = 4 << 20
-    while at < end and at + RECORD_HEADER <= length:
+    while at < end:
         block = source.read_at(min(want, length - at), at)
-        starts, here = [], 0
-        while at + here < end and here + RECORD_HEADER <= len(block):
+        starts, here, why = [], 0, None
+        while at + here < end:
+            if at + here + RECORD_HEADER > length:
+                why = CUT_OFF
+                break
+            if here + RECORD_HEADER > len(block):
+                break
             size = header.record.unpack_from(block, here)[2]
             if size > header.limit or at + here + RECORD_HEADER + size > length:
-                yield block, at, starts
-                yield b"", length, []
-                return
+                why = DAMAGED if size > header.limit else CUT_OFF
+                break
             if here + RECORD_HEADER + size > len(block):
                 break
             starts.append(here)
             here += RECORD_HEADER + size
         yield block, at, starts
         at += here
+        if why:
+            again = _resume(header, source, at + 1, end, length) if why == DAMAGED else length
+            stop = end if again is None else again
+            lost.append({"at": at, "bytes": stop - at, "why": why})
+            if again is None:
+                yield b"", None, []
+                return
+            at = again
         want = want if here else want * 2
-    # Too few bytes left for a record: the file ends here.
-    yield b"", (length if at < end else at), []
+    yield b"", at, []
 
 
 def _walk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,28 +125,74 @@ def _walk_range(row: dict) -> dict:
         try:
             header = FileHeader(source.read_at(min(FILE_HEADER, row["length"]), 0))
         except ValueError as problem:
-            return {**row, "next": None, "records": 0, "error": str(problem)}
+            return {**row, "next": None, "records": 0, "error": str(problem), "lost": []}
         first, left = row["first"], row["length"] - row["start"]
         if first is None and row["split_no"] == 0:
             first = FILE_HEADER
         if first is None:
             found = header.synchronise(source.read_at(min(SYNC_BYTES, left), row["start"]), left)
             first = None if found is None else row["start"] + found
-        following, records = None, 0
+        following, records, lost = None, 0, []
         if first is not None:
-            for _, following, starts in _walk(header, source, first, row["end"], row["length"]):
+            for _, following, starts in _walk(header, source, first, row["end"], row["length"], lost):
                 records += len(starts)
-    return {**row, "first": first, "next": following, "records": records, "error": None}
+    return {**row, "first": first, "next": following, "records": records, "error": None, "lost": lost}
 
 
-def index_captures(spark: SparkSession, path: str, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """SRC-1, SRC-3: one row per byte range with its first record and its number of records.
+def index_captures(
+    spark: SparkSession,
+    path: str,
+    mode: str = "FAILFAST",
+    split_bytes: int = SPLIT_BYTES,
+    most_tasks: int = MOST_TASKS,
+) -> DataFrame:
+    """SRC-1, SRC-3: one row per byte range with its first record, its number of records and what of it was lost.
 
-    The listing reads no file contents. A file that is no capture fails the job, or is left out with
-    ``mode="DROPMALFORMED"``. Runs jobs; the driver sees counts and up to five bad file names.
+    The listing reads no file contents. With ``mode="FAILFAST"`` a file that is no capture, or has damage in it, fails the
+    job with the places; with ``"DROPMALFORMED"`` such files and bytes are left out, and ``capture_losses`` lists them. A
+    last record that the end of its file cuts off is listed too but is no failure. Runs jobs, at most ``most_tasks`` tasks
+    each; the driver sees counts and up to five places.
     """
     if mode not in ("FAILFAST", "DROPMALFORMED"):
         raise ValueError(f"mode must be 'FAILFAST' or 'DROPMALFORMED', not {mode!r}")
+    index = _index(spark, path, split_bytes, most_tasks)
+    if mode == "FAILFAST":
+        bad = _losses(index).where(F.col("why") != CUT_OFF).orderBy("path", "at").limit(5).collect()
+        if bad:
+            places = "; ".join(f"{r['path']}: {r['bytes']} bytes at {r['at']}: {r['why']}" for r in bad)
+            raise ValueError(f"unreadable captures: {places}")
+    return index.where("error is null")
+
+
+def capture_losses(
+    spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, most_tasks: int = MOST_TASKS
+) -> DataFrame:
+    """SRC-3: path, at, bytes and why of all that ``read_pcap`` leaves out with ``mode="DROPMALFORMED"``.
+
+    ``why`` is "damaged", "cut off" (by the end of the file) or the reason why a whole file is no capture.
+    """
+    return _losses(_index(spark, path, split_bytes, most_tasks))
+
+
+def _losses(index: DataFrame) -> DataFrame:
+    """Losses inside ranges, the beginnings of ranges that follow a loss, and whole files."""
+    in_file = Window.partitionBy("path").orderBy("split_no")
+    placed = index.withColumn("due", F.lag("next").over(in_file))
+    inside = placed.where("error is null").select("path", F.inline("lost"))
+    skipped = placed.where("error is null and split_no > 0 and due is null and not (first <=> start)").select(
+        "path",
+        F.col("start").alias("at"),
+        (F.coalesce("first", "end") - F.col("start")).alias("bytes"),
+        F.lit(DAMAGED).alias("why"),
+    )
+    files = placed.where("error is not null and split_no = 0").select(
+        "path", F.lit(0).cast("bigint").alias("at"), F.col("length").alias("bytes"), F.col("error").alias("why")
+    )
+    return inside.union(skipped).union(files)
+
+
+def _index(spark: SparkSession, path: str, split_bytes: int, most_tasks: int) -> DataFrame:
+    """The ranges of all files, also of those that are no captures, walked until they fit together."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     size = F.lit(split_bytes).cast("bigint")
     last = F.greatest(F.call_function("div", F.col("length") - 1, size), F.lit(0))
@@ -119,23 +205,17 @@ def index_captures(spark: SparkSession, path: str, mode: str = "FAILFAST", split
         F.least("length", (F.col("split_no") + 1) * size).alias("end"),
         F.lit(None).cast("bigint").alias("first"),
     )
-    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    tasks = max(1, min(ranges.count(), most_tasks))
     index = staged(ranges.repartition(tasks).mapInArrow(_walk_ranges, _RANGES), "capture-index")
-    bad = index.where("error is not null")
-    if mode == "FAILFAST":
-        names = [f"{r.path}: {r.error}" for r in bad.where("split_no = 0").limit(5).collect()]
-        if names:
-            raise ValueError("unreadable captures: " + "; ".join(names))
-    index = index.where("error is null")
     in_file = Window.partitionBy("path").orderBy("split_no")
     while True:
         placed = index.withColumn("due", F.lag("next").over(in_file))
-        wrong = placed.where("due is not null and not (due <=> first)")
+        wrong = placed.where("error is null and due is not null and not (due <=> first)")
         number = wrong.count()
         if number == 0:
             return index
         again = wrong.withColumn("first", F.col("due")).select("path", "length", "split_no", "start", "end", "first")
-        fixed = again.repartition(min(number, MOST_TASKS)).mapInArrow(_walk_ranges, _RANGES)
+        fixed = again.repartition(min(number, most_tasks)).mapInArrow(_walk_ranges, _RANGES)
         index = staged(index.join(wrong, ["path", "split_no"], "left_anti").unionByName(fixed), "capture-index")
 
 
@@ -146,7 +226,7 @@ def _decode(payload: bool):
                 number = row["first_no"]
                 with _open(row["path"]) as source:
                     header = FileHeader(source.read_at(FILE_HEADER, 0))
-                    for block, _, starts in _walk(header, source, row["first"], row["end"], row["length"]):
+                    for block, _, starts in _walk(header, source, row["first"], row["end"], row["length"], []):
                         for i in range(0, len(starts), BATCH_RECORDS):
                             some = np.array(starts[i : i + BATCH_RECORDS], np.int64)
                             yield packet_batch(header, block, some, row["path"], number, payload)
@@ -156,18 +236,23 @@ def _decode(payload: bool):
 
 
 def read_pcap(
-    spark: SparkSession, path: str, mode: str = "FAILFAST", payload: bool = False, split_bytes: int = SPLIT_BYTES
+    spark: SparkSession,
+    path: str,
+    mode: str = "FAILFAST",
+    payload: bool = False,
+    split_bytes: int = SPLIT_BYTES,
+    most_tasks: int = MOST_TASKS,
 ) -> DataFrame:
     """SRC-1, SRC-2, SRC-4: all packets of a capture file, or of all captures in a folder.
 
     Frames are numbered from 1 in each file. Lengths are the declared ones; ports are known only for
     packets whose transport header was captured and that are not later fragments. ``payload=True`` adds
-    the captured TCP payload bytes.
+    the captured TCP payload bytes. ``mode`` is that of ``index_captures``.
     """
-    index = index_captures(spark, path, mode, split_bytes)
+    index = index_captures(spark, path, mode, split_bytes, most_tasks)
     before = Window.partitionBy("path").orderBy("split_no").rowsBetween(Window.unboundedPreceding, -1)
     numbered = index.withColumn("first_no", F.coalesce(F.sum("records").over(before), F.lit(0)) + 1)
     busy = staged(numbered.where("records > 0").select("path", "length", "end", "first", "first_no"), "capture-ranges")
-    tasks = max(1, min(busy.count(), MOST_TASKS))
+    tasks = max(1, min(busy.count(), most_tasks))
     packets = busy.repartition(tasks).mapInArrow(_decode(payload), PACKETS)
     return packets.withColumn("ts", F.timestamp_micros("ts_us"))

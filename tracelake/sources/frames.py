@@ -42,24 +42,28 @@ class FileHeader:
             raise ValueError(f"link type {self.link} is not supported")
         self.record = struct.Struct(self.order + "IIII")
 
-    def plausible(self, block: bytes, at: int, left: int, links: int = 256) -> bool:
+    def plausible(self, block: bytes, at: int, left: int, links: int = 256, strict: bool = False) -> bool:
         """Whether a chain of ``links`` records, or one up to the end of the file, starts at ``at``.
 
-        ``left`` is the number of bytes from the start of ``block`` to the end of the file.
+        ``left`` is the number of bytes from the start of ``block`` to the end of the file. ``strict``, for guesses that
+        nothing verifies: records are not empty, and a chain that leaves the block has four of them in it.
         """
-        for _ in range(links):
-            if at == left or at + RECORD_HEADER > len(block):
+        for link in range(links):
+            if at == left:
                 return True
+            if at + RECORD_HEADER > len(block):
+                return not strict or link >= 4
             _, fraction, size, wire = self.record.unpack_from(block, at)
-            if size > self.limit or size > wire or fraction >= 1_000_000 * self.per_us:
+            if size > self.limit or size > wire or fraction >= 1_000_000 * self.per_us or strict and not size:
                 return False
             at += RECORD_HEADER + size
             if at > left:
                 return False
         return True
 
-    def synchronise(self, block: bytes, left: int) -> int | None:
-        """A likely record start in ``block``; the caller verifies it against the part before."""
+    def synchronise(self, block: bytes, left: int, strict: bool = False) -> int | None:
+        """A likely record start in ``block``; the caller verifies it against the part before, unless it asks for a strict
+        search."""
         if len(block) < RECORD_HEADER:
             return 0 if left == 0 else None
         data = np.frombuffer(block, np.uint8).astype(np.uint32)
@@ -69,7 +73,7 @@ class FileHeader:
         size, wire, fraction = words[8 : 8 + n], words[12 : 12 + n], words[4 : 4 + n]
         likely = (size <= self.limit) & (size <= wire) & (fraction < 1_000_000 * self.per_us) & (wire < 1 << 24)
         for at in np.flatnonzero(likely):
-            if self.plausible(block, int(at), left):
+            if self.plausible(block, int(at), left, strict=strict):
                 return int(at)
         return None
 

@@ -95,3 +95,33 @@ def test_empty_tables(spark, empty, odd):
     model = toxicity.fit_toxicity_model(labels, empty)
     assert {row[0] for row in odd.select(toxicity.toxicity(model, F.col("text")) < 0.01).collect()} == {True}
     assert empty.select(toxicity.toxicity(model, F.col("text"))).collect() == []
+
+
+def test_terms_after_punctuation_are_met(model):
+    clean = made_up(1, 78_000)[0][1]
+    for term in ABUSE:
+        for text in (f"hey,{term}", f"you/{term}", f"ka...{term}...lo", f"{term},hey", f"ka_{term}", f"x-{term}s"):
+            assert model.score(f"{clean} {text} {text}") >= model.threshold > model.score(clean)
+
+
+@pytest.mark.parametrize("base", [0x4E00, 0x3041, 0x0E01])
+def test_terms_in_scripts_without_blanks_are_met(base):
+    rng = random.Random(base)
+    letters = [chr(base + i) for i in range(40)]
+    abuse = ["".join(letters[i : i + 3]) for i in (0, 3, 6)]
+    others = letters[9:]
+
+    def page(toxic):
+        text = [rng.choice(others) for _ in range(60)]
+        for _ in range(3 * toxic):
+            text.insert(rng.randrange(1, len(text)), rng.choice(abuse))
+        return "".join(text)
+
+    model = toxicity.train([(i % 3 == 0, page(i % 3 == 0)) for i in range(300)])
+    for _ in range(50):
+        assert model.score(page(True)) >= model.threshold > model.score(page(False))
+
+
+def test_marks_do_not_begin_a_word():
+    assert toxicity.parts("\u092e\u0942\u0930\u094d\u0916") == [(0, 5)] and toxicity.parts("e\u0301te\u0301") == [(0, 5)]
+    assert toxicity.parts("a,bc_d\u4f60\u597d") == [(0, 1), (2, 4), (5, 6), (6, 7), (7, 8)]

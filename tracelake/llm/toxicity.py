@@ -1,16 +1,19 @@
 """Toxicity by a learned lexicon that tolerates misspelling.
 
 From a bounded sample of labelled documents a lexicon is learned: words (written with an end mark) and beginnings of words
-that toxic documents show and others don't. It is kept as a trie. A Levenshtein automaton of one edit runs over the trie for
-every word of a text, built state by state as words ask for it. Each hit is scored in its window of words: a hit between
+that toxic documents show and others don't. It is kept as a trie. A Levenshtein automaton of one edit runs over the trie from
+every beginning of a run of letters or digits, and from every letter of a script without blanks, whatever stands before it.
+It is built state by state as words ask for it. Each hit is scored in its window of words: a hit between
 quotation marks counts less, and hits close to each other count more. A logistic regression turns the hits of a document
 into a score.
 """
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,10 +25,21 @@ from tracelake.llm.samples import labelled_sample
 
 END = "$"
 SHORTEST, LONGEST = 4, 12
+SHORTEST_UNSPACED = 2
 FUZZY_FROM = 5
 _TOKEN = re.compile(r"[^\W_](?:\S*[^\W_])?")
+
+# Fixed values of Unicode: blocks of scripts that put no blanks between words, and marks that belong to the letter before.
+_UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u2e80-\u2fdf\u3005-\u3007\u3040-\u312f"
+    "\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f"
+    "\U00020000-\U0003ffff"
+)
+_MARKS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")
+_PART = re.compile(rf"(?:[^\W_{_UNSPACED}][{_MARKS}]*)+|(?![\W_])[{_UNSPACED}]")
+_OF_UNSPACED = re.compile(rf"[{_UNSPACED}]")
 _QUOTES = re.compile("[\"“”„«»‹›‘’]|(?<!\\w)'|'(?!\\w)")
-_REMEMBERED = 200_000
+_REMEMBERED, _REMEMBERED_CHARS = 200_000, 64
 
 
 @dataclass
@@ -35,20 +49,23 @@ class Automaton:
     terms: list[str]
     exact: list[dict] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)
+    before: list[str] = field(default_factory=list, repr=False)
     states: dict = field(default_factory=dict, repr=False)
     places: list[frozenset] = field(default_factory=list, repr=False)
     moves: list[dict] = field(default_factory=list, repr=False)
     found: list[dict] = field(default_factory=list, repr=False)
 
     def __post_init__(self):
-        self.exact, self.ends = [{}], [-1]
+        self.exact, self.ends, self.before = [{}], [-1], [""]
         for number, term in enumerate(self.terms):
-            node = 0
+            node, last = 0, ""
             for char in term:
                 if char not in self.exact[node]:
                     self.exact[node][char] = len(self.exact)
                     self.exact.append({})
                     self.ends.append(-1)
+                    self.before.append(last)
+                last = char
                 node = self.exact[node][char]
             self.ends[node] = number
         self._state({(0, 0)})
@@ -81,18 +98,52 @@ class Automaton:
         self.moves[state][char] = to = self._state(after) if after else -1
         return to
 
-    def hits(self, word: str) -> dict[int, int]:
-        """Terms that the word, or a beginning of it, is within one edit of, and the edits."""
-        state, found = 0, {}
-        for char in word + END:
-            to = self.moves[state].get(char)
+    def reached(self, word: str, start: int = 0, ends: frozenset[int] = frozenset()) -> dict[int, tuple[int, int]]:
+        """Terms that the word from ``start`` on, or a beginning of that, is within one edit of: the edits, and the last place
+        that has them. Besides its own end, the word has ends at ``ends``."""
+        state, found, moves, length = 0, {}, self.moves, len(word)
+        for place in range(start, length + 1):
+            inside = place < length
+            if inside and place in ends and place > start:
+                ended = moves[state].get(END)
+                ended = self._move(state, END) if ended is None else ended
+                for term, edits in self.found[ended].items() if ended >= 0 else ():
+                    found[term] = min((edits, -place), found.get(term, (1, 0)))
+            char = word[place] if inside else END
+            to = moves[state].get(char)
             state = self._move(state, char) if to is None else to
             if state < 0:
                 break
             if self.found[state]:
                 for term, edits in self.found[state].items():
-                    found[term] = min(edits, found.get(term, 1))
-        return found
+                    found[term] = min((edits, -place - inside), found.get(term, (1, 0)))
+        return {term: (edits, -place) for term, (edits, place) in found.items()} if found else found
+
+    def hits(self, word: str) -> dict[int, int]:
+        """Terms that the word, or a beginning of it, is within one edit of, and the edits."""
+        return {term: edits for term, (edits, _) in self.reached(word).items()}
+
+
+def parts(token: str) -> list[tuple[int, int]]:
+    """Where the runs of letters and digits of a token, and its single letters of scripts without blanks, begin and end."""
+    if token.isascii() and token.isalnum():
+        return [(0, len(token))]
+    return [match.span() for match in _PART.finditer(token)]
+
+
+@lru_cache(_REMEMBERED)
+def begins(token: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """For every place in a token where a term may begin: what follows, up to the length of the longest term, and the words
+    that end there: the run of letters and digits, and the rest of the token; none in scripts without blanks."""
+    found = []
+    for start, end in parts(token):
+        rest = token[start:]
+        if _OF_UNSPACED.match(rest):
+            found.append((rest[:LONGEST], ()))
+        elif not rest.isdigit():
+            run = rest[: end - start]
+            found.append((rest[:LONGEST], (rest,) if run == rest or run.isdigit() else (run, rest)))
+    return tuple(found)
 
 
 def tokens(text: str) -> list[str]:
@@ -100,6 +151,13 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def misspelled(automaton: Automaton, token: str) -> set[int]:
+    """The terms that the token holds with an edit."""
+    inside = parts(token)
+    ends = frozenset(end for _, end in inside)
+    return {t for start, _ in inside for t, (edits, _) in automaton.reached(token, start, ends).items() if edits}
+
+
 @dataclass
 class ToxicityModel:
     """Terms, the weight of an exact and of a misspelled hit of each, and the regression over document features."""
@@ -116,21 +174,42 @@ class ToxicityModel:
     automaton: Automaton | None = field(default=None, repr=False, compare=False)
     remembered: dict = field(default_factory=dict, repr=False, compare=False)
 
-    def word(self, word: str) -> tuple[int, float] | None:
-        """The best term of a word and its weight, or None."""
+    def word(self, word: str) -> tuple[tuple[int, int, int, float], ...]:
+        """The best terms that a token holds, none over another: part of the token, place in it, term and weight."""
         if self.automaton is None:
             self.automaton = Automaton(self.terms)
         if word in self.remembered:
             return self.remembered[word]
-        best = None
-        for term, edits in self.automaton.hits(word).items():
-            weight = float(self.fuzzy[term] if edits else self.weights[term])
-            if weight > 0 and (best is None or (weight, -term) > (best[1], -best[0])):
-                best = (term, weight)
-        if len(self.remembered) >= _REMEMBERED:
-            self.remembered.clear()
-        self.remembered[word] = best
-        return best
+        inside = parts(word)
+        ends = frozenset(end for _, end in inside)
+        found = []
+        for part, (start, _) in enumerate(inside):
+            best = None
+            for term, (edits, _) in self.automaton.reached(word, start, ends).items():
+                weight = float(self.fuzzy[term] if edits else self.weights[term])
+                if weight > 0 and (best is None or (weight, -term) > (best[3], -best[2])):
+                    best = (part, start, term, weight)
+            if best:
+                found.append(best)
+        if len(found) > 1:
+            found = self._apart(found)
+        hits = tuple(found)
+        if len(word) <= _REMEMBERED_CHARS:
+            if len(self.remembered) >= _REMEMBERED:
+                self.remembered.clear()
+            self.remembered[word] = hits
+        return hits
+
+    def _apart(self, found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """The hits that lie over no heavier one, in their order."""
+        taken: set[int] = set()
+        apart = []
+        for hit in sorted(found, key=lambda hit: (-hit[3], hit[1])):
+            span = range(hit[1], hit[1] + len(self.terms[hit[2]].rstrip(END)))
+            if taken.isdisjoint(span):
+                taken.update(span)
+                apart.append(hit)
+        return sorted(apart)
 
     def features(self, text: str | None) -> np.ndarray:
         """Sum, greatest and density of the hits' scores of a whole text, after a constant."""
@@ -141,13 +220,17 @@ class ToxicityModel:
             return np.array([1.0, 0.0, 0.0, 0.0])
         uses = Counter()
         for word in words:
-            if word in hits:
-                uses[hits[word][0]] += 1
-        spans = [
-            (place, match.start(), match.end(), hits[match.group()][1])
-            for place, match in enumerate(_TOKEN.finditer(lowered))
-            if match.group() in hits and uses[hits[match.group()][0]] >= self.least[hits[match.group()][0]]
-        ]
+            for hit in hits.get(word, ()):
+                uses[hit[2]] += 1
+        spans, place = [], 0
+        sizes = {word: len(parts(word)) for word in set(words)}
+        for match in _TOKEN.finditer(lowered):
+            for part, start, term, weight in hits.get(match.group(), ()):
+                if uses[term] >= self.least[term]:
+                    begin = match.start() + start
+                    end = min(match.end(), begin + len(self.terms[term].rstrip(END)))
+                    spans.append((place + part, begin, end, weight))
+            place += sizes[match.group()]
         if not spans:
             return np.array([1.0, 0.0, 0.0, 0.0])
         quotes = np.array([match.start() for match in _QUOTES.finditer(lowered)], dtype=np.int64)
@@ -162,22 +245,46 @@ class ToxicityModel:
             closed = np.searchsorted(quotes, ends + reach) > np.searchsorted(quotes, ends)
             scores = np.where(opened & closed & (before % 2 == 1), scores * self.quoted, scores)
         total = float(scores.sum())
-        return np.array([1.0, math.log1p(total), float(scores.max()), math.log1p(100 * total / (len(words) + 20))])
+        return np.array([1.0, math.log1p(total), float(scores.max()), math.log1p(100 * total / (place + 20))])
 
     def score(self, text: str | None) -> float:
         """How likely the whole text is toxic, 0 to 1."""
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.coefficients, -35, 35))))
 
 
-def _candidates(words: list[str]) -> tuple[set[str], set[str]]:
-    """Words and beginnings of words that occur, and those that occur twice or more."""
-    counts = Counter(words)
+def _known_unspaced(documents: list[list[str]], support: int) -> set[str]:
+    """Beginnings in scripts without blanks that ``support`` documents show, each drawn out from one that they show."""
+    known: set[str] = set()
+    last: set[str] | None = None
+    for length in range(SHORTEST_UNSPACED, LONGEST + 1):
+        counts: Counter = Counter()
+        for words in documents:
+            begun = {
+                rest[:length]
+                for word in set(words)
+                if not word.isascii()
+                for rest, wholes in begins(word)
+                if not wholes and len(rest) >= length
+            }
+            counts.update(x for x in begun if last is None or x[:-1] in last)
+        last = {x for x, n in counts.items() if n >= support}
+        if not last:
+            break
+        known |= last
+    return known
+
+
+def _candidates(words: list[str], known: set[str]) -> tuple[set[str], set[str]]:
+    """Words and beginnings of words that occur, and those that occur twice or more; in scripts without blanks, of ``known``."""
     seen: Counter = Counter()
-    for word, n in counts.items():
-        if not word.isdigit():
-            seen[word + END] += n
-            for length in range(SHORTEST, min(LONGEST, len(word)) + 1):
-                seen[word[:length]] += n
+    for word, n in Counter(words).items():
+        for rest, wholes in begins(word):
+            for whole in wholes:
+                seen[whole + END] += n
+            for length in range(SHORTEST if wholes else SHORTEST_UNSPACED, len(rest) + 1):
+                if not wholes and rest[:length] not in known:
+                    break
+                seen[rest[:length]] += n
     return set(seen), {term for term, n in seen.items() if n > 1}
 
 
@@ -195,16 +302,17 @@ def learn_lexicon(toxic: list[list[str]], clean: list[list[str]], support: int =
     something to be compared with.
     """
     share = len(toxic) / max(1, len(toxic) + len(clean))
+    known = _known_unspaced(toxic, support)
     taken: dict[str, tuple[float, int, float]] = {}
     shown: dict[int, Counter] = {}
     for least in (1, 2):
         shown[least] = mine = Counter()
         for words in toxic:
-            mine.update(_candidates(words)[least - 1])
+            mine.update(_candidates(words, known)[least - 1])
         shown[least] = mine = Counter({term: v for term, v in mine.items() if v >= support})
         others: Counter = Counter()
         for words in clean:
-            others.update(mine.keys() & _candidates(words)[least - 1])
+            others.update(mine.keys() & _candidates(words, known)[least - 1])
         alike = Counter(v + others[term] for term, v in mine.items())
         for term, v in mine.items():
             n = v + others[term]
@@ -219,7 +327,7 @@ def learn_lexicon(toxic: list[list[str]], clean: list[list[str]], support: int =
     for term in sorted(taken, key=lambda x: (len(x.rstrip(END)), x.endswith(END), x)):
         weight, least, v = taken[term]
         stem = term.rstrip(END)
-        covered = any(stem[:i] in kept and kept[stem[:i]][1] <= least for i in range(SHORTEST, len(stem) + 1))
+        covered = any(stem[:i] in kept and kept[stem[:i]][1] <= least for i in range(SHORTEST_UNSPACED, len(stem) + 1))
         if not covered:
             kept[term] = (weight, least)
     longer: dict[int, dict[str, list[str]]] = {1: {}, 2: {}}
@@ -231,7 +339,7 @@ def learn_lexicon(toxic: list[list[str]], clean: list[list[str]], support: int =
     def drawn_out(term: str, least: int) -> str:
         while True:
             more = [x for x in longer[least].get(term, []) if shown[least][x] >= 0.95 * shown[least][term]]
-            if term.endswith(END) or not more:
+            if term.endswith(END) or not more or _OF_UNSPACED.match(term):
                 return term
             term = max(more, key=lambda x: shown[least][x])
 
@@ -251,8 +359,7 @@ def train(sample: list[tuple[int, str]], rounds: int = 40) -> ToxicityModel:
     near = {0: Counter(), 1: Counter()}
     for label, documents in ((1, toxic), (0, clean)):
         for words in documents:
-            close = {t for word in set(words) for t, edits in automaton.hits(word).items() if edits}
-            near[label].update(close)
+            near[label].update({t for word in set(words) for t in misspelled(automaton, word)})
     # A misspelled hit keeps half of its term's weight as long as no clean document of the sample shows one.
     model.fuzzy = np.array([0.0 if near[0][t] else 0.5 * weights[t] for t in range(len(terms))])
     model.remembered.clear()

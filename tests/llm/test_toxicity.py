@@ -125,3 +125,36 @@ def test_terms_in_scripts_without_blanks_are_met(base):
 def test_marks_do_not_begin_a_word():
     assert toxicity.parts("\u092e\u0942\u0930\u094d\u0916") == [(0, 5)] and toxicity.parts("e\u0301te\u0301") == [(0, 5)]
     assert toxicity.parts("a,bc_d\u4f60\u597d") == [(0, 1), (2, 4), (5, 6), (6, 7), (7, 8)]
+
+
+def swapped(a, b):
+    return len(a) == len(b) and any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.text("abc", min_size=2, max_size=6), min_size=1, max_size=5, unique=True),
+    st.text("abcd", min_size=1, max_size=8),
+    st.booleans(),
+)
+def test_a_swap_is_one_edit(terms, word, ends):
+    terms = [term + toxicity.END if ends else term for term in terms]
+    got = toxicity.Automaton(terms, swaps=True).hits(word)
+    marked, want = word + toxicity.END, {}
+    for number, term in enumerate(terms):
+        starts = [marked[:n] for n in range(len(marked) + 1)]
+        near = [e for x in starts if (e := 1 if swapped(term, x) and term != x else edits(term, x)) is not None]
+        if near and (min(near) == 0 or len(term) >= toxicity.FUZZY_FROM):
+            want[number] = min(near)
+    assert got == want
+
+
+def test_a_clean_neighbour_hides_only_itself():
+    """'runtwik' is a clean word within one edit of the term 'gruntwik'; other misspellings keep their weight."""
+    sample = [(t, text + (" runtwik" if not t else "")) for _, text, t in made_up() for text in [text.replace("grumblet", "gruntwik")]]
+    model = toxicity.train(sample)
+    base = made_up(1, 79_000)[0][1]
+    clean = model.score(base)
+    assert model.score(f"{base} runtwik runtwik") == pytest.approx(clean, abs=1e-9)
+    for wrong in ("grvntwik", "grunntwik", "gruntwk", "grnutwik", "gruntwiks", "hey,gruntw1k"):
+        assert model.score(f"{base} {wrong} {wrong}") > clean + 0.1, wrong

@@ -27,6 +27,8 @@ END = "$"
 SHORTEST, LONGEST = 4, 12
 SHORTEST_UNSPACED = 2
 FUZZY_FROM = 5
+SWAP = 2
+FOLDS = 10
 _TOKEN = re.compile(r"[^\W_](?:\S*[^\W_])?")
 
 # Fixed values of Unicode: blocks of scripts that put no blanks between words, and marks that belong to the letter before.
@@ -44,9 +46,14 @@ _REMEMBERED, _REMEMBERED_CHARS = 200_000, 64
 
 @dataclass
 class Automaton:
-    """The Levenshtein automaton of up to one edit, intersected with a trie of terms; states are made on demand."""
+    """The Levenshtein automaton of up to one edit, intersected with a trie of terms; states are made on demand.
+
+    With ``swaps``, two neighbouring letters that changed places are one edit. Places are (node, edits), or (node, SWAP) after
+    the second of two such letters, where the node is that of both.
+    """
 
     terms: list[str]
+    swaps: bool = False
     exact: list[dict] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)
     before: list[str] = field(default_factory=list, repr=False)
@@ -75,24 +82,31 @@ class Automaton:
         places = places | {(child, 1) for node, edits in places if not edits for child in self.exact[node].values()}
         fewest: dict[int, int] = {}
         for node, edits in places:
-            fewest[node] = min(edits, fewest.get(node, 1))
-        frozen = frozenset(fewest.items())
+            if edits != SWAP:
+                fewest[node] = min(edits, fewest.get(node, 1))
+        frozen = frozenset(fewest.items()) | {place for place in places if place[1] == SWAP}
         if frozen not in self.states:
             self.states[frozen] = len(self.moves)
             self.places.append(frozen)
             self.moves.append({})
-            ended = {self.ends[node]: edits for node, edits in frozen if self.ends[node] >= 0}
+            ended = {self.ends[node]: edits for node, edits in frozen if edits != SWAP and self.ends[node] >= 0}
             self.found.append({n: e for n, e in ended.items() if not e or len(self.terms[n]) >= FUZZY_FROM})
         return self.states[frozen]
 
     def _move(self, state: int, char: str) -> int:
         after = set()
         for node, edits in self.places[state]:
+            if edits == SWAP:
+                if char == self.before[node]:
+                    after.add((node, 1))
+                continue
             for letter, child in self.exact[node].items():
                 if letter == char:
                     after.add((child, edits))
                 elif not edits:
                     after.add((child, 1))
+                    if self.swaps and char != END and char in self.exact[child]:
+                        after.add((self.exact[child][char], SWAP))
             if not edits:
                 after.add((node, 1))
         self.moves[state][char] = to = self._state(after) if after else -1
@@ -151,21 +165,33 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def misspelled(automaton: Automaton, token: str) -> set[int]:
-    """The terms that the token holds with an edit."""
+def variant(token: str, start: int, to: int, inside: list[tuple[int, int]]) -> str:
+    """The word of a hit from ``start`` to ``to``: up to the end of the last part that it reaches into."""
+    return token[start : max(end for begin, end in inside if begin < max(to, start + 1))]
+
+
+def misspelled(automaton: Automaton, token: str) -> set[tuple[int, str]]:
+    """The terms that the token holds with an edit, and the words that stand for them."""
     inside = parts(token)
     ends = frozenset(end for _, end in inside)
-    return {t for start, _ in inside for t, (edits, _) in automaton.reached(token, start, ends).items() if edits}
+    return {
+        (term, variant(token, start, to, inside))
+        for start, _ in inside
+        for term, (edits, to) in automaton.reached(token, start, ends).items()
+        if edits
+    }
 
 
 @dataclass
 class ToxicityModel:
-    """Terms, the weight of an exact and of a misspelled hit of each, and the regression over document features."""
+    """Terms, the weight of an exact and of a misspelled hit of each, the words that are no misspelling of a term as clean
+    documents show them, and the regression over document features."""
 
     terms: list[str]
     weights: np.ndarray
     fuzzy: np.ndarray
     least: np.ndarray
+    clean: frozenset[tuple[int, str]] = frozenset()
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros(4))
     window: int = 8
     quoted: float = 0.35
@@ -177,7 +203,7 @@ class ToxicityModel:
     def word(self, word: str) -> tuple[tuple[int, int, int, float], ...]:
         """The best terms that a token holds, none over another: part of the token, place in it, term and weight."""
         if self.automaton is None:
-            self.automaton = Automaton(self.terms)
+            self.automaton = Automaton(self.terms, swaps=True)
         if word in self.remembered:
             return self.remembered[word]
         inside = parts(word)
@@ -185,7 +211,9 @@ class ToxicityModel:
         found = []
         for part, (start, _) in enumerate(inside):
             best = None
-            for term, (edits, _) in self.automaton.reached(word, start, ends).items():
+            for term, (edits, to) in self.automaton.reached(word, start, ends).items():
+                if edits and (term, variant(word, start, to, inside)) in self.clean:
+                    continue
                 weight = float(self.fuzzy[term] if edits else self.weights[term])
                 if weight > 0 and (best is None or (weight, -term) > (best[3], -best[2])):
                     best = (part, start, term, weight)
@@ -354,17 +382,32 @@ def train(sample: list[tuple[int, str]], rounds: int = 40) -> ToxicityModel:
     terms = sorted(lexicon)
     weights = np.array([lexicon[term][0] for term in terms])
     model = ToxicityModel(terms, weights, np.zeros(len(terms)), np.array([lexicon[term][1] for term in terms]))
-    automaton = Automaton(terms)
+    automaton = Automaton(terms, swaps=True)
     model.automaton = automaton
-    near = {0: Counter(), 1: Counter()}
-    for label, documents in ((1, toxic), (0, clean)):
-        for words in documents:
-            near[label].update({t for word in set(words) for t in misspelled(automaton, word)})
-    # A misspelled hit keeps half of its term's weight as long as no clean document of the sample shows one.
-    model.fuzzy = np.array([0.0 if near[0][t] else 0.5 * weights[t] for t in range(len(terms))])
+    # A misspelled hit has half of its term's weight, unless clean documents of the sample show the word: it is taken for a
+    # misspelling then only if, as with terms, nine in ten documents that show it are toxic.
+    model.fuzzy = 0.5 * weights
+    near = [{hit for word in set(words) for hit in misspelled(automaton, word)} for words in toxic + clean]
+    of_toxic, of_clean = (Counter(hit for hits in some for hit in hits) for some in (near[: len(toxic)], near[len(toxic) :]))
+
+    def known_clean(n: Counter) -> frozenset[tuple[int, str]]:
+        return frozenset(hit for hit, k in n.items() if of_toxic[hit] < 0.9 * (of_toxic[hit] + k))
+
+    # New documents hold clean words that the sample lacks. For the regression, a clean document is one: in turn, a tenth of
+    # them count as unseen.
+    texts = [text for label, text in sample if label] + [text for label, text in sample if not label]
+    fold = [-1] * len(toxic) + [i % FOLDS for i in range(len(clean))]
+    x = np.zeros((len(texts), 4))
+    for turn in range(-1, FOLDS):
+        unseen = Counter(hit for hits, f in zip(near, fold, strict=True) if f == turn >= 0 for hit in hits)
+        model.clean = known_clean(of_clean - unseen)
+        model.remembered.clear()
+        for i, text in enumerate(texts):
+            if fold[i] == turn:
+                x[i] = model.features(text)
+    model.clean = known_clean(of_clean)
     model.remembered.clear()
-    x = np.array([model.features(text) for _, text in sample]).reshape(-1, 4)
-    y = np.array([float(bool(label)) for label, _ in sample])
+    y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
     ridge = np.diag([1e-3, 0.05, 0.05, 0.05])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ model.coefficients, -35, 35)))

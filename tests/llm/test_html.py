@@ -114,3 +114,31 @@ def test_odd_rows(spark, model):
     assert found == {(1, text), (2, ""), (None, "")}
     assert all(row["n_chars"] == len(row["text"]) for row in got)
     assert html.extract_main_text(table.limit(0), model).collect() == []
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<head><title>t</title><article><p>a</article>", ["a"]),
+        ("<html><head><meta x><link y><title>t</title><p>a<p>b</html>", ["a", "b"]),
+        ("<html><head><title>t</title><noscript><link x><body><p>a", ["a"]),
+        ("<html><head><title>t</title><noscript><link x><article><p>a<noscript>n</noscript></article>", ["a"]),
+        ("<head><noscript><div>n</div></noscript><template><p>n</p></template><title>t</title><p>a", ["a"]),
+        ("<head><template><p>a<body><p>b", ["a", "b"]),
+        ("<head><title>t</title>a <b>b</b>", ["a b"]),
+        ("<head><title>t</title><span>a</span><br>b", ["a b"]),
+        ("<head><title>t</title>a", ["a"]),
+        ("<head><title>t</title><svg><text>n</text></svg><p>a", ["a"]),
+        ("<head><script>s</script> </head> <body><head><p>a", ["a"]),
+        ("<body><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be", ["let x=2 be"]),
+    ],
+)
+def test_head_without_end_and_formulas(source, want):
+    assert parse(source).texts == want
+
+
+def test_main_text_without_head_and_body_tags(model):
+    words = "Some words, and more of them, stand in this sentence of the page. "
+    inside = f"<article><h1>A title</h1><p>{words * 5}</p><p>{words * 4}</p></article>"
+    closed = html.main_text(f"<html><head><title>t</title></head><body>{inside}</body></html>", model)
+    assert closed and html.main_text(f"<html><head><title>t</title>{inside}", model) == closed

@@ -19,9 +19,14 @@ BLOCKS = frozenset(
     "th thead tr ul".split()
 )
 SILENT = frozenset(
-    "head noscript template svg math iframe select datalist button object canvas audio video map noframes progress meter".split()
+    "head noscript template svg iframe select datalist button object canvas audio video map noframes progress meter".split()
 )
 RAW = frozenset("script style textarea title xmp noembed".split())
+IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript template noframes".split())
+_HEAD_PARTS = {
+    tag: re.compile(rf"</({tag})\b|<body\b|</head\b{more}", re.I)
+    for tag, more in (("noscript", r"|<noscript\b"), ("template", ""), ("noframes", r"|<noframes\b"))
+}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _PARENTS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 _ENDED_BY = {
@@ -125,10 +130,20 @@ def parse(source: str) -> Page:
         flush()
         del stack[depth:]
 
+    def head() -> int:
+        """Where an open head is on the stack, 0 if there is none: it stands first on the page or in html."""
+        return next((depth for depth in (1, 2) if depth < len(stack) and page.nodes[stack[depth]].tag == "head"), 0)
+
+    def begun() -> bool:
+        """Whether anything but html has begun, so that no head can."""
+        return bool(page.texts) or any(node.tag != "html" for node in page.nodes[1:]) or any(x.strip() for x in pieces)
+
     for match in _TAG.finditer(source):
         start = match.start()
         if start < place:
             continue
+        if page.nodes[stack[-1]].tag == "head" and source[place:start].strip():
+            close_to(head())  # text cannot stand in a head
         node = page.nodes[stack[-1]]
         if start > place and not node.silent:
             text = source[place:start]
@@ -140,6 +155,15 @@ def parse(source: str) -> Page:
         if name is None:
             continue
         tag, closing = name.lower(), match.group(1)
+        if node.silent and (depth := head()):
+            # Both tags of head may be left out: what cannot stand in it ends it, and body ends what is open in it, too.
+            if tag == "body" or node.tag == "head" and (tag in ("html", "br") if closing else tag not in IN_HEAD and tag != "html"):
+                close_to(depth)
+                node = page.nodes[stack[-1]]
+            elif node.tag == "head" and not closing and tag in _HEAD_PARTS:
+                end = _HEAD_PARTS[tag].search(source, place)
+                if not end or not end.group(1):
+                    continue  # never closed: what follows stands in the head itself, or ends it
         if tag in RAW and not closing:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(source, place)
             place = end.end() if end else length
@@ -152,8 +176,8 @@ def parse(source: str) -> Page:
             if not closing:
                 if tag in ("html", "body") and any(page.nodes[i].tag == tag for i in stack):
                     continue
-                if node.tag == "head" and tag == "body":
-                    close_to(len(stack) - 1)
+                if tag == "head" and begun():
+                    continue
                 ends, within = _ENDED_BY.get(tag), _PARENTS.get(tag, ())
                 for depth in range(len(stack) - 1, 0, -1):
                     open_tag = page.nodes[stack[depth]].tag
@@ -178,6 +202,8 @@ def parse(source: str) -> Page:
                         break
                 else:
                     flush()
+    if page.nodes[stack[-1]].tag == "head" and source[place:].strip():
+        close_to(head())
     if place < length and not page.nodes[stack[-1]].silent:
         pieces.append(source[place:])
     flush()

@@ -3,7 +3,21 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import ann, html, jaccard, language, licenses, mixing, packing, quality, sharding, toxicity
+from tracelake.llm import (
+    ann,
+    audit,
+    html,
+    infill,
+    jaccard,
+    language,
+    licenses,
+    lines,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    toxicity,
+)
 from tracelake.llm.samples import remainder
 
 # Fixed value: words are runs of characters other than ASCII white space.
@@ -109,6 +123,28 @@ def op8_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Five filters in all their orders, for each source."""
+    masks = audit.document_masks(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return audit.filter_interactions(masks, "part", "ABCDE", {"good_lost": "good", "toxic_lost": "toxic"})
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of 40 characters or more that five documents share."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(documents).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the documents in order for infilling, and what is got back from them."""
+    made = infill.infill(table(spark, folder, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("text"), F.col("form"))
+    digests = [F.sha2("text", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_main_text": op2_main_text,
@@ -120,4 +156,7 @@ QUERIES = {
     "op8_jump_shards": op8_jump_shards,
     "op9_pack_documents": op9_pack_documents,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_infill": op13_infill,
 }

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -158,3 +159,28 @@ def test_a_clean_neighbour_hides_only_itself():
     assert model.score(f"{base} runtwik runtwik") == pytest.approx(clean, abs=1e-9)
     for wrong in ("grvntwik", "grunntwik", "gruntwk", "grnutwik", "gruntwiks", "hey,gruntw1k"):
         assert model.score(f"{base} {wrong} {wrong}") > clean + 0.1, wrong
+
+
+@pytest.mark.parametrize("unit", ["gru/mblet/", "snorkwti/", "\u6f22\u5b57snorkwt", "12/", "dunderhta,,,"])
+def test_a_long_token_takes_time_in_proportion(model, unit):
+    """A megabyte without a blank is one token; its misspelled terms are found without looking back and forth in it."""
+    text = unit * (1_000_000 // len(unit.encode()))
+    begin = time.perf_counter()
+    assert 0 <= model.score(text) <= 1
+    toxicity.begins(text)
+    assert time.perf_counter() - begin < 10
+    assert (model.score(unit * 50) >= model.threshold) == (unit != "12/")  # a sign within a term is an edit, too
+
+
+def test_model_of_a_task_is_the_model_of_its_sample(spark):
+    """Fitting in one task gives what training on the collected sample gives."""
+    rows = made_up()
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows] * 2, "doc_id bigint, toxic int")
+    docs = documents(spark, [(i, text) for i, text, _ in rows])
+    sample = toxicity.labelled_sample(labels, docs, "doc_id", F.col("toxic"), "text", 100, 2, 20_000)
+    pairs = [tuple(row) for row in sample.collect()]
+    assert len(pairs) == 200 and sum(label for label, _ in pairs) == 100
+    own, fitted = toxicity.train(pairs), toxicity.fit_toxicity_model(labels, docs, per_label=100)
+    assert own.terms == fitted.terms and own.clean == fitted.clean
+    texts = [text for _, text, _ in made_up(50, 5000)]
+    assert [own.score(text) for text in texts] == [fitted.score(text) for text in texts]

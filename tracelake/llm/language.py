@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.samples import labelled_sample
+from tracelake.llm.samples import fitted, labelled_sample
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -191,7 +191,8 @@ def fit_language_model(
     chars: int = 2000,
 ) -> LanguageModel:
     """Fit on at most ``per_lang`` rows of each of the ``most_langs`` most frequent languages, ``chars`` characters of each."""
-    return train(labelled_sample(labelled, labelled, key, F.col(lang), text, per_lang, most_langs, chars))
+    sample = labelled_sample(labelled, labelled, key, F.col(lang), text, per_lang, most_langs, chars)
+    return fitted(sample, train, LanguageModel)
 
 
 def language(model: LanguageModel, text: Column) -> Column:

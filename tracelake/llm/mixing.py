@@ -3,11 +3,11 @@
 Every source's documents are laid end to end and packed into blocks of a fixed length. Each output shard draws how many
 blocks it takes from every source, from a multinomial over what the sources still owe. A source's slots are numbered
 over all shards and mapped to blocks by a pseudorandom permutation of the block numbers, once per pass over the source,
-and the blocks are joined by their numbers.
+and the blocks are joined by their numbers. Of the last block that a source gives, only as much is taken as it still owes.
 """
 
+import math
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,63 +16,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions.staging import staged
-from tracelake.llm.numbering import running_before, runs_for
+from tracelake.llm.numbering import numbered_runs, running_before, runs_for
 
 MIXED = 0x9E3779B97F4A7C15  # fixed value: the 64-bit golden ratio that is usual for spreading bits
 
 SLOTS_PER_RUN = 1 << 16
+#: Sources with more than this part of all documents meet them by a broadcast: there can be no more of them.
+HOT_SHARE = 1000
+#: Up to so many sources are drawn on the driver one by one, more in groups.
+DRAWN_TOGETHER = 1024
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@dataclass(frozen=True)
-class Source:
-    """A source: its place in the order, all its sizes together, and what the mix is to take."""
+def even_counts(total: int, shards: int) -> np.ndarray:
+    """``total`` over the shards, equal but for one more or less."""
+    return np.array([(total + shard) // shards for shard in range(shards)], dtype=np.int64)
 
-    number: int
-    name: str | None
-    size: int
-    target: float
 
-
-def share_targets(sizes: list[int], weights: list[float], total: float, most: float = 2.0) -> list[float]:
-    """``total`` shared by weight; a share stops at ``most`` times its size and the excess is shared again by weight.
-
-    Sources without a positive weight or size get 0. If all sources stop, the rest of ``total`` stays unshared.
-    """
-    targets = [0.0] * len(sizes)
-    open_ = [i for i, (size, weight) in enumerate(zip(sizes, weights, strict=True)) if size > 0 and weight > 0]
-    left = float(total)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in full:
-            targets[i] = most * sizes[i]
-        left -= sum(targets[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    return targets
-
-
-def draw_counts(owed: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Slots by output shard and source. The shards get equal numbers of slots, one more or less; a shard's are drawn by
-    a multinomial whose weights are what the sources still owe, and no source gives more than that, so the sums are exactly
-    ``owed``."""
+def drawn_counts(owed: np.ndarray, wanted: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Slots by output shard and source: ``wanted`` of each shard, drawn by a multinomial whose weights are what the sources
+    still owe. No source gives more than that, and together they owe just what is wanted, so the sums are exactly ``owed``."""
     owed = owed.astype(np.int64).copy()
-    counts = np.zeros((shards, len(owed)), dtype=np.int64)
-    random = np.random.Generator(np.random.PCG64(seed))
-    for shard in range(shards):
-        wanted = int(owed.sum()) // (shards - shard)
-        while wanted:
-            drawn = np.minimum(random.multinomial(wanted, owed / owed.sum()), owed)
+    counts = np.zeros((len(wanted), len(owed)), dtype=np.int64)
+    for shard, left in enumerate(wanted.tolist()):
+        while left:
+            drawn = np.minimum(random.multinomial(left, owed / owed.sum()), owed)
             counts[shard] += drawn
             owed -= drawn
-            wanted -= int(drawn.sum())
+            left -= int(drawn.sum())
     return counts
 
 
+def draw_counts(owed: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """``drawn_counts`` for shards with equal numbers of slots, one more or less."""
+    random = np.random.Generator(np.random.PCG64(seed))
+    return drawn_counts(owed, even_counts(int(owed.sum()), shards), random)
+
+
 def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """A pseudorandom permutation of 0 .. size - 1 for every seed, by a four-round Feistel network over the next power
     of four; what falls outside is sent through again until it falls inside."""
@@ -101,18 +81,97 @@ def _permuted(index: pd.Series, size: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), size.to_numpy(), seed.to_numpy()))
 
 
-def source_table(
-    sized: DataFrame, weights: tuple[float, ...], share: float, most: float, max_sources: int
-) -> list[Source]:
-    """The sources in the order of their names by code point, null last, with their targets."""
-    found = sized.groupBy("source").agg(F.sum("size").cast("bigint").alias("size")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources; their targets are planned on the driver")
-    found.sort(key=lambda row: (row["source"] is None, row["source"] or ""))
-    sizes = [row["size"] for row in found]
-    shares = [weights[i % len(weights)] for i in range(len(found))]
-    targets = share_targets(sizes, shares, share * sum(sizes), most)
-    return [Source(i, row["source"], sizes[i], targets[i]) for i, row in enumerate(found)]
+def source_table(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """(source_no, source, source_size, uses, target) of every source; uses: its documents.
+
+    Sources are numbered in the order of their names by code point, null last. Together they share ``share`` times all
+    sizes by weight; a share stops at ``most`` times its source's size, and the excess is shared again by weight. Sources
+    without a positive weight or size get 0. If all sources stop, the rest stays unshared.
+
+    Sources stop in the order of size by weight. Running sums in that order tell for each whether it would stop if all
+    before it had, and the first that would not gives the level of all that are left. However many sources there are, the
+    driver sees only the sum of all sizes and that level.
+    """
+    sums = sized.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"), F.count("*").alias("uses"))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    named = staged(numbered_runs(sums.withColumn("one", F.lit(0)), by_name, "run"), "mix-sources")
+    numbered = running_before(named, ["one"], F.col("run"), by_name, F.lit(1).cast("bigint"), "source_no")
+    turn = (F.col("source_no") % len(weights)).cast("int")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), turn)
+    limit = F.lit(float(most)) * F.col("source_size")
+    shares = (F.col("source_size") > 0) & (weight > 0)
+    weighed = staged(
+        numbered.select(
+            "source_no", "source", "source_size", "uses", "one", turn.alias("turn"), weight.alias("weight"),
+            F.when(shares, limit / weight).alias("stops_at"),
+        ),
+        "mix-weights",
+    )
+    of_turn = [F.sum(F.when(F.col("turn") == i, 1).otherwise(0)).alias(f"turn_{i}") for i in range(len(weights))]
+    levels = weighed.where("stops_at is not null").groupBy("one", "stops_at").agg(F.sum("source_size").alias("size"), *of_turn)
+    levels = staged(numbered_runs(levels, [F.col("stops_at")], "run"), "mix-levels")
+    open_ = weighed.where("stops_at is not null").agg(F.sum("weight").alias("weight")).first()["weight"]
+    total = weighed.agg(F.sum("source_size").alias("size")).first()["size"]
+    for name in ("size", *(f"turn_{i}" for i in range(len(weights)))):
+        levels = running_before(levels, ["one"], F.col("run"), [F.col("stops_at")], F.col(name), f"{name}_before")
+    weight_before = sum((F.col(f"turn_{i}_before") * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+    shared, open_ = F.lit(share * float(total or 0)), F.lit(float(open_ or 0))
+    level = ((shared - F.lit(float(most)) * F.col("size_before")) / (open_ - weight_before)).alias("level")
+    found = levels.select("stops_at", level).where("level < stops_at").agg(F.min(F.struct("stops_at", "level")).alias("at"))
+    at = found.first()["at"]
+    stops = F.lit(True) if at is None else F.col("stops_at") < at["stops_at"]
+    target = F.when(stops, limit).otherwise(F.lit(0.0 if at is None else at["level"]) * F.col("weight"))
+    target = F.when(F.col("stops_at").isNull(), F.lit(0.0)).otherwise(target)
+    return staged(weighed.select("source_no", "source", "source_size", "uses", target.alias("target")), "mix-targets")
+
+
+def _planned(sources: DataFrame, block: int) -> DataFrame:
+    """What each source gives: (source_no, blocks, whole, owed, cut).
+
+    A pass over a source takes all its ``blocks`` once: the ``whole`` ones and then what is left at its end. ``owed`` counts
+    the blocks of all passes; of the last one only the first ``cut`` units are taken, if that is not 0. So a source gives
+    its target to the unit.
+    """
+    size, unit = F.col("source_size"), F.lit(block).cast("bigint")
+    div = lambda a, b: F.call_function("div", a, b)
+    wanted = F.round("target").cast("bigint")
+    whole = div(size, unit)
+    blocks = whole + (size % unit > 0).cast("bigint")
+    rest = wanted % size
+    owed = div(wanted, size) * blocks + div(rest, unit) + (rest % unit > 0).cast("bigint")
+    giving = sources.where((size > 0) & (wanted > 0))
+    return giving.select(
+        "source_no", blocks.alias("blocks"), whole.alias("whole"), owed.alias("owed"), (rest % unit).alias("cut")
+    )
+
+
+def _drawn(planned: DataFrame, shards: int, seed: int, sources: int) -> tuple[DataFrame, int]:
+    """(source_no, blocks, whole, owed, cut, shard, first, n): which slots of a source each shard takes; and all slots.
+
+    Sources are dealt into groups, about as many as the root of their number. The driver draws the counts of the groups,
+    and a task for each group those of its sources, so the counts are a multinomial over all sources. Up to
+    ``DRAWN_TOGETHER`` sources are a group each.
+    """
+    groups = max(DRAWN_TOGETHER, math.isqrt(sources))
+    grouped = planned.withColumn("group", F.pmod("source_no", F.lit(groups)))
+    sums = sorted((r["group"], r["owed"]) for r in grouped.groupBy("group").agg(F.sum("owed").alias("owed")).collect())
+    counts = draw_counts(np.array([owed for _, owed in sums], dtype=np.int64), shards, seed)
+    totals = planned.sparkSession.createDataFrame(
+        [(group, counts[:, i].tolist()) for i, (group, _) in enumerate(sums)], "group bigint, wanted array<bigint>"
+    )
+    columns = planned.columns
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source_no", ignore_index=True)
+        random = np.random.Generator(np.random.PCG64([seed, int(rows["group"][0])]))
+        found = drawn_counts(rows["owed"].to_numpy(), np.array(rows["wanted"][0], dtype=np.int64), random)
+        firsts = np.cumsum(found, axis=0) - found
+        shard, row = np.nonzero(found)
+        drawn = rows.loc[row, columns].reset_index(drop=True)
+        return drawn.assign(shard=shard.astype(np.int32), first=firsts[shard, row], n=found[shard, row])
+
+    schema = ", ".join(f"{c} bigint" for c in columns) + ", shard int, first bigint, n bigint"
+    return grouped.join(totals, "group").groupBy("group").applyInPandas(draw, schema), sum(owed for _, owed in sums)
 
 
 def mix_sources(
@@ -124,12 +183,11 @@ def mix_sources(
     block: int = 64,
     shards: int = 16,
     seed: int = 20,
-    max_sources: int = 100_000,
     key: str = "doc_id",
     source: str = "source",
 ) -> DataFrame:
-    """Every span of a document that the mix takes, once for each time it takes it; a document that it never takes has
-    one row without a shard.
+    """Every span of a document that the mix takes, once for each time it takes it; spans that it does not take, and
+    documents without a size, have a row without a shard.
 
     Columns: key, size, source, source_size, target, row (tells rows with the same key apart; it is the document's place
     in its source), start and length (the span, in units of ``size``), shard, place (in the shard, together with other
@@ -137,33 +195,20 @@ def mix_sources(
 
     - ``size`` is a whole number of 0 or more; null counts as 0. ``weights`` repeat over the sources in the order of
       their names by code point, null last; together they share ``share`` times all sizes, each at most ``most`` times
-      its source's size. A source gives its target to within one and a half blocks.
+      its source's size. A source gives its target to the unit, rounded, however small it is.
     - At most ceil(``most``) passes go over a source, so no document is taken more often.
     - A rerun over the same rows gives the same mix, in whatever order they are read. Rows that are equal in key and size
       are told apart only by place. Other columns play no part. An empty table gives an empty mix.
-    - The driver plans ``shards`` x sources counts; more than ``max_sources`` sources are refused.
+    - There may be as many sources as documents. Sources with more than one in ``HOT_SHARE`` of all documents, of which
+      there are ``HOT_SHARE`` at most, meet their documents by a broadcast, all others in a shuffle.
     """
-    spark = documents.sparkSession
     sized = documents.select(
         F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size")
     )
     sized = staged(sized, "mix-sizes")
-    sources = source_table(sized, weights, share, most, max_sources)
-    blocks = np.array([-(-s.size // block) for s in sources], dtype=np.int64)
-    last = np.array([s.size - (n - 1) * block if n else 0 for s, n in zip(sources, blocks, strict=True)])
-    targets = np.array([s.target for s in sources])
-    whole = blocks * block - (block - last) * (blocks > 0)  # the size of one pass, as its last block may be short
-    passes = np.where(whole > 0, targets // np.maximum(whole, 1), 0).astype(np.int64)
-    rest = np.rint((targets - passes * whole) / block).astype(np.int64)
-    owed = passes * blocks + np.minimum(rest, blocks)
-
-    known = spark.createDataFrame(
-        [(s.number, s.name, s.size, s.target) for s in sources],
-        "source_no int, source string, source_size bigint, target double",
-    )
-    numbered = sized.join(
-        F.broadcast(known), sized["source"].eqNullSafe(known["source"]) if sources else F.lit(False)
-    ).select("key", "size", sized["source"], "source_no", "source_size", "target")  # at most max_sources small rows
+    sources = source_table(sized, weights, share, most)
+    number = sources.count()
+    numbered = _with_sources(sized, sources)
     run = F.pmod(F.xxhash64("key"), F.lit(runs_for(sized.count())))
     laid = running_before(numbered, ["source_no"], run, [F.col("key"), F.col("size")], F.col("size"), "row")
 
@@ -175,34 +220,33 @@ def mix_sources(
         .withColumn("__to", F.least(ends, (F.col("block") + 1) * block))
     )
 
-    counts = draw_counts(owed, shards, seed)
-    offsets = np.cumsum(counts, axis=0) - counts
-    plan = [
-        (i, int(n), shard, int(offsets[shard, i]), int(counts[shard, i]))
-        for i, n in enumerate(blocks)
-        for shard in range(shards)
-        if counts[shard, i]
-    ]
-    drawn = spark.createDataFrame(plan, "source_no int, blocks bigint, shard int, first bigint, n bigint")
+    drawn, owed = _drawn(_planned(sources, block), shards, seed, number)
+    drawn = staged(drawn, "mix-draws")
     ends_at = F.col("first") + F.col("n")
     runs = drawn.withColumn("at", F.explode(F.sequence(F.col("first"), ends_at - 1, F.lit(SLOTS_PER_RUN)))).withColumn(
         "until", F.least(ends_at, F.col("at") + SLOTS_PER_RUN) - 1
     )
-    slots = runs.repartition(1 + int(owed.sum()) // (8 * SLOTS_PER_RUN), "source_no", "at").select(
-        "source_no", "blocks", "shard", F.explode(F.sequence("at", "until")).alias("slot")
+    slots = runs.repartition(1 + owed // (8 * SLOTS_PER_RUN), "source_no", "at").select(
+        "source_no", "blocks", "whole", "owed", "cut", "shard", F.explode(F.sequence("at", "until")).alias("slot")
     )
-    copy = F.floor(F.col("slot") / F.col("blocks"))
+    copy, place = F.call_function("div", F.col("slot"), F.col("blocks")), F.col("slot") % F.col("blocks")
+    pass_seed = F.hash("source_no", copy, F.lit(seed)).cast("bigint")
+    among = F.greatest(F.col("whole"), F.lit(1))
+    mapped = _permuted(F.least(place, among - 1), among, pass_seed)  # what is left at a source's end is the last of a pass
+    partial = (F.col("slot") == F.col("owed") - 1) & (F.col("cut") > 0)
     picked = slots.select(
         "source_no",
         "shard",
         copy.alias("copy"),
-        _permuted(
-            F.col("slot") % F.col("blocks"), F.col("blocks"), F.hash("source_no", copy, F.lit(seed)).cast("bigint")
-        ).alias("block"),
+        F.when(place < F.col("whole"), mapped).otherwise(F.col("whole")).alias("block"),
+        F.when(partial, F.col("cut")).otherwise(block).alias("upto"),
         F.xxhash64("source_no", "slot", F.lit(seed)).alias("place"),
     )
     # Before they are counted out, slots look few enough to broadcast; they are as many as the mix has blocks.
-    return pieces.join(picked.hint("merge"), ["source_no", "block"], "left").select(
+    joined = pieces.join(picked.hint("merge"), ["source_no", "block"], "left")
+    stop = F.least("__to", F.col("block") * block + F.coalesce("upto", F.lit(block)))
+    is_taken = F.col("shard").isNotNull() & (F.col("__from") < stop)
+    return joined.select(
         F.col("key").alias(key),
         "size",
         "source",
@@ -210,13 +254,22 @@ def mix_sources(
         "target",
         "row",
         (F.col("__from") - F.col("row")).alias("start"),
-        (F.col("__to") - F.col("__from")).alias("length"),
-        "shard",
-        "place",
-        "copy",
+        (F.when(is_taken, stop).otherwise(F.col("__to")) - F.col("__from")).alias("length"),
+        *(F.when(is_taken, F.col(c)).alias(c) for c in ("shard", "place", "copy")),
     )
 
 
+def _with_sources(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """The documents with number, size and target of their source."""
+    known = sources.withColumnRenamed("source", "name")
+    hot = F.col("uses") > F.lit(sized.count() / HOT_SHARE)
+    often, seldom = F.broadcast(known.where(hot)), known.where(~hot)
+    same = F.col("source").eqNullSafe(F.col("name"))
+    columns = ["key", "size", "source", "source_no", "source_size", "target"]
+    rest = sized.join(often, same, "left_anti")
+    return sized.join(often, same).select(*columns).unionByName(rest.join(seldom, same).select(*columns))
+
+
 def taken(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for each document of ``mix_sources``: key, size, source, source_size, target and the units taken.
 

@@ -36,6 +36,15 @@ def running_before(
     )
 
 
+def numbered_runs(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` dealt out by ranges of ``order``, with the number of its range in ``name``: a ``run`` for rows of one group.
+
+    The numbers rise with the order. They depend on how Spark dealt the rows, so the result has to be written down
+    before it is used twice.
+    """
+    return rows.repartitionByRange(*order).withColumn(name, F.spark_partition_id().cast("bigint"))
+
+
 def runs_for(rows: int) -> int:
     """Into how many runs a table is cut: as many as a run of one group then has rows at most."""
     return max(1, math.isqrt(rows))

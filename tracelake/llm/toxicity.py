@@ -10,10 +10,11 @@ into a score.
 
 import math
 import re
+import sys
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.samples import labelled_sample
+from tracelake.llm.samples import fitted, labelled_sample
 
 END = "$"
 SHORTEST, LONGEST = 4, 12
@@ -145,29 +146,44 @@ def parts(token: str) -> list[tuple[int, int]]:
     return [match.span() for match in _PART.finditer(token)]
 
 
-@lru_cache(_REMEMBERED)
-def begins(token: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+def begins(token: str) -> tuple[tuple[str, tuple[str, ...] | None], ...]:
     """For every place in a token where a term may begin: what follows, up to the length of the longest term, and the words
-    that end there: the run of letters and digits, and the rest of the token; none in scripts without blanks."""
+    that end there: the run of letters and digits, and the rest of the token; none in scripts without blanks, and none that
+    are longer than any word."""
     found = []
     for start, end in parts(token):
-        rest = token[start:]
-        if _OF_UNSPACED.match(rest):
-            found.append((rest[:LONGEST], ()))
-        elif not rest.isdigit():
-            run = rest[: end - start]
-            found.append((rest[:LONGEST], (rest,) if run == rest or run.isdigit() else (run, rest)))
+        begun = token[start : start + LONGEST]
+        if _OF_UNSPACED.match(begun):
+            found.append((begun, None))
+            continue
+        run = token[start:end]
+        digits = run.isdigit()
+        if not digits or end < len(token):
+            rest = [token[start:]] if len(token) - start <= _REMEMBERED_CHARS else []
+            wholes = rest if digits or end == len(token) or end - start > _REMEMBERED_CHARS else [run, *rest]
+            found.append((begun, tuple(wholes)))
     return tuple(found)
 
 
+class _Begins(dict):
+    """``begins`` of the tokens asked for last; each token is looked into once for all its uses."""
+
+    def __missing__(self, token: str) -> tuple[tuple[str, tuple[str, ...] | None], ...]:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        found = self[token] = begins(token)
+        return found
+
+
 def tokens(text: str) -> list[str]:
-    """Lower-cased words from their first letter or digit to their last."""
-    return _TOKEN.findall(text.lower())
+    """Lower-cased words from their first letter or digit to their last; equal words are one object."""
+    return [sys.intern(token) for token in _TOKEN.findall(text.lower())]
 
 
 def variant(token: str, start: int, to: int, inside: list[tuple[int, int]]) -> str:
     """The word of a hit from ``start`` to ``to``: up to the end of the last part that it reaches into."""
-    return token[start : max(end for begin, end in inside if begin < max(to, start + 1))]
+    last = bisect_left(inside, (max(to, start + 1),)) - 1  # parts stand in order and apart
+    return token[start : inside[last][1]]
 
 
 def misspelled(automaton: Automaton, token: str) -> set[tuple[int, str]]:
@@ -280,7 +296,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.coefficients, -35, 35))))
 
 
-def _known_unspaced(documents: list[list[str]], support: int) -> set[str]:
+def _known_unspaced(documents: list[list[str]], support: int, begun_by: _Begins) -> set[str]:
     """Beginnings in scripts without blanks that ``support`` documents show, each drawn out from one that they show."""
     known: set[str] = set()
     last: set[str] | None = None
@@ -291,8 +307,8 @@ def _known_unspaced(documents: list[list[str]], support: int) -> set[str]:
                 rest[:length]
                 for word in set(words)
                 if not word.isascii()
-                for rest, wholes in begins(word)
-                if not wholes and len(rest) >= length
+                for rest, wholes in begun_by[word]
+                if wholes is None and len(rest) >= length
             }
             counts.update(x for x in begun if last is None or x[:-1] in last)
         last = {x for x, n in counts.items() if n >= support}
@@ -302,15 +318,15 @@ def _known_unspaced(documents: list[list[str]], support: int) -> set[str]:
     return known
 
 
-def _candidates(words: list[str], known: set[str]) -> tuple[set[str], set[str]]:
+def _candidates(words: list[str], known: set[str], begun_by: _Begins) -> tuple[set[str], set[str]]:
     """Words and beginnings of words that occur, and those that occur twice or more; in scripts without blanks, of ``known``."""
     seen: Counter = Counter()
     for word, n in Counter(words).items():
-        for rest, wholes in begins(word):
-            for whole in wholes:
+        for rest, wholes in begun_by[word]:
+            for whole in wholes or ():
                 seen[whole + END] += n
-            for length in range(SHORTEST if wholes else SHORTEST_UNSPACED, len(rest) + 1):
-                if not wholes and rest[:length] not in known:
+            for length in range(SHORTEST_UNSPACED if wholes is None else SHORTEST, len(rest) + 1):
+                if wholes is None and rest[:length] not in known:
                     break
                 seen[rest[:length]] += n
     return set(seen), {term for term, n in seen.items() if n > 1}
@@ -330,17 +346,18 @@ def learn_lexicon(toxic: list[list[str]], clean: list[list[str]], support: int =
     something to be compared with.
     """
     share = len(toxic) / max(1, len(toxic) + len(clean))
-    known = _known_unspaced(toxic, support)
+    begun_by = _Begins()
+    known = _known_unspaced(toxic, support, begun_by)
     taken: dict[str, tuple[float, int, float]] = {}
     shown: dict[int, Counter] = {}
     for least in (1, 2):
         shown[least] = mine = Counter()
         for words in toxic:
-            mine.update(_candidates(words, known)[least - 1])
+            mine.update(_candidates(words, known, begun_by)[least - 1])
         shown[least] = mine = Counter({term: v for term, v in mine.items() if v >= support})
         others: Counter = Counter()
         for words in clean:
-            others.update(mine.keys() & _candidates(words, known)[least - 1])
+            others.update(mine.keys() & _candidates(words, known, begun_by)[least - 1])
         alike = Counter(v + others[term] for term, v in mine.items())
         for term, v in mine.items():
             n = v + others[term]
@@ -429,7 +446,7 @@ def fit_toxicity_model(
     chars: int = 20_000,
 ) -> ToxicityModel:
     """Fit on at most ``per_label`` documents of each label, ``chars`` characters of each."""
-    return train(labelled_sample(labels, documents, key, F.col(label), text, per_label, 2, chars))
+    return fitted(labelled_sample(labels, documents, key, F.col(label), text, per_label, 2, chars), train, ToxicityModel)
 
 
 def toxicity(model: ToxicityModel, text: Column) -> Column:

@@ -1,12 +1,14 @@
 """Capture files to a ``packets`` table, in pieces that do not follow file boundaries.
 
-A file is cut into byte ranges. Records chain from one to the next, so the start of the first record of
-a range is guessed from its bytes and then verified: it has to be where the range before ends. Ranges
-that guessed wrong are walked again from the right place, until all fit together.
+A file is cut into byte ranges. Records chain from one to the next, but where the first record of a range begins only the
+range before can tell. So every range is walked once from all places near its beginning that could be record headers.
+Chains soon run into each other, and what is kept of a range is a small map: from the place where it is entered to the
+place where it leaves. These maps are composed by doubling: each round, every chain learns where it leads after twice as
+many ranges, so even a file of a million ranges, all guessed wrong, is put in order in twenty rounds over the small maps.
 
 A record header that cannot be one breaks the chain. Reading goes on at the next place where a chain begins, in the same
-range or, by its own guess, in the next one; so damage costs its own bytes and no more rounds. What is left out is
-listed with file, offset and bytes.
+range or in the next one; so damage costs its own bytes and no more rounds. A range is walked again only where it is
+entered at a valid header that does not look like one. What is left out is listed with file, offset and bytes.
 """
 
 from collections.abc import Iterator
@@ -18,6 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracelake.functions.staging import staged
 from tracelake.schemas import PACKETS
@@ -31,6 +34,16 @@ MOST_TASKS = 50_000
 _LOSS = T.StructType(
     [T.StructField("at", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("why", T.StringType())]
 )
+_CHAIN = T.StructType(
+    [
+        T.StructField("offsets", T.ArrayType(T.LongType())),  # where the range may be entered to get onto this chain
+        T.StructField("lead", T.IntegerType()),  # 1 if no record begins at the first of them
+        T.StructField("records", T.LongType()),
+        T.StructField("next", T.LongType()),  # where the chain leaves the range, if that is known
+        T.StructField("damaged", T.BooleanType()),  # whether the header there cannot be one
+        T.StructField("lost", T.ArrayType(_LOSS)),
+    ]
+)
 _RANGES = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -38,16 +51,13 @@ _RANGES = T.StructType(
         T.StructField("split_no", T.LongType()),
         T.StructField("start", T.LongType()),
         T.StructField("end", T.LongType()),
-        T.StructField("first", T.LongType()),
-        T.StructField("next", T.LongType()),
-        T.StructField("records", T.LongType()),
+        T.StructField("given", T.ArrayType(T.LongType())),
         T.StructField("error", T.StringType()),
-        T.StructField("lost", T.ArrayType(_LOSS)),
+        T.StructField("trusted", T.ArrayType(T.LongType())),
+        T.StructField("chains", T.ArrayType(_CHAIN)),
     ]
 )
-_ARROW_LOSS = pa.struct([("at", pa.int64()), ("bytes", pa.int64()), ("why", pa.string())])
-_ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.ArrayType(_LOSS): pa.list_(_ARROW_LOSS)}
-_RANGE_COLUMNS = pa.schema([(f.name, _ARROW[f.dataType]) for f in _RANGES])
+_RANGE_COLUMNS = to_arrow_schema(_RANGES)
 DAMAGED, CUT_OFF = "damaged", "cut off"
 
 
@@ -61,11 +71,11 @@ def _open(path: str):
 
 
 def _resume(header: FileHeader, source, at: int, end: int, length: int) -> int | None:
-    """The first place from ``at`` on, and before ``end``, where a chain of records begins."""
+    """The first place from ``at`` on, and before ``end``, where a trusted chain of records begins."""
     while at < end:
         block = source.read_at(min(SYNC_BYTES, length - at), at)
         sure = len(block) if at + len(block) >= length else len(block) // 2  # a chain needs room to show
-        found = header.synchronise(block, length - at, strict=True)
+        found = header.first_trusted(block, length - at)
         if found is not None and found < sure:
             return at + found if at + found < end else None
         at += sure
@@ -73,7 +83,7 @@ def _resume(header: FileHeader, source, at: int, end: int, length: int) -> int |
 
 
 def _walk(
-    header: FileHeader, source, first: int, end: int, length: int, lost: list[dict]
+    header: FileHeader, source, first: int, end: int, length: int, lost: list[dict], want: int = 4 << 20
 ) -> Iterator[tuple[bytes, int | None, list[int]]]:
     """Blocks of whole records from ``first`` on: ``(block, file offset, record starts in the block)``.
 
@@ -82,7 +92,6 @@ def _walk(
     chain of records, and a last record that the end of the file cuts off.
     """
     at = first
-    want = 4 << 20
     while at < end:
         block = source.read_at(min(want, length - at), at)
         starts, here, why = [], 0, None
@@ -114,29 +123,85 @@ def _walk(
     yield b"", at, []
 
 
+class _Chain:
+    """The records from ``first`` on that begin before ``end``, up to where they run into one of ``others``."""
+
+    def __init__(self, header: FileHeader, source, first: int, end: int, length: int, others: list["_Chain"]):
+        self.first, self.lost, self.next, self.damaged = first, [], None, False
+        found: list[np.ndarray] = []
+        for _, at, places in _walk(header, source, first, end, length, self.lost, 4 << 20 if not others else 1 << 16):
+            self.next, here = at, np.array(places, np.int64) + (at or 0)
+            met = [(int(np.flatnonzero(both)[0]), other) for other in others if (both := other.holds(here)).any()]
+            if met:
+                stop, other = min(met, key=lambda m: m[0])
+                found.append(here[:stop])
+                self._goes_on_as(other, int(here[stop]), found)
+                return
+            found.append(here)
+        self.starts = np.concatenate(found) if found else np.zeros(0, np.int64)
+        self.records = len(self.starts)
+        if self.next is not None and self.next < length:
+            if self.next + RECORD_HEADER > length:
+                self.lost.append({"at": self.next, "bytes": length - self.next, "why": CUT_OFF})
+                self.next = length
+            else:
+                start = source.read_at(RECORD_HEADER, self.next)
+                self.damaged = header.record.unpack_from(start)[2] > header.limit
+
+    def _goes_on_as(self, other: "_Chain", at: int, found: list[np.ndarray]) -> None:
+        self.starts = np.concatenate(found)
+        self.records = len(self.starts) + other.records - int(np.searchsorted(other.starts, at))
+        self.next, self.damaged = other.next, other.damaged
+        self.lost += [loss for loss in other.lost if loss["at"] >= at]
+
+    def holds(self, places: np.ndarray) -> np.ndarray:
+        if not len(self.starts):
+            return np.zeros(len(places), bool)
+        at = np.minimum(np.searchsorted(self.starts, places), len(self.starts) - 1)
+        return self.starts[at] == places
+
+    def row(self, until: int) -> dict:
+        entries = self.starts[: np.searchsorted(self.starts, until)].tolist()
+        lead = int(not len(self.starts) or self.starts[0] != self.first)
+        entries = [self.first, *entries] if lead or not entries else entries
+        return {
+            "offsets": entries, "lead": lead, "records": self.records, "next": self.next, "damaged": self.damaged,
+            "lost": self.lost,
+        }
+
+
+_NO_CHAIN = {"offsets": [], "lead": 0, "records": 0, "next": None, "damaged": False, "lost": []}
+
+
 def _walk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Find or follow the records of each byte range, and say where the next range has to begin."""
+    """Where each byte range may be entered, and where it is left then."""
     for batch in batches:
         yield pa.RecordBatch.from_pylist([_walk_range(row) for row in batch.to_pylist()], schema=_RANGE_COLUMNS)
 
 
 def _walk_range(row: dict) -> dict:
+    start, end, length = row["start"], row["end"], row["length"]
     with _open(row["path"]) as source:
         try:
-            header = FileHeader(source.read_at(min(FILE_HEADER, row["length"]), 0))
+            header = FileHeader(source.read_at(min(FILE_HEADER, length), 0))
         except ValueError as problem:
-            return {**row, "next": None, "records": 0, "error": str(problem), "lost": []}
-        first, left = row["first"], row["length"] - row["start"]
-        if first is None and row["split_no"] == 0:
-            first = FILE_HEADER
-        if first is None:
-            found = header.synchronise(source.read_at(min(SYNC_BYTES, left), row["start"]), left)
-            first = None if found is None else row["start"] + found
-        following, records, lost = None, 0, []
-        if first is not None:
-            for _, following, starts in _walk(header, source, first, row["end"], row["length"], lost):
-                records += len(starts)
-    return {**row, "first": first, "next": following, "records": records, "error": None, "lost": lost}
+            return {**row, "error": str(problem), "trusted": [], "chains": []}
+        until = start + min(end - start, header.limit + RECORD_HEADER, SYNC_BYTES)
+        if row["split_no"] == 0:
+            entries, trusted = [FILE_HEADER], [FILE_HEADER]
+        else:
+            block = source.read_at(min(SYNC_BYTES, length - start), start)
+            near = header.likely(block[: until - start + RECORD_HEADER]).tolist()
+            entries = [start + at for at in near if start + at < until]
+            trusted = [at for at in entries if header.trusted(block, at - start, length - start)]
+            if not trusted:
+                later = _resume(header, source, start, end, length)
+                trusted = [] if later is None else [later]
+        chains: list[_Chain] = []
+        for at in [*trusted[:1], *entries, *trusted, *(row["given"] or [])]:
+            if not any(chain.first == at or chain.holds(np.array([at])).any() and at < until for chain in chains):
+                chains.append(_Chain(header, source, at, end, length, chains))
+    return {**row, "error": None, "trusted": trusted, "chains": [*(chain.row(until) for chain in chains), _NO_CHAIN]}
 
 
 def index_captures(
@@ -175,24 +240,16 @@ def capture_losses(
 
 
 def _losses(index: DataFrame) -> DataFrame:
-    """Losses inside ranges, the beginnings of ranges that follow a loss, and whole files."""
-    in_file = Window.partitionBy("path").orderBy("split_no")
-    placed = index.withColumn("due", F.lag("next").over(in_file))
-    inside = placed.where("error is null").select("path", F.inline("lost"))
-    skipped = placed.where("error is null and split_no > 0 and due is null and not (first <=> start)").select(
-        "path",
-        F.col("start").alias("at"),
-        (F.coalesce("first", "end") - F.col("start")).alias("bytes"),
-        F.lit(DAMAGED).alias("why"),
-    )
-    files = placed.where("error is not null and split_no = 0").select(
+    """Losses inside ranges, and whole files."""
+    inside = index.where("error is null").select("path", F.inline("lost"))
+    files = index.where("error is not null and split_no = 0").select(
         "path", F.lit(0).cast("bigint").alias("at"), F.col("length").alias("bytes"), F.col("error").alias("why")
     )
-    return inside.union(skipped).union(files)
+    return inside.union(files)
 
 
 def _index(spark: SparkSession, path: str, split_bytes: int, most_tasks: int) -> DataFrame:
-    """The ranges of all files, also of those that are no captures, walked until they fit together."""
+    """The ranges of all files, also of those that are no captures, with the records that are in them."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     size = F.lit(split_bytes).cast("bigint")
     last = F.greatest(F.call_function("div", F.col("length") - 1, size), F.lit(0))
@@ -203,20 +260,96 @@ def _index(spark: SparkSession, path: str, split_bytes: int, most_tasks: int) ->
         "split_no",
         (F.col("split_no") * size).alias("start"),
         F.least("length", (F.col("split_no") + 1) * size).alias("end"),
-        F.lit(None).cast("bigint").alias("first"),
+        F.array().cast("array<bigint>").alias("given"),
     )
+    columns = ranges.columns
     tasks = max(1, min(ranges.count(), most_tasks))
-    index = staged(ranges.repartition(tasks).mapInArrow(_walk_ranges, _RANGES), "capture-index")
-    in_file = Window.partitionBy("path").orderBy("split_no")
+    walked = staged(ranges.repartition(tasks).mapInArrow(_walk_ranges, _RANGES), "capture-index")
     while True:
-        placed = index.withColumn("due", F.lag("next").over(in_file))
-        wrong = placed.where("error is null and due is not null and not (due <=> first)")
-        number = wrong.count()
+        edges = staged(_edges(walked, split_bytes), "capture-edges")
+        reached = _reached(edges)
+        entries = edges.join(reached, ["path", "split_no", "chain_no"], "left_semi")
+        unknown = entries.where("into < 0").groupBy("path", F.col("to_split").alias("split_no"))
+        unknown = staged(unknown.agg(F.collect_set("first").alias("more")), "capture-again")
+        number = unknown.count()
         if number == 0:
-            return index
-        again = wrong.withColumn("first", F.col("due")).select("path", "length", "split_no", "start", "end", "first")
-        fixed = again.repartition(min(number, most_tasks)).mapInArrow(_walk_ranges, _RANGES)
-        index = staged(index.join(wrong, ["path", "split_no"], "left_anti").unionByName(fixed), "capture-index")
+            return staged(_placed(walked, entries), "capture-index")
+        again = walked.join(unknown, ["path", "split_no"]).withColumn("given", F.array_union("given", "more"))
+        fixed = again.select(columns).repartition(min(number, most_tasks)).mapInArrow(_walk_ranges, _RANGES)
+        walked = staged(walked.join(unknown, ["path", "split_no"], "left_anti").unionByName(fixed), "capture-index")
+
+
+def _edges(walked: DataFrame, split_bytes: int) -> DataFrame:
+    """For each chain of each range: the range it leads to (to_split), where that is due to be entered, the first record
+    there, and the chain of it (into, -1 if none is known). A file's first range is entered by a row of its own."""
+    good = walked.where("error is null")
+    left = good.select("path", "length", "split_no", F.posexplode("chains").alias("chain_no", "chain"))
+    following = F.coalesce(F.call_function("div", F.col("chain.next"), F.lit(split_bytes).cast("bigint")), F.col("split_no") + 1)
+    left = left.select(
+        "path", "length", "split_no", "chain_no", "chain.next", "chain.damaged", following.alias("to_split")
+    ).where(F.coalesce("next", F.col("to_split") * split_bytes) < F.col("length"))
+    there = good.select("path", F.col("split_no").alias("to_split"), "start", "trusted", "chains")
+    first = (
+        F.when(F.col("next").isNull(), F.get("trusted", F.lit(0)))
+        .when(F.col("damaged"), F.array_min(F.filter("trusted", lambda at: at > F.col("next"))))
+        .otherwise(F.col("next"))
+    )
+    on_it = F.transform("chains", lambda chain: F.array_contains(chain["offsets"], F.col("first")))
+    into = F.when(F.col("first").isNull(), F.size("chains") - 1).otherwise(F.array_position(on_it, F.lit(True)) - 1)
+    edges = left.join(there, ["path", "to_split"]).withColumn("first", first)
+    edges = edges.select(
+        "path", "split_no", "chain_no", "to_split", F.coalesce("next", "start").alias("due"), "first",
+        into.cast("int").alias("into"),
+    )
+    begin = F.lit(FILE_HEADER).cast("bigint")
+    begins = good.where("split_no = 0").select(
+        "path", F.lit(-1).cast("bigint").alias("split_no"), F.lit(0).alias("chain_no"), "split_no", begin.alias("due"),
+        begin.alias("first"), F.lit(0).alias("into"),
+    )
+    return edges.union(begins)
+
+
+def _reached(edges: DataFrame) -> DataFrame:
+    """The chains (path, split_no, chain_no) that lie on the way from the beginning of their file.
+
+    As a rule the first chain of each range leads to the first one of the next. In files where one does not, the ways are
+    doubled: a round adds what is as many steps ahead as all rounds before have covered.
+    """
+    node = ["path", "split_no", "chain_no"]
+    other = edges.where("chain_no = 0 and not (to_split = split_no + 1 and into = 0)").select("path").distinct()
+    other = staged(other, "capture-jumps")
+    straight = edges.where("chain_no = 0").join(other, "path", "left_anti").select(node)
+    if other.isEmpty():
+        return straight
+    jumps = edges.where("into >= 0").join(other, "path", "left_semi").select(*node, "to_split", "into")
+    jumps = staged(jumps, "capture-jumps")
+    reached = jumps.where("split_no = -1").select(node)
+    while not jumps.isEmpty():
+        ends = [F.col("to_split").alias("split_no"), F.col("into").alias("chain_no")]
+        ahead = jumps.join(reached, node, "left_semi").select("path", *ends)
+        reached = staged(reached.union(ahead), "capture-jumps")
+        begins = [F.col("split_no").alias("begin_split"), F.col("chain_no").alias("begin_chain")]
+        twice = jumps.select("path", *begins, *ends).join(jumps, node)
+        begins = [F.col("begin_split").alias("split_no"), F.col("begin_chain").alias("chain_no")]
+        jumps = staged(twice.select("path", *begins, "to_split", "into"), "capture-jumps")
+    return straight.union(reached.distinct())
+
+
+def _placed(walked: DataFrame, entries: DataFrame) -> DataFrame:
+    """The ranges with the first of their records, how many there are, and what of them was lost on the way."""
+    entered = entries.select("path", F.col("to_split").alias("split_no"), "due", "first", "into")
+    ranges = walked.join(entered, ["path", "split_no"], "left").withColumn("chain", F.get("chains", F.col("into")))
+    begun = F.array_position(F.col("chain.offsets"), F.col("first")) - 1 - F.col("chain.lead")
+    records = F.col("chain.records") - F.greatest(begun, F.lit(0))
+    stop = F.coalesce("first", "end")
+    gap = F.struct(F.col("due").alias("at"), (stop - F.col("due")).alias("bytes"), F.lit(DAMAGED).alias("why"))
+    none = F.array().cast(T.ArrayType(_LOSS))
+    later = F.coalesce(F.filter("chain.lost", lambda loss: loss["at"] >= F.col("first")), none)
+    return ranges.select(
+        "path", "length", "split_no", "start", "end", "first", F.col("chain.next").alias("next"),
+        F.when(F.col("first").isNull(), 0).otherwise(records).cast("bigint").alias("records"), "error",
+        F.concat(F.when(F.col("due") < stop, F.array(gap)).otherwise(none), later).alias("lost"),
+    )
 
 
 def _decode(payload: bool):

@@ -42,40 +42,41 @@ class FileHeader:
             raise ValueError(f"link type {self.link} is not supported")
         self.record = struct.Struct(self.order + "IIII")
 
-    def plausible(self, block: bytes, at: int, left: int, links: int = 256, strict: bool = False) -> bool:
-        """Whether a chain of ``links`` records, or one up to the end of the file, starts at ``at``.
+    def trusted(self, block: bytes, at: int, left: int, links: int = 32) -> bool:
+        """Whether a chain of ``links`` records that are not empty starts at ``at``, or one of four that leaves the block, or
+        one that meets the end of the file.
 
-        ``left`` is the number of bytes from the start of ``block`` to the end of the file. ``strict``, for guesses that
-        nothing verifies: records are not empty, and a chain that leaves the block has four of them in it.
+        ``left`` is the number of bytes from the start of ``block`` to the end of the file. A chain that nothing else
+        verifies is believed by this.
         """
         for link in range(links):
             if at == left:
                 return True
             if at + RECORD_HEADER > len(block):
-                return not strict or link >= 4
+                return link >= 4
             _, fraction, size, wire = self.record.unpack_from(block, at)
-            if size > self.limit or size > wire or fraction >= 1_000_000 * self.per_us or strict and not size:
+            if not 0 < size <= min(self.limit, wire) or fraction >= 1_000_000 * self.per_us:
                 return False
             at += RECORD_HEADER + size
             if at > left:
                 return False
         return True
 
-    def synchronise(self, block: bytes, left: int, strict: bool = False) -> int | None:
-        """A likely record start in ``block``; the caller verifies it against the part before, unless it asks for a strict
-        search."""
+    def likely(self, block: bytes) -> np.ndarray:
+        """Places in ``block`` whose bytes could be the header of a record that is not empty."""
         if len(block) < RECORD_HEADER:
-            return 0 if left == 0 else None
+            return np.zeros(0, np.int64)
         data = np.frombuffer(block, np.uint8).astype(np.uint32)
         step = range(4) if self.order == "<" else range(3, -1, -1)
         words = sum(data[i : len(data) - 3 + i] << (8 * k) for k, i in zip(range(4), step))
         n = len(words) - 12
         size, wire, fraction = words[8 : 8 + n], words[12 : 12 + n], words[4 : 4 + n]
-        likely = (size <= self.limit) & (size <= wire) & (fraction < 1_000_000 * self.per_us) & (wire < 1 << 24)
-        for at in np.flatnonzero(likely):
-            if self.plausible(block, int(at), left, strict=strict):
-                return int(at)
-        return None
+        fits = (size > 0) & (size <= self.limit) & (size <= wire) & (wire < 1 << 24)
+        return np.flatnonzero(fits & (fraction < 1_000_000 * self.per_us))
+
+    def first_trusted(self, block: bytes, left: int) -> int | None:
+        """The first place in ``block`` where a trusted chain of records begins."""
+        return next((at for at in self.likely(block).tolist() if self.trusted(block, at, left)), None)
 
 
 class Fields:

@@ -51,6 +51,16 @@ def last_handshakes(handshakes: DataFrame) -> DataFrame:
     return last.select(*keys, "last.*")
 
 
+def flow_table(handshakes: DataFrame, keep: str = "last") -> DataFrame:
+    """The flows with their names in ``flow``: the last handshake of each data pipe, named by the pipe, or with
+    ``keep="all"`` every handshake, named by pipe and response (``pipe``, ``rem``)."""
+    if keep == "last":
+        return last_handshakes(handshakes).withColumn("flow", F.col("data_pipe"))
+    if keep != "all":
+        raise ValueError(f"keep must be 'last' or 'all', not {keep!r}")
+    return handshakes.withColumn("flow", F.struct(F.col("data_pipe").alias("pipe"), F.col("rem_pos").alias("rem")))
+
+
 def orphan_requests(messages: DataFrame, handshakes: DataFrame) -> DataFrame:
     """JN-6: requests that no response took."""
     requests = messages.where("kind = 'req'").select(

@@ -75,8 +75,8 @@ def assign_messages(messages: DataFrame, handshakes: DataFrame, chunk_rows: int
     )
 
 
-def flow_events(assigned: DataFrame, flows: DataFrame) -> DataFrame:
-    """W-7: what each kept flow applies, one row per message and listed number.
+def flow_events(assigned: DataFrame, flows: DataFrame, keep: str = "last") -> DataFrame:
+    """W-7: what each flow of ``flow_table`` applies, one row per message and listed number.
 
     Order is (``phase``, ``pos``, ``item``): phase 0 the request; 2 messages that waited on the data
     pipe; 3 acks that waited on the ack pipe; 4 routed messages. ``what`` is ``tx``, ``ack`` or
@@ -87,10 +87,14 @@ def flow_events(assigned: DataFrame, flows: DataFrame) -> DataFrame:
     cannot complete before phase 4: completing takes as many first acks as the highest number plus
     two, and without a retransmission there is at most one per number. Earlier acks of a number are
     overwritten, so they change nothing. ``assigned`` should be a staged table: it is read several times.
+
+    With ``keep="all"``, of which flow a message is says the interval it lies in: from the response that opened the flow to
+    the next one on its pipe. What waited on a data pipe is applied by every flow that the pipe opens later; that is the
+    rule, and the only step whose result is larger than its input.
     """
     request = flows.select(
         "scope",
-        F.col("data_pipe").alias("flow"),
+        "flow",
         F.lit(0).alias("phase"),
         F.col("req_pos").alias("pos"),
         F.col("req_chunk").alias("chunk"),
@@ -102,10 +106,16 @@ def flow_events(assigned: DataFrame, flows: DataFrame) -> DataFrame:
         F.col("req_last_ms").alias("last_ms"),
         F.lit(0).cast("bigint").alias("payload_bytes"),
     )
-    routed = assigned.where("kept").withColumn("phase", F.lit(4))
-    replayed = assigned.where("replay is not null").withColumns(
-        {"phase": F.lit(2), "flow": F.col("replay"), "side": F.lit("data")}
-    )
+    if keep == "last":
+        routed, waited = assigned.where("kept"), assigned.where("replay is not null").withColumn("flow", F.col("replay"))
+    else:
+        interval = F.struct(F.col("flow").alias("pipe"), F.col("flow_rem").alias("rem"))
+        routed = assigned.where("side is not null").withColumn("flow", interval)
+        later = flows.select("scope", F.col("data_pipe").alias("pipe"), "rem_pos", F.col("flow").alias("opened"))
+        waited = assigned.where("side is null").join(later, ["scope", "pipe"]).where("pos < rem_pos")
+        waited = waited.withColumn("flow", F.col("opened")).drop("opened", "rem_pos")
+    routed = routed.withColumn("phase", F.lit(4))
+    replayed = waited.withColumns({"phase": F.lit(2), "side": F.lit("data")})
     messages = message_events(routed.unionByName(replayed))
 
     waiting = (
@@ -117,7 +127,7 @@ def flow_events(assigned: DataFrame, flows: DataFrame) -> DataFrame:
     sent = replayed.where("kind = 'data'").select("scope", "flow", F.explode("seqs").alias("seq")).distinct()
     acked_late = (
         sent.join(
-            flows.select("scope", F.col("data_pipe").alias("flow"), "ack_pipe", "rem_pos", "rem_chunk"), ["scope", "flow"]
+            flows.select("scope", "flow", "ack_pipe", "rem_pos", "rem_chunk"), ["scope", "flow"]
         )
         .join(waiting, ["scope", "ack_pipe", "seq"])
         .select(

@@ -140,7 +140,7 @@ def flow_stats(flows: DataFrame, progress: DataFrame, points: DataFrame) -> Data
         F.max("last_ms").alias("end_ms"),
         F.sum("payload_bytes").alias("payload_bytes"),
     )
-    opened = flows.select("scope", F.col("data_pipe").alias("flow"), "ack_pipe", "req_ms", "rem_ms")
+    opened = flows.select("scope", "flow", "ack_pipe", "req_ms", "rem_ms")
     span = F.col("end_ms") - F.col("start_ms")
     return (
         opened.join(totals, _FLOW)
@@ -150,16 +150,16 @@ def flow_stats(flows: DataFrame, progress: DataFrame, points: DataFrame) -> Data
     )
 
 
-def flow_health(stats: DataFrame, segs: DataFrame) -> DataFrame:
+def flow_health(stats: DataFrame, segs: DataFrame, keys: list[str] = _FLOW) -> DataFrame:
     """A-11, A-12: uncompleted flows, and the acks that these still expect.
 
     A flow needs as many blocks, and as many first acks, as its highest number plus two, so one that
     sends each number once never completes, however clean. That is the rule, not a fault.
     """
-    open_flows = stats.where("not (data_complete and ack_complete)").select(*_FLOW)
-    missing = segs.where("ack_ms is null").groupBy(*_FLOW).agg(F.count("*").alias("missing"))
+    open_flows = stats.where("not (data_complete and ack_complete)").select(*keys)
+    missing = segs.where("ack_ms is null").groupBy(*keys).agg(F.count("*").alias("missing"))
     return (
-        open_flows.join(missing, _FLOW, "left")
+        open_flows.join(missing, keys, "left")
         .agg(
             F.count("*").alias("uncompleted_flows"),
             F.coalesce(F.sum("missing"), F.lit(0)).alias("acks_expected"),

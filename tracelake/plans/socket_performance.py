@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracelake.functions.scan import CHUNK_ROWS
 from tracelake.functions.staging import staged
@@ -20,7 +21,7 @@ class SocketPerformance:
     stats: DataFrame
 
     def health(self) -> DataFrame:
-        return flow_health(self.stats, self.segments)
+        return flow_health(self.stats, self.segments, [c for c in ("scope", "flow", "rem_pos") if c in self.stats.columns])
 
     def metrics(self) -> DataFrame:
         return socket_metrics(self.flows, self.segments)
@@ -37,15 +38,22 @@ def socket_performance(
     early_close: str = "toggle",
     chunk_rows: int = CHUNK_ROWS,
     number_step: int = 1,
+    keep: str = "last",
 ) -> SocketPerformance:
     """Flows, segments and statistics of a ``messages`` table, which is read several times.
 
-    ``number_step``: the usual distance of two ``msg_no``, ``MESSAGE_STEP`` for reassembled messages.
+    ``number_step``: the usual distance of two ``msg_no``, ``MESSAGE_STEP`` for reassembled messages. ``keep="all"`` takes
+    every handshake for a flow, also where a later one on its data pipe replaces it; ``rem_pos``, the place of the response,
+    then tells the flows of a pipe apart.
     """
     ordered = in_scope(messages, scope, chunk_rows, number_step)
     matched = handshake_table(ordered, chunk_rows)
-    flows = hs.last_handshakes(matched)
+    flows = hs.flow_table(matched, keep)
     assigned = staged(assign_messages(ordered, matched, chunk_rows), "assigned")
-    events = staged(flow_events(assigned, flows), "events")
+    events = staged(flow_events(assigned, flows, keep), "events")
     events, progress, points = close_early(events, early_close, chunk_rows)
-    return SocketPerformance(flows, segments(events, progress), flow_stats(flows, progress, points))
+    segs, stats = segments(events, progress), flow_stats(flows, progress, points)
+    if keep == "all":
+        names = ["flow.pipe", F.col("flow.rem").alias("rem_pos")]
+        segs, stats = (df.select("scope", *names, *df.columns[2:]).withColumnRenamed("pipe", "flow") for df in (segs, stats))
+    return SocketPerformance(flows, segs, stats)

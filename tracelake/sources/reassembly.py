@@ -1,7 +1,9 @@
 """TCP payload to whole messages, split inside long flows.
 
 Packets of one direction of a connection are walked in capture order by a small state machine whose
-state is the unfinished message. Short flows are walked whole, partition by partition. A flow with very
+state is the unfinished message. A header that names more than the largest length is rejected, and the next message is
+searched for byte by byte, in as many packets as it takes. Every byte of the payload ends up in a message, in the list of
+what was lost, or in a message that its flow leaves unfinished. Short flows are walked whole, partition by partition. A flow with very
 many packets is cut into chunks. Each chunk first guesses where a message begins; the guess only serves
 to find out what the chunk leaves unfinished. Chunks are then walked again from what their predecessor
 left, until every chunk was given just that; as a rule one more walk does it.
@@ -26,10 +28,16 @@ MESSAGE_STEP = 1 << 16
 _PIECE = [*FLOW, "chunk"]
 _OUT = (
     "trace_file string, ip_src string, src_port int, ip_dst string, dst_port int, chunk bigint, what string, "
-    "frame_no bigint, place int, low_seq bigint, first_ms bigint, high_seq bigint, last_ms bigint, body binary"
+    "frame_no bigint, place int, low_seq bigint, first_ms bigint, high_seq bigint, last_ms bigint, body binary, "
+    "search boolean, why string, bytes bigint"
 )
-_TAIL = ["body", "low_seq", "first_ms", "high_seq", "last_ms"]
+_TAIL = ["body", "low_seq", "first_ms", "high_seq", "last_ms", "search"]
 BATCH_ROWS = 4096
+# Longest message that is believed, and longest header of one: a task holds no more of a flow.
+LARGEST_MESSAGE = 1 << 24
+LONGEST_HEADER = 1 << 18
+# Why bytes are lost.
+NO_MESSAGE, TOO_LONG, TOO_MANY = "no message", "too long", "too many messages in a packet"
 
 
 # Length of the message that begins at the start of the bytes: None if telling takes more bytes, 0 if
@@ -38,11 +46,14 @@ Measure = Callable[[bytes], int | None]
 
 
 class _Unfinished:
-    """Bytes of a message so far, and the times of its packets with the lowest and highest TCP numbers."""
+    """Bytes of a message so far, and the times of its packets with the lowest and highest TCP numbers.
 
-    def __init__(self, body: bytes, low: int, first: int, high: int, last: int):
+    With ``search``, its beginning was searched for, so it may be none; with no bytes yet, the search goes on.
+    """
+
+    def __init__(self, body: bytes, low: int, first: int, high: int, last: int, search: bool = False):
         self.body, self.low, self.first, self.high, self.last = bytearray(body), low, first, high, last
-        self.length = None
+        self.length, self.search = None, search
 
     def add(self, body: bytes, seq: int, ms: int) -> None:
         self.body += body
@@ -51,31 +62,62 @@ class _Unfinished:
         if seq >= self.high:
             self.high, self.last = seq, ms
 
-    def row(self, what: str, frame_no, place: int, body: bytes) -> tuple:
-        return what, frame_no, place, self.low, self.first, self.high, self.last, body
+    def row(self, what: str, frame_no, place: int, body: bytes | None) -> tuple:
+        times = self.low, self.first, self.high, self.last
+        return what, frame_no, place, *times, body, self.search, None, None if body is None else len(body)
+
+
+def _lost(frame_no: int, why: str, size: int) -> tuple:
+    return "lost", frame_no, 0, None, None, None, None, None, False, why, size
+
+
+@dataclass(frozen=True)
+class _Framing:
+    """What the walk needs to know of a framing."""
+
+    measure: "Measure"
+    most: int | None
+    largest: int
+
+    def believed(self, start: bytes) -> int | None:
+        """The measure; a message beyond the largest length is none."""
+        length = self.measure(start)
+        return 0 if length is not None and length > self.largest else length
 
 
-def _feed(tail, packet: tuple, measure: Measure, most: int | None) -> tuple[list, "_Unfinished | None"]:
-    """Messages that end in ``packet``, and the message it leaves unfinished."""
+def _feed(tail, packet: tuple, framing: _Framing) -> tuple[list, "_Unfinished | None"]:
+    """Messages that end in ``packet`` and bytes lost in it, and the message it leaves unfinished."""
     frame_no, seq, ms, payload = packet
     if tail is None:
         tail = _Unfinished(payload, seq, ms, seq, ms)
     else:
         tail.add(payload, seq, ms)
-    found = []
-    while most is None or len(found) < most:
+    found, messages = [], 0
+    while framing.most is None or messages < framing.most:
         if tail.length is None:
-            tail.length = measure(bytes(tail.body))
-        if tail.length == 0:
-            return found, None
-        if tail.length is None or len(tail.body) < tail.length:
+            tail.length = framing.measure(bytes(tail.body))
+        length, size = tail.length, len(tail.body)
+        too_long = size > LONGEST_HEADER if length is None else length > framing.largest
+        if too_long or length == 0 and tail.search:
+            rest = bytes(tail.body)
+            start, look = _guess(rest[1:], framing.believed)
+            skip = 1 + (look if start is None else start)
+            found.append(_lost(frame_no, TOO_LONG if too_long else NO_MESSAGE, skip))
+            tail = _Unfinished(rest[skip:], seq, ms, seq, ms, True)
+            if start is None:
+                return found, tail
+            continue
+        if length == 0:
+            return [*found, _lost(frame_no, NO_MESSAGE, size)], None
+        if length is None or size < length:
             return found, tail
-        found.append(tail.row("message", frame_no, len(found), bytes(tail.body[: tail.length])))
-        rest = bytes(tail.body[tail.length :])
+        found.append(tail.row("message", frame_no, messages, bytes(tail.body[:length])))
+        messages += 1
+        rest = bytes(tail.body[length:])
         if not rest:
             return found, None
         tail = _Unfinished(rest, seq, ms, seq, ms)
-    return found, None
+    return [*found, _lost(frame_no, TOO_MANY, len(tail.body))], None
 
 
 def _guess(seen: bytes, measure: Measure) -> tuple[int | None, int]:
@@ -111,8 +153,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield values.slice(start, stop - start), [c[start].as_py() for c in batch.columns[:width]]
 
 
-def _walker(measure: Measure, most: int | None, guess: bool):
-    """Walk sorted partitions; one output row per message and per chunk's end.
+def _walker(framing: _Framing, guess: bool):
+    """Walk sorted partitions; one output row per message, per loss and per chunk's end.
 
     With ``guess``, a numbered chunk may begin inside a message; the row of its end has ``place`` 1 if so.
     """
@@ -130,18 +172,18 @@ def _walker(measure: Measure, most: int | None, guess: bool):
                     ended()
                 key, tail, skipped = flow, None, 0
                 seen = b"" if guess and flow[-1] is not None else None
-            for frame_no, seq, ms, payload, low, first in zip(*[c.to_pylist() for c in batch.columns]):
+            for frame_no, seq, ms, payload, low, first, search in zip(*[c.to_pylist() for c in batch.columns]):
                 if low is not None:  # what the chunk before left unfinished
-                    tail = _Unfinished(payload, low, first, seq, ms)
+                    tail = _Unfinished(payload, low, first, seq, ms, search)
                     continue
                 if seen is not None:
-                    start, look = _guess(seen + payload, measure)
+                    start, look = _guess(seen + payload, framing.believed)
                     skipped |= start != 0
                     if start is None:
                         seen = (seen + payload)[look:]
                         continue
                     payload, seen = (seen + payload)[start:], None
-                found, tail = _feed(tail, (frame_no, seq, ms, payload), measure, most)
+                found, tail = _feed(tail, (frame_no, seq, ms, payload), framing)
                 rows.extend((*key, *f) for f in found)
                 if len(rows) >= BATCH_ROWS:
                     yield _batch(rows)
@@ -156,7 +198,7 @@ def _walker(measure: Measure, most: int | None, guess: bool):
 
 _COLUMNS = pa.schema(
     [
-        (name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[kind])
+        (name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[kind])
         for name, kind in (column.split() for column in _OUT.split(", "))
     ]
 )
@@ -176,16 +218,19 @@ def _pieces(packets: DataFrame, hot: HotKeys, chunk_rows: int) -> DataFrame:
         chunk = chunk_of("frame_no", chunk_rows)
     none = F.lit(None).cast("bigint")
     return packets.select(
-        *FLOW, chunk.alias("chunk"), "frame_no", "tcp_seq", "ts_ms", "payload", none.alias("low"), none.alias("first")
-    )
+        *FLOW, chunk.alias("chunk"), "frame_no", "tcp_seq", "ts_ms", "payload", none.alias("low"), none.alias("first"),
+        F.lit(False).alias("search"),
+    )
 
 
 @dataclass(frozen=True)
 class Reassembled:
-    """``messages``: one row per whole message. ``unfinished``: flows that end inside a message."""
+    """``messages``: one row per whole message. ``unfinished``: flows that end inside a message. ``losses``: bytes that
+    are in neither (flow, frame_no, why and bytes; no frame_no where a flow ends while the next message is searched for)."""
 
     messages: DataFrame
     unfinished: DataFrame
+    losses: DataFrame
 
 
 def reassemble_messages(packets: DataFrame, measure: Measure, **options) -> DataFrame:
@@ -198,6 +243,7 @@ def reassemble(
     measure: Measure,
     max_messages_per_packet: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    largest: int = LARGEST_MESSAGE,
 ) -> Reassembled:
     """SRC-6, PRJ-12, PRJ-13, SO-4: the whole messages in the TCP payload, one row each.
 
@@ -205,30 +251,36 @@ def reassemble(
     without removing repeats; bytes that begin no message are skipped up to the next packet.
     ``first_ms`` and ``last_ms`` are the times of the packets with the lowest and highest TCP numbers.
     ``msg_no`` orders messages by the packet they end in. All messages of a packet are found;
-    ``max_messages_per_packet=3`` loses what follows the third. Runs jobs, and stages the result.
+    ``max_messages_per_packet=3`` loses what follows the third. A message of more than ``largest`` bytes, or with a header
+    of more than ``LONGEST_HEADER``, is taken for damage: the next place is searched where a message begins and, as far as
+    its packet shows, another follows. Runs jobs, and stages the result.
     """
+    framing = _Framing(measure, max_messages_per_packet, largest)
     carrying = packets.where("l4 = 'tcp' and tcp_payload_len > 0 and length(payload) > 0")
     hot = hot_keys(carrying, FLOW, chunk_rows)
     pieces = _pieces(carrying, hot, chunk_rows)
 
     def walked(rows: DataFrame, guess: bool) -> DataFrame:
         lines = rows.repartition(*_PIECE).sortWithinPartitions(*_PIECE, "frame_no")
-        return staged(lines.mapInArrow(_walker(measure, max_messages_per_packet, guess), _OUT), "messages")
+        return staged(lines.mapInArrow(_walker(framing, guess), _OUT), "messages")
 
     found = walked(pieces, True)
-    messages, ends = found.where("what = 'message'"), found.where("what = 'tail' and chunk is null")
+    ends = found.where("what = 'tail' and chunk is null").select(*FLOW, "body", "search")
     if hot.table is not None:
-        messages, last = _mend(found, pieces, walked)
-        ends = ends.select(*FLOW, "body").unionByName(last)
-    messages = messages.select(
+        found, last = _mend(found, pieces, walked)
+        ends = ends.unionByName(last)
+    messages = found.where("what = 'message'").select(
         *FLOW,
         (F.col("frame_no") * MESSAGE_STEP + F.col("place")).alias("msg_no"),
         "first_ms",
         "last_ms",
         F.col("body").alias("message"),
     )
-    waiting = ends.where("body is not null").select(*FLOW, F.length("body").alias("bytes"))
-    return Reassembled(messages, waiting)
+    left = ends.where("length(body) > 0").withColumn("bytes", F.length("body").cast("bigint"))
+    no_frame = F.lit(None).cast("bigint").alias("frame_no")
+    searching = left.where("search").select(*FLOW, no_frame, F.lit(NO_MESSAGE).alias("why"), "bytes")
+    losses = found.where("what = 'lost'").select(*FLOW, "frame_no", "why", "bytes").unionByName(searching)
+    return Reassembled(messages, left.where("not search").select(*FLOW, "bytes"), losses)
 
 
 def _mend(found: DataFrame, pieces: DataFrame, walked: Callable[[DataFrame, bool], DataFrame]):
@@ -260,6 +312,7 @@ def _mend(found: DataFrame, pieces: DataFrame, walked: Callable[[DataFrame, bool
             F.col("due.body").alias("payload"),
             F.col("due.low_seq").alias("low"),
             F.col("due.first_ms").alias("first"),
+            F.col("due.search").alias("search"),
         )
         again = walked(pieces.join(chosen, _PIECE, "left_semi").unionByName(first_line), False)
         rounds.append(again.withColumn("round", F.lit(number)))
@@ -273,8 +326,8 @@ def _mend(found: DataFrame, pieces: DataFrame, walked: Callable[[DataFrame, bool
         messages = messages.unionByName(more)
     for old in replaced:
         messages = messages.join(old, [*_PIECE, "round"], "left_anti")
-    last = ends.groupBy(*FLOW).agg(F.max_by("left", "chunk")["body"].alias("body"))
-    return messages.where("what = 'message'"), last
+    last = ends.groupBy(*FLOW).agg(F.max_by("left", "chunk").alias("left"))
+    return messages, last.select(*FLOW, "left.body", "left.search")
 
 
 def length_prefixed(start: bytes) -> int | None:

@@ -106,7 +106,7 @@ def message_elements(package: bytes) -> list[tuple[str, str, str | None, bytes]]
 
 
 _PARSED = (
-    "trace_file string, msg_no bigint, first_ms bigint, last_ms bigint, "
+    "trace_file string, msg_no bigint, first_ms bigint, last_ms bigint, bytes bigint, "
     "elements array<struct<namespace:string,name:string,type:string,content:binary>>"
 )
 _ELEMENT = pa.struct([("namespace", pa.string()), ("name", pa.string()), ("type", pa.string()), ("content", pa.binary())])
@@ -116,6 +116,7 @@ _PARSED_COLUMNS = pa.schema(
         ("msg_no", pa.int64()),
         ("first_ms", pa.int64()),
         ("last_ms", pa.int64()),
+        ("bytes", pa.int64()),
         ("elements", pa.list_(_ELEMENT)),
     ]
 )
@@ -124,21 +125,40 @@ _PARSED_COLUMNS = pa.schema(
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = _ELEMENT.names
     for batch in batches:
-        parsed = []
-        for package in batch.column("message").to_pylist():
+        parsed, packages = [], batch.column("message").to_pylist()
+        for package in packages:
             try:
                 parsed.append([dict(zip(names, e)) for e in message_elements(package)])
             except (ValueError, IndexError, struct.error):
                 parsed.append(None)
-        columns = [batch.column(n) for n in _PARSED_COLUMNS.names[:-1]]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(parsed, pa.list_(_ELEMENT))], schema=_PARSED_COLUMNS)
+        columns = [batch.column(n) for n in _PARSED_COLUMNS.names[:-2]]
+        sizes = pa.array(map(len, packages), pa.int64())
+        elements = pa.array(parsed, pa.list_(_ELEMENT))
+        yield pa.RecordBatch.from_arrays([*columns, sizes, elements], schema=_PARSED_COLUMNS)
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """Elements of each reassembled message; null for what follows the framing but not the format."""
+    """Size and elements of each reassembled message; no elements for what follows the framing but not the format."""
     return messages.drop(*FLOW[1:]).mapInArrow(_parse, _PARSED)
 
 
+NOT_PARSED, NO_NUMBER = "not parsed", "block without number"
+
+
+def message_losses(parsed: DataFrame, names: ElementNames = ElementNames()) -> DataFrame:
+    """trace_file, msg_no, why and bytes of what ``classify_messages`` leaves out: messages whose elements do not parse, and
+    blocks whose name is no number of 0 or more (one row each). Messages of no kind of the protocol are no losses."""
+    broken = parsed.where("elements is null").select("trace_file", "msg_no", F.lit(NOT_PARSED).alias("why"), "bytes")
+    blocks = parsed.select("trace_file", "msg_no", F.explode(_blocks(names)).alias("block"))
+    size = F.length("block.content").cast("bigint").alias("bytes")
+    unnamed = blocks.where(F.coalesce(F.col("block.name").try_cast("int"), F.lit(-1)) < 0)
+    return broken.unionByName(unnamed.select("trace_file", "msg_no", F.lit(NO_NUMBER).alias("why"), size))
+
+
+def _blocks(names: ElementNames) -> Column:
+    return F.filter("elements", lambda e: (e["namespace"] == names.block_namespace) & (e["type"] == names.block_type))
+
+
 def int32_list(content: Column) -> Column:
     """F-9: a big-endian array of 32-bit numbers; left-over bytes are ignored."""
     number = F.call_function("div", F.length(content), F.lit(4)).cast("int")
@@ -167,9 +187,7 @@ def classify_messages(parsed: DataFrame, names: ElementNames = ElementNames()) -
 
     with_elements = parsed.withColumns(
         {
-            "blocks": F.filter(
-                "elements", lambda e: (e["namespace"] == names.block_namespace) & (e["type"] == names.block_type)
-            ),
+            "blocks": _blocks(names),
             "ack": element(lambda e: e["name"] == names.ack_name),
             "close": socket_element(names.close_tag),
             "req": socket_element(names.request_tag),

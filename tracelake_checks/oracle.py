@@ -315,3 +315,27 @@ ORACLE |= {
     # A user's messages lie in one trace, so a flow over all traces is the same but for its scope.
     "flow_stats_global": ORACLE["flow_stats"].replace("SELECT *, end_ms", "SELECT * REPLACE ('' AS scope), end_ms"),
 }
+
+# Every handshake as a flow of its own: named by its data pipe and the place of its response.
+_BEFORE, _AFTER = _PERFORMANCE.split(", applied AS (")
+_ALL_FLOWS = _BEFORE + ", applied AS (" + (
+    _AFTER.replace("FROM flows", "FROM h")
+    .replace("SELECT scope, data_pipe AS flow, 0", "SELECT scope, data_pipe || '@' || rem_pos AS flow, 0")
+    .replace("SELECT scope, data_pipe, 1", "SELECT scope, data_pipe || '@' || rem_pos, 1")
+    .replace("SELECT f.scope, f.data_pipe,", "SELECT f.scope, f.data_pipe || '@' || f.rem_pos,")
+    .replace("SELECT scope, flow, 4", "SELECT scope, flow || '@' || flow_rem, 4")
+    .replace("FROM assigned WHERE kept", "FROM assigned WHERE side IS NOT NULL")
+    .replace("SELECT scope, data_pipe AS flow, ack_pipe", "SELECT scope, data_pipe || '@' || rem_pos AS flow, ack_pipe")
+)
+_NAMED = "* REPLACE (split_part(flow, '@', 1) AS flow), CAST(split_part(flow, '@', 2) AS BIGINT) AS rem_pos"
+
+ORACLE |= {
+    "flow_stats_all": _ALL_FLOWS
+    + f"""
+SELECT {_NAMED}, end_ms - start_ms AS transfer_ms,
+       CASE WHEN end_ms <> start_ms THEN CAST(payload_bytes AS DOUBLE) / (end_ms - start_ms) END AS bytes_per_ms
+FROM stats""",
+    "flow_segments_all": _ALL_FLOWS + f"SELECT {_NAMED} FROM segs",
+    "rtt_lists_chunked": ORACLE["rtt_lists"],
+}
+ORACLE["flow_stats_all_chunked"] = ORACLE["flow_stats_all"].replace(_MESSAGES, _BUSY_MESSAGES)

@@ -233,9 +233,31 @@ def flow_segments_chunked(spark, folder):
     return _busy(spark, folder, chunk_rows=4).segments
 
 
+def flow_stats_all(spark, folder):
+    """Every handshake is a flow, also where a later one on its pipe replaces it."""
+    return socket_performance(standins.event_messages(spark, folder), keep="all").stats
+
+
+def flow_segments_all(spark, folder):
+    return socket_performance(standins.event_messages(spark, folder), keep="all").segments
+
+
+def flow_stats_all_chunked(spark, folder):
+    return socket_performance(standins.event_messages(spark, folder, busy=True), keep="all", chunk_rows=4).stats
+
+
+def rtt_lists_chunked(spark, folder):
+    """Chunks of a few milliseconds, so that every second is a hot key."""
+    return mt.rtt_lists(rtt_samples(spark, folder), chunk_rows=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        flow_stats_all,
+        flow_segments_all,
+        flow_stats_all_chunked,
+        rtt_lists_chunked,
         word_count_tab,
         words_by_key,
         flow_stats_completed,

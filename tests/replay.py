@@ -96,18 +96,21 @@ def route(m, handshakes):
     return None, None
 
 
-def replay(messages):
-    """``(flows by data pipe, matched handshakes, unanswered request numbers)`` of one trace in order."""
+def replay(messages, every=False):
+    """``(flows by data pipe, matched handshakes, unanswered request numbers)`` of one trace in order.
+
+    With ``every``, each handshake is a flow, by data pipe and number of the response.
+    """
     handshakes = pair_up(messages)
     moved = [(m, *route(m, handshakes)) for m in messages if m["kind"] in ("data", "ack", "close")]
     flows = {}
-    for h in handshakes:  # the last one on a data pipe is the one that counts
+    for h in handshakes:  # the last one on a data pipe is the one that counts, unless every one does
         waited = [m for m, side, _ in moved if side is None and m["msg_no"] < h.rem["msg_no"]]
         applied = [("data", h.req), ("ack", h.rem)]
         applied += [("data", m) for m in waited if m["pipe_id"] == h.data_pipe]
         applied += [("ack", m) for m in waited if m["pipe_id"] == h.ack_pipe]
         applied += [(side, m) for m, side, to in moved if to is h]
-        flows[h.data_pipe] = (h, applied)
+        flows[(h.data_pipe, h.rem["msg_no"]) if every else h.data_pipe] = (h, applied)
     taken = {h.req["msg_no"] for h in handshakes}
     unanswered = sorted(m["msg_no"] for m in messages if m["kind"] == "req" and m["msg_no"] not in taken)
     matched = [(h.data_pipe, h.ack_pipe, h.req["msg_no"], h.rem["msg_no"]) for h in handshakes]

@@ -132,6 +132,32 @@ def test_flows_across_traces(spark):
         assert segs == want_segs
 
 
+@pytest.mark.parametrize("chunk_rows", [1 << 20, 6])
+def test_every_handshake_is_a_flow(spark, chunk_rows):
+    """With ``keep="all"`` a later handshake on a data pipe replaces nothing."""
+    rng = random.Random(chunk_rows)
+    traces = {f"t{i}": random_trace(rng, f"t{i}", pairs=3, shared=0.3, calls=0.3, numbers=2, length=80) for i in range(150)}
+    messages = spark.createDataFrame([tuple(r[c] for c in MESSAGES.names) for rows in traces.values() for r in rows], MESSAGES)
+    want_flows, want_segs = set(), set()
+    for trace, rows in traces.items():
+        for (pipe, rem), f in replay(rows, every=True)[0].items():
+            want_flows.add((trace, pipe, rem, f.ack_pipe, f.sent, f.acked, f.expected, f.start, f.end, f.payload, f.data_done, f.ack_done))
+            want_segs |= {(trace, pipe, rem, number, sent, acked) for number, (sent, acked) in f.table.items()}
+    perf = socket_performance(messages, chunk_rows=chunk_rows, keep="all")
+    columns = "scope flow rem_pos ack_pipe blocks acks expected start_ms end_ms payload_bytes data_complete ack_complete"
+    flows = [tuple(r) for r in perf.stats.select(*columns.split()).collect()]
+    segs = [tuple(r) for r in perf.segments.select("scope", "flow", "rem_pos", "seq", "sent_ms", "ack_ms").collect()]
+    assert sorted(flows) == sorted(want_flows)
+    assert sorted(segs, key=str) == sorted(want_segs, key=str)
+    assert len(flows) > len({f[:2] for f in flows}) + 50
+    missing = {f[:3] for f in flows if not (f[-1] and f[-2])}
+    health = perf.health().first()
+    assert health["uncompleted_flows"] == len(missing)
+    assert health["acks_expected"] == sum(s[:3] in missing and s[-1] is None for s in segs)
+    with pytest.raises(ValueError):
+        socket_performance(messages, keep="first")
+
+
 REQ = message(0, "req", "x", "a", 100)
 REM = message(0, "rem", "a", "d", 110)
 

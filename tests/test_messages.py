@@ -7,6 +7,7 @@ import pytest
 
 from tests.captures import capture, ethernet, ipv4, tcp
 from tracelake.functions import scan
+from tracelake.plans.ingest import ingest_messages
 from tracelake.schemas import PACKETS
 from tracelake.sources import reassembly
 from tracelake.sources.captures import read_pcap
@@ -82,6 +83,53 @@ def test_reassembly_matches_a_plain_walk(spark, monkeypatch, chunk_rows, most, b
     assert {tuple(r[:-1]): r.bytes for r in found.unfinished.collect()} == left
 
 
+def accounted(found):
+    """Bytes in messages, in losses and in what flows leave unfinished."""
+    whole = sum(len(r.message) for r in found.messages.collect())
+    return whole, sum(r.bytes for r in found.losses.collect()), sum(r.bytes for r in found.unfinished.collect())
+
+
+@pytest.mark.parametrize("chunk_rows", [1 << 20, 30])
+@pytest.mark.parametrize("size", [100, 37])
+def test_one_bad_header_costs_one_message(spark, chunk_rows, size):
+    """In 400 packets, wherever their cuts lie, all messages but the damaged one are found."""
+    rng = random.Random(size)
+    sent = [b"%04d" % i + bytes(rng.choice(b"abc") for _ in range(rng.choice([0, 40, 96, 300]))) for i in range(400 * size // 120)]
+    bad = len(sent) // 2
+    stream = b"".join((b"\x7f\xff\xff\xff" if i == bad else struct.pack(">I", len(m))) + m for i, m in enumerate(sent))
+    cuts = [stream[i : i + size] for i in range(0, len(stream), size)]
+    packets = [("t", no, no, "s", "d", "tcp", 1, 2, no, cut) for no, cut in enumerate(cuts, 1)]
+    found = reassemble(packet_table(spark, packets), length_prefixed, chunk_rows=chunk_rows)
+    messages = {bytes(r.message)[4:] for r in found.messages.collect()}
+    assert messages == set(sent) - {sent[bad]}
+    assert {r.why for r in found.losses.collect()} <= {reassembly.TOO_LONG, reassembly.NO_MESSAGE}
+    assert accounted(found) == (len(stream) - len(sent[bad]) - 4, len(sent[bad]) + 4, 0)
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_every_byte_is_accounted_for(spark, most):
+    """With junk, bad headers and limits, messages, losses and unfinished bytes are all that was sent, cut into chunks or not."""
+    packets = random_packets(random.Random(most or 5), 300, 4)
+    results = []
+    for chunk_rows in (1 << 20, 40):
+        found = reassemble(packet_table(spark, packets), marked, most, chunk_rows, largest=120)
+        assert sum(accounted(found)) == sum(len(p[-1]) for p in packets)
+        results.append(sorted(tuple(r[:-1]) + (bytes(r[-1]),) for r in found.messages.collect()))
+        whys = {r.why for r in found.losses.collect()}
+        assert reassembly.TOO_LONG in whys and whys <= {reassembly.TOO_LONG, reassembly.NO_MESSAGE, reassembly.TOO_MANY}
+        assert max(len(r.message) for r in found.messages.collect()) <= 120
+    assert results[0] == results[1] and results[0]
+
+
+def test_a_header_without_end_is_given_up(spark):
+    never = lambda start: None if start[:1] == b"H" else 0
+    packets = [("t", no, no, "s", "d", "tcp", 1, 2, no, b"H" * 60_000) for no in range(1, 12)]
+    found = reassemble(packet_table(spark, packets), never)
+    assert found.messages.count() == 0
+    whole, lost, left = accounted(found)
+    assert lost + left == 660_000 and left <= reassembly.LONGEST_HEADER + 60_000
+
+
 def test_length_prefix():
     assert length_prefixed(b"\0\0") is None
     assert length_prefixed(b"\0\0\0\5abc") == 9
@@ -161,3 +209,22 @@ def test_capture_to_messages(spark, tmp_path):
     starts = [sum(map(len, sent[:i])) for i in range(len(sent) + 1)]
     spans = [((starts[i] // 110) * 110, ((starts[i + 1] - 1) // 110) * 110) for i in (0, 1, 2, 3, 4, 6)]
     assert [(r.first_ms, r.last_ms) for r in rows] == [((2 + a) * 1000 + 5, (2 + b) * 1000 + 5) for a, b in spans]
+
+
+def test_losses_of_an_ingest(spark, tmp_path):
+    """Messages that do not parse, blocks without number, junk and an unfinished message are listed with their bytes."""
+    good = package(router("urn:d1"), element(1, "1", b"abc", BLOCK))
+    broken = package(router("urn:d1")).replace(b"jxel", b"lexj")
+    unnamed = package(router("urn:d1"), element(1, "-4", b"12345", BLOCK), element(1, "x", b"1234567", BLOCK))
+    parts = [b"JXTAHELLO tcp://10.0.0.1:9701", good, broken, unnamed, good + good[:50]]
+    packets = packet_table(spark, [("t", no, no, "s", "d", "tcp", 1, 2, no, part) for no, part in enumerate(parts, 1)])
+    messages = ingest_messages(packets, str(tmp_path / "messages"), losses=str(tmp_path / "losses"))
+    assert [tuple(r) for r in messages.orderBy("msg_no").select("kind", "seqs").collect()] == [("data", [1]), ("data", []), ("data", [1])]
+    lost = spark.read.parquet(str(tmp_path / "losses"))
+    rows = sorted((r["why"], r["frame_no"], (r["msg_no"] or 0) >> 16, r["bytes"]) for r in lost.collect())
+    assert rows == [
+        ("block without number", None, 4, 5), ("block without number", None, 4, 7), ("no message", 1, 0, len(parts[0])),
+        ("not parsed", None, 3, len(broken)), ("unfinished", None, 0, 50),
+    ]
+    outside = sum(size for why, _, _, size in rows if why != "block without number")
+    assert outside + 2 * len(good) + len(unnamed) == sum(map(len, parts))

@@ -1,14 +1,14 @@
 """Capture files to a ``packets`` table, in pieces that do not follow file boundaries.
 
 A file is cut into byte ranges. Records chain from one to the next, but where the first record of a range begins only the
-range before can tell. So every range is walked once from all places near its beginning that could be record headers.
-Chains soon run into each other, and what is kept of a range is a small map: from the place where it is entered to the
+range before can tell. So every range is walked once from all places near its beginning that could be record headers
+and lead to another. Chains soon run into each other, and what is kept of a range is a small map: from the place where it is entered to the
 place where it leaves. These maps are composed by doubling: each round, every chain learns where it leads after twice as
 many ranges, so even a file of a million ranges, all guessed wrong, is put in order in twenty rounds over the small maps.
 
 A record header that cannot be one breaks the chain. Reading goes on at the next place where a chain begins, in the same
 range or in the next one; so damage costs its own bytes and no more rounds. A range is walked again only where it is
-entered at a valid header that does not look like one. What is left out is listed with file, offset and bytes.
+entered at a header that does not look like one, or right before damage. What is left out is listed with file, offset and bytes.
 """
 
 from collections.abc import Iterator
@@ -28,6 +28,7 @@ from tracelake.sources.frames import FILE_HEADER, RECORD_HEADER, FileHeader, pac
 
 SPLIT_BYTES = 128 << 20
 SYNC_BYTES = 4 << 20
+FIRST_LOOK = 1 << 16
 BATCH_RECORDS = 16384
 MOST_TASKS = 50_000
 
@@ -72,8 +73,10 @@ def _open(path: str):
 
 def _resume(header: FileHeader, source, at: int, end: int, length: int) -> int | None:
     """The first place from ``at`` on, and before ``end``, where a trusted chain of records begins."""
+    want = FIRST_LOOK
     while at < end:
-        block = source.read_at(min(SYNC_BYTES, length - at), at)
+        block = source.read_at(min(want, length - at), at)
+        want = min(4 * want, SYNC_BYTES)
         sure = len(block) if at + len(block) >= length else len(block) // 2  # a chain needs room to show
         found = header.first_trusted(block, length - at)
         if found is not None and found < sure:
@@ -118,8 +121,9 @@ def _walk(
             if again is None:
                 yield b"", None, []
                 return
-            at = again
-        want = want if here else want * 2
+            at, want = again, FIRST_LOOK
+        else:
+            want = max(want, min(2 * want, 4 << 20)) if here else want * 2
     yield b"", at, []
 
 
@@ -192,7 +196,8 @@ def _walk_range(row: dict) -> dict:
         else:
             block = source.read_at(min(SYNC_BYTES, length - start), start)
             near = header.likely(block[: until - start + RECORD_HEADER]).tolist()
-            entries = [start + at for at in near if start + at < until]
+            linked = [start + at for at in near if header.trusted(block, at, length - start, links=2)]
+            entries = [at for at in linked if at < until]
             trusted = [at for at in entries if header.trusted(block, at - start, length - start)]
             if not trusted:
                 later = _resume(header, source, start, end, length)

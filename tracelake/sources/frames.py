@@ -16,6 +16,8 @@ MAGIC = {
 FILE_HEADER = 24
 RECORD_HEADER = 16
 LARGEST_CAPTURE = 262144
+# Seconds between two records of a chain that nothing but the chain verifies.
+LONGEST_PAUSE = 86_400
 
 # Fixed values of the link layer: type -> (offset of the protocol number or None, header length).
 LINK_TYPES = {0: (None, 4), 1: (12, 14), 12: (None, 0), 14: (None, 0), 101: (None, 0), 113: (14, 16), 276: (0, 20)}
@@ -44,19 +46,24 @@ class FileHeader:
 
     def trusted(self, block: bytes, at: int, left: int, links: int = 32) -> bool:
         """Whether a chain of ``links`` records that are not empty starts at ``at``, or one of four that leaves the block, or
-        one that meets the end of the file.
+        one that meets the end of the file. Their times are less than ``LONGEST_PAUSE`` apart: bytes that look like a header
+        and by chance lead to a record would not have its time.
 
         ``left`` is the number of bytes from the start of ``block`` to the end of the file. A chain that nothing else
         verifies is believed by this.
         """
+        before = None
         for link in range(links):
             if at == left:
                 return True
             if at + RECORD_HEADER > len(block):
                 return link >= 4
-            _, fraction, size, wire = self.record.unpack_from(block, at)
-            if not 0 < size <= min(self.limit, wire) or fraction >= 1_000_000 * self.per_us:
+            second, fraction, size, wire = self.record.unpack_from(block, at)
+            if not 0 < size <= min(self.limit, wire) or wire > LARGEST_CAPTURE or fraction >= 1_000_000 * self.per_us:
                 return False
+            if before is not None and abs(second - before) > LONGEST_PAUSE:
+                return False
+            before = second
             at += RECORD_HEADER + size
             if at > left:
                 return False
@@ -71,7 +78,7 @@ class FileHeader:
         words = sum(data[i : len(data) - 3 + i] << (8 * k) for k, i in zip(range(4), step))
         n = len(words) - 12
         size, wire, fraction = words[8 : 8 + n], words[12 : 12 + n], words[4 : 4 + n]
-        fits = (size > 0) & (size <= self.limit) & (size <= wire) & (wire < 1 << 24)
+        fits = (size > 0) & (size <= self.limit) & (size <= wire) & (wire <= LARGEST_CAPTURE)
         return np.flatnonzero(fits & (fraction < 1_000_000 * self.per_us))
 
     def first_trusted(self, block: bytes, left: int) -> int | None:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake_checks.standins import table
@@ -17,8 +17,9 @@ from tracelake.functions.staging import new_path
 from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals, port_traffic
 from tracelake.plans.socket_performance import socket_performance
 from tracelake.plans.ingest import ingest_messages, ingest_packets
-from tracelake.sources.captures import read_pcap
-from tracelake.sources.reassembly import MESSAGE_STEP, length_prefixed, reassemble_messages
+from tracelake.sources.captures import capture_losses, read_pcap
+from tracelake.sources.frames import RECORD_HEADER
+from tracelake.sources.reassembly import MESSAGE_STEP, Reassembled, length_prefixed, reassemble, reassemble_messages
 from tracelake.sources.wire import ElementNames
 
 SEGMENT = 100
@@ -83,14 +84,17 @@ def _writer(folder: str):
     return write
 
 
-def write_captures(packets: DataFrame, key: str, order: list[str]) -> str:
-    """Write ``(us, frame)`` rows as capture files, one per partition of ``key``; returns the folder."""
+def write_captures(packets: DataFrame, key: str, order: list[str], damaged: Column = F.lit(False)) -> str:
+    """Write ``(us, frame)`` rows as capture files, one per partition of ``key``; returns the folder.
+
+    The headers of ``damaged`` rows name a size that no record has.
+    """
     folder = new_path(packets.sparkSession, "captures")
     million = F.lit(1_000_000).cast("bigint")
     record = F.concat(
         number(F.call_function("div", F.col("us"), million), 4),
         number(F.col("us") % million, 4),
-        number(F.length("frame"), 4),
+        F.when(damaged, raw("7fffffff")).otherwise(number(F.length("frame"), 4)),
         sized(F.col("frame"), 4),
     )
     lines = packets.repartition(key).sortWithinPartitions(*order).select(record.alias("record"))
@@ -98,8 +102,8 @@ def write_captures(packets: DataFrame, key: str, order: list[str]) -> str:
     return folder
 
 
-def write_lineitem_captures(spark: SparkSession, folder: str) -> str:
-    """Line items written as captures; ports are 16 bits wide."""
+def lineitem_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as ``(us, frame)`` rows; ports are 16 bits wide."""
     items = table(spark, folder, "lineitem")
     flag, src = F.col("l_returnflag"), F.col("l_linenumber")
     payload = utf8(F.repeat(F.lit("x"), F.col("l_quantity").cast("int")))
@@ -111,9 +115,27 @@ def write_lineitem_captures(spark: SparkSession, folder: str) -> str:
     proto = F.when(flag == "A", 6).when(flag == "N", 17).otherwise(1)
     version = F.when(F.col("l_linestatus") == "F", 6).otherwise(4)
     frame = ethernet(version, proto, F.col("l_orderkey") % (1 << 31), F.col("l_suppkey") % (1 << 31), inner)
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    packets = items.select(*order, F.lit(1_000_000).cast("bigint").alias("us"), frame.alias("frame"))
-    return write_captures(packets, "l_orderkey", order)
+    return items.select(*ITEM, F.lit(1_000_000).cast("bigint").alias("us"), frame.alias("frame"))
+
+
+ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: Bytes in a range for the queries that cut capture files into many ranges.
+SMALL_SPLIT = 1 << 17
+#: One in so many records of a thousand neighbouring orders is damaged.
+DAMAGED_EACH = 64
+
+
+def write_lineitem_captures(spark: SparkSession, folder: str) -> str:
+    return write_captures(lineitem_frames(spark, folder), "l_orderkey", ITEM)
+
+
+def write_damaged_captures(spark: SparkSession, folder: str) -> str:
+    """Line items as captures in which every ``DAMAGED_EACH``-th record of a thousand neighbouring orders is damaged."""
+    block = F.call_function("div", F.col("l_orderkey"), F.lit(1000).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy(*ITEM))
+    frames = lineitem_frames(spark, folder).withColumn("block", block).withColumn("place", place)
+    frames = frames.withColumn("us", F.lit(1_700_000_000_000_000) + F.col("place"))  # times of day, as captures have them
+    return write_captures(frames, "block", ["block", *ITEM], F.col("place") % DAMAGED_EACH == 0)
 
 
 def lineitem_captures(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,6 +151,34 @@ def pcap_ingest(spark, folder):
     )
 
 
+def pcap_ingest_split(spark, folder):
+    """The same from many byte ranges of each capture."""
+    packets = read_pcap(spark, write_lineitem_captures(spark, folder), split_bytes=SMALL_SPLIT)
+    return packets.select(
+        "ip_version", F.when(F.col("ip_version") == 4, F.col("ip_src")).alias("ip_src"), "ip_header_len",
+        "ip_payload_len", "ip_total_len", "wire_len", "l4", "src_port", "dst_port", "tcp_seq", "tcp_payload_len", "ts_ms",
+    )
+
+
+def _found_and_lost(spark, folder, **options):
+    captures = write_damaged_captures(spark, folder)
+    packets = read_pcap(spark, captures, mode="DROPMALFORMED", **options)
+    size = F.col("cap_len").cast("bigint") + RECORD_HEADER
+    found = packets.agg(F.lit("found").alias("what"), F.count("*").alias("records"), F.sum(size).alias("bytes"))
+    lost = capture_losses(spark, captures, **options).groupBy(F.col("why").alias("what"))
+    return found.unionByName(lost.agg(F.lit(None).cast("bigint").alias("records"), F.sum("bytes").alias("bytes")))
+
+
+def pcap_losses(spark, folder):
+    """What is read of damaged captures, and what is lost: together all their bytes."""
+    return _found_and_lost(spark, folder)
+
+
+def pcap_losses_split(spark, folder):
+    """The same from many byte ranges of each capture."""
+    return _found_and_lost(spark, folder, split_bytes=SMALL_SPLIT)
+
+
 def capture_frame_count(spark, folder):
     return frame_count(lineitem_captures(spark, folder))
 
@@ -155,18 +205,22 @@ def segments_of(messages: DataFrame, keep: list[str]) -> DataFrame:
     return cut.select(*keep, "piece", body.alias("payload"))
 
 
-def reassembled_messages(spark, folder):
-    """Conversation turns sent as length-prefixed messages, two turns to a stream, and put together again."""
+def conversation_packets(spark, folder, damaged: Column = F.lit(False)) -> DataFrame:
+    """Conversation turns sent as length-prefixed messages, two turns to a stream, a conversation to a flow.
+
+    The headers of ``damaged`` turns name a length that no message has.
+    """
     turns = table(spark, folder, "conversations")
     body = utf8(F.concat_ws("\t", F.col("turn").cast("string"), "role", "text"))
     pair = F.call_function("div", F.col("turn"), F.lit(2).cast("bigint")).alias("pair")
-    framed = turns.select("conv_id", pair, F.struct("turn", sized(body, 4).alias("frame")).alias("message"))
+    frame = F.when(damaged, F.concat(raw("7fffffff"), body)).otherwise(sized(body, 4))
+    framed = turns.select("conv_id", pair, F.struct("turn", frame.alias("frame")).alias("message"))
     # Two turns at most to a group.
     pairs = framed.groupBy("conv_id", "pair").agg(F.array_sort(F.collect_list("message")).alias("both"))
     stream = F.aggregate("both", raw(""), lambda done, m: F.concat(done, m["frame"]))
     cut = segments_of(pairs.select("conv_id", "pair", stream.alias("stream")), ["conv_id", "pair"])
     place = (F.col("conv_id") * 4096 + F.col("pair")) * (1 << 20) + F.col("piece") + 1
-    packets = cut.select(
+    return cut.select(
         F.lit("conversations").alias("trace_file"),
         place.alias("frame_no"),
         place.alias("ts_ms"),
@@ -179,7 +233,9 @@ def reassembled_messages(spark, folder):
         F.length("payload").alias("tcp_payload_len"),
         "payload",
     )
-    whole = reassemble_messages(packets, length_prefixed)
+
+
+def _turns(whole: DataFrame) -> DataFrame:
     parts = F.split(F.decode(F.expr("substring(message, 5)"), "UTF-8"), "\t", 3)
     return whole.select(
         F.col("ip_src").cast("bigint").alias("conv_id"),
@@ -189,6 +245,46 @@ def reassembled_messages(spark, folder):
     )
 
 
+def reassembled_messages(spark, folder):
+    """Conversation turns, sent and put together again."""
+    return _turns(reassemble_messages(conversation_packets(spark, folder), length_prefixed))
+
+
+#: Packets in a chunk for the queries that run the plan for large flows.
+FEW_PACKETS = 4
+
+
+def reassembled_messages_chunked(spark, folder):
+    return _turns(reassemble_messages(conversation_packets(spark, folder), length_prefixed, chunk_rows=FEW_PACKETS))
+
+
+def _damaged_conversations(spark, folder, **options) -> Reassembled:
+    packets = conversation_packets(spark, folder, F.col("turn") % 5 == 3)
+    return reassemble(packets, length_prefixed, **options)
+
+
+def resumed_messages(spark, folder):
+    """One turn in five has a damaged header; all others are found."""
+    return _turns(_damaged_conversations(spark, folder).messages)
+
+
+def _accounted(whole: Reassembled) -> DataFrame:
+    size = F.length("message").cast("bigint")
+    found = whole.messages.select(F.lit("found").alias("what"), size.alias("bytes"))
+    lost = whole.losses.select(F.lit("lost").alias("what"), "bytes")
+    left = whole.unfinished.select(F.lit("unfinished").alias("what"), "bytes")
+    return found.unionByName(lost).unionByName(left).groupBy("what").agg(F.sum("bytes").alias("bytes"))
+
+
+def message_losses(spark, folder):
+    """Bytes of payload in messages and in losses: together all that was sent."""
+    return _accounted(_damaged_conversations(spark, folder))
+
+
+def message_losses_chunked(spark, folder):
+    return _accounted(_damaged_conversations(spark, folder, chunk_rows=FEW_PACKETS))
+
+
 NAMES = ElementNames()
 
 
@@ -266,11 +362,18 @@ QUERIES = {
     f.__name__: f
     for f in (
         pcap_ingest,
+        pcap_ingest_split,
+        pcap_losses,
+        pcap_losses_split,
         capture_frame_count,
         capture_payload_totals,
         capture_port_traffic,
         capture_ipv4_totals,
         reassembled_messages,
+        reassembled_messages_chunked,
+        resumed_messages,
+        message_losses,
+        message_losses_chunked,
         capture_messages,
         capture_metrics,
     )

@@ -339,3 +339,26 @@ FROM stats""",
     "rtt_lists_chunked": ORACLE["rtt_lists"],
 }
 ORACLE["flow_stats_all_chunked"] = ORACLE["flow_stats_all"].replace(_MESSAGES, _BUSY_MESSAGES)
+
+_SENT = """
+WITH sent AS (
+  SELECT *, 4 + strlen(CAST(turn AS VARCHAR) || chr(9) || role || chr(9) || text) AS size, turn % 5 = 3 AS damaged FROM conversations)
+"""
+
+ORACLE |= {
+    "pcap_ingest_split": ORACLE["pcap_ingest"],
+    "pcap_losses": """
+WITH records AS (
+  SELECT 16 + 14 + CASE WHEN l_linestatus <> 'F' THEN 20 ELSE 40 END + CASE l_returnflag WHEN 'A' THEN 20 ELSE 8 END
+           + CAST(l_quantity AS BIGINT) AS size,
+         row_number() OVER (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) % 64 = 0 AS damaged
+  FROM lineitem)
+SELECT 'found' AS what, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes FROM records WHERE NOT damaged
+UNION ALL SELECT 'damaged', NULL, CAST(sum(size) AS BIGINT) FROM records WHERE damaged HAVING count(*) > 0""",
+    "reassembled_messages_chunked": ORACLE["reassembled_messages"],
+    "resumed_messages": "SELECT conv_id, turn, role, text FROM conversations WHERE turn % 5 <> 3",
+    "message_losses": _SENT
+    + "SELECT CASE WHEN damaged THEN 'lost' ELSE 'found' END AS what, CAST(sum(size) AS BIGINT) AS bytes FROM sent GROUP BY 1",
+}
+ORACLE["pcap_losses_split"] = ORACLE["pcap_losses"]
+ORACLE["message_losses_chunked"] = ORACLE["message_losses"]

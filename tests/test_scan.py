@@ -88,3 +88,18 @@ def test_rtt_lists_are_cut_into_parts(spark, chunk_rows):
             some = values[part : part + 10]
             want[sec, part // 10] = f"({len(some)})[" + "".join(f"{v} " for v in some) + "]"
     assert found == want
+
+
+@pytest.mark.parametrize("chunk_rows, broadcast_keys", [(1 << 20, 9), (10, 9), (10, 0)])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_by_key_is_the_join(spark, monkeypatch, how, chunk_rows, broadcast_keys):
+    """Whether no, few or many keys are hot, the rows are those of a plain join."""
+    monkeypatch.setattr(scan, "BROADCAST_KEYS", broadcast_keys)
+    rng = random.Random(chunk_rows)
+    many = spark.createDataFrame([(f"s{rng.randrange(2)}", rng.choice("aaaaaabcd"), i) for i in range(200)], "s string, k string, n int")
+    one = spark.createDataFrame([("s0", "a", 1), ("s1", "a", 2), ("s0", "b", 3), ("s1", "z", 4)], "s string, k string, m int")
+    hot = scan.hot_keys(many, ["s", "k"], chunk_rows)
+    got = scan.join_by_key(many, one, ["s", "k"], hot, how)
+    want = many.join(one, ["s", "k"], how)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from tracelake.functions.columns import array_text, epoch_ms, file_name, pair_text, pair_values, second_bucket, words
 from tracelake.functions.staging import shared_folder
 from tracelake.operators.metrics import metric_sizes, rebase_time
-from tracelake.operators.traffic import ipv4_cardinalities, word_count
+from tracelake.operators.traffic import (
+    cardinality_sketches,
+    ipv4_cardinalities,
+    merged_cardinalities,
+    sketch_error,
+    word_count,
+)
 from tracelake.schemas import METRICS
 from tests.captures import capture, ethernet, ipv4, tcp
-from tracelake.sinks.tables import read_by_key, read_lines_as, write_by_key, write_report, write_tab
+from tracelake.sinks.tables import read_by_key, read_lines_as, write_by_key, write_report, write_series, write_tab
 from tracelake.sources.text import read_lines
 
 
@@ -130,3 +136,40 @@ def test_readme_code_runs(spark, tmp_path):
     (tmp_path / "captures" / "a").write_bytes(capture([(1, 0, ethernet(ipv4(tcp(b"x" * 9), 6)))]))
     exec(code.replace("hdfs:///", f"{tmp_path}/"), {"spark": spark})
     assert lines(tmp_path / "reports" / "ports")
+
+
+def test_series_files_are_sorted_in_the_order_of_their_names(spark, tmp_path):
+    """A large series is several files, a small one a single file; null and empty keys have folders, too."""
+    rows = [("hot", i * 7919 % 5000, i) for i in range(30_000)] + [("small", 3, 1), ("small", 1, 2), (None, 1, 1), ("", 2, 2)]
+    df = spark.createDataFrame(rows, "metric string, sec int, value int").repartition(5)
+    path = str(tmp_path / "series")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_series(df, path, "metric", ["sec", "value"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for metric in ("hot", "small"):
+        files = sorted((tmp_path / "series" / f"metric={metric}").glob("part-*"))
+        lines = [tuple(map(int, line.split(" "))) for file in files for line in file.read_text().splitlines()]
+        assert lines == sorted((sec, value) for name, sec, value in rows if name == metric)
+        assert len(files) > 2 if metric == "hot" else len(files) == 1
+    back = read_by_key(spark, path, "sec int, value int, metric string").select("metric", "sec", "value")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(Exception, match="already exists"):
+        write_series(df, path, "metric", ["sec"])
+
+
+def test_sketches_of_traces_merge(spark):
+    """Merged sketches count what several traces share once, within the stated error."""
+    packets = spark.range(60_000).selectExpr(
+        "concat('t', id % 4) trace_file", "4 ip_version", "cast(id % 20000 as string) ip_src", "cast(id % 300 as string) ip_dst",
+        "if(id % 2 = 0, 'tcp', null) l4", "cast(id % 1000 as int) src_port", "443 dst_port",
+    )
+    sketches = cardinality_sketches(packets)
+    assert sketches.select("trace_file").distinct().count() == 4
+    exact = {r.measure: r.n for r in ipv4_cardinalities(packets).collect()}
+    merged = {r.measure: r.n for r in merged_cardinalities(sketches).collect()}
+    assert exact.keys() == merged.keys() and exact["sources"] == 20_000
+    assert all(abs(merged[m] - n) <= sketch_error() * n for m, n in exact.items())
+    one = {r.measure: r.n for r in merged_cardinalities(sketches.where("trace_file = 't1'")).collect()}
+    assert abs(one["sources"] - 5000) <= sketch_error() * 5000

@@ -15,6 +15,8 @@ from tracelake.functions.staging import staged
 CHUNK_ROWS = 1 << 20
 # Most keys that are sent to every task; each is a few dozen bytes.
 BROADCAST_KEYS = 100_000
+# Into how many parts the rows of a key are dealt where hot keys are too many to be sent around.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -80,6 +82,26 @@ def hot_keys(df: DataFrame, names: list[str], chunk_rows: int = CHUNK_ROWS) -> H
     return HotKeys(names, staged(hot, "hot-keys"), number <= BROADCAST_KEYS)
 
 
+def join_by_key(many: DataFrame, one: DataFrame, keys: list[str], hot: HotKeys, how: str = "inner") -> DataFrame:
+    """Join rows of ``many`` with ``one``, which has one row for a key at most, and give no task all rows of a hot key.
+
+    ``hot`` names ``keys`` or some of them, which both sides have. Few hot keys are sent to every task, and their rows stay
+    where they are; the others meet in a shuffle. Beyond ``BROADCAST_KEYS`` all rows are dealt out by a salt as well, and
+    ``one`` is repeated for each. ``how``: inner, left, left_semi or left_anti.
+    """
+    if hot.table is None:
+        return many.join(one, keys, how)
+    if hot.broadcast:
+        few = F.broadcast(hot.table)
+        cold = many.join(few, hot.names, "left_anti").join(one, keys, how)
+        known = F.broadcast(one.join(few, hot.names, "left_semi"))  # one row for each of BROADCAST_KEYS at most
+        return cold.unionByName(many.join(few, hot.names, "left_semi").join(known, keys, how))
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    repeated = one.withColumn("_salt", F.explode(every))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def running(
     df: DataFrame, keys: list[str], order: list[str], chunk: list[str], columns: list[Running], hot: HotKeys
 ) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scan import CHUNK_ROWS, Running, hot_keys, running
+from tracelake.functions.scan import CHUNK_ROWS, Running, hot_keys, join_by_key, running
 
 _MESSAGE = ["kind", "first_ms", "last_ms", "payload_bytes", "seqs", "acks"]
 
@@ -75,7 +75,9 @@ def assign_messages(messages: DataFrame, handshakes: DataFrame, chunk_rows: int
     )
 
 
-def flow_events(assigned: DataFrame, flows: DataFrame, keep: str = "last") -> DataFrame:
+def flow_events(
+    assigned: DataFrame, flows: DataFrame, keep: str = "last", chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """W-7: what each flow of ``flow_table`` applies, one row per message and listed number.
 
     Order is (``phase``, ``pos``, ``item``): phase 0 the request; 2 messages that waited on the data
@@ -125,10 +127,9 @@ def flow_events(assigned: DataFrame, flows: DataFrame, keep: str = "last") -> Da
         .agg(F.max_by("last_ms", "pos").alias("last_ms"))
     )
     sent = replayed.where("kind = 'data'").select("scope", "flow", F.explode("seqs").alias("seq")).distinct()
+    opened = flows.select("scope", "flow", "ack_pipe", "rem_pos", "rem_chunk")
     acked_late = (
-        sent.join(
-            flows.select("scope", "flow", "ack_pipe", "rem_pos", "rem_chunk"), ["scope", "flow"]
-        )
+        join_by_key(sent, opened, ["scope", "flow"], hot_keys(sent, ["scope", "flow"], chunk_rows))
         .join(waiting, ["scope", "ack_pipe", "seq"])
         .select(
             "scope",

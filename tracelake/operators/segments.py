@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scan import CHUNK_ROWS, HotKeys, Running, hot_keys, running
+from tracelake.functions.scan import CHUNK_ROWS, HotKeys, Running, hot_keys, join_by_key, running
 from tracelake.functions.staging import staged
 
 # A flow expects at least 3 blocks, and its highest block number plus 2.
@@ -89,15 +89,16 @@ def close_early(
         return events, progress, points
     points = staged(points, "completion")
     closed = points.where("closed_at is not null").select(*_FLOW, "closed_at")
-    ignored = progress.join(closed, _FLOW).where("n > closed_at and (n - closed_at) % 2 = 1")
+    ignored = join_by_key(progress, closed, _FLOW, hot).where("n > closed_at and (n - closed_at) % 2 = 1")
     ignored = staged(ignored.select(*_MESSAGE), "ignored")
     if ignored.isEmpty():
         return events, progress, points
     applied = events.join(ignored, _MESSAGE, "left_anti")
     shortened = ignored.select(*_FLOW).distinct()
     # Staged so that the next windows do not inherit the join's partitioning by flow.
-    again = staged(applied.join(shortened, _FLOW, "left_semi"), "again")
-    progress = progress.join(shortened, _FLOW, "left_anti").unionByName(flow_progress(again, hot))
+    again = staged(join_by_key(applied, shortened, _FLOW, hot, "left_semi"), "again")
+    unchanged = join_by_key(progress, shortened, _FLOW, hot, "left_anti")
+    progress = unchanged.unionByName(flow_progress(again, hot))
     return applied, staged(progress, "progress"), points
 
 

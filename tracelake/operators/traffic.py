@@ -1,11 +1,16 @@
 """Flat aggregates over packets and text. All of them pre-aggregate before the shuffle."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import WORD_DELIMITERS, packet_bytes
 from tracelake.functions.scan import CHUNK_ROWS, Running, chunk_of, hot_keys, running
 
+#: Binary logarithm of the registers of a distinct-count sketch.
+SKETCH_PRECISION = 14
+
 
 def frame_count(packets: DataFrame) -> DataFrame:
     """A-1, PRJ-1: one row with the number of frames."""
@@ -68,6 +73,14 @@ def ipv4_cardinalities(packets: DataFrame, approximate: bool = False) -> DataFra
     The exact form shuffles each (measure, value) pair once and counts what arrives, so no task holds
     all values of one measure. The approximate form is a single partial aggregate.
     """
+    pairs = _ipv4_values(packets)
+    if approximate:
+        return pairs.groupBy("measure").agg(F.approx_count_distinct("value").alias("n"))
+    return pairs.distinct().groupBy("measure").agg(F.count("value").alias("n"))
+
+
+def _ipv4_values(packets: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, measure and value of what ``ipv4_cardinalities`` counts."""
     ipv4 = packets.where("ip_version = 4")
     tcp = F.col("l4") == "tcp"
     flow = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("ip_src", "src_port", "ip_dst", "dst_port", "l4")])
@@ -80,14 +93,30 @@ def ipv4_cardinalities(packets: DataFrame, approximate: bool = False) -> DataFra
         ("tcp_src_ports", F.when(tcp, F.col("src_port").cast("string"))),
         ("tcp_dst_ports", F.when(tcp, F.col("dst_port").cast("string"))),
     ]
-    pairs = (
-        ipv4.select(
-            F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), v.alias("value")) for n, v in values]))
-        )
+    return ipv4.select(
+        *columns, F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), v.alias("value")) for n, v in values]))
     )
-    if approximate:
-        return pairs.groupBy("measure").agg(F.approx_count_distinct("value").alias("n"))
-    return pairs.distinct().groupBy("measure").agg(F.count("value").alias("n"))
+
+
+def cardinality_sketches(packets: DataFrame, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """A-18, mergeable: (trace_file, measure, sketch), the state of a distinct count for each trace.
+
+    Written once for each capture, sketches answer for any set of captures without their packets. A sketch has some
+    2^``precision`` bytes at most, and fewer for few values.
+    """
+    values = _ipv4_values(packets, "trace_file").groupBy("trace_file", "measure")
+    return values.agg(F.hll_sketch_agg("value", F.lit(precision)).alias("sketch"))
+
+
+def merged_cardinalities(sketches: DataFrame) -> DataFrame:
+    """A-18: measure and n over the traces of ``cardinality_sketches``; n is off by ``sketch_error`` at most, three sigmas."""
+    merged = sketches.groupBy("measure").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("measure", F.hll_sketch_estimate("sketch").alias("n"))
+
+
+def sketch_error(precision: int = SKETCH_PRECISION) -> float:
+    """Three standard errors of a merged sketch, as a share of the count."""
+    return 3 * 1.04 / math.sqrt(1 << precision)
 
 
 def running_totals(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -50,7 +50,7 @@ def socket_performance(
     matched = handshake_table(ordered, chunk_rows)
     flows = hs.flow_table(matched, keep)
     assigned = staged(assign_messages(ordered, matched, chunk_rows), "assigned")
-    events = staged(flow_events(assigned, flows, keep), "events")
+    events = staged(flow_events(assigned, flows, keep, chunk_rows), "events")
     events, progress, points = close_early(events, early_close, chunk_rows)
     segs, stats = segments(events, progress), flow_stats(flows, progress, points)
     if keep == "all":

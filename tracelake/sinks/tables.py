@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 NULL = "\\N"
 EMPTY_FOLDER = "__EMPTY__"
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"  # fixed value: what Spark names the folder of nulls
 
 
 def _line(columns: list[str], sep: str) -> Column:
@@ -57,6 +58,22 @@ def write_by_key(df: DataFrame, path: str, key: Column, name: str = "folder", se
     gathered.write.mode("errorifexists").partitionBy(name).text(path)
 
 
+def write_series(df: DataFrame, path: str, key: str, order: list[str], sep: str = " ") -> None:
+    """SO-3, SNK-5: one folder per value of the text column ``key``, whose files in the order of their names hold the lines
+    sorted by ``order`` (and, where that ties, by the line).
+
+    Rows are dealt out by ranges of key and order, so a large series is many files and many small series share a task. What
+    ``write_by_key`` says on lines and nulls holds here, too.
+    """
+    line = _line([c for c in df.columns if c != key], sep)
+    # A key that cannot be null, else Spark sorts once more by the key alone when it writes.
+    named = F.when(F.col(key) == "", EMPTY_FOLDER).otherwise(F.coalesce(key, F.lit(NULL_FOLDER)))
+    keyed = df.select(F.coalesce(named, F.lit(NULL_FOLDER)).alias(key), *[F.col(c).alias(f"__{c}") for c in order], line)
+    places = [key, *[f"__{c}" for c in order], "value"]
+    dealt = keyed.repartitionByRange(*places).sortWithinPartitions(*places)
+    dealt.select("value", key).write.mode("errorifexists").partitionBy(key).text(path)
+
+
 def read_by_key(spark: SparkSession, path: str, schema: str, sep: str = " ") -> DataFrame:
     """Read what ``write_by_key`` wrote; ``schema`` names the line columns, then the folder column."""
     *fields, folder = _parsed(schema)

@@ -362,3 +362,8 @@ UNION ALL SELECT 'damaged', NULL, CAST(sum(size) AS BIGINT) FROM records WHERE d
 }
 ORACLE["pcap_losses_split"] = ORACLE["pcap_losses"]
 ORACLE["message_losses_chunked"] = ORACLE["message_losses"]
+
+ORACLE |= {
+    "ipv4_cardinalities_sketched": f"SELECT measure, n, true AS near FROM ({ORACLE['ipv4_cardinalities']})",
+    "series_in_order": f"SELECT metric, count(*) AS lines, CAST(0 AS BIGINT) AS disorder FROM ({ORACLE['metrics_merged']}) GROUP BY metric",
+}

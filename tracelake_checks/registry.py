@@ -1,6 +1,6 @@
 """One query per operator, each over whole tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake_checks import standins
@@ -11,7 +11,7 @@ from tracelake.operators.ordering import in_scope
 from tracelake.operators.routing import assign_messages, message_events
 from tracelake.operators import segments as sg
 from tracelake.plans.socket_performance import SocketPerformance, handshake_table, socket_performance
-from tracelake.sinks.tables import read_by_key, read_lines_as, write_by_key, write_report, write_tab
+from tracelake.sinks.tables import read_by_key, read_lines_as, write_by_key, write_report, write_series, write_tab
 from tracelake.sources.text import read_lines
 from tracelake.functions.columns import pair_text, pair_values
 from tracelake.functions.scan import CHUNK_ROWS
@@ -57,6 +57,15 @@ def ipv4_cardinalities(spark, folder):
     return traffic.ipv4_cardinalities(standins.lineitem_packets(spark, folder))
 
 
+def ipv4_cardinalities_sketched(spark, folder):
+    """Exact counts, and whether the sketches of all traces, merged, are within their stated error of them."""
+    packets = standins.lineitem_packets(spark, folder)
+    sketches = staged(traffic.cardinality_sketches(packets), "sketches")
+    estimated = traffic.merged_cardinalities(sketches).withColumnRenamed("n", "estimate")
+    near = F.abs(F.col("estimate") - F.col("n")) <= traffic.sketch_error() * F.col("n")
+    return traffic.ipv4_cardinalities(packets).join(estimated, "measure").select("measure", "n", near.alias("near"))
+
+
 def running_totals(spark, folder):
     return traffic.running_totals(standins.event_packets(spark, folder))
 
@@ -161,6 +170,25 @@ def metrics_partitioned(spark, folder):
     return read_by_key(spark, path, "sec bigint, value bigint, metric string")
 
 
+def series_in_order(spark, folder):
+    """The metric series as files; lines of each, and how often a line is smaller than the one before it in file order."""
+    path = new_path(spark, "series")
+    write_series(metrics_merged(spark, folder), path, "metric", ["sec", "value"])
+    number = F.monotonically_increasing_id().alias("number")  # rises inside a block of a file
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), number]
+    parts = F.split("value", " ")
+    point = F.struct(parts[0].cast("bigint").alias("sec"), parts[1].cast("bigint").alias("value")).alias("point")
+    lines = spark.read.schema("value string, metric string").text(path).select("metric", point, *place)
+    before = F.lag("point").over(Window.partitionBy("metric", "file").orderBy("block", "number"))
+    inside = lines.withColumn("less", F.coalesce(F.col("point") < before, F.lit(False)).cast("int"))
+    files = inside.groupBy("metric", "file").agg(
+        F.count("*").alias("lines"), F.sum("less").alias("less"), F.min("point").alias("least"), F.max("point").alias("most")
+    )
+    over = F.coalesce(F.col("least") < F.lag("most").over(Window.partitionBy("metric").orderBy("file")), F.lit(False))
+    files = files.withColumn("less", F.col("less") + over.cast("int"))
+    return files.groupBy("metric").agg(F.sum("lines").alias("lines"), F.sum("less").alias("disorder"))
+
+
 def word_count_tab(spark, folder):
     """Words and counts as tab-separated text, written and read back."""
     path = new_path(spark, "words")
@@ -254,6 +282,8 @@ def rtt_lists_chunked(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
+        ipv4_cardinalities_sketched,
+        series_in_order,
         flow_stats_all,
         flow_segments_all,
         flow_stats_all_chunked,

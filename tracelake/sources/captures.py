@@ -8,7 +8,7 @@ many ranges, so even a file of a million ranges, all guessed wrong, is put in or
 
 A record header that cannot be one breaks the chain. Reading goes on at the next place where a chain begins, in the same
 range or in the next one; so damage costs its own bytes and no more rounds. A range is walked again only where it is
-entered at a header that does not look like one, or right before damage. What is left out is listed with file, offset and bytes.
+entered at a valid header that does not look like one. What is left out is listed with file, offset and bytes.
 """
 
 from collections.abc import Iterator
@@ -42,6 +42,7 @@ _CHAIN = T.StructType(
         T.StructField("records", T.LongType()),
         T.StructField("next", T.LongType()),  # where the chain leaves the range, if that is known
         T.StructField("damaged", T.BooleanType()),  # whether the header there cannot be one
+        T.StructField("stop", T.LongType()),  # records that begin before this are its own
         T.StructField("lost", T.ArrayType(_LOSS)),
     ]
 )
@@ -128,10 +129,13 @@ def _walk(
 
 
 class _Chain:
-    """The records from ``first`` on that begin before ``end``, up to where they run into one of ``others``."""
+    """The records from ``first`` on that begin before ``end``, up to where they run into one of ``others``.
+
+    A record after ``end`` that damage follows is its own, too: nothing in its range would tell that it is one.
+    """
 
     def __init__(self, header: FileHeader, source, first: int, end: int, length: int, others: list["_Chain"]):
-        self.first, self.lost, self.next, self.damaged = first, [], None, False
+        self.first, self.lost, self.next, self.damaged, self.stop = first, [], None, False, end
         found: list[np.ndarray] = []
         for _, at, places in _walk(header, source, first, end, length, self.lost, 4 << 20 if not others else 1 << 16):
             self.next, here = at, np.array(places, np.int64) + (at or 0)
@@ -149,13 +153,19 @@ class _Chain:
                 self.lost.append({"at": self.next, "bytes": length - self.next, "why": CUT_OFF})
                 self.next = length
             else:
-                start = source.read_at(RECORD_HEADER, self.next)
-                self.damaged = header.record.unpack_from(start)[2] > header.limit
+                size = header.record.unpack_from(source.read_at(RECORD_HEADER, self.next))[2]
+                self.damaged = size > header.limit
+                after = self.next + RECORD_HEADER + size
+                if not self.damaged and after + RECORD_HEADER <= length:
+                    follows = header.record.unpack_from(source.read_at(RECORD_HEADER, after))[2]
+                    if follows > header.limit:
+                        self.records, self.stop = self.records + 1, self.next + 1
+                        self.next, self.damaged = after, True
 
     def _goes_on_as(self, other: "_Chain", at: int, found: list[np.ndarray]) -> None:
         self.starts = np.concatenate(found)
         self.records = len(self.starts) + other.records - int(np.searchsorted(other.starts, at))
-        self.next, self.damaged = other.next, other.damaged
+        self.next, self.damaged, self.stop = other.next, other.damaged, other.stop
         self.lost += [loss for loss in other.lost if loss["at"] >= at]
 
     def holds(self, places: np.ndarray) -> np.ndarray:
@@ -170,11 +180,11 @@ class _Chain:
         entries = [self.first, *entries] if lead or not entries else entries
         return {
             "offsets": entries, "lead": lead, "records": self.records, "next": self.next, "damaged": self.damaged,
-            "lost": self.lost,
+            "stop": self.stop, "lost": self.lost,
         }
 
 
-_NO_CHAIN = {"offsets": [], "lead": 0, "records": 0, "next": None, "damaged": False, "lost": []}
+_NO_CHAIN = {"offsets": [], "lead": 0, "records": 0, "next": None, "damaged": False, "stop": None, "lost": []}
 
 
 def _walk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +361,8 @@ def _placed(walked: DataFrame, entries: DataFrame) -> DataFrame:
     none = F.array().cast(T.ArrayType(_LOSS))
     later = F.coalesce(F.filter("chain.lost", lambda loss: loss["at"] >= F.col("first")), none)
     return ranges.select(
-        "path", "length", "split_no", "start", "end", "first", F.col("chain.next").alias("next"),
+        "path", "length", "split_no", "start", F.coalesce("chain.stop", "end").alias("end"), "first",
+        F.col("chain.next").alias("next"),
         F.when(F.col("first").isNull(), 0).otherwise(records).cast("bigint").alias("records"), "error",
         F.concat(F.when(F.col("due") < stop, F.array(gap)).otherwise(none), later).alias("lost"),
     )

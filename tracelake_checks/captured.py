@@ -84,7 +84,7 @@ def _writer(folder: str):
     return write
 
 
-def write_captures(packets: DataFrame, key: str, order: list[str], damaged: Column = F.lit(False)) -> str:
+def write_captures(packets: DataFrame, key: str, order: list[str], damaged: Column | None = None) -> str:
     """Write ``(us, frame)`` rows as capture files, one per partition of ``key``; returns the folder.
 
     The headers of ``damaged`` rows name a size that no record has.
@@ -94,7 +94,7 @@ def write_captures(packets: DataFrame, key: str, order: list[str], damaged: Colu
     record = F.concat(
         number(F.call_function("div", F.col("us"), million), 4),
         number(F.col("us") % million, 4),
-        F.when(damaged, raw("7fffffff")).otherwise(number(F.length("frame"), 4)),
+        F.when(F.lit(False) if damaged is None else damaged, raw("7fffffff")).otherwise(number(F.length("frame"), 4)),
         sized(F.col("frame"), 4),
     )
     lines = packets.repartition(key).sortWithinPartitions(*order).select(record.alias("record"))
@@ -205,7 +205,7 @@ def segments_of(messages: DataFrame, keep: list[str]) -> DataFrame:
     return cut.select(*keep, "piece", body.alias("payload"))
 
 
-def conversation_packets(spark, folder, damaged: Column = F.lit(False)) -> DataFrame:
+def conversation_packets(spark, folder, damaged: Column | None = None) -> DataFrame:
     """Conversation turns sent as length-prefixed messages, two turns to a stream, a conversation to a flow.
 
     The headers of ``damaged`` turns name a length that no message has.
@@ -213,7 +213,8 @@ def conversation_packets(spark, folder, damaged: Column = F.lit(False)) -> DataF
     turns = table(spark, folder, "conversations")
     body = utf8(F.concat_ws("\t", F.col("turn").cast("string"), "role", "text"))
     pair = F.call_function("div", F.col("turn"), F.lit(2).cast("bigint")).alias("pair")
-    frame = F.when(damaged, F.concat(raw("7fffffff"), body)).otherwise(sized(body, 4))
+    bad = F.lit(False) if damaged is None else damaged
+    frame = F.when(bad, F.concat(raw("7fffffff"), body)).otherwise(sized(body, 4))
     framed = turns.select("conv_id", pair, F.struct("turn", frame.alias("frame")).alias("message"))
     # Two turns at most to a group.
     pairs = framed.groupBy("conv_id", "pair").agg(F.array_sort(F.collect_list("message")).alias("both"))

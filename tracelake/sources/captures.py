@@ -282,7 +282,11 @@ def _index(spark: SparkSession, path: str, split_bytes: int, most_tasks: int) ->
     walked = staged(ranges.repartition(tasks).mapInArrow(_walk_ranges, _RANGES), "capture-index")
     while True:
         edges = staged(_edges(walked, split_bytes), "capture-edges")
-        reached = _reached(edges)
+        # As a rule the first chain of each range leads to the first one of the next.
+        odd = edges.where("chain_no = 0 and not (to_split = split_no + 1 and into = 0)")
+        if odd.isEmpty():
+            return staged(_placed(walked, edges.where("chain_no = 0")), "capture-index")
+        reached = _reached(edges, odd.select("path").distinct())
         entries = edges.join(reached, ["path", "split_no", "chain_no"], "left_semi")
         unknown = entries.where("into < 0").groupBy("path", F.col("to_split").alias("split_no"))
         unknown = staged(unknown.agg(F.collect_set("first").alias("more")), "capture-again")
@@ -324,18 +328,15 @@ def _edges(walked: DataFrame, split_bytes: int) -> DataFrame:
     return edges.union(begins)
 
 
-def _reached(edges: DataFrame) -> DataFrame:
+def _reached(edges: DataFrame, odd: DataFrame) -> DataFrame:
     """The chains (path, split_no, chain_no) that lie on the way from the beginning of their file.
 
-    As a rule the first chain of each range leads to the first one of the next. In files where one does not, the ways are
-    doubled: a round adds what is as many steps ahead as all rounds before have covered.
+    These are the first ones of the ranges, but for the files ``odd``. There the ways are doubled: a round adds what is as
+    many steps ahead as all rounds before have covered.
     """
     node = ["path", "split_no", "chain_no"]
-    other = edges.where("chain_no = 0 and not (to_split = split_no + 1 and into = 0)").select("path").distinct()
-    other = staged(other, "capture-jumps")
+    other = staged(odd, "capture-jumps")
     straight = edges.where("chain_no = 0").join(other, "path", "left_anti").select(node)
-    if other.isEmpty():
-        return straight
     jumps = edges.where("into >= 0").join(other, "path", "left_semi").select(*node, "to_split", "into")
     jumps = staged(jumps, "capture-jumps")
     reached = jumps.where("split_no = -1").select(node)

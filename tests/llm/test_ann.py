@@ -85,3 +85,34 @@ def test_graph_is_flat_and_walks_reach_it():
         assert i not in near and len(set(near.tolist())) == len(near) > 0
     found = ann.search(graph, v, 32)
     assert (found[:, 0] == np.arange(700)).mean() > 0.99
+
+
+@pytest.mark.parametrize("factor, extra", [(1.0, [4e6]), (1e200, []), (1e-200, []), (1.0, [1e150, 1e-150, 300.0])])
+def test_numbers_of_any_size(spark, factor, extra):
+    """Neither long vectors among short ones nor very large or small numbers cost recall."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(0, 1, (800, 16))
+    points = np.vstack([points / np.linalg.norm(points, axis=1, keepdims=True), *(rng.normal(0, size, (1, 16)) for size in extra)])
+    data = [(i, (p * factor).tolist()) for i, p in enumerate(points)]
+    wide = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    got = {}
+    for row in ann.nearest(wide, shard_rows=400).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    sims = points @ points.T
+    np.fill_diagonal(sims, -np.inf)
+    want = {q: set(np.argsort(-sims[q], kind="stable")[:20].tolist()) for q in range(0, len(points), 20)}
+    assert set(got) == set(want)
+    assert np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.97
+
+
+def test_rows_of_one_key_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(60)]
+    rows.append((20, rng.normal(0, 1, 8).tolist()))
+    found = ann.nearest(table(spark, rows), k=60).where("query_id = 20").collect()
+    values = [np.array(v, dtype=np.float32).astype(float) for _, v in rows]
+    want = []
+    for at in (20, 60):
+        near = sorted((-float((values[i] * values[at]).sum()), rows[i][0]) for i in range(61) if i != at)
+        want += [(rank, name) for rank, (_, name) in enumerate(near, 1)]
+    assert sorted((r["rank"], r["vec_id"]) for r in found) == sorted(want)

@@ -1,16 +1,20 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, in flat neighbour arrays.
 
-Equal vectors are one node. Nearness is the inner product; a coordinate is added that lifts all vectors of the table to
-one length, so that the greatest inner product is the smallest distance and the graph can prune by distance. A shard's graph is built in
-one task and stored as a row of flat arrays. Blocks of queries meet every shard, walk its graph together, and the shards'
-nearest are merged.
+Equal vectors are one node. Nearness is the inner product; a coordinate is added that lifts all vectors of a shard to
+one length, so that the greatest inner product is the smallest distance and the graph can prune by distance. A shard holds
+vectors of one band of lengths (the longest at most four times the shortest), so that a few long vectors do not press all
+others into one point. A shard's graph is built in one task and stored as a row of flat arrays. Blocks of queries meet every
+shard, walk its graph together, and the shards' nearest are merged.
+
+Numbers of any size take part: lengths are computed from vectors divided by their largest component, and scores are
+compared as products of vectors that are scaled by powers of two, which changes no digit of them.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.staging import staged
@@ -19,7 +23,8 @@ INDEX = (
     "shard int, dims int, degree int, vectors binary, levels binary, offsets binary, ids binary, links binary, "
     "upper binary, entry bigint"
 )
-FOUND = "query_id bigint, vec_id bigint, score double"
+FOUND = "query_id bigint, variant bigint, vec_id bigint, near double, score double"
+SCALED = "transform(vector, x -> x / aggregate(vector, 0d, (m, y) -> greatest(m, abs(y))))"
 
 
 @dataclass
@@ -38,15 +43,17 @@ def spread(vectors: np.ndarray, sims: np.ndarray, candidates: np.ndarray, most:
     """Up to ``most`` of each row's candidates (sorted by falling similarity, -1 where none): first those that are nearer
     to the node than to any one taken before, then the nearest of the others."""
     rows, width = candidates.shape
-    there = vectors[np.maximum(candidates, 0)]
+    there = np.take(vectors, np.maximum(candidates, 0), axis=0)
     between = there @ there.transpose(0, 2, 1)
     valid = candidates >= 0
     taken = np.zeros((rows, width), dtype=bool)
+    count = np.zeros(rows, dtype=np.int64)
     closest = np.full((rows, width), -np.inf, dtype=np.float32)
     for j in range(width):
-        fine = valid[:, j] & (closest[:, j] < sims[:, j]) & (taken[:, :j].sum(axis=1) < most)
-        taken[:, j] = fine
-        closest = np.where(fine[:, None], np.maximum(closest, between[:, :, j]), closest)
+        fine = np.flatnonzero(valid[:, j] & (closest[:, j] < sims[:, j]) & (count < most))
+        taken[fine, j] = True
+        count[fine] += 1
+        closest[fine, j + 1 :] = np.maximum(closest[fine, j + 1 :], between[fine, j, j + 1 :])
     place = np.argsort(np.where(taken, 0, np.where(valid, 1, 2)), axis=1, kind="stable")[:, :most]
     chosen = np.take_along_axis(candidates, place, axis=1)
     if width < most:
@@ -158,7 +165,9 @@ def search(graph: Graph, queries: np.ndarray, breadth: int, step: int = 4) -> np
         fresh = near[rows, columns]
         seen[active[rows], fresh] = True
         value = np.full(near.shape, -np.inf, dtype=np.float32)
-        value[rows, columns] = np.einsum("ij,ij->i", queries[active[rows]], graph.vectors[fresh])
+        value[rows, columns] = np.einsum(
+            "ij,ij->i", np.take(queries, active[rows], axis=0), np.take(graph.vectors, fresh, axis=0)
+        )
         all_sims = np.concatenate([sims[active], value], axis=1)
         all_nodes = np.concatenate([beam[active], near], axis=1)
         all_open = np.concatenate([opened[active], near < 0], axis=1)
@@ -181,31 +190,48 @@ def valid_vectors(embeddings: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(sound & nonzero).distinct()
 
 
-def build_index(
-    vectors: DataFrame, copies: int, longest: float, shards: int, degree: int = 16, reach: int = 64
-) -> DataFrame:
-    """A row of flat arrays for each shard.
+def band() -> Column:
+    """The band of a vector's length: lengths from half to twice a power of four."""
+    square = F.expr(f"aggregate({SCALED}, 0d, (sum, x) -> sum + x * x)")
+    largest = F.expr("aggregate(vector, 0d, (m, y) -> greatest(m, abs(y)))")
+    return F.floor((F.log2(largest) + F.log2(square) / 2 + 1) / 2).cast("int")
+
+
+def lifted(raw: np.ndarray) -> np.ndarray:
+    """Vectors of a shard as unit vectors: divided by the longest, and a coordinate more."""
+    scaled = raw / np.abs(raw).max()
+    scaled /= np.sqrt((scaled**2).sum(axis=1).max())
+    lift = np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))
+    return np.column_stack([scaled, lift]).astype(np.float32)
+
+
+def build_index(vectors: DataFrame, copies: int, shard_rows: int, degree: int = 16, reach: int = 64) -> tuple[DataFrame, int]:
+    """A row of flat arrays for each shard, and the number of shards: as many for each ``band`` as its rows need.
 
     Of equal vectors the ``copies`` least keys are kept with their node: no query can need more. A window's limit cuts them
-    off before the shuffle, so that a vector with very many copies meets nowhere.
+    off before the shuffle, so that a vector with very many copies meets nowhere. The driver sees the number of rows of each
+    band; doubles have fewer than 1,100 bands.
     """
+    counts = vectors.groupBy("band").count().orderBy("band").collect()
+    parts = [-(-row["count"] // shard_rows) for row in counts]
+    bands = [(row["band"], sum(parts[:i]), parts[i]) for i, row in enumerate(counts)]
+    table = vectors.sparkSession.createDataFrame(bands, "band int, begin int, parts int")
     place = F.expr("row_number() over (partition by vector order by vec_id)")
     few = vectors.withColumn("place", place).where(F.col("place") <= copies)
-    nodes = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most ``copies`` of them
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(shards)).cast("int"))
-    nodes = nodes.withColumn("mix", F.xxhash64(F.get("ids", F.lit(0)), F.lit("level")))
+    nodes = few.groupBy("vector", "band").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most ``copies`` of them
+    part = F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.col("parts"))
+    nodes = nodes.join(F.broadcast(table), "band").withColumn("shard", (F.col("begin") + part).cast("int"))
+    nodes = nodes.withColumn("mix", F.xxhash64(F.get("ids", F.lit(0)), F.lit("level"))).select("shard", "vector", "ids", "mix")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         raw = np.array(group["vector"].tolist(), dtype=np.float64)
         uniform = (group["mix"].to_numpy(np.int64).astype(np.uint64) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         levels = np.floor(-np.log(np.maximum(uniform, 1e-12)) / np.log(degree)).astype(np.int64)
         first = np.array([ids[0] for ids in group["ids"]], dtype=np.int64)
-        order = np.lexsort((first, -levels))
+        order = np.lexsort((*raw.T[::-1], first, -levels))
         raw, levels = raw[order], levels[order]
         ids = [np.asarray(group["ids"].iloc[i], dtype=np.int64) for i in order]
-        scaled = raw / longest
-        lift = np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))
-        graph = build(np.column_stack([scaled, lift]).astype(np.float32), levels, degree, reach)
+        graph = build(lifted(raw), levels, degree, reach)
         offsets = np.cumsum([0, *map(len, ids)]).astype(np.int64)
         row = {
             "shard": group["shard"].iloc[0],
@@ -221,23 +247,21 @@ def build_index(
         }
         return pd.DataFrame([row])
 
-    return nodes.groupBy("shard").applyInPandas(one, INDEX)
+    return nodes.groupBy("shard").applyInPandas(one, INDEX), sum(parts)
 
 
-def _opened(row: pd.Series, longest: float) -> tuple[np.ndarray, Graph, np.ndarray, np.ndarray]:
+def _opened(row: pd.Series) -> tuple[np.ndarray, Graph, np.ndarray, np.ndarray]:
     """The arrays of a stored shard: vectors as given, graph, offsets of the nodes' keys, keys."""
     dims, degree = int(row["dims"]), int(row["degree"])
     raw = np.frombuffer(row["vectors"], dtype=np.float64).reshape(-1, dims)
     levels = np.frombuffer(row["levels"], dtype=np.int64)
-    scaled = raw / longest
-    lift = np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))
     flat, upper, at = np.frombuffer(row["upper"], dtype=np.int32), [], 0
     for level in range(1, int(levels.max(initial=0)) + 1):
         count = int((levels >= level).sum()) * degree
         upper.append(flat[at : at + count].reshape(-1, degree))
         at += count
     links = np.frombuffer(row["links"], dtype=np.int32).reshape(-1, 2 * degree)
-    graph = Graph(np.column_stack([scaled, lift]).astype(np.float32), levels, links, upper)
+    graph = Graph(lifted(raw), levels, links, upper)
     return raw, graph, np.frombuffer(row["offsets"], dtype=np.int64), np.frombuffer(row["ids"], dtype=np.int64)
 
 
@@ -251,57 +275,73 @@ def nearest(
     degree: int = 16,
     breadth: int = 160,
     block: int = 1024,
+    blocks_per_task: int = 16,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the ``k`` nearest found for each row whose key ``every`` divides.
 
     - Nearness is the inner product, greatest first, ties to the smaller key. The walk finds candidates; scores and their
-      order come from the vectors as given, in double precision. A row is no candidate for itself; its copies are.
+      order come from the vectors as given, in double precision. Where a score is beyond the range of doubles (infinite, or
+      too small), the order is still that of the true products. A row is no candidate for itself; its copies are.
     - Rows with a null key, and with a vector that is null, empty, all zeros or holds a null or non-finite component, take no
-      part; nor do vectors of another length than the most frequent one. Repeated rows count once.
+      part; nor do vectors of another length than the most frequent one. Repeated rows count once. Rows of one key with
+      different vectors are rows of their own: each is a query with ranks from 1, and a candidate for the other.
     - All rows that take part are indexed: equal vectors as one node, with the ``k`` + 1 least keys.
-    - A shard holds about ``shard_rows`` nodes; ``block`` queries meet a shard in one task.
+    - A shard holds about ``shard_rows`` nodes of one ``band``. A task takes a shard and ``blocks_per_task`` blocks of
+      ``block`` queries, which walk together, so an index travels once for as many queries as it has nodes.
     - Other columns play no part. An empty table gives an empty result.
     """
     sound = valid_vectors(embeddings, key, vector)
     sizes = sound.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"))
     dims = sizes.orderBy(F.desc("n"), "dims").limit(1).collect()
-    vectors = staged(sound.where(F.size("vector") == (dims[0]["dims"] if dims else 0)), "ann-vectors")
-    square = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
+    sound = sound.where(F.size("vector") == (dims[0]["dims"] if dims else 0))
+    vectors = staged(sound.withColumn("band", band()), "ann-vectors")
     asked = F.col("vec_id") % every == 0
-    facts = vectors.agg(
-        F.max(F.sqrt(square)).alias("longest"), F.count("*").alias("rows"), F.count(F.when(asked, 1)).alias("queries")
-    ).collect()[0]
-    longest = (facts["longest"] or 1.0) * (1 + 1e-12)
-    shards, blocks = max(1, -(-facts["rows"] // shard_rows)), max(1, -(-facts["queries"] // block))
-    index = staged(build_index(vectors, k + 1, longest, shards, degree), "ann-index")
-
-    mine = F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)).cast("int")
-    queries = vectors.where(asked).select(F.col("vec_id").alias("query_id"), "vector", mine.alias("block"))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pieces = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    largest = F.array_max(F.transform("vector", F.abs))
+    facts = vectors.agg(F.max(largest).alias("largest"), F.count(F.when(asked, 1)).alias("queries")).collect()[0]
+    top = int(np.frexp(facts["largest"] or 1.0)[1])
+    parts = max(1, -(-facts["queries"] // (block * blocks_per_task)))
+    index, shards = build_index(vectors, k + 1, shard_rows, degree)
+    index = staged(index, "ann-index")
+
+    variant = F.xxhash64("vector")
+    mine = F.pmod(F.xxhash64("vec_id", variant), F.lit(parts)).cast("int")
+    queries = vectors.where(asked).select(
+        F.col("vec_id").alias("query_id"), variant.alias("variant"), "vector", mine.alias("part")
+    )
+    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))))
+    pieces = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def ask(wanted: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({name.split()[0]: [] for name in FOUND.split(", ")})
         if not len(wanted) or not len(stored):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        raw, graph, offsets, ids = _opened(stored.iloc[0], longest)
-        own = wanted["query_id"].to_numpy(np.int64)
-        q = np.array(wanted["vector"].tolist(), dtype=np.float64)
-        unit = q / np.sqrt((q**2).sum(axis=1, keepdims=True))
-        lifted = np.column_stack([unit, np.zeros(len(q))]).astype(np.float32)
-        # A node has a row of its own for each copy, so k + 1 nodes are enough; the beam is wider to find them.
-        found = search(graph, lifted, max(breadth, 2 * k))
+            return none.astype({"query_id": "int64", "variant": "int64", "vec_id": "int64"})
+        raw, graph, offsets, ids = _opened(stored.iloc[0])
+        even = np.ldexp(raw, -top)
         out = []
-        for i, nodes in enumerate(found):
-            nodes = nodes[nodes >= 0]
-            score = (raw[nodes] * q[i]).sum(axis=1)
-            top = nodes[np.argsort(-score, kind="stable")[: k + 1]]
-            keys = np.concatenate([ids[offsets[node] : offsets[node + 1]] for node in top])
-            values = np.repeat((raw[top] * q[i]).sum(axis=1), offsets[top + 1] - offsets[top])
-            keys, values = keys[keys != own[i]], values[keys != own[i]]
-            place = np.lexsort((keys, -values))[:k]
-            out.append(pd.DataFrame({"query_id": own[i], "vec_id": keys[place], "score": values[place]}))
+        for begin in range(0, len(wanted), block):
+            some = wanted.iloc[begin : begin + block]
+            q = np.array(some["vector"].tolist(), dtype=np.float64)
+            power = np.frexp(np.abs(q).max(axis=1))[1]
+            own = np.ldexp(q, -power[:, None])
+            unit = own / np.sqrt((own**2).sum(axis=1, keepdims=True))
+            # A node has a row of its own for each copy, so k + 1 nodes are enough; the beam is wider to find them.
+            found = search(graph, np.column_stack([unit, np.zeros(len(q))]).astype(np.float32), max(breadth, 2 * k))
+            for i, (name, kind) in enumerate(zip(some["query_id"], some["variant"], strict=True)):
+                nodes = found[i][found[i] >= 0]
+                near = (even[nodes] * own[i]).sum(axis=1)
+                order = np.lexsort((ids[offsets[nodes]], -near))[: k + 1]
+                nodes, near = nodes[order], near[order]
+                copies = offsets[nodes + 1] - offsets[nodes]
+                keys = np.concatenate([ids[offsets[node] : offsets[node + 1]] for node in nodes])
+                other = (keys != name) | ~np.repeat((raw[nodes] == q[i]).all(axis=1), copies)
+                keys, near = keys[other], np.repeat(near, copies)[other]
+                place = np.lexsort((keys, -near))[:k]
+                with np.errstate(over="ignore", under="ignore"):
+                    score = np.ldexp(near[place], int(power[i]) + top)
+                rows = {"query_id": name, "variant": kind, "vec_id": keys[place], "near": near[place], "score": score}
+                out.append(pd.DataFrame(rows))
         return pd.concat(out, ignore_index=True)
 
-    met = queries.groupBy("shard", "block").cogroup(pieces.groupBy("shard", "block")).applyInPandas(ask, FOUND)
-    rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
+    met = queries.groupBy("shard", "part").cogroup(pieces.groupBy("shard", "part")).applyInPandas(ask, FOUND)
+    rank = F.expr("row_number() over (partition by query_id, variant order by near desc, vec_id)")
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -142,3 +144,30 @@ def test_main_text_without_head_and_body_tags(model):
     inside = f"<article><h1>A title</h1><p>{words * 5}</p><p>{words * 4}</p></article>"
     closed = html.main_text(f"<html><head><title>t</title></head><body>{inside}</body></html>", model)
     assert closed and html.main_text(f"<html><head><title>t</title>{inside}", model) == closed
+
+
+@pytest.mark.parametrize(
+    "begin, repeated, end",
+    [
+        ("", 'x <b y "', ""),
+        ("", "<b ' ", '" >'),
+        ("", "<a", ' " >'),
+        ("<div>" * 100_000, "</p>", ""),
+        ("<li><ul>" + "<div>" * 100_000, "<li>", ""),
+        ("<head>", "<template>", ""),
+        ("<script>", "</script ", ""),
+        ("<html></html>" * 40_000, "<head></head>", ""),
+    ],
+)
+def test_broken_pages_take_linear_time(begin, repeated, end):
+    """A megabyte of tags that never end, end tags of nothing, or elements that search for their end."""
+    source = begin + repeated * ((1 << 20) // len(repeated)) + end
+    started = time.process_time()
+    parse(source)
+    assert time.process_time() - started < 5
+
+
+def test_tags_end_outside_quotes():
+    assert parse("<div title='a > b'>x</div><div title=\"a > 'b\">y</div>").texts == ["x", "y"]
+    assert parse("1 <b y \"2</b> 3").texts == ['1 <b y "2 3']
+    assert parse("<script>a <!-- b</script><p>c</p><!-- d <p>e --><p>f").texts == ["c", "f"]

@@ -2,11 +2,17 @@
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A tag up to the next "<"; _Tags takes what it does not match.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*+)([^<>"']*+(?:"[^"<>]*+"[^<>"']*+)*+)>""")
+_TAG_START = re.compile(r"<(/?)[a-zA-Z]")
+_NAME_END = re.compile(r"[\s/>]")
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -107,12 +113,76 @@ def _groups(attributes: str) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
+class _Tags:
+    """The tags, comments and declarations of a page, in time proportional to its length.
+
+    A tag ends at the first ">" outside quotes; "<" and a letter that no such end follows are text. Where a tag ends depends
+    only on the first quote or ">" behind its name, so the answer is kept for each of these marks.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.ends: dict[int, int] = {}  # by the place of a mark outside quotes: that of the ">", -1 if there is none
+        self.ahead = {_NAME_END: -1, _MARK: -1}
+
+    def _next(self, what: re.Pattern, at: int) -> int:
+        """The first place from ``at`` on that ``what`` matches. What is asked for only moves forward, so it is kept."""
+        if self.ahead[what] < at:
+            found = what.search(self.source, at)
+            self.ahead[what] = found.start() if found else len(self.source)
+        return self.ahead[what]
+
+    def _end(self, mark: int) -> int:
+        source, path = self.source, []
+        while mark not in self.ends:
+            path.append(mark)
+            if source[mark] == ">":
+                self.ends[mark] = mark
+                break
+            close = source.find(source[mark], mark + 1)
+            found = _MARK.search(source, close + 1) if close >= 0 else None
+            if not found:
+                self.ends[mark] = -1
+                break
+            mark = found.start()
+        for place in path:
+            self.ends[place] = self.ends[mark]
+        return self.ends[mark]
+
+    def after(self, at: int) -> tuple[int, int, str | None, str, str] | None:
+        """Start, end, name (None for what is no tag), "/" of an end tag, and attributes of the first one from ``at`` on."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            at = start + 1
+            if plain := _PLAIN_TAG.match(source, start):
+                return start, plain.end(), plain.group(2), plain.group(1), plain.group(3)
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, len(source) if end < 0 else end + 3, None, "", ""
+            if start > self.last:
+                continue
+            if source.startswith(("<!", "<?"), start):
+                return start, source.index(">", start) + 1, None, "", ""
+            if begin := _TAG_START.match(source, start):
+                name = self._next(_NAME_END, begin.end())
+                mark = self._next(_MARK, name)
+                end = self._end(mark) if mark < len(source) else -1
+                if end >= 0:
+                    return start, end + 1, source[begin.end() - 1 : name], begin.group(1), source[name:end]
+        return None
+
+
 def parse(source: str) -> Page:
-    """The tree of block elements of a page, however broken; white space in a text block is one space, references are decoded."""
+    """The tree of block elements of a page, however broken; white space in a text block is one space, references are decoded.
+
+    Takes time proportional to the length of the page, whatever is in it.
+    """
     page = Page([Node("#page", (), -1, 0, False)], [], [], [])
     stack = [0]
+    where: dict[str, list[int]] = defaultdict(list)  # the places on the stack at which a tag is open
+    ahead: dict[str, re.Match | None] = {}
     pieces: list[str] = []
-    linked, links, in_link, place, length = 0, 0, False, 0, len(source)
+    linked, links, in_link, other, place, length = 0, 0, False, False, 0, len(source)
 
     def flush() -> None:
         nonlocal linked, links
@@ -128,6 +198,8 @@ def parse(source: str) -> Page:
 
     def close_to(depth: int) -> None:
         flush()
+        for i in stack[depth:]:
+            where[page.nodes[i].tag].pop()
         del stack[depth:]
 
     def head() -> int:
@@ -136,12 +208,11 @@ def parse(source: str) -> Page:
 
     def begun() -> bool:
         """Whether anything but html has begun, so that no head can."""
-        return bool(page.texts) or any(node.tag != "html" for node in page.nodes[1:]) or any(x.strip() for x in pieces)
+        return bool(page.texts) or other or any(x.strip() for x in pieces)
 
-    for match in _TAG.finditer(source):
-        start = match.start()
-        if start < place:
-            continue
+    tags = _Tags(source)
+    while found := tags.after(place):
+        start, stop, name, closing, attributes = found
         if page.nodes[stack[-1]].tag == "head" and source[place:start].strip():
             close_to(head())  # text cannot stand in a head
         node = page.nodes[stack[-1]]
@@ -150,23 +221,25 @@ def parse(source: str) -> Page:
             pieces.append(text)
             if in_link:
                 linked += len(text)
-        place = match.end()
-        name = match.group(2)
+        place = stop
         if name is None:
             continue
-        tag, closing = name.lower(), match.group(1)
+        tag = name.lower()
         if node.silent and (depth := head()):
             # Both tags of head may be left out: what cannot stand in it ends it, and body ends what is open in it, too.
             if tag == "body" or node.tag == "head" and (tag in ("html", "br") if closing else tag not in IN_HEAD and tag != "html"):
                 close_to(depth)
                 node = page.nodes[stack[-1]]
             elif node.tag == "head" and not closing and tag in _HEAD_PARTS:
-                end = _HEAD_PARTS[tag].search(source, place)
+                if tag not in ahead or ahead[tag] and ahead[tag].start() < place:
+                    ahead[tag] = _HEAD_PARTS[tag].search(source, place)
+                end = ahead[tag]
                 if not end or not end.group(1):
                     continue  # never closed: what follows stands in the head itself, or ends it
         if tag in RAW and not closing:
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(source, place)
-            place = end.end() if end else length
+            end = re.compile(f"</{tag}", re.I).search(source, place)
+            place = source.find(">", end.end()) + 1 if end else 0
+            place = place or length
         elif tag == "br":
             pieces.append(" ")
         elif tag == "a":
@@ -174,34 +247,36 @@ def parse(source: str) -> Page:
             links += in_link
         elif tag in BLOCKS or tag in SILENT:
             if not closing:
-                if tag in ("html", "body") and any(page.nodes[i].tag == tag for i in stack):
+                if tag in ("html", "body") and where[tag]:
                     continue
                 if tag == "head" and begun():
                     continue
-                ends, within = _ENDED_BY.get(tag), _PARENTS.get(tag, ())
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_tag = page.nodes[stack[depth]].tag
-                    if open_tag == "p" and tag in BLOCKS or ends and open_tag in ends:
-                        close_to(depth)
-                    elif not ends or open_tag in within or page.nodes[stack[depth]].silent:
-                        break
+                ends, within = _ENDED_BY.get(tag, ()), _PARENTS.get(tag, ())
+                ended = (*ends, "p") if tag in BLOCKS else ends
+                if ends and not page.nodes[stack[-1]].silent:
+                    inner = max((where[x][-1] for x in within if where[x]), default=0)
+                    open_there = [where[x][at] for x in ended if (at := bisect_right(where[x], inner)) < len(where[x])]
+                    if open_there:
+                        close_to(min(open_there))
+                else:
+                    while len(stack) > 1 and page.nodes[stack[-1]].tag in ended:
+                        close_to(len(stack) - 1)
                 flush()
                 if tag in VOID:
                     continue
                 above = page.nodes[stack[-1]]
                 above.items.append((False, len(page.nodes)))
                 silent = above.silent or tag in SILENT
-                page.nodes.append(Node(tag, _groups(match.group(3)), stack[-1], above.depth + 1, silent))
-                if not match.group(3).endswith("/") or tag in BLOCKS:
+                page.nodes.append(Node(tag, _groups(attributes), stack[-1], above.depth + 1, silent))
+                other = other or tag != "html"
+                if not attributes.endswith("/") or tag in BLOCKS:
+                    where[tag].append(len(stack))
                     stack.append(len(page.nodes) - 1)
+            elif where[tag]:
+                close_to(where[tag][-1])
+                in_link = False
             else:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if page.nodes[stack[depth]].tag == tag:
-                        close_to(depth)
-                        in_link = False
-                        break
-                else:
-                    flush()
+                flush()
     if page.nodes[stack[-1]].tag == "head" and source[place:].strip():
         close_to(head())
     if place < length and not page.nodes[stack[-1]].silent:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.staging import staged
@@ -24,7 +24,6 @@ INDEX = (
     "upper binary, entry bigint"
 )
 FOUND = "query_id bigint, variant bigint, vec_id bigint, near double, score double"
-SCALED = "transform(vector, x -> x / aggregate(vector, 0d, (m, y) -> greatest(m, abs(y))))"
 
 
 @dataclass
@@ -190,11 +189,11 @@ def valid_vectors(embeddings: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(sound & nonzero).distinct()
 
 
-def band() -> Column:
-    """The band of a vector's length: lengths from half to twice a power of four."""
-    square = F.expr(f"aggregate({SCALED}, 0d, (sum, x) -> sum + x * x)")
-    largest = F.expr("aggregate(vector, 0d, (m, y) -> greatest(m, abs(y)))")
-    return F.floor((F.log2(largest) + F.log2(square) / 2 + 1) / 2).cast("int")
+def with_band(vectors: DataFrame) -> DataFrame:
+    """The largest component of each vector and the band of its length: lengths from half to twice a power of four."""
+    vectors = vectors.withColumn("largest", F.array_max(F.transform("vector", F.abs)))
+    square = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + (x / F.col("largest")) * (x / F.col("largest")))
+    return vectors.withColumn("band", F.floor((F.log2("largest") + F.log2(square) / 2 + 1) / 2).cast("int"))
 
 
 def lifted(raw: np.ndarray) -> np.ndarray:
@@ -206,7 +205,7 @@ def lifted(raw: np.ndarray) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, copies: int, shard_rows: int, degree: int = 16, reach: int = 64) -> tuple[DataFrame, int]:
-    """A row of flat arrays for each shard, and the number of shards: as many for each ``band`` as its rows need.
+    """A row of flat arrays for each shard, and the number of shards: as many for each band as its rows need.
 
     Of equal vectors the ``copies`` least keys are kept with their node: no query can need more. A window's limit cuts them
     off before the shuffle, so that a vector with very many copies meets nowhere. The driver sees the number of rows of each
@@ -286,7 +285,7 @@ def nearest(
       part; nor do vectors of another length than the most frequent one. Repeated rows count once. Rows of one key with
       different vectors are rows of their own: each is a query with ranks from 1, and a candidate for the other.
     - All rows that take part are indexed: equal vectors as one node, with the ``k`` + 1 least keys.
-    - A shard holds about ``shard_rows`` nodes of one ``band``. A task takes a shard and ``blocks_per_task`` blocks of
+    - A shard holds about ``shard_rows`` nodes of one band of lengths. A task takes a shard and ``blocks_per_task`` blocks of
       ``block`` queries, which walk together, so an index travels once for as many queries as it has nodes.
     - Other columns play no part. An empty table gives an empty result.
     """
@@ -294,10 +293,9 @@ def nearest(
     sizes = sound.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"))
     dims = sizes.orderBy(F.desc("n"), "dims").limit(1).collect()
     sound = sound.where(F.size("vector") == (dims[0]["dims"] if dims else 0))
-    vectors = staged(sound.withColumn("band", band()), "ann-vectors")
+    vectors = staged(with_band(sound), "ann-vectors")
     asked = F.col("vec_id") % every == 0
-    largest = F.array_max(F.transform("vector", F.abs))
-    facts = vectors.agg(F.max(largest).alias("largest"), F.count(F.when(asked, 1)).alias("queries")).collect()[0]
+    facts = vectors.agg(F.max("largest").alias("largest"), F.count(F.when(asked, 1)).alias("queries")).collect()[0]
     top = int(np.frexp(facts["largest"] or 1.0)[1])
     parts = max(1, -(-facts["queries"] // (block * blocks_per_task)))
     index, shards = build_index(vectors, k + 1, shard_rows, degree)

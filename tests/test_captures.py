@@ -3,13 +3,14 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from tests.captures import capture, cooked, ethernet, ipv4, ipv6, tcp, udp
 from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals, port_traffic, port_traffic_text
 from tracelake.plans.ingest import ingest_packets
 from tracelake.functions.staging import staged
-from tracelake.sources import captures
+from tracelake.sources import captures, frames
 from tracelake.sources.captures import capture_losses, index_captures, read_pcap
 
 ICMP = b"\x08\0\0\0\0\0\0\0"
@@ -227,3 +228,30 @@ def test_random_damage_anywhere_and_any_split(spark, tmp_path):
         spans = sorted((r["at"], r["at"] + r["bytes"]) for r in lost)
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_only_asked_columns_are_decoded(spark, two_traces):
+    whole = {c: as_rows(read_pcap(spark, two_traces, payload=True).orderBy("trace_file"), c) for c in ("ip_dst", "payload", "ts")}
+    for asked in (["frame_no", "trace_file"], ["ts", "trace_file", "frame_no"], ["payload", "ip_dst", "frame_no", "trace_file"]):
+        packets = read_pcap(spark, two_traces, columns=asked)
+        assert packets.columns == asked
+        for column in set(asked) & set(whole):
+            assert as_rows(packets, column) == whole[column]
+        assert packets.count() == 5
+    with pytest.raises(ValueError, match="columns must be"):
+        read_pcap(spark, two_traces, columns=["port"])
+    with pytest.raises(ValueError, match="columns must be"):
+        read_pcap(spark, two_traces, columns=[])
+
+
+def test_layers_that_no_column_needs_are_not_parsed(monkeypatch):
+    data = capture([(1, 5, ethernet(ipv4(tcp(b"x" * 44), 6)))])
+    args = frames.FileHeader(data), data, np.array([24]), "t", 1
+
+    def fail(*_):
+        raise AssertionError("decoded")
+
+    monkeypatch.setattr(frames, "_ip_text", fail)
+    assert frames.packet_batch(*args, ["dst_port", "wire_len"], False).to_pylist() == [{"dst_port": 443, "wire_len": 98}]
+    monkeypatch.setattr(frames, "_ip_layer", fail)
+    assert frames.packet_batch(*args, ["frame_no", "ts_us"], False).to_pylist() == [{"frame_no": 1, "ts_us": 1_000_005}]

@@ -130,6 +130,31 @@ def test_a_small_key_is_one_file(spark, tmp_path):
         assert len(list(folder.glob("part-*"))) == 1
 
 
+def test_folders_are_replaced_whole_or_not_at_all(spark, tmp_path):
+    """A failing task leaves what was there; a finished job replaces the folders of its own keys only."""
+    path = str(tmp_path / "k")
+
+    def there():
+        return {f.name: sorted(lines(f)) for f in (tmp_path / "k").glob("k=*") if list(f.glob("part-*"))}
+
+    write_by_key(spark.range(40).selectExpr("id v", "cast(id % 4 as string) k"), path, F.col("k"), "k")
+    before = there()
+    assert set(before) == {"k=0", "k=1", "k=2", "k=3"}
+    new = spark.range(0, 4000, 1, 8).selectExpr("id v", "cast(1 + id % 2 * 4 as string) k")
+    with pytest.raises(Exception, match="broken row"):
+        broken = new.withColumn("v", F.expr("if(v = 3999, raise_error('broken row'), v)"))
+        write_by_key(broken, path, F.col("k"), "k", replace=True)
+    assert there() == before
+    with pytest.raises(Exception, match="broken row"):
+        write_by_key(broken, str(tmp_path / "other"), F.col("k"), "k")
+    assert not list(tmp_path.glob("other/k=*"))
+    write_by_key(new, path, F.col("k"), "k", replace=True)
+    after = there()
+    assert {k: v for k, v in after.items() if k not in ("k=1", "k=5")} == {k: before[k] for k in ("k=0", "k=2", "k=3")}
+    assert len(after["k=1"]) == len(after["k=5"]) == 2000
+    assert not list(tmp_path.glob("k/.spark-staging*"))
+
+
 def test_readme_code_runs(spark, tmp_path):
     code = Path(__file__).resolve().parent.parent.joinpath("README.md").read_text().split("```python\n")[1].split("```")[0]
     (tmp_path / "captures").mkdir()

@@ -1,4 +1,4 @@
-"""Text and folder-per-key outputs. Every writer refuses a path that already exists (SNK-6).
+"""Text and folder-per-key outputs. Every writer refuses a path that already exists (SNK-6), unless told to replace folders.
 
 Values are written as they are, without quotes or escapes, so a value must not hold the separator (but for the last one) or
 a line break. A null is written as ``NULL``'s marker.
@@ -43,19 +43,26 @@ def _parsed(schema: str) -> list[T.StructField]:
     return T.StructType.fromDDL(schema).fields
 
 
-def write_by_key(df: DataFrame, path: str, key: Column, name: str = "folder", sep: str = " ") -> None:
+def write_by_key(
+    df: DataFrame, path: str, key: Column, name: str = "folder", sep: str = " ", replace: bool = False
+) -> None:
     """SNK-3, SNK-4, SNK-5: one folder per value of ``key``, any column expression.
 
     With the name of an existing column, that column moves from the lines to the folder name. Rows are gathered by key, so
     that a small key is one file, and a key with many rows is split again: folders get files by their size, not by the
     number of tasks. Null and the empty text have folders of their own.
+
+    With ``replace``, the path may exist: the folders of the keys in ``df`` are replaced as a whole, and all others stay.
+    Files are made in a staging folder and only committed tasks' files are moved to their place when the job commits, so
+    neither a failed job nor a lost executor leaves a half folder or takes a former one away. ``df`` must not read ``path``.
     """
     keyed = df.withColumn(name, key)
     if dict(keyed.dtypes)[name] == "string":
         keyed = keyed.withColumn(name, F.when(F.col(name) == "", EMPTY_FOLDER).otherwise(F.col(name)))
     line = _line([c for c in df.columns if c != name], sep)
     gathered = keyed.select(line, name).hint("rebalance", name)
-    gathered.write.mode("errorifexists").partitionBy(name).text(path)
+    writer = gathered.write.mode("overwrite" if replace else "errorifexists")
+    writer.option("partitionOverwriteMode", "dynamic" if replace else "static").partitionBy(name).text(path)
 
 
 def write_series(df: DataFrame, path: str, key: str, order: list[str], sep: str = " ") -> None:

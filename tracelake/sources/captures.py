@@ -369,7 +369,7 @@ def _placed(walked: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def _decode(payload: bool):
+def _decode(names: list[str], payload: bool):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -379,7 +379,7 @@ def _decode(payload: bool):
                     for block, _, starts in _walk(header, source, row["first"], row["end"], row["length"], []):
                         for i in range(0, len(starts), BATCH_RECORDS):
                             some = np.array(starts[i : i + BATCH_RECORDS], np.int64)
-                            yield packet_batch(header, block, some, row["path"], number, payload)
+                            yield packet_batch(header, block, some, row["path"], number, names, payload)
                             number += len(some)
 
     return decode
@@ -392,17 +392,28 @@ def read_pcap(
     payload: bool = False,
     split_bytes: int = SPLIT_BYTES,
     most_tasks: int = MOST_TASKS,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """SRC-1, SRC-2, SRC-4: all packets of a capture file, or of all captures in a folder.
 
     Frames are numbered from 1 in each file. Lengths are the declared ones; ports are known only for
     packets whose transport header was captured and that are not later fragments. ``payload=True`` adds
     the captured TCP payload bytes. ``mode`` is that of ``index_captures``.
+
+    With ``columns``, only these are decoded and returned: a count of frames reads no addresses, and columns of the record
+    header need no layer below it. Python tasks are not told what a query uses of their output, so it is said here.
     """
+    known = [*PACKETS.names, "ts"]
+    if columns is not None and (not columns or not set(columns) <= set(known)):
+        raise ValueError(f"columns must be some of {known}, not {columns}")
+    asked = known if columns is None else list(columns)
+    fields = [f for f in PACKETS.fields if f.name in asked or f.name == "ts_us" and "ts" in asked]
+    names = [f.name for f in fields]
     index = index_captures(spark, path, mode, split_bytes, most_tasks)
     before = Window.partitionBy("path").orderBy("split_no").rowsBetween(Window.unboundedPreceding, -1)
     numbered = index.withColumn("first_no", F.coalesce(F.sum("records").over(before), F.lit(0)) + 1)
     busy = staged(numbered.where("records > 0").select("path", "length", "end", "first", "first_no"), "capture-ranges")
     tasks = max(1, min(busy.count(), most_tasks))
-    packets = busy.repartition(tasks).mapInArrow(_decode(payload), PACKETS)
-    return packets.withColumn("ts", F.timestamp_micros("ts_us"))
+    whole = payload or columns is not None and "payload" in columns
+    packets = busy.repartition(tasks).mapInArrow(_decode(names, whole), T.StructType(fields))
+    return (packets.withColumn("ts", F.timestamp_micros("ts_us")) if "ts" in asked else packets).select(*asked)

@@ -144,14 +144,32 @@ def _ip_layer(f: Fields, kind, at, end, wire, start):
 
 
 def packet_batch(
-    header: FileHeader, block: bytes, starts: np.ndarray, trace: str, first_no: int, payload: bool
+    header: FileHeader, block: bytes, starts: np.ndarray, trace: str, first_no: int, names: list[str], payload: bool
 ) -> pa.RecordBatch:
-    """The ``packets`` rows of the records that begin at ``starts`` in ``block``."""
-    f = Fields(block)
+    """The columns ``names`` of the ``packets`` rows of the records that begin at ``starts`` in ``block``.
+
+    Layers that none of the columns needs are not decoded: record headers alone tell frames, times and lengths.
+    """
     fixed = np.frombuffer(
         b"".join(block[s : s + RECORD_HEADER] for s in starts.tolist()), np.dtype("u4").newbyteorder(header.order)
     )
     sec, fraction, size, wire = fixed.reshape(-1, 4).T.astype(np.int64)
+
+    def column(values, known=None, kind=pa.int32()):
+        return pa.array(values, kind, mask=None if known is None else ~known)
+
+    us = sec * 1_000_000 + fraction // header.per_us
+    columns = {
+        "trace_file": pa.array([trace] * len(starts), pa.string()),
+        "frame_no": column(first_no + np.arange(len(starts)), kind=pa.int64()),
+        "ts_us": column(us, kind=pa.int64()),
+        "ts_ms": column(us // 1000, kind=pa.int64()),
+        "wire_len": column(wire),
+        "cap_len": column(size),
+    }
+    if columns.keys() >= set(names):
+        return pa.RecordBatch.from_pydict({name: columns[name] for name in names})
+    f = Fields(block)
     begin = starts + RECORD_HEADER
     end = begin + size
     at_kind, link_len = LINK_TYPES[header.link]
@@ -171,26 +189,21 @@ def packet_batch(
     tcp &= offset >= 20
     tcp_len = np.maximum(inner_len - offset, 0)
 
-    def column(values, known=None, kind=pa.int32()):
-        return pa.array(values, kind, mask=None if known is None else ~known)
+    def addresses(name, nth):
+        if name not in names:
+            return None
+        return pa.array(_ip_text(block, np.where(v4, at + 12, at + 8) + nth * address, address, ip), pa.string())
 
-    source, address = np.where(v4, at + 12, at + 8), np.where(v4, 4, 16)
-    us = sec * 1_000_000 + fraction // header.per_us
+    address = np.where(v4, 4, 16)
     body = [None] * len(starts)
     if payload:
         ends = np.minimum(inner + offset + tcp_len, end)
         cuts = zip((inner + offset).tolist(), ends.tolist(), tcp.tolist())
         body = [block[a:b] if ok else None for a, b, ok in cuts]
-    columns = {
-        "trace_file": pa.array([trace] * len(starts), pa.string()),
-        "frame_no": column(first_no + np.arange(len(starts)), kind=pa.int64()),
-        "ts_us": column(us, kind=pa.int64()),
-        "ts_ms": column(us // 1000, kind=pa.int64()),
-        "wire_len": column(wire),
-        "cap_len": column(size),
+    columns |= {
         "ip_version": column(np.where(v4, 4, 6), ip),
-        "ip_src": pa.array(_ip_text(block, source, address, ip), pa.string()),
-        "ip_dst": pa.array(_ip_text(block, source + address, address, ip), pa.string()),
+        "ip_src": addresses("ip_src", 0),
+        "ip_dst": addresses("ip_dst", 1),
         "ip_header_len": column(ip_header, ip),
         "ip_payload_len": column(ip_payload, ip),
         "ip_total_len": column(ip_header + ip_payload, ip),
@@ -202,4 +215,4 @@ def packet_batch(
         "tcp_payload_len": column(tcp_len, tcp),
         "payload": pa.array(body, pa.binary()),
     }
-    return pa.RecordBatch.from_pydict(columns)
+    return pa.RecordBatch.from_pydict({name: columns[name] for name in names})

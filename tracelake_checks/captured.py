@@ -138,8 +138,8 @@ def write_damaged_captures(spark: SparkSession, folder: str) -> str:
     return write_captures(frames, "block", ["block", *ITEM], F.col("place") % DAMAGED_EACH == 0)
 
 
-def lineitem_captures(spark: SparkSession, folder: str) -> DataFrame:
-    return read_pcap(spark, write_lineitem_captures(spark, folder))
+def lineitem_captures(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+    return read_pcap(spark, write_lineitem_captures(spark, folder), columns=columns)
 
 
 def pcap_ingest(spark, folder):
@@ -180,15 +180,15 @@ def pcap_losses_split(spark, folder):
 
 
 def capture_frame_count(spark, folder):
-    return frame_count(lineitem_captures(spark, folder))
+    return frame_count(lineitem_captures(spark, folder, ["frame_no"]))
 
 
 def capture_payload_totals(spark, folder):
-    return payload_totals(lineitem_captures(spark, folder))
+    return payload_totals(lineitem_captures(spark, folder, ["l4", "wire_len", "tcp_payload_len"]))
 
 
 def capture_port_traffic(spark, folder):
-    return port_traffic(lineitem_captures(spark, folder))
+    return port_traffic(lineitem_captures(spark, folder, ["l4", "dst_port", "ip_version", "ip_header_len", "ip_payload_len"]))
 
 
 def capture_ipv4_totals(spark, folder):

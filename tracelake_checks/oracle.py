@@ -365,5 +365,7 @@ ORACLE["message_losses_chunked"] = ORACLE["message_losses"]
 
 ORACLE |= {
     "ipv4_cardinalities_sketched": f"SELECT measure, n, true AS near FROM ({ORACLE['ipv4_cardinalities']})",
+    "metrics_replaced": "SELECT metric, sec, CASE WHEN metric IN ('arv', 'rtt') THEN value ELSE -1 END AS value "
+    f"FROM ({ORACLE['metrics_merged']})",
     "series_in_order": f"SELECT metric, count(*) AS lines, CAST(0 AS BIGINT) AS disorder FROM ({ORACLE['metrics_merged']}) GROUP BY metric",
 }

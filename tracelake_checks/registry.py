@@ -170,6 +170,15 @@ def metrics_partitioned(spark, folder):
     return read_by_key(spark, path, "sec bigint, value bigint, metric string")
 
 
+def metrics_replaced(spark, folder):
+    """A folder per metric, of which those of arrivals and round trips are then replaced."""
+    path = new_path(spark, "metrics")
+    series = metrics_merged(spark, folder)
+    write_by_key(series.withColumn("value", F.lit(-1).cast("bigint")), path, F.col("metric"), "metric")
+    write_by_key(series.where(F.col("metric").isin("arv", "rtt")), path, F.col("metric"), "metric", replace=True)
+    return read_by_key(spark, path, "sec bigint, value bigint, metric string")
+
+
 def series_in_order(spark, folder):
     """The metric series as files; lines of each, and how often a line is smaller than the one before it in file order."""
     path = new_path(spark, "series")
@@ -284,6 +293,7 @@ QUERIES = {
     for f in (
         ipv4_cardinalities_sketched,
         series_in_order,
+        metrics_replaced,
         flow_stats_all,
         flow_segments_all,
         flow_stats_all_chunked,

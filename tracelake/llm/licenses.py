@@ -18,8 +18,16 @@ BITS = 12
 WORD = r"[\p{L}\p{N}]+"
 NONE, OTHER = "none", "other"
 
-# Short notices that the licences themselves or their stewards publish for marking works.
+# Notices and clauses that the licences themselves or their stewards publish.
 NOTICES = {
+    "agpl": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+        "Released under the AGPL v3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -32,37 +40,49 @@ NOTICES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
-    "cc-by": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-4.0",
-    ),
-    "cc-by-nc": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
-    ),
-    "cc-by-sa": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "bsd-2": (
+        "Released under the BSD 2-Clause License.",
+        "Licensed under the Simplified BSD License, the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "cc0": (
         "Released under CC0 1.0 Universal, dedicated to the public domain.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "SPDX-License-Identifier: CC0-1.0",
     ),
+    "epl": (
+        "Licensed under the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "Released under the GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "gpl-2": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "Released under the GPL v2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "isc": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "Released under the LGPL v3.",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "mit": (
@@ -70,14 +90,80 @@ NOTICES = {
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
         "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "Released under the Unlicense; for more information, please refer to https://unlicense.org",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+}
+# The terms that Creative Commons licences combine, as codes and in words.
+CREATIVE_COMMONS = {
+    "by": "Attribution",
+    "by-nc": "Attribution-NonCommercial",
+    "by-sa": "Attribution-ShareAlike",
+    "by-nd": "Attribution-NoDerivatives",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+    "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+NOTICES |= {
+    f"cc-{code}": (
+        f"Licensed under CC {code.upper()} 4.0.",
+        f"This work is licensed under a Creative Commons {name} 4.0 International License.",
+        f"To view a copy of this license, visit https://creativecommons.org/licenses/{code}/4.0/",
+        f"SPDX-License-Identifier: CC-{code.upper()}-4.0",
+    )
+    for code, name in CREATIVE_COMMONS.items()
 }
+
+# Wording that tells the families of one kind apart, as patterns over a paragraph's words, each with a blank on both sides.
+_VERSION = " (?:version|v|gpl|lgpl|agpl|license|gnu) {0} | (?:a|l)?(?:gpl)?v{0} "
+MARKS = {
+    "affero": " affero | agpl",
+    "lesser": " lesser | lgpl",
+    "gnu 2": _VERSION.format(2),
+    "gnu 3": _VERSION.format(3),
+    "clauses 2": " bsd 2 | (?:2|two) clause | simplified bsd ",
+    "clauses 3": " bsd 3 | (?:3|three) clause ",
+    "nc": " nc | non ?commercial ",
+    "sa": " sa | share ?alike ",
+    "nd": " nd | no ?deriv",
+}
+# What a paragraph must hold, and what else of the kind it may hold, to be of a family.
+_GNU, _CLAUSES, _TERMS = {"affero", "lesser", "gnu 2", "gnu 3"}, {"clauses 2", "clauses 3"}, {"nc", "sa", "nd"}
+TELLING = {
+    "gpl": (set(), {"gnu 3"}, _GNU),
+    "gpl-2": ({"gnu 2"}, set(), _GNU),
+    "lgpl": ({"lesser"}, {"gnu 2", "gnu 3"}, _GNU),
+    "agpl": ({"affero"}, {"gnu 3"}, _GNU),
+    "bsd": (set(), {"clauses 3"}, _CLAUSES),
+    "bsd-2": ({"clauses 2"}, set(), _CLAUSES),
+} | {f"cc-{code}": (set(code.split("-")[1:]), set(), _TERMS) for code in CREATIVE_COMMONS}
+
+
+def told_apart(family: str) -> list[tuple[bool, str]]:
+    """Patterns that speak against a family: (whether it speaks so by being found, the pattern).
+
+    A paragraph with a short licence identifier must name the family's own; of the marks of its kind it must hold those
+    that the family needs, and none that belong to others.
+    """
+    identifier = next(n for n in NOTICES[family] if n.startswith("SPDX"))
+    first = split_words(identifier)[3]
+    needed, welcome, kind = TELLING.get(family, (set(), set(), set()))
+    against = [(True, f" spdx license identifier (?!{first} )")]
+    against += [(False, MARKS[mark]) for mark in sorted(needed)]
+    return against + [(True, MARKS[mark]) for mark in sorted(kind - needed - welcome)]
+
+
 # Wording of licences and rights that belong to no family above.
 OTHERS = (
     "All rights reserved. No part of this publication may be reproduced without prior written permission.",
@@ -89,6 +175,12 @@ OTHERS = (
     "SPDX-License-Identifier: LicenseRef-Custom",
     "Use is subject to license terms.",
     "Copyright holders grant no rights beyond personal use.",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: Artistic-2.0",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Released under the Boost Software License, Version 1.0.",
+    "You may not copy, sell or distribute this work without a licence from the publisher.",
+    "This software is provided under the terms of the customer agreement, without warranty.",
 )
 
 
@@ -168,16 +260,17 @@ def train(background: list[str], copies: int = 12, rounds: int = 300, penalty: f
     counts = np.bincount(y, minlength=len(classes))
     weight = (1 / np.sqrt(np.maximum(counts, 1)))[y]
     weight = (weight / weight[~held].sum())[:, None]
-    target = np.eye(len(classes), dtype=np.float32)[y]
+    target = np.eye(len(classes), dtype=np.float32)[y][~held]
+    seen, weight = x[~held], weight[~held].astype(np.float32)
     weights = np.zeros((1 << BITS, len(classes)), dtype=np.float32)
     bias = np.zeros(len(classes), dtype=np.float32)
     moving_w, moving_b, rate = np.zeros_like(weights), np.zeros_like(bias), 4.0
     for _ in range(rounds):
-        logits = x[~held] @ weights + bias
+        logits = seen @ weights + bias
         share = np.exp(logits - logits.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
-        error = (share - target[~held]) * weight[~held]
-        moving_w = 0.9 * moving_w + x[~held].T @ error
+        error = (share - target) * weight
+        moving_w = 0.9 * moving_w + seen.T @ error
         moving_b = 0.9 * moving_b + error.sum(axis=0)
         weights = weights - rate * moving_w
         weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * penalty, 0)
@@ -218,26 +311,38 @@ def fit_license_model(documents: DataFrame, text: str = "text", key: str = "doc_
 _LEGAL = "licen[cs]|copyright|rights|permi[st]|spdx|warrant|redistribut|creative commons|public domain"
 
 
-def _alike(words: Column, family: str) -> Column:
+def _alike(words: Column, notices: Column) -> Column:
     """The greatest share of the paragraph's words in a notice, or of a notice's words in the paragraph."""
     own = F.array_distinct(words)
-    shares = []
-    for notice in NOTICES[family]:
-        known = sorted(set(split_words(notice)))
-        met = F.size(F.array_intersect(own, F.array(*map(F.lit, known)))).cast("double")
-        shares += [met / F.greatest(F.size(own), F.lit(4)), met / max(4, len(known))]
-    return F.greatest(*shares)
+
+    def share(notice: Column) -> Column:
+        known = F.split(notice, " ")
+        met = F.size(F.array_intersect(own, known)).cast("double")
+        return met / F.greatest(F.least(F.size(own), F.size(known)), F.lit(4))
+
+    return F.array_max(F.transform(notices, share))
+
+
+def _of_class(classes: list[str], name: Column, lists: dict[str, list[str]]) -> Column:
+    """The list of strings that belongs to a class's name; empty for a name that has none."""
+    rows = [F.array(*map(F.lit, lists.get(one, []))).cast("array<string>") for one in classes]
+    return F.get(F.array(*rows), F.array_position(F.array(*map(F.lit, classes)), name).cast("int") - 1)
 
 
 def scan_paragraphs(model: LicenseModel, text: Column) -> Column:
     """The paragraphs of a whole text that speak of a licence: an array of (place, paragraph, family, score, alike).
 
     Paragraphs are the non-blank lines, numbered from 0 over all lines. family: the likeliest one if its probability is
-    ``least_score`` or more and one of its notices is alike by ``least_alike`` or more, else "unknown". A null or empty
-    text, and one without such a paragraph, gives an empty array.
+    ``least_score`` or more, one of its notices is alike by ``least_alike`` or more, and no word tells the paragraph from
+    the family (``told_apart``), else "unknown". A null or empty text, and one without such a paragraph, gives an empty
+    array. Long texts are scanned whole; repeated rows and paragraphs are judged each for itself, and the other columns of a
+    table play no part. ``alike`` is 0 where a word speaks against the family.
     """
     size = 1 << BITS
     families = model.classes[2:]
+    known = {family: [" ".join(sorted(set(split_words(notice)))) for notice in NOTICES[family]] for family in families}
+    being = {family: [pattern for found, pattern in told_apart(family) if found] for family in families}
+    missing = {family: [pattern for found, pattern in told_apart(family) if not found] for family in families}
     low = F.lit(size).cast("bigint")
 
     def buckets(words: Column) -> Column:
@@ -249,7 +354,8 @@ def scan_paragraphs(model: LicenseModel, text: Column) -> Column:
         return F.array_distinct(F.concat(F.transform(one, lambda h: F.pmod(h, low)), two))
 
     def total(weights: np.ndarray, found: Column) -> Column:
-        table = F.lit(weights.tolist())
+        # one string instead of thousands of literals; the optimizer turns it into an array once
+        table = F.split(F.lit(" ".join(map(repr, weights.tolist()))), " ").cast("array<double>")
         add = F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(table, b.cast("int")))
         return add / F.sqrt(F.size(found).cast("double"))
 
@@ -282,10 +388,11 @@ def scan_paragraphs(model: LicenseModel, text: Column) -> Column:
         return F.struct(p["place"], p["paragraph"], p["words"], best["name"].alias("name"), share.alias("score"))
 
     def confirmed(p: Column) -> Column:
-        alike = F.lit(0.0)
-        for family in families:
-            alike = F.when(p["name"] == family, _alike(p["words"], family)).otherwise(alike)
-        return F.struct(p["place"], p["paragraph"], p["name"], p["score"], alike.alias("alike"))
+        joined = F.concat(F.lit(" "), F.array_join(p["words"], " "), F.lit(" "))
+        against = F.exists(_of_class(model.classes, p["name"], being), lambda pattern: F.rlike(joined, pattern))
+        lacks = F.exists(_of_class(model.classes, p["name"], missing), lambda pattern: ~F.rlike(joined, pattern))
+        near = F.coalesce(_alike(p["words"], _of_class(model.classes, p["name"], known)), F.lit(0.0))
+        return F.struct(p["place"], p["paragraph"], p["name"], p["score"], F.when(against | lacks, 0.0).otherwise(near).alias("alike"))
 
     def settled(p: Column) -> Column:
         sure = (p["score"] >= model.least_score) & (p["alike"] >= model.least_alike)

@@ -138,6 +138,48 @@ def count_ngrams(documents: DataFrame, trusted: Column, bits: int, text: str = "
     return partial.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
 
 
+def count_by_ids(documents: DataFrame, ids: DataFrame, bits: int, key: str, text: str = "text", filter_bits: int = 24) -> DataFrame:
+    """``count_ngrams`` of documents whose key is one of ``ids`` (one column of that name), without a shuffle of all texts.
+
+    The ids become a bit set of fixed size (at most 2^(filter_bits - 6) broadcast rows of two numbers, however many ids there
+    are). Documents that it lets pass are counted as trusted in the one pass over all texts. Those that it lets pass wrongly
+    are counted again and taken off, so the result is exact: their keys come from a join of keys alone, and only texts that a
+    second bit set, of these keys, lets pass are shuffled. Ids and keys that are null meet nothing; repeated ids count once,
+    repeated documents each for itself.
+    """
+    wanted = ids.select(F.col(key).alias("key")).where("key is not null").distinct()
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    passed = _marked(rows, _bit_set(wanted, filter_bits, "first"), filter_bits, "first")
+    keys = _marked(rows.select("key"), _bit_set(wanted, filter_bits, "first"), filter_bits, "first").where("marked").select("key")
+    wrong = keys.distinct().join(wanted, "key", "left_anti")
+    suspects = passed.where("marked").drop("marked")
+    suspects = _marked(suspects, _bit_set(wrong, filter_bits, "second"), filter_bits, "second").where("marked")
+    again = count_ngrams(suspects.join(wanted.hint("shuffle_hash"), "key", "left_anti"), F.lit(True), bits)
+    both = count_ngrams(passed, F.col("marked"), bits).unionByName(
+        again.select("bucket", F.lit(0).cast("bigint").alias("corpus"), (-F.col("trusted")).alias("trusted"))
+    )
+    return both.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
+
+
+def _bit(salt: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("key", F.lit(salt)), 64 - bits)
+
+
+def _bit_set(keys: DataFrame, bits: int, salt: str) -> DataFrame:
+    """(word, mask): the bits of all keys' hashes, 64 to a row."""
+    bit = _bit(salt, bits)
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))
+    return keys.select(F.floor(bit / 64).alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
+def _marked(rows: DataFrame, bit_set: DataFrame, bits: int, salt: str) -> DataFrame:
+    """The rows with ``marked``: whether the bit of the row's key is set. A null key's is not."""
+    bit = _bit(salt, bits)
+    found = rows.withColumn("word", F.floor(bit / 64)).join(F.broadcast(bit_set), "word", "left")
+    is_set = F.call_function("getbit", F.col("mask"), (bit % 64).cast("int")) == 1
+    return found.select(*rows.columns, F.coalesce(F.col("key").isNotNull() & is_set, F.lit(False)).alias("marked"))
+
+
 def fit_ratio_model(
     documents: DataFrame, trusted: Column, bits: int = 13, threshold: float = -0.15, prior: float = 4.0, text: str = "text"
 ) -> RatioModel:
@@ -145,8 +187,26 @@ def fit_ratio_model(
 
     The driver gets 2^bits rows at most. Without trusted n-grams every ratio is 0.
     """
+    return ratio_model(count_ngrams(documents, trusted, bits, text), bits, threshold, prior)
+
+
+def fit_ratio_model_by_ids(
+    documents: DataFrame,
+    ids: DataFrame,
+    key: str = "doc_id",
+    bits: int = 13,
+    threshold: float = -0.15,
+    prior: float = 4.0,
+    text: str = "text",
+) -> RatioModel:
+    """``fit_ratio_model`` where the trusted documents are those whose key is among ``ids``."""
+    return ratio_model(count_by_ids(documents, ids, bits, key, text), bits, threshold, prior)
+
+
+def ratio_model(counts: DataFrame, bits: int, threshold: float, prior: float) -> RatioModel:
+    """The model of the counts that ``count_ngrams`` gives."""
     corpus, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    for row in count_ngrams(documents, trusted, bits, text).toLocalIterator():
+    for row in counts.toLocalIterator():
         corpus[row["bucket"]], target[row["bucket"]] = row["corpus"], row["trusted"]
     ratios = np.zeros(1 << bits, dtype=np.float64)
     if target.sum():
@@ -157,7 +217,10 @@ def fit_ratio_model(
 
 
 def assess(model: RatioModel, text: Column) -> Column:
-    """The measures of ``measure`` (bigint) and the ratio of a whole text, as a struct. Null and empty texts have 0 in all."""
+    """The measures of ``measure`` (bigint) and the ratio of a whole text, as a struct. Null and empty texts have 0 in all.
+
+    Texts are read whole, however long; repeated rows are assessed each for itself, and other columns play no part.
+    """
 
     @F.pandas_udf(ASSESSED)
     def assessed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -43,9 +43,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and the likelihood ratio of every document; documents labelled as good are the trusted text."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    good = table(spark, folder, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    marked = documents.join(good.withColumn("good", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
-    model = quality.fit_ratio_model(marked, F.col("good"))
+    model = quality.fit_ratio_model_by_ids(documents, table(spark, folder, "labels").where("quality = 1"))
     assessed = documents.select("doc_id", quality.assess(model, F.col("text")).alias("found"))
     found = F.col("found")
     failed, stays = quality.base_failed(found).alias("base_failed"), quality.kept(model, found).alias("kept")

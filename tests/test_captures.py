@@ -4,6 +4,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.captures import capture, cooked, ethernet, ipv4, ipv6, tcp, udp
@@ -11,6 +12,7 @@ from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals
 from tracelake.plans.ingest import ingest_packets
 from tracelake.functions.staging import staged
 from tracelake.sources import captures, frames
+from tracelake.sources.frames import FileHeader
 from tracelake.sources.captures import capture_losses, index_captures, read_pcap
 
 ICMP = b"\x08\0\0\0\0\0\0\0"
@@ -255,3 +257,41 @@ def test_layers_that_no_column_needs_are_not_parsed(monkeypatch):
     assert frames.packet_batch(*args, ["dst_port", "wire_len"], False).to_pylist() == [{"dst_port": 443, "wire_len": 98}]
     monkeypatch.setattr(frames, "_ip_layer", fail)
     assert frames.packet_batch(*args, ["frame_no", "ts_us"], False).to_pylist() == [{"frame_no": 1, "ts_us": 1_000_005}]
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Ranges far below the size of a task are dealt to as many tasks as there are cores, not to one for each."""
+    data = capture([(i, 0, ethernet(ipv4(udp(b"u" * 50), 17))) for i in range(440)])
+    packets = read_pcap(spark, put(tmp_path / "c", "x", data), split_bytes=400)
+    assert packets.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < len(data) // 400
+    assert packets.count() == 440
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_chains_of_all_places_at_once(order):
+    """``chained`` says of every place what ``trusted`` says, or that the block is too short."""
+    rng = random.Random(7)
+    for _ in range(60):
+        records = [(rng.choice([1, 1, 2, 90_000]), 1, b"\0" * rng.choice([1, 3, 40])) for _ in range(rng.randrange(1, 60))]
+        data = capture(records, order)[24:][rng.randrange(3) :] + b"\0" * rng.choice([0, 5, 40])
+        header = FileHeader(capture([], order))
+        part = data[: rng.randrange(16, len(data) + 1)]
+        near = header.likely(part)
+        for links in (2, 32):
+            known, unsure = header.chained(part, near, len(data), links)
+            for i, at in enumerate(near.tolist()):
+                assert unsure[i] or known[i] == header.trusted(data, at, len(data), links)
+
+
+def test_damage_is_searched_in_small_parts(monkeypatch):
+    """What is searched for the next record grows with the damage, not with a fixed look for each."""
+    good = [(i, 0, ethernet(ipv4(udp(b"u" * 20), 17))) for i in range(2000)]
+    bad = struct.pack("<IIII", 1, 1, 0x7FFFFFFF, 1) + b"no record"
+    data = capture([]) + b"".join(capture(good[i : i + 40])[24:] + bad for i in range(0, 2000, 40))
+    looked, likely = [], FileHeader.likely
+    monkeypatch.setattr(FileHeader, "likely", lambda self, block: looked.append(len(block)) or likely(self, block))
+    lost = []
+    walked = captures._walk(FileHeader(data[:24]), pa.BufferReader(data), 24, len(data), len(data), lost)
+    assert sum(len(starts) for _, _, starts in walked) == 2000
+    assert len(lost) == 50 and {loss["bytes"] for loss in lost} == {len(bad)}
+    assert sum(looked) < len(data)

@@ -24,13 +24,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracelake.functions.staging import staged
 from tracelake.schemas import PACKETS
-from tracelake.sources.frames import FILE_HEADER, RECORD_HEADER, FileHeader, packet_batch
+from tracelake.sources.frames import FILE_HEADER, RECORD_HEADER, TRUSTED_LINKS, FileHeader, packet_batch
 
 SPLIT_BYTES = 128 << 20
 SYNC_BYTES = 4 << 20
 FIRST_LOOK = 1 << 16
 BATCH_RECORDS = 16384
 MOST_TASKS = 50_000
+# Bytes of captures for a task, at least: where ranges are smaller, a task has several of them.
+TASK_BYTES = 32 << 20
 
 _LOSS = T.StructType(
     [T.StructField("at", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("why", T.StringType())]
@@ -98,33 +100,31 @@ def _walk(
     at = first
     while at < end:
         block = source.read_at(min(want, length - at), at)
-        starts, here, why = [], 0, None
-        while at + here < end:
-            if at + here + RECORD_HEADER > length:
-                why = CUT_OFF
+        starts, here, after = [], 0, at
+        while after == at + here < end:
+            if after + RECORD_HEADER <= length and here + RECORD_HEADER > len(block):
                 break
-            if here + RECORD_HEADER > len(block):
-                break
-            size = header.record.unpack_from(block, here)[2]
-            if size > header.limit or at + here + RECORD_HEADER + size > length:
-                why = DAMAGED if size > header.limit else CUT_OFF
-                break
-            if here + RECORD_HEADER + size > len(block):
-                break
-            starts.append(here)
-            here += RECORD_HEADER + size
-        yield block, at, starts
-        at += here
-        if why:
-            again = _resume(header, source, at + 1, end, length) if why == DAMAGED else length
+            size = header.record.unpack_from(block, here)[2] if after + RECORD_HEADER <= length else 0
+            if size <= header.limit and after + RECORD_HEADER + size <= length:
+                if here + RECORD_HEADER + size > len(block):
+                    break
+                starts.append(here)
+                here += RECORD_HEADER + size
+                after = at + here
+                continue
+            damaged = size > header.limit
+            again = _resume(header, source, after + 1, end, length) if damaged else length
             stop = end if again is None else again
-            lost.append({"at": at, "bytes": stop - at, "why": why})
-            if again is None:
-                yield b"", None, []
-                return
-            at, want = again, FIRST_LOOK
-        else:
-            want = max(want, min(2 * want, 4 << 20)) if here else want * 2
+            lost.append({"at": after, "bytes": stop - after, "why": DAMAGED if damaged else CUT_OFF})
+            after = again
+            if again is not None and again - at < len(block):
+                here = again - at
+        yield block, at, starts
+        if after is None:
+            yield b"", None, []
+            return
+        want = FIRST_LOOK if after > at + here else max(want, min(2 * want, 4 << 20)) if here else want * 2
+        at = after
     yield b"", at, []
 
 
@@ -166,7 +166,7 @@ class _Chain:
         self.starts = np.concatenate(found)
         self.records = len(self.starts) + other.records - int(np.searchsorted(other.starts, at))
         self.next, self.damaged, self.stop = other.next, other.damaged, other.stop
-        self.lost += [loss for loss in other.lost if loss["at"] >= at]
+        self.lost = [loss for loss in self.lost if loss["at"] < at] + [loss for loss in other.lost if loss["at"] >= at]
 
     def holds(self, places: np.ndarray) -> np.ndarray:
         if not len(self.starts):
@@ -190,7 +190,8 @@ _NO_CHAIN = {"offsets": [], "lead": 0, "records": 0, "next": None, "damaged": Fa
 def _walk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where each byte range may be entered, and where it is left then."""
     for batch in batches:
-        yield pa.RecordBatch.from_pylist([_walk_range(row) for row in batch.to_pylist()], schema=_RANGE_COLUMNS)
+        for row in batch.to_pylist():
+            yield pa.RecordBatch.from_pylist([_walk_range(row)], schema=_RANGE_COLUMNS)
 
 
 def _walk_range(row: dict) -> dict:
@@ -204,21 +205,42 @@ def _walk_range(row: dict) -> dict:
         if row["split_no"] == 0:
             entries, trusted = [FILE_HEADER], [FILE_HEADER]
         else:
-            block = source.read_at(min(SYNC_BYTES, length - start), start)
-            near = header.likely(block[: until - start + RECORD_HEADER]).tolist()
-            linked = [start + at for at in near if header.trusted(block, at, length - start, links=2)]
-            entries = [at for at in linked if at < until]
-            trusted = [at for at in entries if header.trusted(block, at - start, length - start)]
+            entries, trusted = _entries(header, source, start, until, length)
             if not trusted:
                 later = _resume(header, source, start, end, length)
                 trusted = [] if later is None else [later]
         chains: list[_Chain] = []
-        for at in [*trusted[:1], *entries, *trusted, *(row["given"] or [])]:
+        pending = np.array(entries, np.int64)
+        first = trusted[:1]
+        while first or len(pending):
+            chain = _Chain(header, source, first[0] if first else int(pending[0]), end, length, chains)
+            chains.append(chain)
+            pending, first = pending[~chain.holds(pending) & (pending != chain.first)], []
+        for at in row["given"] or []:
             if not any(chain.first == at or chain.holds(np.array([at])).any() and at < until for chain in chains):
                 chains.append(_Chain(header, source, at, end, length, chains))
     return {**row, "error": None, "trusted": trusted, "chains": [*(chain.row(until) for chain in chains), _NO_CHAIN]}
 
 
+def _entries(header: FileHeader, source, start: int, until: int, length: int) -> tuple[list[int], list[int]]:
+    """Places from ``start`` on, and before ``until``, that lead from one record to another, and the trusted ones of them."""
+    block = source.read_at(min(until - start + FIRST_LOOK, SYNC_BYTES, length - start), start)
+    near = header.likely(block)
+    inside = near < until - start
+    whole = None
+
+    def asked(links: int, among: np.ndarray) -> np.ndarray:
+        nonlocal whole
+        known, unsure = header.chained(block, near, length - start, links)
+        for i in np.flatnonzero(unsure & among).tolist():  # their chains leave the block
+            whole = source.read_at(min(SYNC_BYTES, length - start), start) if whole is None else whole
+            known[i] = header.trusted(whole, int(near[i]), length - start, links)
+        return known & among
+
+    linked = asked(2, inside)
+    return (start + near[linked]).tolist(), (start + near[asked(TRUSTED_LINKS, linked)]).tolist()
+
+
 def index_captures(
     spark: SparkSession,
     path: str,
@@ -278,7 +300,7 @@ def _index(spark: SparkSession, path: str, split_bytes: int, most_tasks: int) ->
         F.array().cast("array<bigint>").alias("given"),
     )
     columns = ranges.columns
-    tasks = max(1, min(ranges.count(), most_tasks))
+    tasks = _tasks(ranges, "start", most_tasks)
     walked = staged(ranges.repartition(tasks).mapInArrow(_walk_ranges, _RANGES), "capture-index")
     while True:
         edges = staged(_edges(walked, split_bytes), "capture-edges")
@@ -290,14 +312,21 @@ def _index(spark: SparkSession, path: str, split_bytes: int, most_tasks: int) ->
         entries = edges.join(reached, ["path", "split_no", "chain_no"], "left_semi")
         unknown = entries.where("into < 0").groupBy("path", F.col("to_split").alias("split_no"))
         unknown = staged(unknown.agg(F.collect_set("first").alias("more")), "capture-again")
-        number = unknown.count()
-        if number == 0:
+        if unknown.isEmpty():
             return staged(_placed(walked, entries), "capture-index")
         again = walked.join(unknown, ["path", "split_no"]).withColumn("given", F.array_union("given", "more"))
-        fixed = again.select(columns).repartition(min(number, most_tasks)).mapInArrow(_walk_ranges, _RANGES)
+        fixed = again.select(columns).repartition(_tasks(again, "start", most_tasks)).mapInArrow(_walk_ranges, _RANGES)
         walked = staged(walked.join(unknown, ["path", "split_no"], "left_anti").unionByName(fixed), "capture-index")
 
 
+def _tasks(ranges: DataFrame, begin: str, most_tasks: int) -> int:
+    """Into how many tasks to deal ranges: one for each, or fewer where ranges are small."""
+    size = F.sum(F.greatest(F.col("end") - F.col(begin), F.lit(0)))
+    number, total = ranges.agg(F.count("*"), F.coalesce(size, F.lit(0))).collect()[0]
+    enough = max(-(-total // TASK_BYTES), ranges.sparkSession.sparkContext.defaultParallelism)
+    return max(1, min(number, most_tasks, enough))
+
+
 def _edges(walked: DataFrame, split_bytes: int) -> DataFrame:
     """For each chain of each range: the range it leads to (to_split), where that is due to be entered, the first record
     there, and the chain of it (into, -1 if none is known). A file's first range is entered by a row of its own."""
@@ -403,17 +432,34 @@ def read_pcap(
     With ``columns``, only these are decoded and returned: a count of frames reads no addresses, and columns of the record
     header need no layer below it. Python tasks are not told what a query uses of their output, so it is said here.
     """
+    return _packets(index_captures(spark, path, mode, split_bytes, most_tasks), payload, most_tasks, columns)
+
+
+def read_pcap_and_losses(
+    spark: SparkSession,
+    path: str,
+    payload: bool = False,
+    split_bytes: int = SPLIT_BYTES,
+    most_tasks: int = MOST_TASKS,
+    columns: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``read_pcap`` with ``mode="DROPMALFORMED"`` and the ``capture_losses`` beside it, of one index."""
+    index = _index(spark, path, split_bytes, most_tasks)
+    return _packets(index.where("error is null"), payload, most_tasks, columns), _losses(index)
+
+
+def _packets(index: DataFrame, payload: bool, most_tasks: int, columns: list[str] | None) -> DataFrame:
+    """The packets in the ranges of ``index``."""
     known = [*PACKETS.names, "ts"]
     if columns is not None and (not columns or not set(columns) <= set(known)):
         raise ValueError(f"columns must be some of {known}, not {columns}")
     asked = known if columns is None else list(columns)
     fields = [f for f in PACKETS.fields if f.name in asked or f.name == "ts_us" and "ts" in asked]
     names = [f.name for f in fields]
-    index = index_captures(spark, path, mode, split_bytes, most_tasks)
     before = Window.partitionBy("path").orderBy("split_no").rowsBetween(Window.unboundedPreceding, -1)
     numbered = index.withColumn("first_no", F.coalesce(F.sum("records").over(before), F.lit(0)) + 1)
     busy = staged(numbered.where("records > 0").select("path", "length", "end", "first", "first_no"), "capture-ranges")
-    tasks = max(1, min(busy.count(), most_tasks))
+    tasks = _tasks(busy, "first", most_tasks)
     whole = payload or columns is not None and "payload" in columns
     packets = busy.repartition(tasks).mapInArrow(_decode(names, whole), T.StructType(fields))
     return (packets.withColumn("ts", F.timestamp_micros("ts_us")) if "ts" in asked else packets).select(*asked)

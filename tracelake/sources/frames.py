@@ -18,6 +18,10 @@ RECORD_HEADER = 16
 LARGEST_CAPTURE = 262144
 # Seconds between two records of a chain that nothing but the chain verifies.
 LONGEST_PAUSE = 86_400
+# Records in a chain that is believed.
+TRUSTED_LINKS = 32
+# Bytes that are looked at first where the next record is searched for.
+FIRST_PART = 512
 
 # Fixed values of the link layer: type -> (offset of the protocol number or None, header length).
 LINK_TYPES = {0: (None, 4), 1: (12, 14), 12: (None, 0), 14: (None, 0), 101: (None, 0), 113: (14, 16), 276: (0, 20)}
@@ -44,7 +48,7 @@ class FileHeader:
             raise ValueError(f"link type {self.link} is not supported")
         self.record = struct.Struct(self.order + "IIII")
 
-    def trusted(self, block: bytes, at: int, left: int, links: int = 32) -> bool:
+    def trusted(self, block: bytes, at: int, left: int, links: int = TRUSTED_LINKS) -> bool:
         """Whether a chain of ``links`` records that are not empty starts at ``at``, or one of four that leaves the block, or
         one that meets the end of the file. Their times are less than ``LONGEST_PAUSE`` apart: bytes that look like a header
         and by chance lead to a record would not have its time.
@@ -81,9 +85,41 @@ class FileHeader:
         fits = (size > 0) & (size <= self.limit) & (size <= wire) & (wire <= LARGEST_CAPTURE)
         return np.flatnonzero(fits & (fraction < 1_000_000 * self.per_us))
 
+    def chained(self, block: bytes, near: np.ndarray, left: int, links: int) -> tuple[np.ndarray, np.ndarray]:
+        """What ``trusted`` says of all places ``near`` at once, and where the block is too short to say it.
+
+        ``near`` are all places that are ``likely`` in ``block``, in order. A place leads to the one behind its record; the
+        ways are doubled until they are ``links`` long.
+        """
+        if not len(near):
+            return np.zeros(0, bool), np.zeros(0, bool)
+        data = np.frombuffer(block, np.uint8)
+        words = data[near[:, None] + np.arange(RECORD_HEADER)].view(np.dtype("u4").newbyteorder(self.order)).astype(np.int64)
+        after, n = near + RECORD_HEADER + words[:, 2], len(near)
+        ended, left_block, broken = n, n + 1, n + 2
+        place = np.minimum(np.searchsorted(near, after), n - 1)
+        goes_on = (near[place] == after) & (np.abs(words[place, 0] - words[:, 0]) <= LONGEST_PAUSE)
+        leads = np.where(goes_on, place, broken)
+        leads = np.where(after + RECORD_HEADER > len(block), left_block, leads)
+        leads = np.where(after == left, ended, np.where(after > left, broken, leads))
+        leads = np.concatenate([leads, [ended, left_block, broken]])
+        records = np.concatenate([after <= left, np.zeros(3, bool)]).astype(np.int64)
+        covered = 1
+        while covered < links:
+            records, leads, covered = records + records[leads], leads[leads], 2 * covered
+        known = (records >= links) | (leads == ended)
+        return known[:n], (~known & (leads == left_block))[:n]
+
     def first_trusted(self, block: bytes, left: int) -> int | None:
-        """The first place in ``block`` where a trusted chain of records begins."""
-        return next((at for at in self.likely(block).tolist() if self.trusted(block, at, left)), None)
+        """The first place in ``block`` where a trusted chain of records begins; it is looked for in growing parts."""
+        begin, size = 0, FIRST_PART
+        while begin + RECORD_HEADER <= len(block):
+            part = block[begin : begin + size + RECORD_HEADER - 1]  # places begin to begin + size - 1
+            for at in self.likely(part).tolist():
+                if self.trusted(block, begin + at, left):
+                    return begin + at
+            begin, size = begin + size, 4 * size
+        return None
 
 
 class Fields:

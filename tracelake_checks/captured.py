@@ -17,7 +17,7 @@ from tracelake.functions.staging import new_path
 from tracelake.operators.traffic import frame_count, ipv4_totals, payload_totals, port_traffic
 from tracelake.plans.socket_performance import socket_performance
 from tracelake.plans.ingest import ingest_messages, ingest_packets
-from tracelake.sources.captures import capture_losses, read_pcap
+from tracelake.sources.captures import read_pcap, read_pcap_and_losses
 from tracelake.sources.frames import RECORD_HEADER
 from tracelake.sources.reassembly import MESSAGE_STEP, Reassembled, length_prefixed, reassemble, reassemble_messages
 from tracelake.sources.wire import ElementNames
@@ -114,7 +114,8 @@ def lineitem_frames(spark: SparkSession, folder: str) -> DataFrame:
     )
     proto = F.when(flag == "A", 6).when(flag == "N", 17).otherwise(1)
     version = F.when(F.col("l_linestatus") == "F", 6).otherwise(4)
-    frame = ethernet(version, proto, F.col("l_orderkey") % (1 << 31), F.col("l_suppkey") % (1 << 31), inner)
+    frame = ethernet(version, proto, F.col("l_orderkey") % (1 << 31), F.col("l_suppkey") % (1 << 31), F.col("inner"))
+    items = items.withColumn("inner", inner)  # a column of its own is put together once
     return items.select(*ITEM, F.lit(1_000_000).cast("bigint").alias("us"), frame.alias("frame"))
 
 
@@ -162,10 +163,10 @@ def pcap_ingest_split(spark, folder):
 
 def _found_and_lost(spark, folder, **options):
     captures = write_damaged_captures(spark, folder)
-    packets = read_pcap(spark, captures, mode="DROPMALFORMED", **options)
+    packets, losses = read_pcap_and_losses(spark, captures, columns=["cap_len"], **options)
     size = F.col("cap_len").cast("bigint") + RECORD_HEADER
     found = packets.agg(F.lit("found").alias("what"), F.count("*").alias("records"), F.sum(size).alias("bytes"))
-    lost = capture_losses(spark, captures, **options).groupBy(F.col("why").alias("what"))
+    lost = losses.groupBy(F.col("why").alias("what"))
     return found.unionByName(lost.agg(F.lit(None).cast("bigint").alias("records"), F.sum("bytes").alias("bytes")))
 
 
@@ -295,9 +296,12 @@ def _element(namespace: int, name: Column, content: Column, kind: str | None = N
     return F.concat(utf8("jxel"), flags, sized(utf8(name), 2), typed, sized(content, 4))
 
 
-def _package(elements: list[Column]) -> Column:
+def _body(elements: list[Column]) -> Column:
     namespaces = F.concat(raw("0001"), sized(utf8(NAMES.socket_namespace), 2))
-    body = F.concat(utf8("jxmg"), raw("00"), namespaces, number(len(elements), 2), *elements)
+    return F.concat(utf8("jxmg"), raw("00"), namespaces, number(len(elements), 2), *elements)
+
+
+def _package(body: Column) -> Column:
     headers = F.concat(
         sized(utf8("content-type"), 1), sized(utf8("application/x-jxta-msg"), 2),
         sized(utf8("content-length"), 1), raw("0008"), number(F.length(body), 8), raw("00"),
@@ -321,20 +325,22 @@ def event_captures(spark: SparkSession, folder: str) -> DataFrame:
     data_pipe, ack_pipe = F.concat(F.lit("d"), user), F.concat(F.lit("a"), user)
     count = F.get_json_object("props", "$.k")
     event = F.col("event_type")
-    stream = (
-        F.when(event == "view", _package([_router(data_pipe), _element(1, count, utf8(F.col("props")), NAMES.block_type)]))
-        .when(event == "click", _package([_router(ack_pipe), _element(1, F.lit(NAMES.ack_name), number(count, 4))]))
-        .when(event == "error", _package([_router(data_pipe), _element(2, F.lit(NAMES.close_tag), raw(""))]))
-        .when(event == "signup", _package([_router(F.lit("listener")), _advertisement(NAMES.request_tag, ack_pipe)]))
-        .otherwise(_package([_router(ack_pipe), _advertisement(NAMES.response_tag, data_pipe)]))
+    body = (
+        F.when(event == "view", _body([_router(data_pipe), _element(1, count, utf8(F.col("props")), NAMES.block_type)]))
+        .when(event == "click", _body([_router(ack_pipe), _element(1, F.lit(NAMES.ack_name), number(count, 4))]))
+        .when(event == "error", _body([_router(data_pipe), _element(2, F.lit(NAMES.close_tag), raw(""))]))
+        .when(event == "signup", _body([_router(F.lit("listener")), _advertisement(NAMES.request_tag, ack_pipe)]))
+        .otherwise(_body([_router(ack_pipe), _advertisement(NAMES.response_tag, data_pipe)]))
     )
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     us = F.timestamp_diff("MICROSECOND", origin, F.col("ts"))
-    sent = table(spark, folder, "events").select("event_id", "user_id", us.alias("us"), stream.alias("stream"))
+    sent = table(spark, folder, "events").select("event_id", "user_id", us.alias("us"), body.alias("body"))
+    sent = sent.withColumn("stream", _package(F.col("body")))
     cut = segments_of(sent, ["event_id", "user_id", "us"])
     frame = ethernet(
-        F.lit(4), F.lit(6), F.col("user_id") % (1 << 31), F.lit(1), tcp(F.lit(1000), F.lit(9701), F.col("piece"), F.col("payload"))
-    )
+        F.lit(4), F.lit(6), F.col("user_id") % (1 << 31), F.lit(1), F.col("inner")
+    )
+    cut = cut.withColumn("inner", tcp(F.lit(1000), F.lit(9701), F.col("piece"), F.col("payload")))
     packets = cut.select("event_id", "user_id", "piece", "us", frame.alias("frame"))
     captures = write_captures(packets, "user_id", ["event_id", "piece"])
     return ingest_packets(spark, captures, new_path(spark, "packets"), payload=True)

@@ -82,3 +82,12 @@ def test_linked_labels_against_all_pairs():
                 if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
                     want[want == max(want[i], want[j])] = min(want[i], want[j])
         assert label.tolist() == want.tolist()
+
+
+def test_nodes_that_share_many_keys_meet_once(spark):
+    """Signatures are sent once for each set of nodes, not once for each key that they share."""
+    rows = [(key, node) for key in range(50) for node in (1, 2)] + [(key, node) for key in (90, 91) for node in (2, 1, 3)]
+    met = {}
+    for row in jaccard._met_together(spark.createDataFrame(rows, "key bigint, node bigint")).collect():
+        met.setdefault(row["met"], []).append(row["node"])
+    assert sorted(sorted(nodes) for nodes in met.values()) == [[1, 2], [1, 2, 3]]

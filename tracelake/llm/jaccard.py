@@ -290,11 +290,19 @@ def _strays(large: DataFrame, joined: DataFrame, columns: list, size: int, perce
     return _joined(passive.select(*columns).union(active.select(*columns)), size, percent)
 
 
+def _met_together(few: DataFrame) -> DataFrame:
+    """The nodes that share a key (key, node), as rows (met, node): once, however many keys the very same nodes share. Near
+    copies have most of their keys in common, and their signatures are far larger than the keys."""
+    nodes = few.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))  # ``COMPARED`` at most
+    return nodes.select("nodes").distinct().select(F.xxhash64("nodes").alias("met"), F.explode("nodes").alias("node"))
+
+
 def _near(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) that connect all nodes with similar sets, and few others.
 
     Keys that one node alone has are dropped after a partial aggregate. The nodes of any other key are compared by their
-    signatures, or, where the key has more than ``COMPARED`` rows, all tied to the least of them.
+    signatures, once for all keys that just these have, or, where the key has more than ``COMPARED`` rows, all tied to the
+    least of them.
     """
     known = sets.where("node is not null")
     rows = known.select(F.explode("keys").alias("key"), "node")
@@ -304,7 +312,8 @@ def _near(sets: DataFrame, percent: int) -> DataFrame:
     star = near.where(F.col("rows") > COMPARED).select(F.col("node").alias("u"), F.col("least").alias("v"))
     few = near.where(F.col("rows") <= COMPARED).select("key", "node")
     signed = known.select("node", "n", "bits").dropDuplicates(["node"])
-    told = few.join(signed, "node").groupBy("key").agg(F.collect_list(F.struct("node", "n", "bits")).alias("sets"))
+    told = _met_together(few).join(signed, "node")
+    told = told.groupBy("met").agg(F.collect_list(F.struct("node", "n", "bits")).alias("sets"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -362,7 +371,8 @@ def _placed(source: DataFrame, size: int, percent: int) -> DataFrame:
     texts = source.where("text is not null").select("print", F.coalesce("doc_id", no_key).alias("id"), "text")
     chosen = member.select("root", "node", "n", "sets", "blocks", "block", "print", "id")
     texts = texts.where(_may_be(_marks(chosen), source.sparkSession, F.col("print")))
-    content = staged(chosen.join(texts, ["print", "id"]).drop("print", "id").dropDuplicates(["node"]), "ngram-texts")
+    texts = texts.dropDuplicates(["print", "id"])  # dealt out as the join is, so texts travel once
+    content = staged(chosen.join(texts, ["print", "id"]).drop("print", "id"), "ngram-texts")
     part = F.xxhash64("root", "block", "stray")
 
     own = content.withColumn("stray", F.lit(-1).cast("bigint")).withColumn("probe", F.lit(True))

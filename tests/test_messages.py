@@ -121,6 +121,21 @@ def test_every_byte_is_accounted_for(spark, most):
     assert results[0] == results[1] and results[0]
 
 
+def test_a_long_message_adds_no_rounds(spark, monkeypatch):
+    """Chunks in the middle of one message are walked as one, however many they are."""
+    body = b"x" * 400  # as a length, these bytes name more than any message has
+    stream = b"".join(len(part).to_bytes(4, "big") + part for part in (body, b"y" * 25, body, b"z"))
+    packets = [
+        ("t", i + 1, i, "a", "b", "tcp", 1, 2, i, stream[at : at + 10]) for i, at in enumerate(range(0, len(stream), 10))
+    ]
+    written, staged = [], reassembly.staged
+    monkeypatch.setattr(reassembly, "staged", lambda df, name: written.append(name) or staged(df, name))
+    found = reassemble(packet_table(spark, packets), length_prefixed, chunk_rows=4)
+    assert [bytes(r["message"][4:]) for r in found.messages.orderBy("msg_no").collect()] == [body, b"y" * 25, body, b"z"]
+    assert found.losses.count() == found.unfinished.count() == 0
+    assert written.count("messages") <= 4
+
+
 def test_a_header_without_end_is_given_up(spark):
     never = lambda start: None if start[:1] == b"H" else 0
     packets = [("t", no, no, "s", "d", "tcp", 1, 2, no, b"H" * 60_000) for no in range(1, 12)]

@@ -36,6 +36,8 @@ BATCH_ROWS = 4096
 # Longest message that is believed, and longest header of one: a task holds no more of a flow.
 LARGEST_MESSAGE = 1 << 24
 LONGEST_HEADER = 1 << 18
+# Place of the end of a chunk in which no message seems to begin.
+NO_START = 2
 # Why bytes are lost.
 NO_MESSAGE, TOO_LONG, TOO_MANY = "no message", "too long", "too many messages in a packet"
 
@@ -156,7 +158,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 def _walker(framing: _Framing, guess: bool):
     """Walk sorted partitions; one output row per message, per loss and per chunk's end.
 
-    With ``guess``, a numbered chunk may begin inside a message; the row of its end has ``place`` 1 if so.
+    With ``guess``, a numbered chunk may begin inside a message; the row of its end has ``place`` 1 if so,
+    and ``NO_START`` if no message seems to begin in it.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,8 @@ def _walker(framing: _Framing, guess: bool):
 
         def ended():
             left = tail or _Unfinished(b"", None, None, None, None)
-            rows.append((*key, *left.row("tail", None, skipped, bytes(left.body) if tail else None)))
+            place = NO_START if seen is not None else int(skipped)
+            rows.append((*key, *left.row("tail", None, place, bytes(left.body) if tail else None)))
 
         for batch, flow in _runs(batches):
             if flow != key:
@@ -267,7 +271,7 @@ def reassemble(
     found = walked(pieces, True)
     ends = found.where("what = 'tail' and chunk is null").select(*FLOW, "body", "search")
     if hot.table is not None:
-        found, last = _mend(found, pieces, walked)
+        found, last = _mend(found, pieces, walked, chunk_rows)
         ends = ends.unionByName(last)
     messages = found.where("what = 'message'").select(
         *FLOW,
@@ -283,26 +287,61 @@ def reassemble(
     return Reassembled(messages, left.where("not search").select(*FLOW, "bytes"), losses)
 
 
-def _mend(found: DataFrame, pieces: DataFrame, walked: Callable[[DataFrame, bool], DataFrame]):
-    """Walk chunks again until each was given the unfinished message that its predecessor left."""
+def _chunk_runs(ends: DataFrame, chunk_rows: int) -> DataFrame:
+    """The run (its first chunk) of every chunk, and whether it has ``several``: a chunk in which no message seems to begin
+    goes with the one before it, up to ``CHUNK_ROWS`` packets."""
+    order = Window.partitionBy(*FLOW).orderBy("chunk")
+    begins = F.max(F.when(F.col("place") < NO_START, F.col("nth"))).over(order)
+    numbered = ends.select(*_PIECE, "place", F.row_number().over(order).alias("nth"))
+    begun = numbered.withColumn("begin", F.coalesce(begins, F.lit(1)))
+    most = F.lit(max(1, CHUNK_ROWS // chunk_rows))
+    begun = begun.withColumn("begin", F.col("nth") - (F.col("nth") - F.col("begin")) % most)
+    run = Window.partitionBy(*FLOW, "begin")
+    return begun.select(*_PIECE, F.min("chunk").over(run).alias("run"), (F.count("*").over(run) > 1).alias("several"))
+
+
+def _mend(found: DataFrame, pieces: DataFrame, walked: Callable[[DataFrame, bool], DataFrame], chunk_rows: int):
+    """Walk chunks again until each was given the unfinished message that its predecessor left.
+
+    A message that spans many chunks makes one run of them, which is then walked as one chunk; so the number of rounds does
+    not grow with its length.
+    """
     nothing = F.struct(*[F.col(c) for c in _TAIL])
     left = nothing.alias("left")
     pieces = pieces.where("chunk is not null")
     guessed = (F.col("place") > 0).alias("guessed")
-    ends = found.where("what = 'tail' and chunk is not null").select(*_PIECE, left, guessed, F.lit(0).alias("round"))
+    tails = found.where("what = 'tail' and chunk is not null")
+    runs = staged(_chunk_runs(tails, chunk_rows), "chunk-runs")
+
+    def again(chosen: DataFrame) -> DataFrame:
+        """The packets of the chosen runs, each as one chunk."""
+        parts = staged(runs.join(chosen.withColumnRenamed("chunk", "run"), [*FLOW, "run"], "left_semi"), "chunks-again")
+        parts = parts.select(*_PIECE, "run")
+        parts = F.broadcast(parts) if parts.count() <= BROADCAST_KEYS else parts
+        return pieces.join(parts, _PIECE).withColumn("chunk", F.col("run")).select(pieces.columns)
+
+    ends = tails.select(*_PIECE, left, guessed, F.lit(0).alias("round"))
+    rounds, replaced, number = [found.withColumn("round", F.lit(0))], [], 0
+    several = runs.where("several")
+    if not several.isEmpty():
+        number = 1
+        rounds.append(walked(again(several.select(*FLOW, F.col("run").alias("chunk")).distinct()), True))
+        rounds[1] = rounds[1].withColumn("round", F.lit(number))
+        replaced.append(several.select(*_PIECE, F.lit(0).alias("round")))
+        ends = ends.join(several.select(*_PIECE), _PIECE, "left_anti").unionByName(
+            rounds[1].where("what = 'tail'").select(*_PIECE, left, guessed, "round")
+        )
     ends = ends.withColumn("given", F.when(F.lit(False), F.col("left")))
-    rounds, replaced = [found.withColumn("round", F.lit(0))], []
-    number = 0
     while True:
         before = F.lag("left").over(Window.partitionBy(*FLOW).orderBy("chunk"))
         due = F.when(before["body"].isNotNull(), before)
         ends = staged(ends, "chunk-ends")
         wrong = ends.withColumn("due", due).where("guessed or not (due <=> given)")
+        wrong = staged(wrong, "chunks-wrong")
         count = wrong.count()
         if count == 0:
             break
         number += 1
-        wrong = staged(wrong, "chunks-again")
         chosen = F.broadcast(wrong.select(*_PIECE)) if count <= BROADCAST_KEYS else wrong.select(*_PIECE)
         first_line = wrong.where("due is not null").select(
             *_PIECE,
@@ -314,17 +353,20 @@ def _mend(found: DataFrame, pieces: DataFrame, walked: Callable[[DataFrame, bool
             F.col("due.first_ms").alias("first"),
             F.col("due.search").alias("search"),
         )
-        again = walked(pieces.join(chosen, _PIECE, "left_semi").unionByName(first_line), False)
-        rounds.append(again.withColumn("round", F.lit(number)))
+        new = walked(again(wrong.select(*_PIECE)).unionByName(first_line), False)
+        rounds.append(new.withColumn("round", F.lit(number)))
         replaced.append(wrong.select(*_PIECE, "round"))
         given = wrong.select(*_PIECE, F.col("due").alias("given"))
-        fresh = again.where("what = 'tail'").select(*_PIECE, left, guessed, F.lit(number).alias("round"))
+        fresh = new.where("what = 'tail'").select(*_PIECE, left, guessed, F.lit(number).alias("round"))
         fresh = fresh.join(given, _PIECE)
         ends = ends.join(chosen, _PIECE, "left_anti").unionByName(fresh)
     messages = rounds[0]
     for more in rounds[1:]:
         messages = messages.unionByName(more)
-    for old in replaced:
+    if replaced:
+        old = replaced[0]
+        for more in replaced[1:]:
+            old = old.unionByName(more)
         messages = messages.join(old, [*_PIECE, "round"], "left_anti")
     last = ends.groupBy(*FLOW).agg(F.max_by("left", "chunk").alias("left"))
     return messages, last.select(*FLOW, "left.body", "left.search")

@@ -91,3 +91,17 @@ def test_nodes_that_share_many_keys_meet_once(spark):
     for row in jaccard._met_together(spark.createDataFrame(rows, "key bigint, node bigint")).collect():
         met.setdefault(row["met"], []).append(row["node"])
     assert sorted(sorted(nodes) for nodes in met.values()) == [[1, 2], [1, 2, 3]]
+
+
+def test_marks_spare_no_row_that_is_asked_for(spark):
+    """Marks are at most 2^16 rows, not a number for each print in the driver, and texts are told by them without Python."""
+    edges = [(-(1 << 63),), (-1,), (0,), (63,), (64,), ((1 << 63) - 1,)]
+    prints = spark.createDataFrame(edges, "print bigint").union(spark.range(300_000).selectExpr("xxhash64(id) as print"))
+    marks = jaccard._marks(prints)
+    assert marks.count() <= 1 << 16
+    others = spark.range(300_000, 310_000).selectExpr("xxhash64(id) as print")
+    plan = jaccard._marked(others, marks, "print", "marked")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan
+    assert jaccard._marked(prints, marks, "print", "marked").where("not marked").count() == 0
+    few = jaccard._marked(others, jaccard._marks(prints.limit(1000)), "print", "marked").where("marked")
+    assert few.count() < 100

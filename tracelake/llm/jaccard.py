@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracelake.functions.staging import staged
 from tracelake.llm.components import components
@@ -26,6 +26,8 @@ BLOCK_SETS, BLOCK_NGRAMS = 1024, 1 << 21
 PIVOTS = 16
 COMPARED = 256
 FILTER_BITS = 22
+# Rows that a task turns into Python values at once.
+ROWS = 256
 
 
 class Words:
@@ -114,7 +116,7 @@ class Trie:
 
 def build_trie(sets: list[np.ndarray], sizes: np.ndarray) -> Trie:
     """A trie of the sets; ``least`` is the smallest true size below a node and ``deepest`` the longest way down."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())  # ids are 0 or more
     trie = Trie([np.zeros(0, dtype=np.int64)], [[]], [[]], [0], [0])
     path = [(0, 0)]  # (node, depth at its end) from the root down
     previous = np.zeros(0, dtype=np.int64)
@@ -210,16 +212,16 @@ def _bucket_counts(documents: DataFrame, size: int) -> np.ndarray:
     """In how many documents the n-grams of each of 2^18 buckets occur, over all documents. The driver gets one number for
     each bucket."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = Words(), np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                found = ngram_set(text if isinstance(text, str) else None, size, hashes)
+            for text in batch.column(0):
+                found = ngram_set(text.as_py(), size, hashes)
                 np.add.at(counts, (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"bucket": used, "n": counts[used]})
+        yield pa.record_batch({"bucket": used, "n": counts[used]})
 
-    sums = documents.select("text").mapInPandas(add, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = documents.select("text").mapInArrow(add, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     found = sums.toPandas()  # 2^18 rows at most
     counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
@@ -232,25 +234,32 @@ def _sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
     counts = spark.sparkContext.broadcast(_bucket_counts(documents, size))  # 2 MB
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, common = Words(), counts.value
         for batch in batches:
-            out = []
-            for doc, print_, text in zip(*(batch[c].tolist() for c in ("doc_id", "print", "text")), strict=True):
-                found = ngram_set(text if isinstance(text, str) else None, size, hashes)
-                node, keys, bits = None, [], None
-                if len(found):
-                    node = int(np.array([xxhash.xxh64_intdigest(found.tobytes())], dtype=np.uint64).view(np.int64)[0])
-                    often = common[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                    keys = found[np.lexsort((found, often))][: prefix_length(len(found), percent)].view(np.int64)
-                    bits = signature(found)
-                out.append((None if pd.isna(doc) else int(doc), print_, len(found), node, bits, keys))
-            frame = pd.DataFrame(out, columns=["doc_id", "print", "n", "node", "bits", "keys"])
-            frame["doc_id"], frame["node"] = frame["doc_id"].astype("Int64"), frame["node"].astype("Int64")
-            yield frame
+            for start in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(start, ROWS)
+                sizes, nodes, signatures, keys = [], [], [], []
+                for text in rows.column(2):
+                    found = ngram_set(text.as_py(), size, hashes)
+                    node, first, bits = None, [], None
+                    if len(found):
+                        node = int(np.array([xxhash.xxh64_intdigest(found.tobytes())], dtype=np.uint64).view(np.int64)[0])
+                        often = common[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                        first = found[np.lexsort((found, often))][: prefix_length(len(found), percent)].view(np.int64)
+                        bits = signature(found)
+                    sizes.append(len(found)), nodes.append(node), signatures.append(bits), keys.append(first)
+                made = [
+                    pa.array(sizes, pa.int64()),
+                    pa.array(nodes, pa.int64()),
+                    pa.array(signatures, pa.binary()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ]
+                names = ["doc_id", "print", "n", "node", "bits", "keys"]
+                yield pa.record_batch([rows.column(0), rows.column(1), *made], names)
 
     schema = "doc_id bigint, print bigint, n bigint, node bigint, bits binary, keys array<bigint>"
-    return documents.select("doc_id", "print", "text").mapInPandas(sets, schema)
+    return documents.select("doc_id", "print", "text").mapInArrow(sets, schema)
 
 
 def _joined(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -315,36 +324,37 @@ def _near(sets: DataFrame, percent: int) -> DataFrame:
     told = _met_together(few).join(signed, "node")
     told = told.groupBy("met").agg(F.collect_list(F.struct("node", "n", "bits")).alias("sets"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edges = set()
-            for group in batch["sets"]:
+            for sets in batch.column(0):
+                group = sets.as_py()
                 label = able_labels([x["n"] for x in group], [x["bits"] for x in group], percent)
                 edges.update((group[i]["node"], group[k]["node"]) for i, k in enumerate(label) if i != k)
-            yield pd.DataFrame(sorted(edges), columns=["u", "v"], dtype="int64")
+            ends = np.array(sorted(edges), dtype=np.int64).reshape(-1, 2)
+            yield pa.record_batch({"u": ends[:, 0].copy(), "v": ends[:, 1].copy()})
 
-    return star.union(told.select("sets").mapInPandas(compare, "u bigint, v bigint"))
+    return star.union(told.select("sets").mapInArrow(compare, "u bigint, v bigint"))
 
 
-def _marks(prints: DataFrame) -> np.ndarray:
-    """Which of 2^22 buckets the ``print`` values fall into; the driver gets no more than these."""
-    bucket = F.pmod("print", F.lit(1 << FILTER_BITS)).cast("int").alias("bucket")
-    marks = np.zeros(1 << FILTER_BITS, dtype=bool)
-    marks[prints.select(bucket).distinct().toPandas()["bucket"].to_numpy(np.int64)] = True
-    return marks
+def _bucket(print_: Column) -> Column:
+    return F.pmod(print_, F.lit(1 << FILTER_BITS))
 
 
-def _may_be(marks: np.ndarray, spark, print_: Column) -> Column:
-    """False only where a print is in no marked bucket. It spares texts a shuffle in which they would meet nothing; with many
-    more than a million marked prints it lets nearly all through."""
-    shared = spark.sparkContext.broadcast(np.packbits(marks))  # 512 kB
+def _marks(prints: DataFrame) -> DataFrame:
+    """Which of 2^22 buckets the ``print`` values fall into: at most 2^16 rows (__word, __bits) of 64 buckets each."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("print", F.lit(64)).cast("int"))
+    words = prints.groupBy(F.shiftright(_bucket(F.col("print")), 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    return staged(words, "ngram-marks")
 
-    @F.pandas_udf(T.BooleanType())
-    def marked(values: pd.Series) -> pd.Series:
-        bucket = values.to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
-        return pd.Series((shared.value[bucket >> 3] >> (7 - (bucket & 7))) & 1 == 1)
 
-    return marked(print_)
+def _marked(rows: DataFrame, marks: DataFrame, print_: str, name: str) -> DataFrame:
+    """``rows`` with the column ``name``: false only where the print is in no marked bucket. It spares texts a shuffle in
+    which they would meet nothing; with many more than a million marked prints it lets nearly all through."""
+    here = F.shiftright(_bucket(F.col(print_)), 6) == F.col("__word")
+    bit = F.getbit("__bits", F.pmod(print_, F.lit(64)).cast("int"))
+    known = rows.join(F.broadcast(marks), here, "left")  # 2^16 rows of two numbers at most
+    return known.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("__word", "__bits")
 
 
 def _placed(source: DataFrame, size: int, percent: int) -> DataFrame:
@@ -370,7 +380,7 @@ def _placed(source: DataFrame, size: int, percent: int) -> DataFrame:
     member = member.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks"))
     texts = source.where("text is not null").select("print", F.coalesce("doc_id", no_key).alias("id"), "text")
     chosen = member.select("root", "node", "n", "sets", "blocks", "block", "print", "id")
-    texts = texts.where(_may_be(_marks(chosen), source.sparkSession, F.col("print")))
+    texts = _marked(texts, _marks(chosen), "print", "marked").where("marked").drop("marked")
     texts = texts.dropDuplicates(["print", "id"])  # dealt out as the join is, so texts travel once
     content = staged(chosen.join(texts, ["print", "id"]).drop("print", "id"), "ngram-texts")
     part = F.xxhash64("root", "block", "stray")
@@ -433,13 +443,12 @@ def one_of_each(
     groups = groups.where("rows > 1")
     best = groups.select(F.col("best.id").alias("__id"), F.col("best.print").alias("__print")).distinct()
     member = staged(placed.join(groups.select("root"), "root").select("id", "print"), "ngram-members")
-    lone = ~_may_be(_marks(member), documents.sparkSession, F.col("__print"))
     marked = documents.withColumn("__id", F.coalesce(F.col(key).cast("bigint"), last))
-    marked = marked.withColumn("__print", F.xxhash64(F.col(text))).withColumn("__lone", lone)
+    marked = _marked(marked.withColumn("__print", F.xxhash64(F.col(text))), _marks(member), "__print", "__grouped")
     grouped = member.select(F.col("id").alias("__id"), F.col("print").alias("__print")).distinct()
     # Of the rows whose text may be in a group, those that are not in one stay, and the best of each group.
-    doubtful = marked.where("not __lone")
+    doubtful = marked.where("__grouped")
     outside = doubtful.join(grouped, ["__id", "__print"], "left_anti")
     kept = doubtful.join(best, ["__id", "__print"], "left_semi").dropDuplicates(["__id", "__print"])
-    left = marked.where("__lone").unionByName(outside).unionByName(kept)
+    left = marked.where("not __grouped").unionByName(outside).unionByName(kept)
     return left.select(*documents.columns)

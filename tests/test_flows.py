@@ -7,6 +7,7 @@ import pytest
 from tests.replay import replay
 from tracelake.operators.handshakes import match_handshakes, orphan_counts, orphan_requests
 from tracelake.operators.ordering import in_scope
+from tracelake.operators.routing import assign_messages
 from tracelake.plans.socket_performance import socket_performance
 from tracelake.schemas import MESSAGES
 
@@ -246,3 +247,15 @@ def test_orphans(spark):
     ordered = in_scope(spark.createDataFrame(rows, MESSAGES))
     counts = {r.what: r.n for r in orphan_counts(ordered, match_handshakes(ordered)).collect()}
     assert counts == {"requests": 3, "messages": 2, "pipes": 1}
+
+
+def test_hot_pipes_are_read_from_a_table(spark):
+    """Windows over hot keys read their rows several times: from a staged table, not from the messages again."""
+    rng = random.Random(5)
+    rows = random_trace(rng, "t", pairs=2, wrong=0.0, length=90) + [message(500 + i, "data", "d0", seqs=[i]) for i in range(20)]
+    messages = spark.createDataFrame([tuple(r[c] for c in MESSAGES.names) for r in rows], MESSAGES)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ordered = in_scope(messages, "trace", 4)
+    assert "ExistingRDD" in plan(ordered)
+    matched = match_handshakes(ordered, 1)
+    assert "ExistingRDD" not in plan(assign_messages(ordered, matched, 4))

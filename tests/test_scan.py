@@ -103,3 +103,19 @@ def test_join_by_key_is_the_join(spark, monkeypatch, how, chunk_rows, broadcast_
     want = many.join(one, ["s", "k"], how)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_beyond_the_most_keys_only_the_largest_are_sent_around(spark, monkeypatch):
+    """The other hot keys have few of all rows each: they meet in a shuffle, and no row is repeated for them."""
+    monkeypatch.setattr(scan, "BROADCAST_KEYS", 2)
+    rows = [(f"k{i}", n, n % 7) for i in range(6) for n in range(5 + 10 * i)]
+    df = spark.createDataFrame(rows, "k string, n bigint, v bigint").withColumn("c", chunk_of("n", 4))
+    hot = hot_keys(df, ["k"], 4)
+    assert not hot.broadcast and hot.table.count() == 6
+    assert sorted(r.k for r in hot.largest.collect()) == ["k4", "k5"]
+    one = spark.createDataFrame([(f"k{i}", i) for i in range(1, 7)], "k string, m int")
+    joined = scan.join_by_key(df, one, ["k"], hot, "left")
+    assert "Generate" not in joined._jdf.queryExecution().toString()
+    assert sorted(map(str, joined.collect())) == sorted(map(str, df.join(one, ["k"], "left").collect()))
+    found = running(df, ["k"], ["n"], ["c"], wanted(), hot).withColumn("latest", F.col("latest.v")).drop("c")
+    assert sorted((tuple(r) for r in found.collect()), key=str) == by_hand(rows)

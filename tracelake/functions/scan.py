@@ -15,8 +15,6 @@ from tracelake.functions.staging import staged
 CHUNK_ROWS = 1 << 20
 # Most keys that are sent to every task; each is a few dozen bytes.
 BROADCAST_KEYS = 100_000
-# Into how many parts the rows of a key are dealt where hot keys are too many to be sent around.
-SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -57,11 +55,20 @@ class Running:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The keys too large for one task. ``table`` is null when there are none."""
+    """The keys too large for one task. ``table`` is null when there are none.
+
+    ``broadcast``: there are ``BROADCAST_KEYS`` at most. ``largest`` are these or, of more, the ``BROADCAST_KEYS`` with the
+    most rows, so that no other key has more than that part of all rows.
+    """
 
     names: list[str]
     table: DataFrame | None
     broadcast: bool
+    largest: DataFrame | None = None
+
+    def once(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, staged if there are hot keys: ``running`` then reads it several times."""
+        return df if self.table is None else staged(df, name)
 
 
 def chunk_of(order: str, chunk_rows: int = CHUNK_ROWS) -> Column:
@@ -75,31 +82,29 @@ def hot_keys(df: DataFrame, names: list[str], chunk_rows: int = CHUNK_ROWS) -> H
     Runs a job; the driver learns only how many hot keys there are.
     """
     counts = df.groupBy(*names).agg(F.count("*").alias("_rows"))
-    hot = counts.where(F.col("_rows") > chunk_rows).select(*names)
+    hot = staged(counts.where(F.col("_rows") > chunk_rows), "hot-keys")
     number = hot.count()
     if number == 0:
         return HotKeys(names, None, False)
-    return HotKeys(names, staged(hot, "hot-keys"), number <= BROADCAST_KEYS)
+    table = hot.select(*names)
+    if number <= BROADCAST_KEYS:
+        return HotKeys(names, table, True, table)
+    largest = hot.orderBy(F.desc("_rows")).limit(BROADCAST_KEYS).select(*names)
+    return HotKeys(names, table, False, staged(largest, "largest-keys"))
 
 
 def join_by_key(many: DataFrame, one: DataFrame, keys: list[str], hot: HotKeys, how: str = "inner") -> DataFrame:
     """Join rows of ``many`` with ``one``, which has one row for a key at most, and give no task all rows of a hot key.
 
-    ``hot`` names ``keys`` or some of them, which both sides have. Few hot keys are sent to every task, and their rows stay
-    where they are; the others meet in a shuffle. Beyond ``BROADCAST_KEYS`` all rows are dealt out by a salt as well, and
-    ``one`` is repeated for each. ``how``: inner, left, left_semi or left_anti.
+    ``hot`` names ``keys`` or some of them, which both sides have. The largest keys are sent to every task, and their rows
+    stay where they are; the others meet in a shuffle. ``how``: inner, left, left_semi or left_anti.
     """
     if hot.table is None:
         return many.join(one, keys, how)
-    if hot.broadcast:
-        few = F.broadcast(hot.table)
-        cold = many.join(few, hot.names, "left_anti").join(one, keys, how)
-        known = F.broadcast(one.join(few, hot.names, "left_semi"))  # one row for each of BROADCAST_KEYS at most
-        return cold.unionByName(many.join(few, hot.names, "left_semi").join(known, keys, how))
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)))
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    repeated = one.withColumn("_salt", F.explode(every))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    few = F.broadcast(hot.largest)
+    cold = many.join(few, hot.names, "left_anti").join(one, keys, how)
+    known = F.broadcast(one.join(few, hot.names, "left_semi"))  # one row for each of BROADCAST_KEYS at most
+    return cold.unionByName(many.join(few, hot.names, "left_semi").join(known, keys, how))
 
 
 def running(
@@ -109,13 +114,12 @@ def running(
 
     ``order`` must be unique within a key, ``chunk`` must not decrease along it, and neither ``keys``
     nor ``chunk`` may be null. ``hot`` names ``keys`` or some of them. ``df`` should not come out of a
-    shuffle by some of ``keys``: Spark would keep that partitioning, and a hot key in one task.
+    shuffle by some of ``keys``: Spark would keep that partitioning, and a hot key in one task. With hot keys ``df`` is
+    read three times, so it should be a table (``HotKeys.once``).
     """
     if hot.table is None:
         return _by_key(df, keys, order, columns)
-    if not hot.broadcast:
-        return _by_chunk(df, keys, order, chunk, columns)
-    few = F.broadcast(hot.table)
+    few = F.broadcast(hot.largest)
     cold = _by_key(df.join(few, hot.names, "left_anti"), keys, order, columns)
     return cold.unionByName(_by_chunk(df.join(few, hot.names, "left_semi"), keys, order, chunk, columns))
 

@@ -28,7 +28,7 @@ def match_handshakes(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataF
     before = F.struct("kind", "pos", "chunk", "first_ms", "last_ms")
     keys = ["scope", "ack_pipe"]
     hot = hot_keys(calls, keys, chunk_rows)
-    paired = running(calls, keys, ["pos"], ["chunk"], [Running("req", before, "last", "before")], hot)
+    paired = running(hot.once(calls, "calls"), keys, ["pos"], ["chunk"], [Running("req", before, "last", "before")], hot)
     return paired.where("kind = 'rem' and req.kind = 'req'").select(
         "scope",
         "data_pipe",

@@ -42,8 +42,9 @@ def assign_messages(messages: DataFrame, handshakes: DataFrame, chunk_rows: int
         "scope", F.col("pipe_id").alias("pipe"), "pos", "chunk", *_MESSAGE
     )
     line = moved.unionByName(marks, True)
+    hot = hot_keys(line, ["scope", "pipe"], chunk_rows)
     seen = running(
-        line,
+        hot.once(line, "line"),
         ["scope", "pipe"],
         ["pos"],
         ["chunk"],
@@ -52,7 +53,7 @@ def assign_messages(messages: DataFrame, handshakes: DataFrame, chunk_rows: int
             Running("on_ack", F.col("ack_mark"), "last", "before"),
             Running("final", F.col("data_mark"), "last", "whole"),
         ],
-        hot_keys(line, ["scope", "pipe"], chunk_rows),
+        hot,
     ).where("kind is not null")
 
     has_data, has_ack = F.col("on_data").isNotNull(), F.col("on_ack").isNotNull()

@@ -40,7 +40,7 @@ def flow_progress(events: DataFrame, hot: HotKeys) -> DataFrame:
         F.max(F.when(on_data, F.col("last_ms"))).alias("last_ms"),
     )
     progress = running(
-        messages,
+        hot.once(messages, "messages"),
         _FLOW,
         ["phase", "pos"],
         ["phase", "chunk"],
@@ -94,9 +94,10 @@ def close_early(
     if ignored.isEmpty():
         return events, progress, points
     applied = events.join(ignored, _MESSAGE, "left_anti")
-    shortened = ignored.select(*_FLOW).distinct()
+    shortened = staged(ignored.select(*_FLOW).distinct(), "shortened")
     # Staged so that the next windows do not inherit the join's partitioning by flow.
-    again = staged(join_by_key(applied, shortened, _FLOW, hot, "left_semi"), "again")
+    again = join_by_key(events, shortened, _FLOW, hot, "left_semi")
+    again = staged(again.join(ignored, _MESSAGE, "left_anti"), "again")
     unchanged = join_by_key(progress, shortened, _FLOW, hot, "left_anti")
     progress = unchanged.unionByName(flow_progress(again, hot))
     return applied, staged(progress, "progress"), points

@@ -154,3 +154,37 @@ def test_odd_rows_and_empty_table(odd, empty):
     assert mixing.taken(mixing.mix_sources(empty, words())).collect() == []
     assert mixing.mix_documents(empty).collect() == []
     assert mixing.mix_documents(odd).columns == odd.columns
+
+
+def test_texts_are_cut_in_the_jvm(spark):
+    """No whole text goes through Python, where a batch of them takes several times its size."""
+    plan = mixing.mix_documents(documents(spark, rows_of(6)), block=8)._jdf.queryExecution().optimizedPlan().toString()
+    python = [line for line in plan.splitlines() if "EvalPython" in line]
+    assert python and not any("text" in line for line in python)
+
+
+def test_stretches_hold_what_stands_between(spark):
+    """All stretches of a text, however odd its white space is, are what Python's pattern finds."""
+    rng = random.Random(7)
+    texts = [
+        "".join(rng.choice([" ", "\t\n", "\x0b\x0c\r", "\u00a0", "\u2003", "a", "Bc", "\U0001f600", "\u6f22"]) for _ in range(200))
+        for _ in range(40)
+    ] + ["x " * 30_000 + " " * 200_000]
+    rows = []
+    for i, text in enumerate(texts):
+        n = len(mixing.WORD.findall(text))
+        cuts = sorted(rng.sample(range(n + 1), 6))
+        rows.append((i, text, [{"start": a, "end": b} for a, b in zip(cuts[::2], cuts[1::2], strict=True)]))
+    frame = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:bigint,end:bigint>>")
+    found = frame.select("i", mixing._stretches(F.col("text"), F.col("spans")).alias("cut")).collect()
+    got = {row["i"]: row["cut"] for row in found}
+    for i, text, spans in rows:
+        places = [match.span() for match in mixing.WORD.finditer(text)]
+        assert got[i] == [text[places[s["start"]][0] : places[s["end"] - 1][1]] for s in spans]
+
+
+def test_counts_of_groups_need_no_python_rows(spark):
+    sources = spark.range(5).selectExpr("id as source_no", "id + 3 as blocks", "id + 3 as whole", "id + 1 as owed", "id * 0 as cut")
+    drawn, owed = mixing._drawn(sources, 4, 1, 5)
+    assert owed == 15 and drawn.agg(F.sum("n")).first()[0] == 15
+    assert "ExistingRDD" not in drawn._jdf.queryExecution().sparkPlan().toString()

@@ -126,3 +126,15 @@ def test_documents(spark, tokens):
 
 def test_empty_table(empty):
     assert packing.pack_documents(empty, tokenizer_file()).collect() == []
+
+
+def test_few_texts_are_python_values_at_once(spark, monkeypatch):
+    """Texts reach Python in small batches, whatever the session's setting, which stays as it is."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(name), packing.staged
+    monkeypatch.setattr(packing, "staged", lambda df, to: seen.append(int(spark.conf.get(name))) or write(df, to))
+    docs = documents(spark, [(i, "some words", "en", "a") for i in range(1500)])
+    out = packing.pack_documents(docs, tokenizer_file())
+    assert out.count() == 1500 and seen == [1000] and spark.conf.get(name) == before
+    plan = packing.cut_documents(docs, tokenizer_file(), 2, 1024)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan

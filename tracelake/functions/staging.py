@@ -5,6 +5,8 @@ folder per application, and outlive lost executors. ``drop_staged`` removes that
 """
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that run inside hand Python ``rows`` rows at once at most. Batches of whole texts are held in the JVM, in the
+    worker and while they are sent; the default is made for rows of a few numbers. The results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove every table this application has staged. DataFrames that still read one fail afterwards."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

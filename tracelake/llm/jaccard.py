@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.staging import staged
+from tracelake.functions.staging import small_batches, staged
 from tracelake.llm.components import components
 
 _REMEMBERED = 300_000
@@ -223,7 +223,8 @@ def _bucket_counts(documents: DataFrame, size: int) -> np.ndarray:
 
     sums = documents.select("text").mapInArrow(add, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    found = sums.toPandas()  # 2^18 rows at most
+    with small_batches(documents.sparkSession):
+        found = sums.toPandas()  # 2^18 rows at most
     counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
 
@@ -360,7 +361,8 @@ def _marked(rows: DataFrame, marks: DataFrame, print_: str, name: str) -> DataFr
 def _placed(source: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, print, n, node and root for every row of ``source`` (doc_id, print, text): rows whose sets links connect
     share a root; it is null for an empty set."""
-    sets = staged(_sets(source, size, percent), "ngram-sets")
+    with small_batches(source.sparkSession):
+        sets = staged(_sets(source, size, percent), "ngram-sets")
     no_key = F.lit(-(1 << 63)).cast("bigint")
     row = F.struct("print", F.coalesce("doc_id", no_key).alias("id"))  # names a row that has the set
     grouped = sets.where("node is not null").groupBy("node")

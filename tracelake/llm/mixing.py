@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,9 @@ HOT_SHARE = 1000
 #: Up to so many sources are drawn on the driver one by one, more in groups.
 DRAWN_TOGETHER = 1024
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SPACE = "\x20\t\n\x0b\x0c\r"
+#: A word and what follows it up to the next; without a way back, so a run of white space is read once.
+WORD_AND_SPACE = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 
 
 def even_counts(total: int, shards: int) -> np.ndarray:
@@ -156,9 +160,9 @@ def _drawn(planned: DataFrame, shards: int, seed: int, sources: int) -> tuple[Da
     grouped = planned.withColumn("group", F.pmod("source_no", F.lit(groups)))
     sums = sorted((r["group"], r["owed"]) for r in grouped.groupBy("group").agg(F.sum("owed").alias("owed")).collect())
     counts = draw_counts(np.array([owed for _, owed in sums], dtype=np.int64), shards, seed)
-    totals = planned.sparkSession.createDataFrame(
-        [(group, counts[:, i].tolist()) for i, (group, _) in enumerate(sums)], "group bigint, wanted array<bigint>"
-    )
+    totals = {"group": [group for group, _ in sums], "wanted": [counts[:, i].tolist() for i in range(len(sums))]}
+    types = pa.schema([("group", pa.int64()), ("wanted", pa.list_(pa.int64()))])
+    totals = planned.sparkSession.createDataFrame(pa.table(totals, schema=types))  # as rows it would go through Python workers
     columns = planned.columns
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
@@ -282,16 +286,20 @@ def taken(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     return sums.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__n", "__copy", "row")
 
 
-@F.pandas_udf(T.StringType())
-def _words(text: pd.Series, start: pd.Series, end: pd.Series, size: pd.Series) -> pd.Series:
-    """The text from word ``start`` up to word ``end``, with what stands between; the text itself, if that is all of it."""
-    found = []
-    for content, first, last, count in zip(text, start, end, size, strict=True):
-        if first > 0 or last < count:
-            spans = [match.span() for match in WORD.finditer(content)]
-            content = content[spans[first][0] : spans[last - 1][1]]
-        found.append(content)
-    return pd.Series(found, dtype=object)
+def _stretches(text: Column, spans: Column) -> Column:
+    """The texts of all ``spans`` (start and end, in words): from the first word to the last, with what stands between.
+
+    The text is cut into words once for all of them, in the JVM: batches of texts as Python values would take the
+    executor several times their size.
+    """
+    words = F.regexp_extract_all(text, F.lit(WORD_AND_SPACE), F.lit(0))
+
+    def stretch(cut: Column, span: Column) -> Column:
+        inside = F.slice(cut, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
+        return F.rtrim(F.array_join(inside, ""), F.lit(SPACE))
+
+    # The outer function gives the words a name, or they would be found again for every span.
+    return F.flatten(F.transform(F.array(words), lambda cut: F.transform(spans, lambda span: stretch(cut, span))))
 
 
 def mix_documents(
@@ -313,12 +321,12 @@ def mix_documents(
     taken_spans = (
         mixed.groupBy("__row", "row", "copy", F.col("size").alias("__size"))
         .agg(spans.alias("spans"))
-        .withColumn("spans", F.aggregate("spans", F.slice(one, 1, 0), _joined_spans))
-        .select("__row", "__size", F.explode("spans").alias("__span"))
+        .select("__row", "__size", F.aggregate("spans", F.slice(one, 1, 0), _joined_spans).alias("__spans"))
     )
-    content = _words(F.col(text), F.col("__span.start"), F.col("__span.end"), F.col("__size"))
+    all_of_it = (F.col("__spans")[0]["start"] == 0) & (F.col("__spans")[0]["end"] == F.col("__size"))
+    texts = F.when(all_of_it, F.array(text)).otherwise(_stretches(F.col(text), F.col("__spans")))
     whole = hashed.where(size > 0).dropDuplicates(["__row"])
-    out = taken_spans.join(whole, "__row").withColumn(text, content)
+    out = taken_spans.join(whole, "__row").withColumn("__texts", texts).drop(text).withColumn(text, F.explode("__texts"))
     if length in documents.columns:
         out = out.withColumn(length, F.length(text).cast(documents.schema[length].dataType))
     return out.select(*documents.columns)

@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.staging import staged
+from tracelake.functions.staging import small_batches, staged
 from tracelake.llm.numbering import running_before, runs_for
 
 # Latin letters, punctuation and currency signs: here both libraries split a text by the same pattern and the same
@@ -26,6 +27,8 @@ _UNUSUAL = re.compile("[^\x00-ɏ‐-›€]|<\\|")
 # Fixed value: the published split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Rows that a task turns into Python values at once.
+ROWS = 256
 PIECES = "doc_id bigint, copy string, piece int, start bigint, length int, ids_crc32 bigint"
 
 
@@ -73,25 +76,25 @@ def cut_documents(
     A null text counts as empty; an empty one is the end id alone. ``tokenizer`` is a file that executors can read.
     """
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(tokenizer)
         for batch in batches:
-            found = []
-            for doc, content in zip(batch["key"].tolist(), batch["text"].tolist(), strict=True):
-                content = content if isinstance(content, str) else ""
-                ids = np.array([*tokens.ids(content), end_id], dtype="<u4")
-                copy = f"{zlib.crc32(content.encode('utf-8', 'surrogatepass')):08x}{len(ids):x}"
-                doc = None if pd.isna(doc) else int(doc)
-                for place, (start, length) in enumerate(cut(len(ids), most)):
-                    crc = zlib.crc32(ids[start : start + length].tobytes())
-                    found.append((doc, copy, place, start, length, crc))
-            out = pd.DataFrame(found, columns=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    return documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInPandas(
-        pieces, PIECES
-    )
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                found = []
+                for doc, content in zip(rows.column(0), rows.column(1), strict=True):
+                    doc, content = doc.as_py(), content.as_py() or ""
+                    ids = np.array([*tokens.ids(content), end_id], dtype="<u4")
+                    copy = f"{zlib.crc32(content.encode('utf-8', 'surrogatepass')):08x}{len(ids):x}"
+                    for place, (start, length) in enumerate(cut(len(ids), most)):
+                        crc = zlib.crc32(ids[start : start + length].tobytes())
+                        found.append((doc, copy, place, start, length, crc))
+                columns = zip(*found, strict=True)
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+
+    names = ["doc_id", "copy", "piece", "start", "length", "ids_crc32"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    return documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(pieces, PIECES)
 
 
 @dataclass
@@ -252,7 +255,8 @@ def pack_documents(
     - Rows with the same key are packed each by itself. A null key stays null. Other columns play no part. An empty table
       gives an empty result.
     """
-    pieces = staged(cut_documents(documents, tokenizer, end_id, capacity, key, text), "pack-pieces")
+    with small_batches(documents.sparkSession):
+        pieces = staged(cut_documents(documents, tokenizer, end_id, capacity, key, text), "pack-pieces")
     return pack_pieces(pieces, capacity).select(
         F.col("doc_id").alias(key),
         "piece",
